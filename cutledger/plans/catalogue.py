@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cutledger.plans import event_queries
+from cutledger.plans import event_queries, payment_queries
 
-SUBJECTS = [event_queries]
+SUBJECTS = [event_queries, payment_queries]
 
 
 def queries() -> dict:
