@@ -81,6 +81,23 @@ CTES = {
         FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 4 <> 0 GROUP BY 1, 2)""",
     "downloads": """SELECT o_orderkey AS id, o_custkey AS user_id, o_orderkey % 300 AS nesting_run_id,
       o_orderdate + INTERVAL 3 DAY AS downloaded_at, o_orderkey % 6 = 0 AS via_token FROM orders""",
+    "usages": """SELECT l_orderkey AS subscription_id, year(l_shipdate) AS period_year, month(l_shipdate) AS period_month,
+      CAST(least(sum(l_quantity), 50) AS INTEGER) AS downloads_used, min(l_shipdate) AS created_at, 50 AS quota_limit
+      FROM lineitem GROUP BY 1, 2, 3""",
+    "quotes": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'plan' ELSE 'single_download' END AS product,
+      CASE WHEN o_orderkey % 9 <> 0 THEN [1,2,4,3][o_orderkey // 4 % 4 + 1] END AS tier_months,
+      o_orderkey % 5 = 0 AS overage, CASE WHEN o_orderkey % 3 = 0 THEN 'usd' ELSE 'crc' END AS currency,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'sinpe' ELSE 'card' END AS billing_method, o_orderkey % 3 <> 0 AS iva_applicable
+      FROM orders""",
+    "price_rows": """SELECT * FROM (VALUES ('single_download', 0, false, 1200, 1000, 2.50), ('single_download', 0, true, 600, 500, 1.25),
+      ('plan', 1, false, 3250, 3000, 7.00), ('plan', 2, false, 5300, 5000, 11.50), ('plan', 4, false, 8400, 8000, 18.00))
+      AS v(product, tier, overage, official, sinpe, card_usd)""",
+    "visits": """SELECT id, ip, CASE WHEN id % 4 = 0 THEN ' cr' WHEN id % 7 = 0 THEN ' ' END AS header_country,
+      CASE WHEN user_id % 3 = 0 THEN 'America/Costa_Rica' WHEN user_id % 3 = 1 THEN 'UTC' END AS time_zone,
+      CASE WHEN id % 3 = 0 THEN 'US' END AS session_country FROM user_events""",
+    "ip_numbers": """SELECT id, ip, CASE WHEN ip LIKE '%.%.%.%' THEN split_part(ip, '.', 1)::BIGINT * 16777216
+      + split_part(ip, '.', 2)::BIGINT * 65536 + split_part(ip, '.', 3)::BIGINT * 256 + split_part(ip, '.', 4)::BIGINT END AS n
+      FROM user_events""",
     "carts": """SELECT id, user_id, guest_token, CASE WHEN c_nationkey % 2 = 0 THEN c_custkey % 300 END AS nesting_run_id,
       CASE WHEN c_nationkey % 3 <> 0 THEN [1,2,4][c_custkey % 3 + 1] END AS tier_months,
       CASE WHEN c_nationkey % 4 = 0 THEN 'usd' ELSE 'crc' END AS currency_mode,
@@ -198,6 +215,8 @@ def oracle(sql: str) -> str:
     if not seen:
         return body
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in seen)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

@@ -441,3 +441,40 @@ def gateway_events(spark: SparkSession, d: str) -> DataFrame:
         "cast(l_shipdate as timestamp) as at",
         "l_orderkey * 1000000 + l_partkey * 8 + l_linenumber as event_no",
     )
+
+
+def usages(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly plan usage: quantities shipped per order and month as downloads, capped by the quota itself."""
+    shipped = table(spark, d, "lineitem").groupBy(
+        F.col("l_orderkey").alias("subscription_id"),
+        F.expr("year(l_shipdate)").alias("period_year"),
+        F.expr("month(l_shipdate)").alias("period_month"),
+    )
+    return shipped.agg(
+        F.expr("cast(least(sum(l_quantity), 50) as int)").alias("downloads_used"),
+        F.expr("cast(min(l_shipdate) as timestamp)").alias("created_at"),
+    ).withColumn("quota_limit", F.lit(50))
+
+
+def quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Price requests, some of them illegal combinations."""
+    return table(spark, d, "orders").selectExpr(
+        "o_orderkey as id",
+        "if(o_orderkey % 4 = 0, 'plan', 'single_download') as product",
+        "if(o_orderkey % 9 = 0, null, element_at(array(1,2,4,3), cast(o_orderkey div 4 % 4 as int) + 1)) as tier_months",
+        "o_orderkey % 5 = 0 as overage",
+        "if(o_orderkey % 3 = 0, 'usd', 'crc') as currency",
+        "if(o_orderkey % 2 = 0, 'sinpe', 'card') as billing_method",
+        "o_orderkey % 3 <> 0 as iva_applicable",
+    )
+
+
+def visits(spark: SparkSession, d: str) -> DataFrame:
+    """Requests with every hint of the visitor's country."""
+    return user_events(spark, d).selectExpr(
+        "id",
+        "ip",
+        "if(id % 4 = 0, ' cr', if(id % 7 = 0, ' ', null)) as header_country",
+        "case when user_id % 3 = 0 then 'America/Costa_Rica' when user_id % 3 = 1 then 'UTC' end as time_zone",
+        "if(id % 3 = 0, 'US', null) as session_country",
+    )
