@@ -63,6 +63,7 @@ def running(
     order: list[Column],
     blocks: list[Column],
     measures: list[Running],
+    level: int = 0,
 ) -> DataFrame:
     """Add one column per measure, computed per key along ``order`` (all ascending).
 
@@ -70,9 +71,10 @@ def running(
     a function of the finer. Key columns must not be NULL. An exclusive sum starts at 0; an exclusive
     max, min or last starts at NULL.
     """
-    o = [f"_o{i}" for i in range(len(order))]
-    m = [f"_m{i}" for i in range(len(measures))]
-    b = [f"_b{i}" for i in range(len(blocks))]
+    o = [f"_o{level}_{i}" for i in range(len(order))]
+    m = [f"_m{level}_{i}" for i in range(len(measures))]
+    b = [f"_b{level}_{i}" for i in range(len(blocks))]
+    c = [f"_c{level}_{i}" for i in range(len(measures))]
     base = df.withColumns(
         dict(zip(o, order)) | dict(zip(m, (x.value for x in measures))) | dict(zip(b, blocks))
     )
@@ -84,7 +86,7 @@ def running(
     }
     if not blocks:
         out = base.withColumns(
-            {x.name: _over(x.kind, F.col(c), frames[x.inclusive]) for x, c in zip(measures, m)}
+            {x.name: _over(x.kind, F.col(v), frames[x.inclusive]) for x, v in zip(measures, m)}
         )
         zero = {x.name: F.coalesce(x.name, F.lit(0)) for x in measures if x.kind == "sum"}
         return out.withColumns(zero).drop(*o, *m)
@@ -92,28 +94,29 @@ def running(
     place = F.struct(*o)
     totals = base.groupBy(*part).agg(
         *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c)
+            F.max_by(v, F.when(F.col(v).isNotNull(), place)).alias(v)
             if x.kind == "last"
-            else _TOTAL[x.kind](c).alias(c)
-            for x, c in zip(measures, m)
+            else _TOTAL[x.kind](v).alias(v)
+            for x, v in zip(measures, m)
         ],
-        *[F.min(c).alias(c) for c in b[1:]],
+        *[F.min(v).alias(v) for v in b[1:]],
     )
     carry = running(
         totals,
         keys,
-        [F.col("_b0")],
-        [F.col(c) for c in b[1:]],
-        [Running(f"_c{i}", x.kind, F.col(c), False) for i, (x, c) in enumerate(zip(measures, m))],
-    ).select(*part, *[f"_c{i}" for i in range(len(measures))])
+        [F.col(b[0])],
+        [F.col(v) for v in b[1:]],
+        [Running(name, x.kind, F.col(v), False) for name, x, v in zip(c, measures, m)],
+        level + 1,
+    ).select(*part, *c)
     out = base.join(carry, part, "left")
     out = out.withColumns(
         {
-            x.name: _merge(x.kind, F.col(f"_c{i}"), _over(x.kind, F.col(m[i]), frames[x.inclusive]))
+            x.name: _merge(x.kind, F.col(c[i]), _over(x.kind, F.col(m[i]), frames[x.inclusive]))
             for i, x in enumerate(measures)
         }
     )
-    return out.drop(*o, *m, *b, *[f"_c{i}" for i in range(len(measures))])
+    return out.drop(*o, *m, *b, *c)
 
 
 def top_one(df: DataFrame, keys: list[str], order: list[Column], lowest: bool = False) -> DataFrame:

@@ -125,7 +125,7 @@ CTES = {
       FROM orders, unnest(range(o_orderkey % 3 + 1)) AS t(s)""",
     "doc_pieces": """SELECT run_id, sheet_index, sheet_index * 4 + p AS piece_index, p * 100.5::DOUBLE AS x_mm,
       p * 50.0::DOUBLE AS y_mm, p * 90.0::DOUBLE AS rotation_deg FROM doc_sheets, unnest(range(n_pieces)) AS t(p)""",
-    "progress": """SELECT event_id AS id, user_id AS run_id, ts AS at,
+    "progress": """SELECT event_id AS id, user_id AS run_id, ts AS t_at,
       CASE WHEN event_id % 10 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS version,
       ['extracting','fill','optimizing','consolidating','refining','writing_outputs','bogus'][event_id % 7 + 1] AS phase_id,
       CAST(floor(value) AS INTEGER) AS percent, 40 AS pieces_total, CAST(event_id % 41 AS INTEGER) AS pieces_placed,
@@ -188,7 +188,7 @@ CTES = {
     "gateway_events": """SELECT 'pi_' || CASE WHEN l_linenumber = 7 THEN l_orderkey + 100000000 ELSE l_orderkey END
         AS payment_intent_id,
       CASE l_returnflag WHEN 'A' THEN 'payment-intent.succeeded' WHEN 'R' THEN 'payment-intent.failed'
-        ELSE 'payment-intent.deferred' END AS type, l_shipdate AS at,
+        ELSE 'payment-intent.deferred' END AS type, l_shipdate AS t_at,
       l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS event_no FROM lineitem""",
 }
 

@@ -478,3 +478,44 @@ def visits(spark: SparkSession, d: str) -> DataFrame:
         "case when user_id % 3 = 0 then 'America/Costa_Rica' when user_id % 3 = 1 then 'UTC' end as time_zone",
         "if(id % 3 = 0, 'US', null) as session_country",
     )
+
+
+def projects(spark: SparkSession, d: str) -> DataFrame:
+    """One project per order, with some values out of range."""
+    return table(spark, d, "orders").selectExpr(
+        "o_orderkey as id",
+        "if(o_orderkey % 43 = 0, ' ', concat('Order ', o_orderkey)) as title",
+        "o_custkey % 5 - 1D as kerf_mm",
+        "5D as margin_mm",
+        "if(o_orderkey % 12 = 0, 0D, 0.1D) as curve_tolerance_mm",
+        "15D as sheet_gap_mm",
+        "600 as nesting_time_limit_sec",
+        "'draft' as status",
+    )
+
+
+def layer_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Closed contours per layer: the order lines of the part that were returned."""
+    return (
+        table(spark, d, "lineitem")
+        .where("l_returnflag = 'A'")
+        .groupBy(F.col("l_partkey").alias("layer_id"))
+        .agg(F.count("*").alias("n_pieces"))
+    )
+
+
+def uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Web pages as an upload manifest: odd pages get a drawing's extension, every third a drawing's head."""
+    return table(spark, d, "pages").selectExpr(
+        "page_id as id",
+        "if(page_id % 2 = 0, concat(url, '.DXF'), url) as path",
+        "encode(if(page_id % 3 = 0, concat('0 SECTION ', html), html), 'UTF-8') as content",
+    ).selectExpr("*", "cast(length(content) as bigint) * if(id % 50 = 0, 100000, 1) as length")
+
+
+def blobs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").selectExpr("doc_id as id", "source as filename", "n_chars as byte_size")
+
+
+def attachments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").selectExpr("doc_id as id", "doc_id as blob_id")
