@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RINGS = "array<array<array<double>>>"
-ZERO = F.lit(0.0)
 EPS_MM = 1e-6
 MIN_COMPACTNESS = 0.08
 MIN_CIRCLE_COMPACTNESS = 0.55
@@ -20,6 +19,10 @@ STRIP_ASPECT = 3.0
 BAR_ASPECT = 3.0
 
 
+def zero() -> Column:
+    return F.lit(0.0)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` (array lambdas re-evaluate what they capture)."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -38,7 +41,7 @@ def ring_edges(ring: Column) -> Column:
 
 
 def _total(values: Column) -> Column:
-    return F.aggregate(values, ZERO, lambda acc, v: acc + v)
+    return F.aggregate(values, zero(), lambda acc, v: acc + v)
 
 
 def ring_area(ring: Column) -> Column:
@@ -76,7 +79,7 @@ def perimeter(rings: Column) -> Column:
 def compactness(rings: Column) -> Column:
     """4 pi A / P squared, 0 for a polygon without length."""
     return let(
-        perimeter(rings), lambda p: F.when(p > 0, 4 * F.pi() * polygon_area(rings) / (p * p)).otherwise(ZERO)
+        perimeter(rings), lambda p: F.when(p > 0, 4 * F.pi() * polygon_area(rings) / (p * p)).otherwise(zero())
     )
 
 
@@ -144,7 +147,7 @@ def map_points(rings: Column, move) -> Column:
 
 def turn(rings: Column, center: Column, deg: Column) -> Column:
     """Rings rotated about a point."""
-    return shift_turn(rings, center, deg, ZERO, ZERO)
+    return shift_turn(rings, center, deg, zero(), zero())
 
 
 def shift_turn(rings: Column, center: Column, deg: Column, x: Column, y: Column) -> Column:
@@ -208,8 +211,8 @@ def edge_distance(ring: Column, x: Column, y: Column) -> Column:
     def one(e: Column) -> Column:
         dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
         length2 = dx * dx + dy * dy
-        t = F.when(length2 > 0, ((x - e["x0"]) * dx + (y - e["y0"]) * dy) / length2).otherwise(ZERO)
-        t = F.greatest(ZERO, F.least(F.lit(1.0), t))
+        t = F.when(length2 > 0, ((x - e["x0"]) * dx + (y - e["y0"]) * dy) / length2).otherwise(zero())
+        t = F.greatest(zero(), F.least(F.lit(1.0), t))
         return F.hypot(x - e["x0"] - t * dx, y - e["y0"] - t * dy)
 
     return F.array_min(F.transform(ring_edges(ring), one))
@@ -245,9 +248,9 @@ def axis_share(ring: Column, tol_deg: float = 1.0) -> Column:
     def straight(v: Column) -> Column:
         angle = F.degrees(F.atan2(v["dy"], v["dx"]))
         near = (angle < tol_deg) | (F.abs(angle - 90.0) < tol_deg)
-        return F.when(near & (F.hypot(v["dx"], v["dy"]) > 1e-5), F.hypot(v["dx"], v["dy"])).otherwise(ZERO)
+        return F.when(near & (F.hypot(v["dx"], v["dy"]) > 1e-5), F.hypot(v["dx"], v["dy"])).otherwise(zero())
 
-    return F.when(total > 1e-5, _total(F.transform(sides, straight)) / total).otherwise(ZERO)
+    return F.when(total > 1e-5, _total(F.transform(sides, straight)) / total).otherwise(zero())
 
 
 def is_axis_aligned(ring: Column) -> Column:
