@@ -10,7 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 DIRECTION = T.StructType(
-    [T.StructField("is_orthogonal", T.BooleanType()), T.StructField("principal_deg", T.DoubleType())]
+    [
+        T.StructField("is_orthogonal", T.BooleanType()),
+        T.StructField("principal_deg", T.DoubleType()),
+        T.StructField("align_deg", T.DoubleType()),
+    ]
 )
 
 
@@ -160,24 +164,23 @@ def straight_share(ring: list, angle_deg: float, tol_deg: float = 1.0) -> float:
     return float(length[near].sum() / length.sum())
 
 
+SNAP_DEG = (0.0, 45.0, 90.0)
+
+
+def snap_angle(deg: float) -> float:
+    """Direction moved to 0, 45 or 90 if within one degree of it (directions repeat after 180)."""
+    off, target = min((abs((deg - t + 90.0) % 180.0 - 90.0), t) for t in SNAP_DEG)
+    return target if off <= 1.0 else deg
+
+
 @pandas_udf(DIRECTION)
 def classify(ring: pd.Series) -> pd.DataFrame:
-    """Is a ring mostly made of right-angled sides, and along which direction."""
+    """Is a ring mostly made of right-angled sides, along which direction, and the turn that aligns it."""
     rows = []
     for r in ring:
         angle = principal_angle(r)
-        rows.append((False, 0.0) if angle is None else (straight_share(r, angle) >= 0.70, angle))
-    return pd.DataFrame(rows, columns=["is_orthogonal", "principal_deg"])
-
-
-SNAP_DEG = (0.0, 45.0, 90.0)
-
-
-@pandas_udf(T.DoubleType())
-def pre_align_deg(principal: pd.Series) -> pd.Series:
-    """Turn that lays a piece along the axes: the direction, snapped to 0, 45 or 90 within one degree."""
-    p = principal.to_numpy() % 180.0
-    targets = np.array(SNAP_DEG)
-    off = np.abs((p[:, None] - targets[None, :] + 90.0) % 180.0 - 90.0)
-    nearest = off.argmin(axis=1)
-    return pd.Series(np.where(off.min(axis=1) <= 1.0, targets[nearest], p))
+        if angle is None:
+            rows.append((False, 0.0, 0.0))
+        else:
+            rows.append((straight_share(r, angle) >= 0.70, angle, snap_angle(angle)))
+    return pd.DataFrame(rows, columns=["is_orthogonal", "principal_deg", "align_deg"])

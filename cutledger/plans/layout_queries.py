@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cutledger.functions import geometry as geo
-from cutledger.functions.vectorised import classify, clip_area, clip_length, pre_align_deg
+from cutledger.functions.vectorised import classify, clip_length
 from cutledger.operators import layout as lay
 from cutledger.plans.registry import Registry
 from cutledger.sources import driver as src
@@ -279,16 +279,22 @@ R.add(
       AND 50.5 < height_mm * 3 / 4 THEN width_mm / 2 WHEN kind = 2 AND 50.5 > height_mm / 2 THEN width_mm / 2 ELSE width_mm END, 3)
       AS inside_mm FROM pieces""",
 )
+def _tilted():
+    origin = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return geo.turn(F.col("rings"), origin, F.expr("cast(piece_index % 5 * 10 as double)"))
+
+
 R.add(
     "u1_classify",
     lambda s, d: _pieces(s, d)
-    .withColumn("t", geo.turn(F.col("rings"), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.expr("cast(piece_index % 5 * 10 as double)")))
     .where("kind = 0 and width_mm <> height_mm")
-    .select("project_id", "piece_index", classify(F.get("t", 0)).alias("c"))
+    # explode, so that the array lambdas are evaluated before the Python function sees the column
+    .select("project_id", "piece_index", F.explode(_tilted()).alias("t"))
+    .select("project_id", "piece_index", classify("t").alias("c"))
     .select(
         "project_id", "piece_index", "c.is_orthogonal",
         F.pmod(F.round("c.principal_deg", 4), F.lit(180.0)).alias("principal_deg"),
-        F.round(pre_align_deg("c.principal_deg"), 3).alias("align_deg"),
+        F.pmod(F.round("c.align_deg", 4), F.lit(180.0)).alias("align_deg"),
     ),
     """SELECT project_id, piece_index, true AS is_orthogonal, deg AS principal_deg, deg AS align_deg FROM (SELECT *,
       (piece_index % 5 * 10 + CASE WHEN width_mm > height_mm THEN 0 ELSE 90 END)::DOUBLE AS deg FROM pieces)

@@ -176,6 +176,8 @@ CTES = {
     "circles": """SELECT project_id * 64 + piece_index AS id, project_id AS drawing_id, layer,
       (piece_index % 2) * 500.0::DOUBLE + (l_partkey % 3) * 0.5::DOUBLE AS cx, (l_partkey % 2) * 0.5::DOUBLE AS cy,
       width_mm / 10 AS r FROM pieces""",
+    "plates": """SELECT project_id * 128 + piece_index * 2 AS id, project_id AS drawing_id, piece_index, kind, layer,
+      width_mm AS w, height_mm AS h, [0.5, 1, 1.2][l_partkey % 3 + 1]::DOUBLE AS f FROM pieces""",
     "ip_ranges": """SELECT c_custkey * 2000000 AS ip_from, c_custkey * 2000000 + 1499999 AS ip_to,
       chr(CAST(65 + c_nationkey % 26 AS INTEGER)) || chr(CAST(65 + (c_nationkey * 7) % 26 AS INTEGER)) AS country_code
       FROM customer""",

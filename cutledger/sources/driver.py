@@ -519,3 +519,52 @@ def blobs(spark: SparkSession, d: str) -> DataFrame:
 
 def attachments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").selectExpr("doc_id as id", "doc_id as blob_id")
+
+
+def plates(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces side by side in one drawing per order, each holed one with a rectangle in its hole."""
+    base = pieces(spark, d).selectExpr(
+        "project_id", "piece_index", "kind", "layer", "width_mm as w", "height_mm as h", "piece_index * 2000D as x0",
+        "element_at(array(0.5D, 1D, 1.2D), cast(l_partkey % 3 as int) + 1) as f", "rings",
+    )
+    own = base.selectExpr(
+        "project_id * 128 + piece_index * 2 as id",
+        "project_id as drawing_id",
+        "layer",
+        "transform(rings, r -> transform(r, p -> array(p[0] + x0, p[1]))) as rings",
+    )
+    fill = base.where("kind = 1").selectExpr(
+        "project_id * 128 + piece_index * 2 + 1 as id",
+        "project_id as drawing_id",
+        "layer",
+        """array(array(array(x0 + w/2 - f*w/4, h/2 - f*h/4), array(x0 + w/2 + f*w/4, h/2 - f*h/4),
+           array(x0 + w/2 + f*w/4, h/2 + f*h/4), array(x0 + w/2 - f*w/4, h/2 + f*h/4))) as rings""",
+    )
+    return own.unionByName(fill)
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Decoration segments: a horizontal one per order line, with repeats."""
+    return pieces(spark, d).selectExpr(
+        "project_id * 64 + piece_index as id",
+        "project_id",
+        "array(array(-10D, (l_partkey % 4) * 100 + 50.5D), array((l_partkey % 3 + 1) * 200D + 0.00001D * piece_index, (l_partkey % 4) * 100 + 50.5D)) as points",
+    )
+
+
+def gap_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps of the stored layers as rows."""
+    return layers(spark, d).select("id", "project_id", "layer_name", F.posexplode("gaps_detected").alias("no", "gap")).selectExpr(
+        "id * 8 + no as id", "project_id as drawing_id", "layer_name as layer", "gap.start as start", "gap.end as end"
+    )
+
+
+def open_polylines(spark: SparkSession, d: str) -> DataFrame:
+    """One open polyline per layer, its ends close to where a first or second gap would lie."""
+    return layers(spark, d).selectExpr(
+        "id",
+        "project_id as drawing_id",
+        "layer_name as layer",
+        """if(id % 2 = 0, array(array(1.6D, 0.3D), array(9D, 9D), array(2.5D, 1.5D)),
+           array(array(3.2D, 2.9D), array(9D, 9D), array(1.1D, 0.5D))) as points""",
+    )
