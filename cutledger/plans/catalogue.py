@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cutledger.plans import event_queries, payment_queries, billing_queries, job_queries, inventory_queries, layout_queries, drawing_queries, stream_queries
+from cutledger.plans import event_queries, payment_queries, billing_queries, job_queries, inventory_queries, layout_queries, drawing_queries, stream_queries, report_queries
 
-SUBJECTS = [event_queries, payment_queries, billing_queries, job_queries, inventory_queries, layout_queries, drawing_queries, stream_queries]
+SUBJECTS = [event_queries, payment_queries, billing_queries, job_queries, inventory_queries, layout_queries, drawing_queries, stream_queries, report_queries]
 
 
 def queries() -> dict:

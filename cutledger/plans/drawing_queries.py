@@ -154,11 +154,20 @@ R.add(
     WHERE (abs(ax - sx) <= 1 AND abs(ay - sy) <= 1 AND abs(bx - ex) <= 1 AND abs(byy - ey) <= 1)
       OR (abs(bx - sx) <= 1 AND abs(byy - sy) <= 1 AND abs(ax - ex) <= 1 AND abs(ay - ey) <= 1)""",
 )
+_CLUSTERS = """WITH RECURSIVE near AS (SELECT a.id AS a, b.id AS b FROM entities a JOIN entities b ON a.drawing_id = b.drawing_id
+      AND a.id <> b.id AND a.max_x + 15 >= b.min_x - 15 AND a.min_x - 15 <= b.max_x + 15
+      AND a.max_y + 15 >= b.min_y - 15 AND a.min_y - 15 <= b.max_y + 15),
+    reach(id, r) AS (SELECT id, id FROM entities UNION SELECT reach.id, near.b FROM reach JOIN near ON near.a = reach.r),
+    label AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY 1)"""
 R.add(
     "w15_cluster",
     lambda s, d: drw.cluster(src.entities(s, d)).select("id", "drawing_id", "cluster_id"),
+    _CLUSTERS + " SELECT e.id, e.drawing_id, l.cluster_id FROM entities e JOIN label l ON l.id = e.id",
 )
 R.add(
     "g30_cluster_boxes",
     lambda s, d: drw.cluster_boxes(drw.cluster(src.entities(s, d))),
+    _CLUSTERS
+    + """ SELECT e.drawing_id, l.cluster_id, count(*) AS n_entities, min(min_x) AS min_x, min(min_y) AS min_y,
+      max(max_x) AS max_x, max(max_y) AS max_y FROM entities e JOIN label l ON l.id = e.id GROUP BY 1, 2""",
 )

@@ -167,10 +167,10 @@ CTES = {
       CASE layer WHEN 'A' THEN 'CUT' WHEN 'N' THEN 'MARK' ELSE 'ENGRAVE' END AS layer,
       ['LWPOLYLINE','CIRCLE','LINE','TEXT','ARC','HATCH','POINT'][
         (l_partkey + CASE WHEN layer = 'A' THEN 0 ELSE piece_index END) % CASE WHEN layer = 'A' THEN 3 ELSE 7 END + 1] AS etype,
-      CAST(((project_id * 64 + piece_index) * 7919) % 20000 AS DOUBLE) AS min_x,
-      CAST(((project_id * 64 + piece_index) * 104729) % 20011 AS DOUBLE) AS min_y,
-      CAST(((project_id * 64 + piece_index) * 7919) % 20000 AS DOUBLE) + width_mm / 20 AS max_x,
-      CAST(((project_id * 64 + piece_index) * 104729) % 20011 AS DOUBLE) + height_mm / 15 AS max_y FROM pieces""",
+      CAST(power((project_id * 64 + piece_index) % 9973, 2) * 31 % 6007 AS DOUBLE) AS min_x,
+      CAST(power((project_id * 64 + piece_index) % 7919, 2) * 17 % 6011 AS DOUBLE) AS min_y,
+      CAST(power((project_id * 64 + piece_index) % 9973, 2) * 31 % 6007 AS DOUBLE) + width_mm / 20 AS max_x,
+      CAST(power((project_id * 64 + piece_index) % 7919, 2) * 17 % 6011 AS DOUBLE) + height_mm / 15 AS max_y FROM pieces""",
     "contours": """SELECT project_id * 64 + piece_index AS id, project_id AS drawing_id, layer,
       piece_index * 10.0::DOUBLE AS x0, piece_index * 10.0::DOUBLE AS y0, width_mm, height_mm FROM pieces""",
     "circles": """SELECT project_id * 64 + piece_index AS id, project_id AS drawing_id, layer,

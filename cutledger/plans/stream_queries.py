@@ -49,6 +49,15 @@ _LIMIT = 2
 R.add(
     "t3_rate_limit",
     lambda s, d: drain(sev.rate_limit(_events(s, d), _LIMIT), "limit").select("id", "principal", "accepted"),
+    f"""WITH RECURSIVE low AS (SELECT id, coalesce('u:' || user_id, 's:' || anonymous_session_key) AS principal, epoch_us(occurred_at) AS t,
+        row_number() OVER (PARTITION BY coalesce('u:' || user_id, 's:' || anonymous_session_key) ORDER BY occurred_at, id) AS n
+        FROM user_events WHERE priority = 'low'),
+    fold(principal, n, id, kept, ok) AS (SELECT principal, n, id, [t], true FROM low WHERE n = 1
+      UNION ALL SELECT l.principal, l.n, l.id, CASE WHEN len(k) < {_LIMIT} THEN list_append(k, l.t) ELSE k END, len(k) < {_LIMIT}
+      FROM (SELECT f.principal, l.n, l.id, l.t, [x FOR x IN f.kept IF x >= l.t - 3600000000] AS k FROM fold f
+        JOIN low l ON l.principal = f.principal AND l.n = f.n + 1) l)
+    SELECT id, principal, ok AS accepted FROM fold
+    UNION ALL SELECT id, coalesce('u:' || user_id, 's:' || anonymous_session_key), true FROM user_events WHERE priority <> 'low'""",
 )
 R.add(
     "t4_bot_alerts",

@@ -374,8 +374,8 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
         "case layer when 'A' then 'CUT' when 'N' then 'MARK' else 'ENGRAVE' end as layer",
         """element_at(array('LWPOLYLINE','CIRCLE','LINE','TEXT','ARC','HATCH','POINT'),
            cast((l_partkey + if(layer = 'A', 0, piece_index)) % if(layer = 'A', 3, 7) as int) + 1) as etype""",
-        "cast(((project_id * 64 + piece_index) * 7919) % 20000 as double) as min_x",
-        "cast(((project_id * 64 + piece_index) * 104729) % 20011 as double) as min_y",
+        "cast(power((project_id * 64 + piece_index) % 9973, 2) * 31 % 6007 as double) as min_x",
+        "cast(power((project_id * 64 + piece_index) % 7919, 2) * 17 % 6011 as double) as min_y",
         "width_mm / 20 as w",
         "height_mm / 15 as h",
     ).selectExpr("id", "drawing_id", "layer", "etype", "min_x", "min_y", "min_x + w as max_x", "min_y + h as max_y")
