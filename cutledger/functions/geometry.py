@@ -44,13 +44,18 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, zero(), lambda acc, v: acc + v)
 
 
+def _edge_values(ring: Column, measure) -> Column:
+    """One value per edge from its two points."""
+    return F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))), F.slice(ring, 1, 1)), measure)
+
+
 def ring_area(ring: Column) -> Column:
     """Signed area, positive counter-clockwise."""
-    return _total(F.transform(ring_edges(ring), lambda e: e["x0"] * e["y1"] - e["x1"] * e["y0"])) / 2
+    return _total(_edge_values(ring, lambda a, b: a[0] * b[1] - b[0] * a[1])) / 2
 
 
 def ring_perimeter(ring: Column) -> Column:
-    return _total(F.transform(ring_edges(ring), lambda e: F.hypot(e["x1"] - e["x0"], e["y1"] - e["y0"])))
+    return _total(_edge_values(ring, lambda a, b: F.hypot(b[0] - a[0], b[1] - a[1])))
 
 
 def outer(rings: Column) -> Column:
@@ -227,6 +232,47 @@ def ring_within(inner: Column, outer_rings: Column, tol: Column) -> Column:
     )
 
 
+def length_inside(segment: Column, rings: Column) -> Column:
+    """Length of a segment ([[x, y], [x, y]]) inside a polygon.
+
+    The segment is cut wherever it meets an edge, and the middle of each part is tested.
+    """
+    ends = F.struct(
+        F.get(F.get(segment, 0), 0).alias("x"),
+        F.get(F.get(segment, 0), 1).alias("y"),
+        (F.get(F.get(segment, 1), 0) - F.get(F.get(segment, 0), 0)).alias("dx"),
+        (F.get(F.get(segment, 1), 1) - F.get(F.get(segment, 0), 1)).alias("dy"),
+    )
+
+    def cut(s: Column, a: Column, b: Column) -> Column:
+        ex, ey = b[0] - a[0], b[1] - a[1]
+        den = s["dx"] * ey - s["dy"] * ex
+        t = ((a[0] - s["x"]) * ey - (a[1] - s["y"]) * ex) / den
+        u = ((a[0] - s["x"]) * s["dy"] - (a[1] - s["y"]) * s["dx"]) / den
+        return F.when((den != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
+
+    def measured(s: Column) -> Column:
+        found = F.flatten(F.transform(rings, lambda r: _edge_values(r, lambda a, b: cut(s, a, b))))
+        stops = F.array_sort(F.concat(F.array(zero(), F.lit(1.0)), F.array_compact(found)))
+
+        def parts(at: Column) -> Column:
+            spans = F.zip_with(
+                F.slice(at, 1, F.size(at) - 1),
+                F.slice(at, 2, F.size(at) - 1),
+                lambda t0, t1: F.struct((t1 - t0).alias("share"), ((t0 + t1) / 2).alias("mid")),
+            )
+            inner = F.filter(
+                spans,
+                lambda p: (p["share"] > 0)
+                & contains(rings, s["x"] + p["mid"] * s["dx"], s["y"] + p["mid"] * s["dy"]),
+            )
+            return _total(F.transform(inner, lambda p: p["share"])) * F.hypot(s["dx"], s["dy"])
+
+        return let(stops, parts)
+
+    return let(ends, measured)
+
+
 def fits_bin(box: Column, width: Column, height: Column, margin: Column) -> Column:
     """World box inside the sheet less its margin, with a hair of slack."""
     return (

@@ -78,45 +78,6 @@ def clip_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([shared_area(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _inside(ring: np.ndarray, x: float, y: float) -> bool:
-    x0, y0 = ring[:, 0], ring[:, 1]
-    x1, y1 = np.roll(x0, -1), np.roll(y0, -1)
-    spans = (y0 > y) != (y1 > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        hit = spans & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-    return bool(hit.sum() % 2)
-
-
-def length_inside(segment: list, rings: list) -> float:
-    """Length of a segment inside a polygon: it is cut at every edge and the middle of each part tested."""
-    (ax, ay), (bx, by) = segment[0], segment[1]
-    shape = [np.array([list(p) for p in r], dtype=float) for r in rings]
-    cuts = [0.0, 1.0]
-    for ring in shape:
-        p, q = ring, np.roll(ring, -1, axis=0)
-        ex, ey = q[:, 0] - p[:, 0], q[:, 1] - p[:, 1]
-        den = (bx - ax) * ey - (by - ay) * ex
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((p[:, 0] - ax) * ey - (p[:, 1] - ay) * ex) / den
-            u = ((p[:, 0] - ax) * (by - ay) - (p[:, 1] - ay) * (bx - ax)) / den
-        good = (den != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
-        cuts.extend(t[good].tolist())
-    cuts.sort()
-    total = 0.0
-    for t0, t1 in zip(cuts, cuts[1:]):
-        m = (t0 + t1) / 2
-        x, y = ax + m * (bx - ax), ay + m * (by - ay)
-        if t1 > t0 and _inside(shape[0], x, y) and not any(_inside(h, x, y) for h in shape[1:]):
-            total += t1 - t0
-    return total * math.hypot(bx - ax, by - ay)
-
-
-@pandas_udf(T.DoubleType())
-def clip_length(segment: pd.Series, rings: pd.Series) -> pd.Series:
-    """Length of a segment inside a polygon per row."""
-    return pd.Series([length_inside(s, r) for s, r in zip(segment, rings)], dtype="float64")
-
-
 def _hull(points: np.ndarray) -> np.ndarray:
     pts = sorted(set(map(tuple, points.tolist())))
     if len(pts) < 3:

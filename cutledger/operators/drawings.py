@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutledger.functions import geometry as geo
-from cutledger.functions.vectorised import clip_length
 from cutledger.operators import spatial
 from cutledger.operators.scan import top_one
 from cutledger.session import cut_lineage
@@ -277,7 +276,7 @@ def attach_lines(lines: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFr
         return F.get(F.get("segment", i), j)
 
     measured = full.where(F.hypot(end(1, 0) - end(0, 0), end(1, 1) - end(0, 1)) >= MIN_CLIP_MM).withColumn(
-        "inside_mm", clip_length("segment", "rings")
+        "inside_mm", geo.length_inside(F.col("segment"), F.col("rings"))
     )
     middle = geo.in_hole(F.col("rings"), (end(0, 0) + end(1, 0)) / 2, (end(0, 1) + end(1, 1)) / 2)
     how = F.when(F.col("inside_mm") >= MIN_CLIP_MM, "crosses").when(middle, "in_hole")
@@ -314,60 +313,60 @@ def match_gaps(gaps: DataFrame, polylines: DataFrame, tol: float = GAP_TOLERANCE
     )
 
 
+def _to_roots(parents: DataFrame) -> DataFrame:
+    """Follow (id, parent) to the top, doubling the reach with every step."""
+    while True:
+        up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("_next"))
+        jumped = cut_lineage(
+            parents.join(up, "parent", "left").select(
+                "id", F.coalesce("_next", "parent").alias("parent"), (F.col("_next") < F.col("parent")).alias("_moved")
+            )
+        )
+        parents = jumped.select("id", "parent")
+        if not jumped.where("_moved").limit(1).count():
+            return parents
+
+
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest id of each node's component; nodes have id, links a and b.
 
-    Labels spread over links and then jump to the label of their label, until a round changes nothing.
-    Each round is written to the shared folder, so the plan stays short and a lost executor costs little.
+    Every round hooks each node to its smallest neighbour, follows the hooks to their roots and keeps
+    only the links between different roots, so the links shrink at least by half each time. Rounds are
+    written to the shared folder: the plan stays short and a lost executor costs one re-read.
     """
-    both = cut_lineage(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    )
     labels = nodes.select("id", F.col("id").alias("label")).distinct()
-    while True:
-        spread = (
-            both.join(labels.withColumnRenamed("id", "b"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("label").alias("_near"))
+    left = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_least"))
+        roots = _to_roots(hooks.select("id", F.least("id", "_least").alias("parent")))
+        far = roots.select(F.col("id").alias("label"), F.col("parent").alias("_root"))
+        labels = cut_lineage(labels.join(far, "label", "left").select("id", F.coalesce("_root", "label").alias("label")))
+        moved = left.join(roots.select(F.col("id").alias("a"), F.col("parent").alias("_a")), "a").join(
+            roots.select(F.col("id").alias("b"), F.col("parent").alias("_b")), "b"
         )
-        lower = labels.join(spread, "id", "left").select("id", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
-        target = lower.select(F.col("id").alias("label"), F.col("label").alias("_far"))
-        labels_next = cut_lineage(
-            lower.join(target, "label", "left").select("id", "_old", F.least("label", "_far").alias("label"))
+        left = cut_lineage(
+            moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a < b").distinct()
         )
-        moved = labels_next.where("label <> _old").limit(1).count()
-        labels = labels_next.select("id", "label")
-        if not moved:
-            return labels
+    return labels
 
 
-def cluster(entities: DataFrame, pad_mm: float = CLUSTER_PAD_MM, keys: list[str] | None = None) -> DataFrame:
-    """Cluster label (smallest member id) of entity boxes that touch once each is padded on every side.
+CROWD = 64
 
-    Equal boxes are one node. A box covers at least one whole grid cell of its size class; whatever else
-    touches that cell touches the box, so the cell's members are tied to one centre instead of to each
-    other. Only in cells without such a centre, and only between clusters not yet tied, are pairs tested.
+
+def _crowded_links(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Links that tie together touching boxes of crowded places without listing all pairs.
+
+    Fine cells, of which a box covers some whole: whatever touches a covered cell touches the box covering
+    it, so a cell's members are tied to one centre. Only in cells nobody covers, and only between
+    components not yet tied, are pairs tested.
     """
-    keys = keys or ["drawing_id"]
-    corner = ["min_x", "min_y", "max_x", "max_y"]
-    shapes = cut_lineage(entities.groupBy(*keys, *corner).agg(F.min("id").alias("id")))
-    padded = shapes.select(
-        *keys,
-        "id",
-        F.struct(
-            *[(F.col(c) - pad_mm).alias(c) for c in corner[:2]], *[(F.col(c) + pad_mm).alias(c) for c in corner[2:]]
-        ).alias("box"),
-    )
-    # the largest cell of which the shorter padded side holds two covers at least one cell whole
-    short = F.least(F.expr("box.max_x - box.min_x"), F.expr("box.max_y - box.min_y"))
+    side = F.least(F.expr("box.max_x - box.min_x"), F.expr("box.max_y - box.min_y"))
     own = F.lit(0)
     for k, size in enumerate(spatial.CELL_MM):
-        own = F.when(short >= 2 * size, F.lit(k)).otherwise(own)
-    boxes = padded.withColumn("own", own)
-    top = boxes.groupBy(*keys).agg(F.max("own").alias("_top"))
-    seated = spatial.into_cells(
-        boxes.join(top, keys).withColumn("level", F.explode(F.sequence(F.col("own"), F.col("_top")))).drop("_top")
-    )
+        own = F.when(side >= 2 * size, F.lit(k)).otherwise(own)
+    sized = boxes.withColumn("own", own)
+    top = sized.groupBy(*keys).agg(F.max("own").alias("_top"))
     size = spatial.cell_size(F.col("level"))
     covers = (
         (F.col("level") == F.col("own"))
@@ -376,30 +375,72 @@ def cluster(entities: DataFrame, pad_mm: float = CLUSTER_PAD_MM, keys: list[str]
         & (F.col("box.min_y") <= F.col("cy") * size)
         & (F.col("box.max_y") >= (F.col("cy") + 1) * size)
     )
+    levels = F.explode(F.sequence(F.col("own"), F.col("_top")))
+    seated = cut_lineage(
+        spatial.into_cells(sized.join(top, keys).withColumn("level", levels).drop("_top")).withColumn("covers", covers)
+    )
     cell = [*keys, "level", "cx", "cy"]
-    seated = cut_lineage(seated.withColumn("covers", covers))
     centers = seated.where("covers").groupBy(*cell).agg(F.min("id").alias("center"))
-    tied = seated.join(centers, cell).select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    first = connected(shapes, tied)
+    tied = cut_lineage(seated.join(centers, cell).select(F.col("id").alias("a"), F.col("center").alias("b")).distinct())
+    first = connected(boxes, tied)
     loose = seated.join(centers, cell, "left_anti").join(first, "id")
     mixed = loose.groupBy(*cell).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi")
     loose = loose.join(mixed.select(*cell), cell, "left_semi")
-    small = loose.select(*cell, F.col("label").alias("a"), F.col("box").alias("a_box"), F.col("own").alias("a_own"))
-    large = loose.where("level = own").select(*cell, F.col("label").alias("b"), F.col("box").alias("b_box"))
+    small = loose.select(*cell, F.col("id").alias("a"), F.col("label").alias("_la"), F.col("box").alias("a_box"))
+    large = loose.where("level = own").select(*cell, F.col("id").alias("b"), F.col("label").alias("_lb"), F.col("box").alias("b_box"))
     crossing = (
         small.join(large, cell)
-        .where(F.col("a") != F.col("b"))
+        .where("_la <> _lb")
         .where(spatial.boxes_touch(F.col("a_box"), F.col("b_box")))
-        .select("a", "b")
+        .select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
         .distinct()
     )
-    second = connected(first.select(F.col("label").alias("id")).distinct(), crossing)
-    final = first.join(second.select(F.col("id").alias("label"), F.col("label").alias("cluster_id")), "label")
+    return tied.unionByName(crossing)
+
+
+def cluster(entities: DataFrame, pad_mm: float = CLUSTER_PAD_MM, keys: list[str] | None = None) -> DataFrame:
+    """Cluster label (smallest member id) of entity boxes that touch once each is padded on every side.
+
+    Equal boxes are one node. Boxes meet in grid cells of their own size; a cell with few boxes lists its
+    touching pairs, and boxes of crowded cells are tied through cell centres instead.
+    """
+    keys = keys or ["drawing_id"]
+    corner = ["min_x", "min_y", "max_x", "max_y"]
+    shapes = cut_lineage(entities.groupBy(*keys, *corner).agg(F.min("id").alias("id")))
+    padded = shapes.select(
+        *keys,
+        "id",
+        F.struct(
+            *[(F.col(c) - pad_mm).alias(c) for c in corner[:2]], *[(F.col(c) + pad_mm).alias(c) for c in corner[2:]]
+        ).alias("box"),
+    )
+    boxes = padded.withColumn("own", spatial.size_class(spatial.longest_side(F.col("box"))))
+    top = boxes.groupBy(*keys).agg(F.max("own").alias("_top"))
+    levels = F.explode(F.sequence(F.col("own"), F.col("_top")))
+    seated = cut_lineage(spatial.into_cells(boxes.join(top, keys).withColumn("level", levels).drop("_top")))
+    cell = [*keys, "level", "cx", "cy"]
+    crowds = cut_lineage(seated.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).drop("_n"))
+    crowded = crowds.limit(1).count() > 0
+    sparse = seated.join(crowds, cell, "left_anti") if crowded else seated
+    size = spatial.cell_size(F.col("level"))
+    here = sparse.where("level = own").select(*cell, F.col("id").alias("b"), F.col("box").alias("b_box"))
+    owner = (F.floor(F.greatest("box.min_x", "b_box.min_x") / size) == F.col("cx")) & (
+        F.floor(F.greatest("box.min_y", "b_box.min_y") / size) == F.col("cy")
+    )
+    links = (
+        sparse.select(*cell, "own", F.col("id").alias("a"), "box")
+        .join(here, cell)
+        .where((F.col("level") > F.col("own")) | (F.col("a") < F.col("b")))
+        .where(spatial.boxes_touch(F.col("box"), F.col("b_box")) & owner)
+        .select("a", "b")
+    )
+    if crowded:
+        dense = seated.join(crowds, cell, "left_semi").select(*keys, "id", "box").dropDuplicates(["id"])
+        links = links.unionByName(_crowded_links(cut_lineage(dense), keys))
+    labels = connected(shapes, links).withColumnsRenamed({"id": "_node", "label": "cluster_id"})
     node = shapes.select(*keys, *corner, F.col("id").alias("_node"))
     return (
-        entities.join(node, [*keys, *corner])
-        .join(final.select(F.col("id").alias("_node"), "cluster_id"), "_node")
-        .select(*entities.columns, "cluster_id")
+        entities.join(node, [*keys, *corner]).join(labels, "_node").select(*entities.columns, "cluster_id")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cutledger.functions import geometry as geo
-from cutledger.functions.vectorised import classify, clip_length
+from cutledger.functions.vectorised import classify
 from cutledger.operators import layout as lay
 from cutledger.plans.registry import Registry
 from cutledger.sources import driver as src
@@ -272,7 +272,10 @@ R.add(
         "project_id",
         "piece_index",
         F.round(
-            clip_length(F.array(F.array(F.lit(-5.0), F.lit(50.5)), F.array(F.lit(2000.0), F.lit(50.5))), "rings"), 3
+            geo.length_inside(
+                F.array(F.array(F.lit(-5.0), F.lit(50.5)), F.array(F.lit(2000.0), F.lit(50.5))), F.col("rings")
+            ),
+            3,
         ).alias("inside_mm"),
     ),
     """SELECT project_id, piece_index, round(CASE WHEN height_mm <= 50.5 THEN 0 WHEN kind = 1 AND 50.5 > height_mm / 4
