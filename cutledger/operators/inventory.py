@@ -10,6 +10,7 @@ from cutledger.operators.scan import Running, any_of, error_list, id_block, runn
 SILENT_MM = 2.0
 CONSENT_MM = 15.0
 FEEDBACK_TYPES = ["suggestion", "bug", "other"]
+# Fixed value: the mail address pattern of the HTML standard.
 EMAIL = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$"
 
 

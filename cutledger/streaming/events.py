@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cutledger.operators.events import principal, validate_events
-from cutledger.operators.scan import HOUR_US
+from cutledger.operators.scan import HOUR_US, top_one
 from cutledger.session import shared_path
 from cutledger.sources import dims
-from cutledger.streaming.runtime import DEFAULT_DELAY, finish
+from cutledger.streaming.runtime import DEFAULT_DELAY, finish, nullable
 
 THROTTLED_PATHS = {
     "auth": r"^(/iniciar-sesion|/crear-cuenta|/)$",
@@ -33,9 +34,10 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 def ingest(stream: DataFrame, root: str, delay: str = DEFAULT_DELAY) -> None:
     """Validate, de-duplicate for ever and store events under ``root``; refused rows go to the dead letter.
 
-    Tables: events and dead_letter (partitioned by batch and day), high_water (latest time per batch).
-    Every batch overwrites its own partitions, so a replayed batch gives the same tables. Keys stored by
-    earlier batches are looked up among stored days only as far as needed for the join on the key.
+    Tables: events and dead_letter (one folder per batch, partitioned by day), high_water (latest time per
+    batch). A batch overwrites its own folders, so a replayed batch gives the same tables. Within a batch the
+    lowest id of a key wins; keys of earlier batches are found by an anti-join that reads only the stored
+    key column.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -54,31 +56,20 @@ def ingest(stream: DataFrame, root: str, delay: str = DEFAULT_DELAY) -> None:
             key = F.coalesce(
                 F.concat(F.lit("k:"), "idempotency_key"), F.concat(F.lit("id:"), F.col("id").cast("string"))
             )
-            good = good.withColumn("_key", key).dropDuplicates(["_key"])
+            good = top_one(good.withColumn("_key", key), ["_key"], [F.col("id")], lowest=True)
             stored = _read_or_none(spark, f"{root}/events")
             if stored is not None:
                 known = stored.where(earlier).where("idempotency_key is not null").select("idempotency_key")
                 good = good.join(known, "idempotency_key", "left_anti")
 
             def write(df: DataFrame, name: str) -> None:
-                (
-                    df.withColumns({"batch_id": F.lit(batch_id), "day": F.to_date("occurred_at")})
-                    .write.mode("overwrite")
-                    .option("partitionOverwriteMode", "dynamic")
-                    .partitionBy("batch_id", "day")
-                    .parquet(f"{root}/{name}")
-                )
-
-            write(good.drop("_key").select(batch.columns), "events")
+                dated = df.withColumn("day", F.to_date("occurred_at"))
+                dated.write.mode("overwrite").partitionBy("day").parquet(f"{root}/{name}/batch_id={batch_id}")
+
+            write(good.select(batch.columns), "events")
             write(checked.where("reject_reason is not null"), "dead_letter")
-            (
-                checked.agg(F.max("occurred_at").alias("latest"))
-                .withColumn("batch_id", F.lit(batch_id))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .parquet(f"{root}/high_water")
-            )
+            latest = checked.agg(F.max("occurred_at").alias("latest"))
+            latest.write.mode("overwrite").parquet(f"{root}/high_water/batch_id={batch_id}")
         finally:
             checked.unpersist()
 
@@ -90,7 +81,14 @@ def ingested(stream: DataFrame, delay: str = DEFAULT_DELAY) -> tuple[DataFrame,
     spark = stream.sparkSession
     root = shared_path(spark, "ingest")
     ingest(stream, root, delay)
-    return spark.read.parquet(f"{root}/events"), spark.read.parquet(f"{root}/dead_letter")
+    kept = nullable(stream.schema)
+    refused = T.StructType([*kept.fields, T.StructField("reject_reason", T.StringType())])
+
+    def stored(name: str, schema: T.StructType) -> DataFrame:
+        found = _read_or_none(spark, f"{root}/{name}")
+        return spark.createDataFrame([], schema) if found is None else found
+
+    return stored("events", kept), stored("dead_letter", refused)
 
 
 def dedup_stream(stream: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
