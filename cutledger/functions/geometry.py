@@ -188,12 +188,11 @@ def place_line(line: Column, x: Column, y: Column, deg: Column, center: Column)
 
 
 def _crossings(ring: Column, x: Column, y: Column) -> Column:
-    hits = F.filter(
-        ring_edges(ring),
-        lambda e: ((e["y0"] > y) != (e["y1"] > y))
-        & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]),
+    hits = _edge_values(
+        ring,
+        lambda a, b: ((a[1] > y) != (b[1] > y)) & (x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0]),
     )
-    return F.size(hits)
+    return F.size(F.filter(hits, lambda hit: hit))
 
 
 def in_ring(ring: Column, x: Column, y: Column) -> Column:

@@ -409,6 +409,24 @@ R.add(
     lambda s, d: lay.ffd_assign(_sized(s, d), src.stocks(s, d), MARGIN).withColumn(
         "stock_id", F.coalesce("stock_id", F.lit(-1))
     ),
+    """WITH RECURSIVE one AS (SELECT s.project_id, s.id, s.quantity IS NULL AS u, s.sort_order AS so, c,
+        greatest(s.width_mm - 10, 0) AS w, greatest(s.height_mm - 10, 0) AS h FROM stocks s
+        LEFT JOIN (SELECT project_id, count(*) AS n FROM pieces GROUP BY 1) p ON p.project_id = s.project_id,
+        unnest(range(1, 1 + coalesce(s.quantity, p.n, 0))) AS t(c)),
+    bins AS (SELECT project_id, list(id ORDER BY u, so, id, c) AS ids, list(c ORDER BY u, so, id, c) AS cs,
+        list(w ORDER BY u, so, id, c) AS ws, list(h ORDER BY u, so, id, c) AS hs FROM one GROUP BY 1),
+    item AS (SELECT project_id, piece_index, width_mm AS w, height_mm AS h, area,
+        row_number() OVER (PARTITION BY project_id ORDER BY area DESC, piece_index) AS n FROM pieces),
+    fold(project_id, n, piece_index, lefts, pos) AS (
+      SELECT project_id, 0::BIGINT, -1::INTEGER, [ws[i] * hs[i] FOR i IN range(1, len(ws) + 1)], 0::INTEGER FROM bins
+      UNION ALL SELECT q.project_id, q.n, q.piece_index,
+        [CASE WHEN i = q.pos THEN q.lefts[i] - q.area ELSE q.lefts[i] END FOR i IN range(1, len(q.lefts) + 1)], q.pos
+      FROM (SELECT f.project_id, t.n, t.piece_index, t.area, f.lefts, coalesce(list_position([((t.w <= b.ws[i] AND t.h <= b.hs[i])
+          OR (t.h <= b.ws[i] AND t.w <= b.hs[i])) AND f.lefts[i] >= t.area FOR i IN range(1, len(b.ws) + 1)], true), 0)::INTEGER AS pos
+        FROM fold f JOIN item t ON t.project_id = f.project_id AND t.n = f.n + 1 JOIN bins b ON b.project_id = f.project_id) q)
+    SELECT f.project_id, f.piece_index, CASE WHEN pos > 0 THEN b.ids[pos] ELSE b.ids[len(b.ids)] END AS stock_id,
+      CASE WHEN pos > 0 THEN b.cs[pos] ELSE -1 END AS copy_no, pos > 0 AS placed
+    FROM fold f JOIN bins b ON b.project_id = f.project_id WHERE n > 0""",
 )
 
 
