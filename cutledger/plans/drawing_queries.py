@@ -63,6 +63,9 @@ R.add(
 R.add(
     "p21_layer_hue",
     lambda s, d: src.layers(s, d).select(geo.layer_hue(F.col("layer_name")).alias("hue"), "layer_name").distinct(),
+    """SELECT DISTINCT layer_name, xor(list_reduce(list_transform(string_split(layer_name, ''), lambda ch: ord(ch)::BIGINT),
+      lambda acc, b: list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END,
+        xor(acc, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 360 AS hue FROM layers""",
 )
 R.add(
     "j21_containment_parent",

@@ -208,7 +208,7 @@ R.add(
       CASE WHEN r.id % 6 = 0 THEN 2 ELSE s.n END AS sheets_used, CASE WHEN r.id % 6 = 0 THEN 9 ELSE s.p END AS pieces_count,
       coalesce(o.a, 0) AS orphans_oversized, coalesce(o.b, 0) AS orphans_no_capacity,
       coalesce(CASE WHEN h.eid IS NULL THEN l.user_id ELSE h.user_id END, -1) AS user_id
-    FROM runs r JOIN (SELECT run_id, count(*) AS n, sum(n_pieces) AS p FROM doc_sheets GROUP BY 1) s ON s.run_id = r.id
+    FROM runs r JOIN (SELECT run_id, count(*) AS n, sum(n_pieces)::BIGINT AS p FROM doc_sheets GROUP BY 1) s ON s.run_id = r.id
     LEFT JOIN (SELECT run_id, count(*) FILTER (reason = 'oversized_for_sheet') AS a,
       count(*) FILTER (reason = 'no_sheet_capacity') AS b FROM run_orphans GROUP BY 1) o ON o.run_id = r.id
     LEFT JOIN hit h ON h.run_id = r.id LEFT JOIN late l ON l.run_id = r.id WHERE r.status <> 'processing'""",

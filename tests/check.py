@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import os
 import sys
 import time
 import traceback
@@ -23,22 +23,13 @@ def connect(sf_dir: str):
     return con
 
 
-def norm(v):
+def cell(v):
+    """Value as text; numbers compare by value, with the last bits of doubles let go unless EXACT is set."""
     if v is None:
         return "NULL"
-    if isinstance(v, bool):
+    if isinstance(v, bool) or not isinstance(v, (int, float)):
         return str(v)
-    if isinstance(v, int):
-        return repr(float(v))
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{round(v, 6) + 0.0:.6f}".rstrip("0").rstrip(".") + ".0"[:0]
-    return str(v)
-
-
-def cell(v):
-    if isinstance(v, (int, float)) and not isinstance(v, bool):
-        return f"{float(v):.9g}"
-    return norm(v)
+    return repr(float(v)) if os.environ.get("EXACT") else f"{float(v):.9g}"
 
 
 def rows_of(cols, rows):
