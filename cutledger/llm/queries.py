@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutledger.llm import exact, fingerprints, licenses, mixing, packing
+from cutledger.llm import exact, fingerprints, language, licenses, mixing, packing
 from cutledger.llm.common import documents, parts_for, volume
 
 
@@ -13,6 +13,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op2_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs.filter(language.in_training())))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return fingerprints.fingerprint_documents(docs, blocks=parts_for(volume(docs)[1], 4_000_000))
@@ -40,6 +45,7 @@ select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, t.h as t
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_language_ppm": op2_language_ppm,
         "op6_simhash": op6_simhash,
         "op8_fair_mix": op8_fair_mix,
         "op9_length_buckets": op9_length_buckets,
