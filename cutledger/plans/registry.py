@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutledger.plans.oracle import oracle
+from cutledger.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,10 @@ class Registry:
         self.oracles: dict[str, str] = {}
 
     def add(self, name: str, query: Query, sql: str | None = None) -> None:
-        self.queries[name] = lambda spark, d: plain(query(spark, d))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return plain(query(spark, sf_dir))
+
+        self.queries[name] = run
         if sql is not None:
             self.oracles[name] = oracle(sql)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import os
+import re
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,21 +21,47 @@ RUNTIME_SETTINGS = {
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+PACKAGE = Path(__file__).resolve().parent
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on (UTC clock, adaptive execution)."""
+    """Apply the runtime settings the operators rely on (UTC clock, adaptive execution) and send the package to the workers."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: a zip in the shared folder, added to their path."""
+    context = spark.sparkContext
+    if getattr(context, "_cutledger_shipped", False):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f"{PACKAGE.name}/{f.relative_to(PACKAGE)}")
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark).rstrip('/')}/cutledger/{PACKAGE.name}-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path.toString())
+    context._cutledger_shipped = True
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a folder of our own where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder (spark.checkpoint.dir).
+
+    Where the session names none, only a local session gets a folder, since its driver and tasks share one machine; elsewhere this is an
+    error, as executors would each write to their own disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        root = tempfile.mkdtemp(prefix="cutledger-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{os.environ.get('CUTLEDGER_SHARED', '/tmp/cutledger')}/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(root)
+        root = spark.sparkContext.getCheckpointDir() or root
     return root
 
 
