@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutledger.llm import exact, fingerprints, jaccard, language, licenses, mixing, packing
+from cutledger.llm import exact, fingerprints, jaccard, language, licenses, mixing, packing, repeats
 from cutledger.llm.common import documents, parts_for, volume
 
 
@@ -18,6 +18,10 @@ def op2_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs.filter(language.in_training())))
 
 
+def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -50,6 +54,7 @@ def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_language_ppm": op2_language_ppm,
+        "op4_repeat_removal": op4_repeat_removal,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_simhash": op6_simhash,
         "op8_fair_mix": op8_fair_mix,
