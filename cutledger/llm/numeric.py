@@ -61,15 +61,21 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Hash of every whitespace-separated word of the text, with A-Z lower."""
-    data = np.frombuffer(text.encode("utf-8", "replace").translate(LOWER), np.uint8)
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words between ASCII white space."""
     if not len(data):
-        return np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     blank = BLANK[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     edge = np.concatenate([[0] if not blank[0] else [], edge, [len(data)] if not blank[-1] else []]).astype(np.int64)
-    return span_hashes(prefix_sums(data), edge[0::2], edge[1::2])
+    return edge[0::2], edge[1::2]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hash of every whitespace-separated word of the text, with A-Z lower."""
+    data = np.frombuffer(text.encode("utf-8", "replace").translate(LOWER), np.uint8)
+    start, end = word_edges(data)
+    return span_hashes(prefix_sums(data), start, end) if len(start) else np.zeros(0, U)
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:

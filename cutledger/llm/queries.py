@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutledger.llm import exact, fingerprints, jaccard, language, licenses, mixing, packing, repeats
+from cutledger.llm import exact, fingerprints, jaccard, language, licenses, mixing, packing, quality, repeats, tokens
 from cutledger.llm.common import documents, parts_for, volume
 
 
@@ -18,6 +18,12 @@ def op2_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs.filter(language.in_training())))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_table(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
@@ -31,6 +37,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(docs, blocks=parts_for(volume(docs)[1], 4_000_000))
 
 
+def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,9 +65,11 @@ def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_language_ppm": op2_language_ppm,
+        "op3_token_files": op3_token_files,
         "op4_repeat_removal": op4_repeat_removal,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_simhash": op6_simhash,
+        "op7_quality_cotraining": op7_quality_cotraining,
         "op8_fair_mix": op8_fair_mix,
         "op9_length_buckets": op9_length_buckets,
         "op10_exact_dedup": op10_exact_dedup,
