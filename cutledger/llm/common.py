@@ -11,8 +11,14 @@ from cutledger.session import shared_path, ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that Spark hands to a Python worker at once: texts are long, so fewer than usual.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

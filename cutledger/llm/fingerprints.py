@@ -24,7 +24,7 @@ PAIR = 0x0000000100000001
 def terms_of(words: Column) -> Column:
     """Neighbouring word pairs, in order; the last pair of a longer text has no second word and is no term."""
     alone = F.transform(words, lambda w: F.struct(w.alias("a"), F.lit("").alias("b")))
-    pairs = F.arrays_zip(words.alias("a"), F.slice(words, 2, 2**31 - 1).alias("b"))
+    pairs = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"))
     return F.when(F.size(words) == 1, alone).otherwise(F.transform(pairs, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
 
 

@@ -214,8 +214,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(_predictor(sent), SCHEMA)
 
 
-#: A document that even its best language cannot code below this many bits per byte is in none of them.
-MAX_BITS_PER_BYTE = 8.0
+#: A document that costs this much per byte in its best language (8 bits and an escape for nearly every byte) is in none of them.
+MAX_BITS_PER_BYTE = 12.0
 
 
 def _keeper(model, text: str) -> Callable:

@@ -110,6 +110,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("turns")).alias("taken"), "turns")
 
 
+def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of the mixture with the columns of `docs`, each as often as it is taken.
+
+    Rows find their turn by id, source and size; rows that repeat all three are told apart by a number in the order of a hash of the text.
+    """
+    names = docs.columns
+    keys = ["__id", "__source", "__size", "__nth"]
+    nth = lambda *order: F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(*order))
+    turns = mix(docs, doc_id, text, source).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "turns")
+    turns = turns.withColumn("__nth", nth(F.col("turns").desc())).select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("turns").alias("__turns"))
+    rows = docs.withColumns({"__id": F.col(doc_id), "__source": F.col(source), "__size": word_count(text_of(text))})
+    rows = rows.withColumn("__nth", nth(F.xxhash64(F.col(text))))
+    met = rows.join(turns, [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in keys]).filter(F.col("__turns") > 0)
+    return met.select(*[F.col(f"`{n}`") for n in names], F.explode(F.sequence(F.lit(1), F.col("__turns"))).alias("__turn")).select(*[f"`{n}`" for n in names])
+
+
 OP8_SQL = """
 with rows_ as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,

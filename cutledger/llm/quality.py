@@ -22,9 +22,12 @@ from cutledger.llm.numeric import LOWER, U, prefix_sums, span_hashes, word_edges
 
 #: Bounds of the fit: expected labelled rows and pool rows (chosen by a hash of the id), rounds, documents handed over per class and round.
 LABELLED, POOL, ROUNDS, HANDED = 4_000, 8_000, 3, 400
+#: Pull of the calibration towards the uncalibrated score.
+STIFF = 5.0
 #: A view hands over what it is surer of than this.
 SURE = 0.9
-WORD_CELLS, ENDING_CELLS, META_CELLS = 1 << 14, 1 << 12, 1 << 12
+WORD_CELLS, ENDING_CELLS, ECHO_CELLS, META_CELLS = 1 << 14, 1 << 12, 20, 1 << 12
+TEXT_CELLS = WORD_CELLS + ENDING_CELLS + ECHO_CELLS
 # Kinds of bytes for word endings and shares. 0 blank, 1 lower, 2 upper, 3 digit, 4 other ASCII, 5 beyond ASCII.
 KIND = np.array(
     [0 if b in (9, 10, 11, 12, 13, 32) else 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 5 if b >= 128 else 4 for b in range(256)],
@@ -33,14 +36,15 @@ KIND = np.array(
 
 
 def text_features(data: bytes) -> np.ndarray:
-    """Cells of the distinct words (A-Z lower) and of the distinct word endings (kinds of the last three bytes)."""
+    """Cells of the distinct words (A-Z lower), of the distinct word endings (kinds of the last three bytes), and of how often a word repeats the one before."""
     raw = np.frombuffer(data, np.uint8)
     start, end = word_edges(raw)
     if not len(start):
         return np.zeros(0, np.int32)
     words = span_hashes(prefix_sums(np.frombuffer(data.translate(LOWER), np.uint8)), start, end)
+    echo = 20 * int((words[1:] == words[:-1]).sum()) // len(words)
     endings = span_hashes(prefix_sums(KIND[raw]), np.maximum(start, end - 3), end)
-    cells = np.concatenate([words % U(WORD_CELLS), endings % U(ENDING_CELLS) + U(WORD_CELLS)])
+    cells = np.concatenate([words % U(WORD_CELLS), endings % U(ENDING_CELLS) + U(WORD_CELLS), [U(WORD_CELLS + ENDING_CELLS + echo)]])
     return np.unique(cells).astype(np.int32)
 
 
@@ -104,8 +108,8 @@ def platt(logit: np.ndarray, label: np.ndarray) -> np.ndarray:
     x, ab = np.stack([logit, np.ones(len(logit))], 1), np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-        slope = x.T @ (target - p) - 1e-3 * (ab - [1.0, 0.0])
-        ab = ab + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), slope)
+        slope = x.T @ (target - p) - STIFF * (ab - [1.0, 0.0])
+        ab = ab + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + STIFF * np.eye(2), slope)
     return np.array([max(ab[0], 0.0), ab[1]])
 
 
@@ -137,7 +141,7 @@ def co_train(
 ) -> Model:
     """Co-train on the labelled rows that are not kept `aside`, calibrate on those that are."""
     fit = np.flatnonzero(~aside)
-    views = {"words": (WORD_CELLS + ENDING_CELLS, words, pool_words), "meta": (META_CELLS, meta, pool_meta)}
+    views = {"words": (TEXT_CELLS, words, pool_words), "meta": (META_CELLS, meta, pool_meta)}
     extra: dict[str, dict[int, int]] = {"words": {}, "meta": {}}  # pool rows and pseudo-labels handed to each view
     learned: dict[str, View] = {}
     for round_ in range(rounds + 1):
@@ -193,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str
     y = seen["label"].to_numpy(float)
     aside = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in seen["doc_id"]], bool)
     if len(y) < 10 or any(len(set(y[k])) < 2 for k in (aside, ~aside)):
-        return Model(View(WORD_CELLS + ENDING_CELLS), View(META_CELLS), np.ones(2), np.ones(2), 0.5, float(y.mean()) if len(y) else 0.5, False)
+        return Model(View(TEXT_CELLS), View(META_CELLS), np.ones(2), np.ones(2), 0.5, float(y.mean()) if len(y) else 0.5, False)
     return co_train(sets(seen, "words"), sets(seen, "meta"), y, sets(unseen, "words"), sets(unseen, "meta"), aside)
 
 

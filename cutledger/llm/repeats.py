@@ -34,7 +34,7 @@ ANCHOR = 64
 COVERS = {
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
-FLUSH = 1_500_000
+FLUSH = 400_000
 BUCKET_BYTES = 16_000_000
 
 

@@ -244,7 +244,7 @@ def run_lanes(freq: Frequencies, sizes: np.ndarray, coder: Coder, ids: np.ndarra
 # ---- the file ----------------------------------------------------------------------------------------------------------------------------
 
 HEAD = struct.Struct("<4sHIQII")  # magic, version, documents, ids, blocks, ids per block
-PART = struct.Struct("<III")  # ids, bytes, checksum
+PART = struct.Struct("<III")  # ids, bytes, checksum of the bytes; a block's bytes begin with the checksum of its ids
 
 
 def _part(n: int, data: bytes) -> bytes:
@@ -266,7 +266,7 @@ def write_file(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) ->
         run_lanes(freq, lens, coder, grid.reshape(n, BLOCK))
         for k, words in enumerate(coder.finish()):
             own = ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()
-            out.append(PART.pack(int(lens[k]), len(words), zlib.crc32(own)) + words)
+            out.append(_part(int(lens[k]), struct.pack("<I", zlib.crc32(own)) + words))
     return b"".join(out)
 
 
@@ -295,15 +295,18 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     doc_ids = [None if none else int(d) for d, none in zip(np.frombuffer(index[: 8 * docs], "<i8"), blank)]
     sizes = np.frombuffer(index[9 * docs :], "<i8")
     blocks = [part() for _ in range(n)]
+    for k, (_, body, check) in enumerate(blocks):
+        if zlib.crc32(body) != check:
+            raise DamagedBlock(f"block {k}")
     if not n:
         return doc_ids, sizes, np.zeros(0, np.uint32)
     words = np.zeros((n, max(len(b[1]) for b in blocks) // 2 + 8), np.uint16)
     for row, b in zip(words, blocks):
-        row[: len(b[1]) // 2] = np.frombuffer(b[1], "<u2")
+        row[: len(b[1]) // 2 - 2] = np.frombuffer(b[1], "<u2", offset=4)
     lens = np.array([b[0] for b in blocks])
     grid = run_lanes(freq, lens, Coder(n, words), None).T.astype("<u4")
-    for k, (count, _, check) in enumerate(blocks):
-        if zlib.crc32(grid[k, :count].tobytes()) != check:
+    for k, (count, body, _) in enumerate(blocks):
+        if struct.pack("<I", zlib.crc32(grid[k, :count].tobytes())) != body[:4]:
             raise DamagedBlock(f"block {k}")
     return doc_ids, sizes, grid.reshape(-1)[:total]
 
