@@ -404,28 +404,36 @@ def validate_cart(carts: DataFrame) -> DataFrame:
     return carts.withColumn("errors", error_list([(no_owner, "owner"), (both_or_none, "product")]))
 
 
+def _claimed(carts: DataFrame, logins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(guest carts nobody claims, claimed ones with the user and whether they are that user's first and the user has no cart)."""
+    when = F.col("logged_in_at") if "logged_in_at" in logins.columns else F.lit(None).cast("timestamp")
+    token = logins.select(F.trim("guest_token").alias("guest_token"), F.col("user_id").alias("_login"), when.alias("_when"))
+    guests = carts.where("user_id is null").join(token.where("guest_token <> ''"), "guest_token", "left")
+    claimed = guests.where("_login is not null")
+    first = claimed.groupBy("_login").agg(F.min(F.struct(F.coalesce("_when", F.lit("9999-12-31").cast("timestamp")), "guest_token", "id"))["id"].alias("_first"))
+    own = carts.where("user_id is not null").select(F.col("user_id").alias("_login")).distinct().withColumn("_own", F.lit(True))
+    claimed = claimed.join(first, "_login").join(own, "_login", "left")
+    takes = F.col("_own").isNull() & (F.col("id") == F.col("_first"))
+    return guests.where("_login is null"), claimed.withColumn("_takes", takes)
+
+
 def merge_carts(carts: DataFrame, logins: DataFrame) -> DataFrame:
-    """Carts after logins: a user's own cart wins, otherwise the guest cart becomes the user's.
+    """Carts after logins: a user's own cart wins, otherwise the cart of the first login (by logged_in_at, else token) becomes the user's.
 
-    With several guest carts for one user the first (lowest token) is taken and the others dropped.
+    ``lost_carts`` gives the guest carts that go.
     """
+    stay, claimed = _claimed(carts, logins)
+    adopt = claimed.where("_takes").withColumn("user_id", F.col("_login")).withColumn("guest_token", F.lit(None).cast("string"))
     own = carts.where("user_id is not null")
-    guests = carts.where("user_id is null")
-    token = logins.select(F.trim("guest_token").alias("guest_token"), F.col("user_id").alias("_login")).where(
-        "guest_token <> ''"
-    )
-    claimed = guests.join(token, "guest_token", "left")
-    stay = claimed.where("_login is null").drop("_login")
-    adopt = top_one(claimed.where("_login is not null"), ["_login"], [F.col("guest_token"), F.col("id")], lowest=True)
-    adopt = (
-        adopt.join(own.select(F.col("user_id").alias("_login")), "_login", "left_anti")
-        .withColumn("user_id", F.col("_login"))
-        .withColumn("guest_token", F.lit(None).cast("string"))
-        .drop("_login")
-    )
     return own.unionByName(stay.select(own.columns)).unionByName(adopt.select(own.columns))
 
 
+def lost_carts(carts: DataFrame, logins: DataFrame) -> DataFrame:
+    """Guest carts dropped at login, with the user and the reason."""
+    reason = F.when(F.col("_own"), "user_has_cart").otherwise("later_login")
+    return _claimed(carts, logins)[1].where("not _takes").select("id", F.col("_login").alias("user_id"), "guest_token", reason.alias("reason"))
+
+
 def current_cart(adds: DataFrame) -> DataFrame:
     """Latest add per owner (user, else guest)."""
     owner = F.coalesce(F.concat(F.lit("u:"), F.col("user_id").cast("string")), F.concat(F.lit("g:"), "guest_token"))

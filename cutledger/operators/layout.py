@@ -15,7 +15,6 @@ from cutledger.operators.inventory import consumption_rank
 from cutledger.operators.scan import Running, id_block, running, top_one
 from cutledger.operators.spatial import self_pairs
 
-MAX_CHILDREN = 32
 DISPLAY_GAP_MM = 60.0
 SPLIT_EPS = 1e-6
 
@@ -234,9 +233,8 @@ def sheet_lower_bound(pieces: DataFrame, stocks: DataFrame, margin_mm: float) ->
 
 
 def largest_bin(stocks: DataFrame, margin_mm: float) -> DataFrame:
-    """Largest usable width and height per project, each on its own, over the first 32 stocks in rank order."""
-    first = consumption_rank(stocks).where(F.col("consumption_rank") < MAX_CHILDREN)
-    return usable(first, margin_mm).groupBy("project_id").agg(
+    """Largest usable width and height per project, each on its own."""
+    return usable(stocks, margin_mm).groupBy("project_id").agg(
         F.max("usable_w").alias("max_w"), F.max("usable_h").alias("max_h")
     )
 
@@ -273,8 +271,8 @@ def ffd_order(pieces: DataFrame) -> DataFrame:
     return pieces.orderBy("project_id", F.desc("area_mm2"), "piece_index")
 
 
-def piece_orders(pieces: DataFrame, max_seeds: int = 16, seed: int = 42, shuffles: int = 4) -> DataFrame:
-    """Ranked piece orders per project, equal orders dropped, times the orientation profiles, capped.
+def piece_orders(pieces: DataFrame, max_seeds: int | None = None, seed: int = 42, shuffles: int = 4) -> DataFrame:
+    """Ranked piece orders per project, equal orders dropped, times the orientation profiles; the first ``max_seeds`` if given.
 
     All orders are ranked in one pass over (order, sort key) rows. Two orders are equal when every piece
     has the same rank in both, seen from order-independent sums of hashed (rank, piece) pairs.
@@ -321,7 +319,7 @@ def piece_orders(pieces: DataFrame, max_seeds: int = 16, seed: int = 42, shuffle
     seeds = (
         listed.select("project_id", "order_no", "order_name", "_pos", F.inline(profiles))
         .withColumn("seed_no", F.col("_pos") * len(geo.PROFILES) + F.col("_p"))
-        .where(F.col("seed_no") < max_seeds)
+        .where(F.lit(True) if max_seeds is None else F.col("seed_no") < max_seeds)
         .select("project_id", "order_no", "order_name", "profile", "seed_no")
     )
     return seeds.join(ranked.select("project_id", "order_no", "piece_index", "rank"), ["project_id", "order_no"])
@@ -401,11 +399,11 @@ def ffd_assign(pieces: DataFrame, stocks: DataFrame, margin_mm: float) -> DataFr
     )
 
 
-def split_grid(pieces: DataFrame, stocks: DataFrame, margin_mm: float) -> DataFrame:
+def split_grid(pieces: DataFrame, stocks: DataFrame, margin_mm: float, max_children: int | None = None) -> DataFrame:
     """Cut plan of pieces on their boxes: columns and rows at the largest usable size.
 
-    One row per child, column by column; an infeasible plan (more than 32 children, or no usable sheet)
-    is one row without a child. Needs project_id, piece_index, min_x, min_y, width_mm, height_mm.
+    One row per child, column by column. A plan of more than ``max_children`` (if given) lists them all but is marked as
+    not feasible; without a usable sheet there is one row without a child. Needs project_id, piece_index, min_x, min_y, width_mm, height_mm.
     """
     bins = largest_bin(stocks, margin_mm)
     roomy = (F.col("max_w") > SPLIT_EPS) & (F.col("max_h") > SPLIT_EPS)
@@ -414,11 +412,11 @@ def split_grid(pieces: DataFrame, stocks: DataFrame, margin_mm: float) -> DataFr
     planned = (
         pieces.join(bins, "project_id", "left")
         .withColumns({"nx": F.when(roomy, nx), "ny": F.when(roomy, ny)})
-        .withColumn("feasible", F.coalesce(F.col("nx") * F.col("ny") <= MAX_CHILDREN, F.lit(False)))
+        .withColumn("feasible", F.coalesce(F.col("nx") * F.col("ny") <= (2**62 if max_children is None else max_children), F.lit(False)))
     )
     last = F.col("nx") * F.col("ny") - 1
     numbered = planned.withColumn(
-        "child_no", F.explode_outer(F.when(F.col("feasible"), F.sequence(F.lit(0).cast("bigint"), last)))
+        "child_no", F.explode_outer(F.when(F.col("nx").isNotNull(), F.sequence(F.lit(0).cast("bigint"), last)))
     )
     cx, cy = F.floor(F.col("child_no") / F.col("ny")), F.col("child_no") % F.col("ny")
     x0 = F.col("min_x") + cx * F.col("max_w")

@@ -28,7 +28,6 @@ FORM_BOXES = [
     ("Monto de impuesto a 13%", "CRC"),
     ("Total ventas exentas con derecho a crédito pleno", "USD"),
 ]
-MAX_SUPERSEDED = 8
 LISTING_PAGE = 20
 
 
@@ -333,22 +332,16 @@ def purchase_counters(rows: DataFrame) -> DataFrame:
     )
 
 
-def supersede(payments: DataFrame, max_n: int = MAX_SUPERSEDED) -> DataFrame:
-    """Open transfer checkouts of a (user, run) closed by the next one: at most ``max_n``, oldest first.
-
-    Only the oldest ``max_n + 1`` rows of a group matter, so the group limit is applied before the shuffle.
-    """
+def supersede(payments: DataFrame) -> DataFrame:
+    """Open transfer checkouts of a (user, run) closed by the next one, oldest first; only the newest stays open."""
     oldest = Window.partitionBy("user_id", "nesting_run_id").orderBy("created_at", "id")
     open_rows = payments.where(
         "status = 'pending' and purpose = 'single_download' and payment_method = 'sinpe_crc'"
         " and superseded_at is null and nesting_run_id is not null"
     ).select("id", "user_id", "nesting_run_id", "created_at")
-    return (
-        open_rows.withColumn("position", F.row_number().over(oldest))
-        .where(F.col("position") <= max_n + 1)
-        .withColumn("new_superseded_at", F.lead("created_at").over(oldest))
-        .where((F.col("position") <= max_n) & F.col("new_superseded_at").isNotNull())
-    )
+    return open_rows.withColumns(
+        {"position": F.row_number().over(oldest), "new_superseded_at": F.lead("created_at").over(oldest)}
+    ).where("new_superseded_at is not null")
 
 
 def pending_lock(payments: DataFrame, grants: DataFrame, at: str, runs: DataFrame | None = None) -> DataFrame:

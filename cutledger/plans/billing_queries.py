@@ -251,6 +251,12 @@ R.add(
     LEFT JOIN logins l ON l.guest_token = g.guest_token
     WHERE g.user_id IS NULL AND NOT EXISTS (SELECT 1 FROM carts o WHERE o.user_id = l.user_id)""",
 )
+R.add(
+    "j28_lost_carts",
+    lambda s, d: bill.lost_carts(src.carts(s, d), src.logins(s, d)).select("id", "user_id", "reason"),
+    """SELECT g.id, l.user_id, 'user_has_cart' AS reason FROM carts g JOIN logins l ON l.guest_token = g.guest_token
+    WHERE g.user_id IS NULL AND EXISTS (SELECT 1 FROM carts o WHERE o.user_id = l.user_id)""",
+)
 R.add(
     "w25_current_cart",
     lambda s, d: bill.current_cart(

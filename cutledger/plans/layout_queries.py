@@ -401,8 +401,7 @@ R.add(
     lambda s, d: lay.piece_orders(_sized(s, d)).select("project_id", "order_name", "profile", "seed_no", "piece_index", "rank"),
     f"""WITH {_ORDERS} SELECT r.project_id, r.order_name, q.profile, pos.p * 3 + q.i AS seed_no, r.piece_index, r.rank
     FROM pos JOIN ranked r ON r.project_id = pos.project_id AND r.order_no = pos.order_no,
-      (VALUES (0, 'as_extracted'), (1, 'cardinal_90'), (2, 'bar_parallel_long_edge')) AS q(i, profile)
-    WHERE pos.p * 3 + q.i < 16""",
+      (VALUES (0, 'as_extracted'), (1, 'cardinal_90'), (2, 'bar_parallel_long_edge')) AS q(i, profile)""",
 )
 R.add(
     "w20_ffd_assign",
@@ -442,7 +441,7 @@ R.add(
     """SELECT project_id, piece_index, ok AS feasible, coalesce(c, -1) AS child_no,
       c // ny * 410.0::DOUBLE AS x0, c % ny * 190.0::DOUBLE AS y0,
       least((c // ny + 1) * 410.0::DOUBLE, width_mm) AS x1, least((c % ny + 1) * 190.0::DOUBLE, height_mm) AS y1
-    FROM (SELECT *, nx * ny <= 32 AS ok, unnest(CASE WHEN nx * ny <= 32 THEN range(nx * ny) ELSE [NULL] END) AS c
+    FROM (SELECT *, true AS ok, unnest(range(nx * ny)) AS c
       FROM (SELECT *, CAST(greatest(1, ceil((width_mm - 1e-6) / 410)) AS BIGINT) AS nx,
         CAST(greatest(1, ceil((height_mm - 1e-6) / 190)) AS BIGINT) AS ny FROM pieces))""",
 )

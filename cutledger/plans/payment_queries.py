@@ -237,7 +237,7 @@ R.add(
     f"""SELECT id, {stamp('nxt')} AS new_superseded_at, position FROM (SELECT id,
       lead(created_at) OVER w AS nxt, row_number() OVER w AS position FROM payments
       WHERE status = 'pending' AND purpose = 'single_download' AND payment_method = 'sinpe_crc' AND superseded_at IS NULL
-      WINDOW w AS (PARTITION BY user_id, nesting_run_id ORDER BY created_at, id)) WHERE nxt IS NOT NULL AND position <= 8""",
+      WINDOW w AS (PARTITION BY user_id, nesting_run_id ORDER BY created_at, id)) WHERE nxt IS NOT NULL""",
 )
 R.add(
     "l8_pending_lock_user",

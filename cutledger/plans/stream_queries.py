@@ -56,7 +56,8 @@ R.add(
       UNION ALL SELECT l.principal, l.n, l.id, CASE WHEN len(k) < {_LIMIT} THEN list_append(k, l.t) ELSE k END, len(k) < {_LIMIT}
       FROM (SELECT f.principal, l.n, l.id, l.t, [x FOR x IN f.kept IF x >= l.t - 3600000000] AS k FROM fold f
         JOIN low l ON l.principal = f.principal AND l.n = f.n + 1) l)
-    SELECT id, principal, ok AS accepted FROM fold
+    SELECT f.id, f.principal, ok AS accepted FROM fold f JOIN low l ON l.id = f.id WHERE l.t // 1000 <=
+      (SELECT max(t) // 1000 FROM low) - 600000
     UNION ALL SELECT id, coalesce('u:' || user_id, 's:' || anonymous_session_key), true FROM user_events WHERE priority <> 'low'""",
 )
 R.add(
@@ -70,12 +71,13 @@ R.add(
 R.add(
     "t5_progress_stream",
     lambda s, d: drain(
-        sjob.progress_stream(src.shape_progress(table_stream(prepare(s), d, "events"))), "progress"
+        sjob.progress_stream(src.shape_progress(table_stream(prepare(s), d, "events")), keep_days=4000), "progress"
     ).select("run_id", "id", "percent", "due_us"),
     """SELECT run_id, id, percent, min(epoch_us(t_at) + eta_sec * 1000000) OVER (PARTITION BY run_id ORDER BY t_at, id
       ROWS UNBOUNDED PRECEDING)::BIGINT AS due_us
     FROM (SELECT *, max(percent) OVER (PARTITION BY run_id ORDER BY t_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-      AS top FROM valid_progress) WHERE top IS NULL OR percent >= top""",
+      AS top FROM valid_progress) WHERE (top IS NULL OR percent >= top) AND epoch_us(t_at) // 1000 <=
+      (SELECT max(epoch_us(t_at)) // 1000 FROM valid_progress) - 600000""",
 )
 
 
@@ -116,7 +118,7 @@ _LEFT = """CASE WHEN g.type = 'payment-intent.succeeded' THEN CASE WHEN f.status
     WHEN g.type <> 'payment-intent.failed' OR f.abandoned THEN f.abandoned WHEN card AND f.status <> 'succeeded' THEN true ELSE false END"""
 R.add(
     "t7_payment_states",
-    lambda s, d: drain(sbill.payment_states(_gateway(s, d), src.payments(s, d)), "gateway").select(
+    lambda s, d: drain(sbill.payment_states(_gateway(s, d), src.payments(s, d), keep_days=40000), "gateway").select(
         "payment_intent_id", "event_no", "status", "abandoned"
     ),
     f"""WITH RECURSIVE g AS (SELECT e.*, p.status AS s0, p.checkout_abandoned_at IS NOT NULL AS a0, p.payment_method LIKE 'card%' AS card,
@@ -126,7 +128,8 @@ R.add(
       SELECT payment_intent_id, 0::BIGINT, -1::BIGINT, s0, a0 FROM g WHERE n = 1
       UNION ALL SELECT g.payment_intent_id, g.n, g.event_no, {_STEP}, {_LEFT} FROM fold f JOIN g
         ON g.payment_intent_id = f.payment_intent_id AND g.n = f.n + 1)
-    SELECT payment_intent_id, event_no, status, abandoned FROM fold WHERE n > 0""",
+    SELECT f.payment_intent_id, f.event_no, f.status, f.abandoned FROM fold f JOIN g ON g.payment_intent_id = f.payment_intent_id
+      AND g.n = f.n WHERE epoch_us(g.t_at) // 1000 <= (SELECT max(epoch_us(t_at)) // 1000 FROM gateway_events) - 600000""",
 )
 R.add(
     "t7_unmatched_webhooks",
@@ -187,7 +190,7 @@ R.add(
         FROM user_events GROUP BY 1
       UNION ALL SELECT w.alert_key, x.id, x.t FROM walk w, LATERAL (SELECT arg_min(e.id, (e.occurred_at, e.id)) AS id, min(e.occurred_at) AS t
         FROM user_events e WHERE e.event_type = w.alert_key AND e.occurred_at >= w.t + INTERVAL 60 MINUTE) x WHERE x.id IS NOT NULL)
-    SELECT alert_key, id FROM walk""",
+    SELECT alert_key, id FROM walk WHERE epoch_us(t) // 1000 <= (SELECT max(epoch_us(occurred_at)) // 1000 FROM user_events) - 600000""",
 )
 R.add(
     "t14_live_funnel",

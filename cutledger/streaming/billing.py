@@ -2,53 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cutledger.operators.payments import match_webhooks
 from cutledger.sources import dims
+from cutledger.streaming.ordered import DAY_MS, InOrder, in_order
 from cutledger.streaming.runtime import DEFAULT_DELAY
 
 
-class LockClock(StatefulProcessor):
+class LockClock(InOrder):
     """Releases one payment's lock when its window passes without another row closing it."""
 
+    ROW, STATE = "at_us bigint, closing int", "due_ms bigint"
     OUT = ["payment_id", "released_us", "reason"]
 
     def __init__(self, window_ms: int) -> None:
         self.window_ms = window_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "due_ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for r in batch.sort_values(["at_us", "waiting"], ascending=[True, False]).itertuples(index=False):
-                if self.due.exists():
-                    (due,) = self.due.get()
-                    if not r.waiting and int(r.at_us) // 1000 < due:
-                        self.handle.deleteTimer(due)
-                        self.due.clear()
-                elif r.waiting:
-                    due = int(r.at_us) // 1000 + self.window_ms
-                    self.due.update((due,))
-                    self.handle.registerTimer(due)
-        yield pd.DataFrame([], columns=self.OUT)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = []
-        if self.due.exists():
-            rows = [(key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000, "timeout")]
-            self.due.clear()
-        yield pd.DataFrame(rows, columns=self.OUT)
-
-    def close(self) -> None:
-        pass
+    def due(self, state):
+        return state[0]
+
+    def ring(self, key, at_ms, state):
+        return None, [(key[0], at_ms * 1000, "timeout")]
+
+    def step(self, key, row, state):
+        at, closing = row
+        if state is None:
+            return (None if closing else (at // 1000 + self.window_ms,)), []
+        return (None if closing and at // 1000 < state[0] else state), []
 
 
 def lock_timeouts(stream: DataFrame, minutes: int = dims.LOCK_MINUTES, delay: str = DEFAULT_DELAY) -> DataFrame:
@@ -57,10 +39,10 @@ def lock_timeouts(stream: DataFrame, minutes: int = dims.LOCK_MINUTES, delay: st
     The stream has payment_id, at and waiting: true when a pending transfer checkout opens, false when
     it is released, superseded, abandoned or settled.
     """
-    rows = stream.withWatermark("at", delay).select("payment_id", "at", F.unix_micros("at").alias("at_us"), "waiting")
-    return rows.groupBy("payment_id").transformWithStateInPandas(
-        LockClock(minutes * 60_000), "payment_id bigint, released_us bigint, reason string", "Append", "EventTime"
+    rows = stream.withWatermark("at", delay).select(
+        "payment_id", "at", F.unix_micros("at").alias("at_us"), (~F.col("waiting")).cast("int").alias("closing")
     )
+    return in_order(rows, "payment_id", LockClock(minutes * 60_000), "payment_id bigint, released_us bigint, reason string")
 
 
 def gateway_step(status: str, abandoned: bool, card: bool, kind: str) -> tuple[str, bool, str]:
@@ -76,35 +58,28 @@ def gateway_step(status: str, abandoned: bool, card: bool, kind: str) -> tuple[s
     return ("failed", False, "already_terminal") if status == "failed" else ("failed", False, "failed")
 
 
-class GatewayState(StatefulProcessor):
+class GatewayState(InOrder):
     """Status of one payment as its gateway events arrive."""
 
+    ROW = "at_us bigint, event_no bigint, type string, status string, abandoned boolean, card boolean"
+    STATE = "status string, abandoned boolean"
     OUT = ["payment_intent_id", "event_no", "status", "abandoned", "outcome"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "status string, abandoned boolean")
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current = self.now.get() if self.now.exists() else None
-        for batch in rows:
-            out = []
-            for r in batch.sort_values(["at_us", "event_no"]).itertuples(index=False):
-                status, abandoned = current or (r.status, bool(r.abandoned))
-                status, abandoned, what = gateway_step(status, abandoned, bool(r.card), r.type)
-                current = (status, abandoned)
-                out.append((key[0], r.event_no, status, abandoned, what))
-            yield pd.DataFrame(out, columns=self.OUT)
-        self.now.update(current)
+    def step(self, key, row, state):
+        _, event_no, kind, status, abandoned, card = row
+        status, abandoned, what = gateway_step(*(state or (status, bool(abandoned))), bool(card), kind)
+        return (status, abandoned), [(key[0], event_no, status, abandoned, what)]
 
-    def close(self) -> None:
-        pass
 
-
-def payment_states(gateway: DataFrame, payments: DataFrame) -> DataFrame:
+def payment_states(gateway: DataFrame, payments: DataFrame, delay: str = DEFAULT_DELAY, keep_days: int = 90) -> DataFrame:
     """State of payments along their gateway events; repeats change nothing.
 
     A failed card attempt counts as abandoned, not failed, and a late success still fulfils. Events of
-    unknown intents are left out here; ``match_webhooks`` reports them.
+    unknown intents are left out here; ``match_webhooks`` reports them. An intent without an event for ``keep_days`` is forgotten and
+    starts again from the stored payment.
     """
     known = payments.where("onvo_payment_intent_id is not null").select(
         F.col("onvo_payment_intent_id").alias("payment_intent_id"),
@@ -112,14 +87,12 @@ def payment_states(gateway: DataFrame, payments: DataFrame) -> DataFrame:
         F.col("checkout_abandoned_at").isNotNull().alias("abandoned"),
         F.col("payment_method").isin("card_crc", "card_usd").alias("card"),
     )
-    rows = gateway.select("payment_intent_id", "type", "event_no", F.unix_micros("at").alias("at_us")).join(
-        known, "payment_intent_id"
-    )
-    return rows.groupBy("payment_intent_id").transformWithStateInPandas(
-        GatewayState(),
+    rows = gateway.withWatermark("at", delay).select("payment_intent_id", "type", "event_no", "at", F.unix_micros("at").alias("at_us"))
+    return in_order(
+        rows.join(known, "payment_intent_id"),
+        "payment_intent_id",
+        GatewayState(keep_days * DAY_MS),
         "payment_intent_id string, event_no bigint, status string, abandoned boolean, outcome string",
-        "Append",
-        "None",
     )
 
 

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
 from cutledger.operators.events import principal, validate_events
 from cutledger.operators.scan import HOUR_US, top_one
 from cutledger.session import shared_path
 from cutledger.sources import dims
+from cutledger.streaming.ordered import InOrder, in_order
 from cutledger.streaming.runtime import DEFAULT_DELAY, finish, nullable
 
 THROTTLED_PATHS = {
@@ -102,50 +98,36 @@ def dedup_stream(stream: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     )
 
 
-class AcceptedInHour(StatefulProcessor):
+class AcceptedInHour(InOrder):
     """Keeps the times of the events accepted from one principal in the last hour (at most the limit)."""
 
+    ROW, STATE = "at_us bigint, id bigint", "accepted array<bigint>"
+    OUT = ["id", "principal", "at_us", "accepted"]
+    keep_ms = HOUR_US // 1000
+
     def __init__(self, limit: int) -> None:
         self.limit = limit
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("accepted", "at_us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [t for (t,) in self.times.get()]
-        for batch in rows:
-            batch = batch.sort_values(["at_us", "id"])
-            verdict = []
-            for t in batch["at_us"]:
-                kept = [k for k in kept if k >= t - HOUR_US]
-                verdict.append(len(kept) < self.limit)
-                if verdict[-1]:
-                    kept.append(int(t))
-            yield pd.DataFrame({"id": batch["id"], "principal": key[0], "at_us": batch["at_us"], "accepted": verdict})
-        if kept:
-            self.times.put([(t,) for t in kept])
-        else:
-            self.times.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limit(stream: DataFrame, limit: int = dims.LOW_PRIORITY_PER_HOUR) -> DataFrame:
+    def step(self, key, row, state):
+        at, event_id = row
+        kept = [t for t in (state[0] if state else []) if t >= at - HOUR_US]
+        ok = len(kept) < self.limit
+        return ([*kept, at] if ok else kept,), [(event_id, key[0], at, ok)]
+
+
+def rate_limit(stream: DataFrame, limit: int = dims.LOW_PRIORITY_PER_HOUR, delay: str = DEFAULT_DELAY) -> DataFrame:
     """Accepted flag per event: a low-priority one is refused once the limit was accepted in the hour before.
 
-    Only low-priority events with a principal reach the keyed state; the others pass straight on. Sessions
-    should be resolved to users first, since the state is kept per user, else per session.
+    Only low-priority events with a principal reach the keyed state, which decides on them once the watermark has passed them; the others
+    pass straight on. The state is kept per user, else per session, so sessions should be resolved to users first.
     """
-    rows = stream.select("id", "priority", principal().alias("principal"), F.unix_micros("occurred_at").alias("at_us"))
+    rows = stream.select("id", "priority", "occurred_at", principal().alias("principal"), F.unix_micros("occurred_at").alias("at_us"))
     held = (F.col("priority") == "low") & F.col("principal").isNotNull()
-    limited = (
-        rows.where(held)
-        .drop("priority")
-        .groupBy("principal")
-        .transformWithStateInPandas(
-            AcceptedInHour(limit), "id bigint, principal string, at_us bigint, accepted boolean", "Append", "None"
-        )
+    limited = in_order(
+        rows.where(held).drop("priority").withWatermark("occurred_at", delay),
+        "principal",
+        AcceptedInHour(limit),
+        "id bigint, principal string, at_us bigint, accepted boolean",
     )
     free = rows.where(~held).select("id", "principal", "at_us", F.lit(True).alias("accepted"))
     return limited.unionByName(free)
@@ -181,41 +163,27 @@ def request_throttle(stream: DataFrame, limit: int = 5, delay: str = DEFAULT_DEL
     )
 
 
-class LastAlert(StatefulProcessor):
+class LastAlert(InOrder):
     """Time of the last alert let through for one key."""
 
+    ROW, STATE = "at_us bigint, id bigint", "let_us bigint"
+    OUT = ["alert_key", "id", "at_us"]
+
     def __init__(self, gap_us: int) -> None:
         self.gap_us = gap_us
+        self.keep_ms = gap_us // 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at_us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        for batch in rows:
-            batch = batch.sort_values(["at_us", "id"])
-            kept = []
-            for i, t in zip(batch["id"], batch["at_us"]):
-                if last is None or t - last >= self.gap_us:
-                    last = int(t)
-                    kept.append((key[0], int(i), last))
-            yield pd.DataFrame(kept, columns=["alert_key", "id", "at_us"])
-        if last is not None:
-            self.last.update((last,))
-
-    def close(self) -> None:
-        pass
+    def step(self, key, row, state):
+        at, alert_id = row
+        if state is None or at - state[0] >= self.gap_us:
+            return (at,), [(key[0], alert_id, at)]
+        return state, []
 
 
-def alert_throttle(stream: DataFrame, minutes: int = 5) -> DataFrame:
+def alert_throttle(stream: DataFrame, minutes: int = 5, delay: str = DEFAULT_DELAY) -> DataFrame:
     """First alert per key, then none for ``minutes`` after each one let through; alerts have alert_key, id, at."""
-    return (
-        stream.select("alert_key", "id", F.unix_micros("at").alias("at_us"))
-        .groupBy("alert_key")
-        .transformWithStateInPandas(
-            LastAlert(minutes * 60_000_000), "alert_key string, id bigint, at_us bigint", "Append", "None"
-        )
-    )
+    rows = stream.withWatermark("at", delay).select("alert_key", "id", "at", F.unix_micros("at").alias("at_us"))
+    return in_order(rows, "alert_key", LastAlert(minutes * 60_000_000), "alert_key string, id bigint, at_us bigint")
 
 
 def live_funnel(stream: DataFrame, width: str = "1 day", delay: str = DEFAULT_DELAY) -> DataFrame:

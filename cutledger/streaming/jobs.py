@@ -2,126 +2,99 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cutledger.operators.jobs import ABANDON_SECONDS
 from cutledger.sources.documents import read_progress
+from cutledger.streaming.ordered import DAY_MS, InOrder, in_order
 from cutledger.streaming.runtime import DEFAULT_DELAY
 
 
-class RunProgress(StatefulProcessor):
+class RunProgress(InOrder):
     """Highest percent and earliest expected end of one run."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", "percent int, due_us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        top, due = self.best.get() if self.best.exists() else (None, None)
-        for batch in rows:
-            batch = batch.sort_values(["at_us", "id"])
-            kept = []
-            for r in batch.itertuples(index=False):
-                if top is not None and r.percent < top:
-                    continue
-                top = int(r.percent)
-                if not pd.isna(r.eta_sec):
-                    guess = int(r.at_us) + int(r.eta_sec) * 1_000_000
-                    due = guess if due is None else min(due, guess)
-                kept.append((key[0], r.id, r.phase_id, top, due))
-            out = pd.DataFrame(kept, columns=["run_id", "id", "phase_id", "percent", "due_us"])
-            yield out.astype({"due_us": "Int64"})
-        if top is not None:
-            self.best.update((top, due))
-
-    def close(self) -> None:
-        pass
-
-
-def progress_stream(stream: DataFrame) -> DataFrame:
+    ROW = "at_us bigint, id bigint, phase_id string, percent int, eta_sec bigint"
+    STATE = "percent int, due_us bigint"
+    OUT = ["run_id", "id", "phase_id", "percent", "due_us"]
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def step(self, key, row, state):
+        at, snapshot, phase, percent, eta = row
+        top, due = state or (None, None)
+        if top is not None and percent < top:
+            return state, []
+        if eta is not None:
+            guess = at + eta * 1_000_000
+            due = guess if due is None else min(due, guess)
+        return (percent, due), [(key[0], snapshot, phase, percent, due)]
+
+
+def progress_stream(stream: DataFrame, delay: str = DEFAULT_DELAY, keep_days: int = 2) -> DataFrame:
     """Valid progress documents in order of percent, with an expected end that never moves later.
 
-    The stream has run_id, id, at and the document text in ``doc``.
+    The stream has run_id, id, at and the document text in ``doc``. A run without a snapshot for ``keep_days`` is forgotten.
     """
-    rows = read_progress(stream).select(
-        "run_id", "id", F.unix_micros("at").alias("at_us"), "phase_id", "percent", "eta_sec"
+    rows = read_progress(stream).withWatermark("at", delay).select(
+        "run_id", "id", "at", F.unix_micros("at").alias("at_us"), "phase_id", "percent", F.col("eta_sec").cast("bigint").alias("eta_sec")
     )
-    return rows.groupBy("run_id").transformWithStateInPandas(
-        RunProgress(), "run_id bigint, id bigint, phase_id string, percent int, due_us bigint", "Append", "None"
+    return in_order(
+        rows, "run_id", RunProgress(keep_days * DAY_MS), "run_id bigint, id bigint, phase_id string, percent int, due_us bigint"
     )
 
 
-class RunClock(StatefulProcessor):
+RANKS = {"started": 0, "output": 1, "cancel": 2, "finished": 3}
+
+
+class RunClock(InOrder):
     """Watches one run: no output after the abandon delay, or the time limit reached."""
 
+    ROW = "at_us bigint, rank int, limit_sec bigint, eta_sec bigint"
+    STATE = "started_ms bigint, limit_ms bigint, has_output boolean, eta_ms bigint, told_ms bigint"
     OUT = ["run_id", "status", "warning", "at_us"]
 
     def __init__(self, abandon_ms: int) -> None:
         self.abandon_ms = abandon_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.run = handle.getValueState("run", "started_ms bigint, limit_ms bigint, has_output boolean, eta_ms bigint")
-
-    def _stop(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.run.clear()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for batch in rows:
-            rank = batch["kind"].map({"started": 0, "output": 1, "cancel": 2, "finished": 3})
-            for r in batch.assign(_rank=rank).sort_values(["at_us", "_rank"]).itertuples(index=False):
-                ms = int(r.at_us) // 1000
-                if r.kind == "started":
-                    eta = ms + int(r.eta_sec) * 1000 if not pd.isna(r.eta_sec) else None
-                    self.run.update((ms, int(r.limit_sec) * 1000, False, eta))
-                    for t in (ms + self.abandon_ms, ms + int(r.limit_sec) * 1000, eta):
-                        if t is not None:
-                            self.handle.registerTimer(t)
-                elif self.run.exists():
-                    started, limit, _, eta = self.run.get()
-                    if r.kind == "output":
-                        self.run.update((started, limit, True, eta))
-                    elif r.kind == "cancel":
-                        out.append((key[0], "failed", "cancelled", int(r.at_us)))
-                        self._stop()
-                    else:
-                        self._stop()
-        yield pd.DataFrame(out, columns=self.OUT)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.run.exists():
-            started, limit, has_output, eta = self.run.get()
-            now = expiredTimerInfo.getExpiryTimeInMs()
-            if now >= started + limit:
-                out.append((key[0], "partial", "time_limit_reached", now * 1000))
-                self._stop()
-            elif now == started + self.abandon_ms and not has_output:
-                out.append((key[0], "failed", "abandoned", now * 1000))
-                self._stop()
-            elif eta is not None and now == eta:
-                out.append((key[0], "processing", "eta_overrun", now * 1000))
-        yield pd.DataFrame(out, columns=self.OUT)
-
-    def close(self) -> None:
-        pass
+    def due(self, state):
+        started, limit, has_output, eta, told = state
+        ahead = [started + limit, None if has_output else started + self.abandon_ms, eta]
+        return min((t for t in ahead if t is not None and t > told), default=None)
+
+    def ring(self, key, at_ms, state):
+        started, limit, has_output, eta, _ = state
+        if at_ms >= started + limit:
+            return None, [(key[0], "partial", "time_limit_reached", at_ms * 1000)]
+        if at_ms == started + self.abandon_ms and not has_output:
+            return None, [(key[0], "failed", "abandoned", at_ms * 1000)]
+        return (started, limit, has_output, eta, at_ms), [(key[0], "processing", "eta_overrun", at_ms * 1000)]
+
+    def step(self, key, row, state):
+        at, rank, limit, eta = row
+        ms = at // 1000
+        if rank == RANKS["started"]:
+            return (ms, limit * 1000, False, None if eta is None else ms + eta * 1000, ms), []
+        if state is None or rank == RANKS["finished"]:
+            return None, []
+        if rank == RANKS["cancel"]:
+            return None, [(key[0], "failed", "cancelled", at)]
+        started, limit_ms, _, eta_ms, told = state
+        return (started, limit_ms, True, eta_ms, told), []
 
 
 def run_timeouts(stream: DataFrame, secs: int = ABANDON_SECONDS, delay: str = DEFAULT_DELAY) -> DataFrame:
     """Status changes forced by the clock or by a cancel request.
 
-    The stream has run_id, kind (started, output, cancel, finished), at, limit_sec and eta_sec.
+    The stream has run_id, kind (started, output, cancel, finished), at, limit_sec and eta_sec. A time-out counts before what happens later,
+    and after what happens at the same millisecond.
     """
+    rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in RANKS.items()])
     rows = stream.withWatermark("at", delay).select(
-        "run_id", "kind", "at", F.unix_micros("at").alias("at_us"), "limit_sec", "eta_sec"
+        "run_id", "at", F.unix_micros("at").alias("at_us"), rank.alias("rank"),
+        F.col("limit_sec").cast("bigint").alias("limit_sec"), F.col("eta_sec").cast("bigint").alias("eta_sec"),
     )
-    return rows.groupBy("run_id").transformWithStateInPandas(
-        RunClock(secs * 1000), "run_id bigint, status string, warning string, at_us bigint", "Append", "EventTime"
+    return in_order(
+        rows.where("rank is not null"), "run_id", RunClock(secs * 1000), "run_id bigint, status string, warning string, at_us bigint"
     )

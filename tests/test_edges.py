@@ -304,8 +304,9 @@ def test_split_grid_limits(spark):
     )
     rows = lay.split_grid(pieces, stocks, 0.0).collect()
     n = {i: [r for r in rows if r.piece_index == i] for i in range(4)}
-    assert [len(n[i]) for i in range(4)] == [2, 1, 32, 1]
-    assert n[3][0].reason == "split_not_feasible" and {r.label for r in n[0]} == {"a", "b"}
+    assert [len(n[i]) for i in range(4)] == [2, 1, 32, 33] and all(r.feasible for r in rows)
+    capped = lay.split_grid(pieces, stocks, 0.0, max_children=32).where("piece_index = 3").collect()
+    assert len(capped) == 33 and {r.reason for r in capped} == {"split_not_feasible"} and {r.label for r in n[0]} == {"a", "b"}
     assert abs(sum((r.x1 - r.x0) * (r.y1 - r.y0) for r in n[2]) - 320_000) < 1e-6
 
 
@@ -341,10 +342,37 @@ def test_ffd_against_a_plain_loop(spark):
     assert got == _ffd(pieces, stocks, 5.0)
 
 
-def test_supersede_closes_the_oldest_eight(spark):
+def test_supersede_leaves_only_the_newest_open(spark):
     rows = [(i, 1, 1, "pending", "single_download", "sinpe_crc", at("2026-01-01") + dt.timedelta(minutes=i), None) for i in range(12)]
     schema = "id int, user_id int, nesting_run_id int, status string, purpose string, payment_method string, created_at timestamp, superseded_at timestamp"
-    assert ids(pay.supersede(spark.createDataFrame(rows, schema))) == list(range(8))
+    assert ids(pay.supersede(spark.createDataFrame(rows, schema))) == list(range(11))
+
+
+def test_largest_bin_looks_at_all_stocks(spark):
+    rows = [(i, 1, 100.0 + i, 300.0 - i, 1, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, project_id int, width_mm double, height_mm double, quantity int, sort_order int")
+    assert tuple(lay.largest_bin(df, 0.0).select("max_w", "max_h").first()) == (139.0, 300.0)
+
+
+def test_guest_carts_of_one_user(spark):
+    carts = spark.createDataFrame([(1, None, "b"), (2, None, "a"), (3, None, "c"), (4, 8, None), (5, None, "d"), (6, None, "e")], "id int, user_id int, guest_token string")
+    logins = spark.createDataFrame([("a", 7, at("2026-01-02")), ("b", 7, at("2026-01-01")), ("c", 8, at("2026-01-01")), ("d", 9, None)], "guest_token string, user_id int, logged_in_at timestamp")
+    assert {(r.id, r.user_id) for r in bill.merge_carts(carts, logins).collect()} == {(1, 7), (4, 8), (5, 9), (6, None)}
+    assert {(r.id, r.reason) for r in bill.lost_carts(carts, logins).collect()} == {(2, "later_login"), (3, "user_has_cart")}
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.3, 0.97, 0.999999, 1.0])
+def test_exponential_mean_of_any_alpha(spark, alpha):
+    rng = random.Random(1)
+    rows = [(run, i, at("2026-01-01") + dt.timedelta(seconds=i * 37), rng.randrange(0, 101), None, at("2026-01-01")) for run in (1, 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "run_id bigint, id bigint, at timestamp, percent int, eta_sec int, started_at timestamp")
+    got = {(r.run_id, r.id): r.smoothed for r in jobs.ewma_eta(df, alpha).collect()}
+    for run in (1, 2):
+        mean = None
+        for r in (r for r in rows if r[0] == run):
+            if r[3] > 0:
+                mean = float(r[3]) if mean is None else alpha * r[3] + (1 - alpha) * mean
+                assert abs(got[run, r[1]] - mean) < 1e-7
 
 
 def test_layer_hue(spark):

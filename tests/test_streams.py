@@ -23,9 +23,9 @@ def _stream(spark, folder, batches):
 
 def test_rate_limit_counts_accepted_events_only(spark, tmp_path):
     first = [_row(i, i) for i in range(150)]
-    second = [_row(i, i) for i in range(150, 301)] + [_row(400, 3601), _row(500, 400, user=None, priority="critical")]
+    second = [_row(i, i) for i in range(150, 301)] + [_row(400, 3601), _row(500, 400, user=None, priority="critical"), _row(600, 90_000)]
     got = {r.id: r.accepted for r in drain(sev.rate_limit(_stream(spark, tmp_path, [first, second]), 300), "t").collect()}
-    assert all(got[i] for i in range(300)) and not got[300] and got[400] and got[500]
+    assert all(got[i] for i in range(300)) and not got[300] and got[400] and got[500] and 600 not in got
 
 
 def test_ingest_across_batches(spark, tmp_path):
@@ -66,3 +66,44 @@ def test_gateway_steps():
     assert gateway_step("failed", False, False, "payment-intent.failed")[2] == "already_terminal"
     assert gateway_step("succeeded", False, True, "payment-intent.succeeded")[2] == "already_fulfilled"
     assert gateway_step("pending", False, True, "other")[2] == "ignored"
+
+
+def _scattered(n=2_000):
+    """Rows of one key in scattered order, all within the first day."""
+    return [_row(i, (i * 7919) % 40_000, user=1) for i in range(n)]
+
+
+def test_keyed_streams_do_not_depend_on_chunks_or_batches(spark, tmp_path):
+    rows, end = _scattered(), [_row(10_000, 200_000)]
+    want_let, last = set(), None
+    for r in sorted(rows, key=lambda r: (r[-1], r[0])):
+        if last is None or r[-1] - last >= dt.timedelta(minutes=5):
+            want_let.add(r[0])
+            last = r[-1]
+    want_ok, kept = set(), []
+    for r in sorted(rows, key=lambda r: (r[-1], r[0])):
+        kept = [t for t in kept if t >= r[-1] - dt.timedelta(hours=1)]
+        if len(kept) < 50:
+            kept.append(r[-1])
+            want_ok.add(r[0])
+    half = [rows[:1_000], rows[1_000:], end]
+    for n, (chunk, batches) in enumerate([(100, [rows, end]), (10_000, [rows, end]), (700, half)]):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", chunk)
+        alerts = _stream(spark, tmp_path / f"a{n}", batches).selectExpr("event_type as alert_key", "id", "occurred_at as at")
+        assert {r.id for r in drain(sev.alert_throttle(alerts, delay="1 day"), "a").collect()} == want_let
+        limited = drain(sev.rate_limit(_stream(spark, tmp_path / f"b{n}", batches), 50, "1 day"), "b").collect()
+        assert {r.id for r in limited if r.accepted} == want_ok and len(limited) == len(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
+def test_lock_closed_in_a_chunk_before_its_opening(spark, tmp_path):
+    from cutledger.streaming import billing as sbill
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    schema = "payment_id bigint, at timestamp, waiting boolean"
+    at = lambda m: BASE + dt.timedelta(minutes=m)
+    rows = [(1, at(10), False), (1, at(0), True), (2, at(20), False), (2, at(0), True), (3, at(300), True)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "locks"))
+    got = drain(sbill.lock_timeouts(spark.readStream.schema(schema).parquet(str(tmp_path / "locks"))), "l").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert [(r.payment_id, r.reason) for r in got] == [(2, "timeout")]
