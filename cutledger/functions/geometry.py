@@ -222,13 +222,53 @@ def edge_distance(ring: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(ring_edges(ring), one))
 
 
+def _stops(s: Column, rings: Column) -> Column:
+    """Where along a segment (x, y, dx, dy) it meets the edges of some rings: shares of its length, with 0 and 1, in order."""
+
+    def cut(a: Column, b: Column) -> Column:
+        ex, ey = b[0] - a[0], b[1] - a[1]
+        den = s["dx"] * ey - s["dy"] * ex
+        t = ((a[0] - s["x"]) * ey - (a[1] - s["y"]) * ex) / den
+        u = ((a[0] - s["x"]) * s["dy"] - (a[1] - s["y"]) * s["dx"]) / den
+        return F.when((den != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
+
+    found = F.flatten(F.transform(rings, lambda r: _edge_values(r, cut)))
+    return F.array_sort(F.concat(F.array(zero(), F.lit(1.0)), F.array_compact(found)))
+
+
 def ring_within(inner: Column, outer_rings: Column, tol: Column) -> Column:
-    """Every point of a ring lies in the polygon or within ``tol`` of its outline."""
-    return F.forall(
-        inner,
-        lambda p: contains(outer_rings, F.get(p, 0), F.get(p, 1))
-        | (F.array_min(F.transform(outer_rings, lambda r: edge_distance(r, F.get(p, 0), F.get(p, 1)))) <= tol),
+    """A ring lies in the polygon or within ``tol`` of its outline, and no hole wider than twice that lies in the ring.
+
+    Corners are tested first. Then each edge is cut where it meets the outline, and the middle of each part is tested, so an edge may not
+    cross a notch either.
+    """
+
+    def held(x: Column, y: Column) -> Column:
+        near = F.array_min(F.transform(outer_rings, lambda r: edge_distance(r, x, y))) <= tol
+        return contains(outer_rings, x, y) | near
+
+    def edge_held(e: Column) -> Column:
+        s = F.struct(e["x0"].alias("x"), e["y0"].alias("y"), (e["x1"] - e["x0"]).alias("dx"), (e["y1"] - e["y0"]).alias("dy"))
+
+        def parts(seg: Column) -> Column:
+            def mids(at: Column) -> Column:
+                return F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda p, q: (p + q) / 2)
+
+            return F.forall(
+                let(_stops(seg, outer_rings), mids), lambda m: held(seg["x"] + m * seg["dx"], seg["y"] + m * seg["dy"])
+            )
+
+        return let(s, parts)
+
+    def wide(h: Column) -> Column:
+        b = bbox(F.array(h))
+        return F.least(b["max_x"] - b["min_x"], b["max_y"] - b["min_y"]) > 2 * tol
+
+    corners = F.forall(inner, lambda p: held(F.get(p, 0), F.get(p, 1)))
+    covered_hole = F.exists(
+        holes(outer_rings), lambda h: wide(h) & F.forall(h, lambda p: in_ring(inner, F.get(p, 0), F.get(p, 1)))
     )
+    return corners & F.forall(ring_edges(inner), edge_held) & ~covered_hole
 
 
 def length_inside(segment: Column, rings: Column) -> Column:
@@ -243,17 +283,7 @@ def length_inside(segment: Column, rings: Column) -> Column:
         (F.get(F.get(segment, 1), 1) - F.get(F.get(segment, 0), 1)).alias("dy"),
     )
 
-    def cut(s: Column, a: Column, b: Column) -> Column:
-        ex, ey = b[0] - a[0], b[1] - a[1]
-        den = s["dx"] * ey - s["dy"] * ex
-        t = ((a[0] - s["x"]) * ey - (a[1] - s["y"]) * ex) / den
-        u = ((a[0] - s["x"]) * s["dy"] - (a[1] - s["y"]) * s["dx"]) / den
-        return F.when((den != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
-
     def measured(s: Column) -> Column:
-        found = F.flatten(F.transform(rings, lambda r: _edge_values(r, lambda a, b: cut(s, a, b))))
-        stops = F.array_sort(F.concat(F.array(zero(), F.lit(1.0)), F.array_compact(found)))
-
         def parts(at: Column) -> Column:
             spans = F.zip_with(
                 F.slice(at, 1, F.size(at) - 1),
@@ -267,7 +297,7 @@ def length_inside(segment: Column, rings: Column) -> Column:
             )
             return _total(F.transform(inner, lambda p: p["share"])) * F.hypot(s["dx"], s["dy"])
 
-        return let(stops, parts)
+        return let(_stops(s, rings), parts)
 
     return let(ends, measured)
 

@@ -74,8 +74,8 @@ def shared_area(a: list, b: list) -> float:
 
 @pandas_udf(T.DoubleType())
 def clip_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Common area of two rings per row."""
-    return pd.Series([shared_area(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Common area of two rings per row, 0 without a ring."""
+    return pd.Series([0.0 if x is None or y is None else shared_area(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def _hull(points: np.ndarray) -> np.ndarray:

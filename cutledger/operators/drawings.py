@@ -111,8 +111,7 @@ def _boxed(df: DataFrame, grow: float = 0.0) -> Column:
     )
 
 
-def _side(shapes: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    cols = ["id", "rings", "box", "area", "radius", "center"]
+def _side(shapes: DataFrame, keys: list[str], prefix: str, cols: tuple[str, ...] = ("id", "rings", "box", "area", "radius", "center")) -> DataFrame:
     return shapes.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
 
 
@@ -123,12 +122,13 @@ def containment_parent(polys: DataFrame, tol: float, keys: list[str] = GROUP) ->
     boxes, then the exact test runs on the pairs whose boxes nest.
     """
     shapes = cut_lineage(_shapes(polys, keys))
+    measures = ("id", "box", "area", "radius", "center")
     corners = shapes.select(*keys, "id", F.col("box.min_x").alias("x"), F.col("box.min_y").alias("y"))
     met = spatial.points_in_boxes(corners, shapes, keys).withColumnsRenamed({"point_id": "i_id", "box_id": "o_id"})
     pairs = (
         met.where("i_id <> o_id")
-        .join(_side(shapes, keys, "i"), [*keys, "i_id"])
-        .join(_side(shapes, keys, "o"), [*keys, "o_id"])
+        .join(_side(shapes, keys, "i", measures), [*keys, "i_id"])
+        .join(_side(shapes, keys, "o", measures), [*keys, "o_id"])
     )
     nested = (
         (F.col("o_area") > F.col("i_area"))
@@ -146,10 +146,15 @@ def containment_parent(polys: DataFrame, tol: float, keys: list[str] = GROUP) ->
         & (F.col("i_radius") < F.col("o_radius"))
         & (off + F.col("i_radius") <= F.col("o_radius") + reach * 2.0)
     )
-    inside = geo.ring_within(geo.outer(F.col("i_rings")), F.col("o_rings"), reach)
+    inside = geo.ring_within(geo.outer(F.col("i_rings")), F.col("o_rings"), F.col("reach"))
+    # outlines are fetched for the pairs whose boxes nest
     parent = (
         pairs.where(nested)
-        .where(coaxial | inside)
+        .withColumns({"coaxial": F.coalesce(coaxial, F.lit(False)), "reach": reach})
+        .select(*keys, "i_id", "o_id", "o_area", "coaxial", "reach")
+        .join(_side(shapes, keys, "i", ("id", "rings")), [*keys, "i_id"])
+        .join(_side(shapes, keys, "o", ("id", "rings")), [*keys, "o_id"])
+        .where(F.col("coaxial") | inside)
         .groupBy(*keys, F.col("i_id").alias("shape_id"))
         .agg(F.min_by("o_id", F.struct("o_area", "o_id")).alias("parent_id"))
     )

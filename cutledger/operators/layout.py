@@ -80,48 +80,66 @@ def world(placed: DataFrame) -> DataFrame:
     )
 
 
+SHEET = ["run_id", "sheet_index"]
+
+
+def outline_members(placed: DataFrame) -> DataFrame:
+    """Pieces of each distinct outline on a sheet: shape_index (its lowest piece) and piece_index."""
+    placed = world(placed).select(*SHEET, "ring", "piece_index")
+    shapes = placed.groupBy(*SHEET, "ring").agg(F.min("piece_index").alias("shape_index"))
+    return placed.join(shapes, [*SHEET, "ring"]).select(*SHEET, "shape_index", "piece_index")
+
+
 def overlapping_pairs(placed: DataFrame, min_area: float = 1.0) -> DataFrame:
     """Outlines on one sheet sharing more than ``min_area`` mm2.
 
-    Pieces with the very same outline are one row here: a_copies and b_copies tell how many there are,
-    and a row with a_index = b_index says that copies lie on each other. Rectangles are compared
-    natively; only pairs with another shape go through the clipping function.
+    Pieces with the very same outline are one row here: a_copies and b_copies tell how many there are, a row with
+    a_index = b_index says that copies lie on each other, and ``outline_members`` lists the pieces behind an index.
+    Rectangles are compared natively; only other shapes' outlines reach the clipping function, once per pair.
     """
-    sheet = ["run_id", "sheet_index"]
     shapes = (
         world(placed)
-        .groupBy(*sheet, "ring")
+        .groupBy(*SHEET, "ring")
         .agg(F.min("piece_index").alias("id"), F.count("*").alias("copies"), F.first("box").alias("box"), F.first("solid_mm2").alias("solid"))
     )
     area = (F.col("box.max_x") - F.col("box.min_x")) * (F.col("box.max_y") - F.col("box.min_y"))
     shapes = shapes.withColumn("is_box", F.abs(area - F.col("solid")) < 1e-6)
-    a = shapes.select(*sheet, *[F.col(c).alias(f"a_{c}") for c in ("id", "ring", "copies", "box", "is_box")])
-    b = shapes.select(*sheet, *[F.col(c).alias(f"b_{c}") for c in ("id", "ring", "copies", "box", "is_box")])
+    sides = [shapes.select(*SHEET, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "ring", "copies", "box", "is_box")]) for x in "ab"]
     met = (
-        self_pairs(shapes, sheet)
+        self_pairs(shapes, SHEET)
         .withColumnsRenamed({"left_id": "a_id", "right_id": "b_id"})
-        .join(a, [*sheet, "a_id"])
-        .join(b, [*sheet, "b_id"])
+        .join(sides[0], [*SHEET, "a_id"])
+        .join(sides[1], [*SHEET, "b_id"])
     )
 
     def common(low: str, high: str) -> Column:
         edge = F.least(f"a_box.{high}", f"b_box.{high}") - F.greatest(f"a_box.{low}", f"b_box.{low}")
         return F.greatest(edge, F.lit(0.0))
 
-    boxed = common("min_x", "max_x") * common("min_y", "max_y")
-    near = met.where(boxed > min_area)
-    rect = near.where("a_is_box and b_is_box").withColumn("shared_mm2", boxed)
-    other = near.where("not (a_is_box and b_is_box)").withColumn("shared_mm2", clip_area("a_ring", "b_ring"))
-    keep = [*sheet, F.col("a_id").alias("a_index"), "a_copies", F.col("b_id").alias("b_index"), "b_copies", "shared_mm2"]
+    both = F.col("a_is_box") & F.col("b_is_box")
+    near = met.withColumn("boxed", common("min_x", "max_x") * common("min_y", "max_y")).where(F.col("boxed") > min_area)
+    # explode, so that the area is worked out once, below the filter on it
+    clipped = F.explode(F.array(clip_area(F.when(~both, F.col("a_ring")), F.when(~both, F.col("b_ring")))))
+    pairs = near.select("*", clipped.alias("clipped")).withColumn("shared_mm2", F.when(both, F.col("boxed")).otherwise(F.col("clipped")))
+    keep = [*SHEET, F.col("a_id").alias("a_index"), "a_copies", F.col("b_id").alias("b_index"), "b_copies", "shared_mm2"]
     stacked = shapes.where((F.col("copies") > 1) & (F.col("solid") > min_area)).select(
-        *sheet,
+        *SHEET,
         F.col("id").alias("a_index"),
         F.col("copies").alias("a_copies"),
         F.col("id").alias("b_index"),
         F.col("copies").alias("b_copies"),
         F.col("solid").alias("shared_mm2"),
     )
-    return rect.unionByName(other).where(F.col("shared_mm2") > min_area).select(keep).unionByName(stacked)
+    return pairs.where(F.col("shared_mm2") > min_area).select(keep).unionByName(stacked)
+
+
+def overlapping_pieces(placed: DataFrame, min_area: float = 1.0) -> DataFrame:
+    """Every pair of overlapping pieces (a_piece < b_piece), copies included; as many rows as there are such pairs."""
+    members = outline_members(placed)
+    a, b = (members.select(*SHEET, F.col("shape_index").alias(f"{x}_index"), F.col("piece_index").alias(f"{x}_piece")) for x in "ab")
+    met = overlapping_pairs(placed, min_area).join(a, [*SHEET, "a_index"]).join(b, [*SHEET, "b_index"])
+    met = met.where((F.col("a_index") != F.col("b_index")) | (F.col("a_piece") < F.col("b_piece")))
+    return met.select(*SHEET, F.least("a_piece", "b_piece").alias("a_piece"), F.greatest("a_piece", "b_piece").alias("b_piece"), "shared_mm2")
 
 
 def sheets_with_overlaps(placed: DataFrame, min_area: float = 1.0) -> DataFrame:

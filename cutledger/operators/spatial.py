@@ -1,8 +1,8 @@
 """Box joins on a grid of several cell sizes.
 
 A box lives in the cells of the size class its longer side calls for, so it takes at most four of them;
-a smaller box or a point looks into the classes at or above its own. Only ids and boxes travel through
-the join, and each pair comes out once.
+a smaller box or a point looks into the classes at or above its own that hold a box of its key. Only ids
+and boxes travel through the join, and each pair comes out once.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELL_MM = [16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0]
+#: Cell sizes by a factor of four, up to 67 km.
+CELL_MM = [16.0 * 4**k for k in range(12)]
 
 
 def size_class(side: Column) -> Column:
@@ -41,8 +42,11 @@ def longest_side(box: Column) -> Column:
     return F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"])
 
 
-def upper_levels(level: Column) -> Column:
-    return F.sequence(level, F.lit(len(CELL_MM) - 1))
+def at_levels(df: DataFrame, boxes: DataFrame, keys: list[str], first: Column) -> DataFrame:
+    """Rows once per size class that holds a box of their key, from ``first`` on; boxes have a column ``own``."""
+    held = boxes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("own").alias("level")).distinct()
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("level") >= first]
+    return df.join(held, on).drop(*[f"_{k}" for k in keys])
 
 
 def boxes_touch(a: Column, b: Column) -> Column:
@@ -68,10 +72,8 @@ def touching_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     def at_own(df: DataFrame) -> DataFrame:
         return into_cells(df.withColumn("level", F.col("own")))
 
-    def at_upper(df: DataFrame, first: Column) -> DataFrame:
-        top = F.lit(len(CELL_MM) - 1)
-        levels = F.when(first <= top, F.sequence(first, top)).otherwise(F.array().cast("array<int>"))
-        return into_cells(df.withColumn("level", F.explode(levels)))
+    def at_upper(df: DataFrame, other: DataFrame, first: Column) -> DataFrame:
+        return into_cells(at_levels(df, other, keys, first))
 
     def meet(small: DataFrame, large: DataFrame) -> DataFrame:
         on = [*keys, "level", "cx", "cy"]
@@ -83,8 +85,8 @@ def touching_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
         )
         return s.join(g, on).where(boxes_touch(F.col("s_box"), F.col("g_box")) & corner).select(*keys, "s_id", "g_id")
 
-    up = meet(at_upper(a, F.col("own")), at_own(b)).withColumnsRenamed({"s_id": "left_id", "g_id": "right_id"})
-    down = meet(at_upper(b, F.col("own") + 1), at_own(a)).withColumnsRenamed({"g_id": "left_id", "s_id": "right_id"})
+    up = meet(at_upper(a, b, F.col("own")), at_own(b)).withColumnsRenamed({"s_id": "left_id", "g_id": "right_id"})
+    down = meet(at_upper(b, a, F.col("own") + 1), at_own(a)).withColumnsRenamed({"g_id": "left_id", "s_id": "right_id"})
     return up.unionByName(down)
 
 
@@ -93,7 +95,7 @@ def self_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
     cols = [*keys, "id", "box"]
     a = df.select(cols).withColumn("own", size_class(longest_side(F.col("box"))))
     here = into_cells(a.withColumn("level", F.col("own"))).withColumnsRenamed({"id": "g_id", "box": "g_box"}).drop("own")
-    look = into_cells(a.withColumn("level", F.explode(upper_levels(F.col("own")))))
+    look = into_cells(at_levels(a, a, keys, F.col("own")))
     size = cell_size(F.col("level"))
     corner = (F.floor(F.greatest("box.min_x", "g_box.min_x") / size) == F.col("cx")) & (
         F.floor(F.greatest("box.min_y", "g_box.min_y") / size) == F.col("cy")
@@ -107,16 +109,9 @@ def self_pairs(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs (point_id, box_id) of points within boxes; points have the keys, id, x and y."""
-    here = (
-        into_cells(
-            boxes.select(*keys, F.col("id").alias("box_id"), "box").withColumn(
-                "level", size_class(longest_side(F.col("box")))
-            )
-        )
-    )
-    look = points.select(*keys, F.col("id").alias("point_id"), "x", "y").withColumn(
-        "level", F.explode(upper_levels(F.lit(0)))
-    )
+    sized = boxes.select(*keys, F.col("id").alias("box_id"), "box").withColumn("own", size_class(longest_side(F.col("box"))))
+    here = into_cells(sized.withColumn("level", F.col("own"))).drop("own")
+    look = at_levels(points.select(*keys, F.col("id").alias("point_id"), "x", "y"), sized, keys, F.lit(0))
     size = cell_size(F.col("level"))
     look = look.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
     inside = F.col("x").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("y").between(

@@ -264,6 +264,22 @@ R.add(
     """SELECT idempotency_key, count(*) AS n FROM user_events WHERE idempotency_key IS NOT NULL GROUP BY 1
     HAVING count(*) > 1""",
 )
+for _name, _table, _keys in (
+    ("grants", src.download_grants, "user_id, nesting_run_id"),
+    ("usages", src.usages, "subscription_id, period_year, period_month"),
+    ("carts_of_users", src.carts, "user_id"),
+    ("carts_of_guests", src.carts, "guest_token"),
+    ("resolutions", src.resolutions, "project_id, piece_key"),
+):
+    _all = [k.strip() for k in _keys.split(",")]
+    _given = " AND ".join(f"{k} IS NOT NULL" for k in _all)
+    _view = {"grants": "download_grants"}.get(_name, _name.split("_")[0])
+    R.add(
+        f"g33_{_name}",
+        lambda s, d, t=_table, k=_all, w=_given: qa.duplicate_keys(t(s, d), k, w).groupBy("n").agg(F.count("*").alias("n_keys")),
+        f"""SELECT n, count(*) AS n_keys FROM (SELECT {_keys}, count(*) AS n FROM {_view} WHERE {_given} GROUP BY {_keys} HAVING count(*) > 1)
+        GROUP BY n""",
+    )
 R.add(
     "s11_upsert",
     lambda s, d: tab.upsert(

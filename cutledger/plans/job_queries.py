@@ -28,6 +28,29 @@ R.add(
     f"SELECT status, count(*) AS n, {stamp('max(created_at)')} AS newest FROM runs GROUP BY 1",
 )
 
+for _name, _rows, _view in (
+    ("user_events", src.user_events, "user_events"),
+    ("payments", src.payments, "payments"),
+    ("subscriptions", src.subscriptions, "subscriptions"),
+    ("download_grants", src.download_grants, "download_grants"),
+    ("carts", src.carts, "carts"),
+    ("users", src.users, "users"),
+    ("feedbacks", src.feedbacks, "feedbacks"),
+    ("sheet_stocks", src.stocks, "stocks"),
+    ("project_layers", src.layers, "layers"),
+    ("orphan_resolutions", src.resolutions, "resolutions"),
+    ("split_proposals", src.proposals, "proposals"),
+    ("derived_pieces", src.derived, "derived"),
+):
+
+    def _stored(s, d, name=_name, rows=_rows):
+        root = shared_path(s, "scan")
+        schemas.store(rows(s, d), root, name)
+        found = schemas.load(s, root, name)
+        return found.agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.max("id").alias("top"))
+
+    R.add(f"s1_scan_{_name}", _stored, f"SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, max(id) AS top FROM {_view}")
+
 
 def _report_docs(s, d):
     text = F.when(F.col("id") % 37 == 0, F.lit("{broken")).otherwise(F.to_json("report"))

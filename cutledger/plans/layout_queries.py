@@ -70,7 +70,7 @@ R.add(
 
 def _worlds(s, d):
     turn = F.expr("cast(piece_index % 4 * 90 as double)")
-    rect = _pieces(s, d).where("kind < 2").withColumn("rotation_deg", turn)
+    rect = _pieces(s, d).withColumn("rotation_deg", turn)
     moved = geo.place(F.col("rings"), F.lit(10.0), F.lit(20.0), F.col("rotation_deg"))
     return rect.select("project_id", "piece_index", geo.bbox(moved).alias("b"))
 
@@ -78,10 +78,13 @@ def _worlds(s, d):
 R.add(
     "m7_place",
     lambda s, d: _round(_worlds(s, d).select("project_id", "piece_index", "b.*"), "min_x", "min_y", "max_x", "max_y", digits=4),
-    """SELECT project_id, piece_index, round(cx - w / 2 + 10, 4) AS min_x, round(cy - h / 2 + 20, 4) AS min_y,
-      round(cx + w / 2 + 10, 4) AS max_x, round(cy + h / 2 + 20, 4) AS max_y FROM (SELECT project_id, piece_index,
-      width_mm / 2 AS cx, height_mm / 2 AS cy, CASE WHEN piece_index % 2 = 0 THEN width_mm ELSE height_mm END AS w,
-      CASE WHEN piece_index % 2 = 0 THEN height_mm ELSE width_mm END AS h FROM pieces WHERE kind < 2)""",
+    """SELECT project_id, piece_index, round(10 + CASE t WHEN 0 THEN 0 WHEN 1 THEN cx + cy - h WHEN 2 THEN 2 * cx - w ELSE cx - cy END, 4) AS min_x,
+      round(20 + CASE t WHEN 0 THEN 0 WHEN 1 THEN cy - cx WHEN 2 THEN 2 * cy - h ELSE cx + cy - w END, 4) AS min_y,
+      round(10 + CASE t WHEN 0 THEN w WHEN 1 THEN cx + cy WHEN 2 THEN 2 * cx ELSE cx - cy + h END, 4) AS max_x,
+      round(20 + CASE t WHEN 0 THEN h WHEN 1 THEN cy - cx + w WHEN 2 THEN 2 * cy ELSE cx + cy END, 4) AS max_y
+    FROM (SELECT project_id, piece_index, piece_index % 4 AS t, width_mm::DOUBLE AS w, height_mm::DOUBLE AS h,
+      CASE WHEN kind = 2 THEN width_mm * 5 / 12 ELSE width_mm / 2 END::DOUBLE AS cx,
+      CASE WHEN kind = 2 THEN height_mm * 5 / 12 ELSE height_mm / 2 END::DOUBLE AS cy FROM pieces)""",
 )
 R.add(
     "m8_contains",
@@ -141,7 +144,6 @@ def _oriented(s, d):
     return (
         _pieces(s, d)
         .withColumn("orthogonal", geo.axis_share(geo.outer(F.col("rings"))) >= geo.ORTHOGONAL_SHARE)
-        .where("kind < 2")
         .select(
             "project_id",
             "piece_index",
@@ -155,7 +157,7 @@ R.add(
     "m15_orient",
     _oriented,
     """SELECT project_id, piece_index, round(CASE piece_index % 3 WHEN 0 THEN width_mm WHEN 1 THEN height_mm
-      ELSE CASE WHEN height_mm / width_mm >= 3 THEN height_mm ELSE width_mm END END, 4) AS w FROM pieces WHERE kind < 2""",
+      ELSE CASE WHEN height_mm / width_mm >= 3 THEN height_mm ELSE width_mm END END, 4) AS w FROM pieces""",
 )
 R.add(
     "g24_bounds",
@@ -224,24 +226,6 @@ R.add(
     AS reason FROM pieces p WHERE NOT EXISTS (SELECT 1 FROM placed q WHERE q.run_id = p.project_id
       AND q.piece_index = p.piece_index AND q.x_mm + q.width_mm <= 1220)""",
 )
-_RECT = "placed WHERE kind < 2"
-R.add(
-    "j24_overlapping_pairs",
-    lambda s, d: lay.overlapping_pairs(src.placed(s, d).where("kind < 2")).select(
-        "run_id", "sheet_index", "a_index", "b_index", "shared_mm2"
-    ),
-    f"""SELECT a.run_id, a.sheet_index, a.piece_index AS a_index, b.piece_index AS b_index,
-      (least(a.x_mm + a.width_mm, b.x_mm + b.width_mm) - greatest(a.x_mm, b.x_mm))
-        * (least(a.y_mm + a.height_mm, b.y_mm + b.height_mm) - greatest(a.y_mm, b.y_mm)) AS shared_mm2
-    FROM (SELECT * FROM {_RECT}) a JOIN (SELECT * FROM {_RECT}) b ON a.run_id = b.run_id AND a.sheet_index = b.sheet_index
-      AND a.piece_index < b.piece_index
-    WHERE least(a.x_mm + a.width_mm, b.x_mm + b.width_mm) > greatest(a.x_mm, b.x_mm)
-      AND least(a.y_mm + a.height_mm, b.y_mm + b.height_mm) > greatest(a.y_mm, b.y_mm)
-      AND (least(a.x_mm + a.width_mm, b.x_mm + b.width_mm) - greatest(a.x_mm, b.x_mm))
-        * (least(a.y_mm + a.height_mm, b.y_mm + b.height_mm) - greatest(a.y_mm, b.y_mm)) > 1""",
-)
-
-
 def _shape_sql(t: str) -> str:
     """The one or two boxes a solid shape is made of."""
     return f"""SELECT run_id, sheet_index, piece_index, x_mm AS x0, y_mm AS y0, x_mm + width_mm AS x1,
@@ -254,6 +238,19 @@ _ALLPAIRS = f"""SELECT a.run_id, a.sheet_index, a.piece_index AS a_index, b.piec
       sum(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)) AS shared
     FROM ({_shape_sql('placed')}) a JOIN ({_shape_sql('placed')}) b ON a.run_id = b.run_id AND a.sheet_index = b.sheet_index
       AND a.piece_index < b.piece_index GROUP BY 1, 2, 3, 4 HAVING shared > 1"""
+R.add(
+    "j24_overlapping_pairs",
+    lambda s, d: lay.overlapping_pieces(src.placed(s, d)).select(
+        "run_id", "sheet_index", "a_piece", "b_piece", F.round("shared_mm2", 3).alias("shared_mm2")
+    ),
+    f"SELECT run_id, sheet_index, a_index AS a_piece, b_index AS b_piece, round(shared, 3) AS shared_mm2 FROM ({_ALLPAIRS})",
+)
+R.add(
+    "j24_outline_members",
+    lambda s, d: lay.outline_members(src.placed(s, d)),
+    """SELECT run_id, sheet_index, min(piece_index) OVER (PARTITION BY run_id, sheet_index, kind, x_mm, y_mm, width_mm, height_mm)
+    AS shape_index, piece_index FROM (SELECT * REPLACE (CASE WHEN kind = 2 THEN 2 ELSE 0 END AS kind) FROM placed)""",
+)
 R.add(
     "u2_clip_area_pairs",
     lambda s, d: lay.overlapping_pairs(src.placed(s, d)).select(
@@ -290,18 +287,17 @@ def _tilted():
 R.add(
     "u1_classify",
     lambda s, d: _pieces(s, d)
-    .where("kind = 0 and width_mm <> height_mm")
     # explode, so that the array lambdas are evaluated before the Python function sees the column
-    .select("project_id", "piece_index", F.explode(_tilted()).alias("t"))
-    .select("project_id", "piece_index", classify("t").alias("c"))
+    .select("project_id", "piece_index", F.expr("if(width_mm = height_mm, 90D, 180D)").alias("turn"), F.explode(F.slice(_tilted(), 1, 1)).alias("t"))
+    .select("project_id", "piece_index", "turn", classify("t").alias("c"))
     .select(
         "project_id", "piece_index", "c.is_orthogonal",
-        F.pmod(F.round("c.principal_deg", 4), F.lit(180.0)).alias("principal_deg"),
-        F.pmod(F.round("c.align_deg", 4), F.lit(180.0)).alias("align_deg"),
+        # a square's two directions are equal
+        F.pmod(F.round("c.principal_deg", 4), F.col("turn")).alias("principal_deg"),
+        F.pmod(F.round("c.align_deg", 4), F.col("turn")).alias("align_deg"),
     ),
     """SELECT project_id, piece_index, true AS is_orthogonal, deg AS principal_deg, deg AS align_deg FROM (SELECT *,
-      (piece_index % 5 * 10 + CASE WHEN width_mm > height_mm THEN 0 ELSE 90 END)::DOUBLE AS deg FROM pieces)
-    WHERE kind = 0 AND width_mm <> height_mm""",
+      (piece_index % 5 * 10 + CASE WHEN width_mm >= height_mm THEN 0 ELSE 90 END)::DOUBLE AS deg FROM pieces)""",
 )
 _SHEETS = "SELECT run_id, sheet_index, width_mm, height_mm, offset_x_mm FROM doc_sheets"
 

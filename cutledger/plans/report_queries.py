@@ -147,3 +147,53 @@ R.add(
     WHERE superseded_at IS NULL AND status = 'succeeded' AND created_at >= TIMESTAMP '1996-01-01 06:00:00'
     AND contains(lower(purchaser_name), 'name_1') GROUP BY 1""",
 )
+
+
+def _dashboard(table, start, end, at="1996-06-30 12:00:00", **filters):
+    return lambda s, d: reports.analytics_dashboard(
+        src.user_events(s, d), src.payments(s, d), src.subscriptions(s, d), src.usages(s, d), start, end, at, **filters
+    )[table]
+
+
+_PAID_96 = """payments WHERE superseded_at IS NULL AND paid_at >= TIMESTAMP '1996-01-01' AND paid_at < TIMESTAMP '1997-01-01'"""
+R.add(
+    "analytics_dashboard_purposes",
+    _dashboard("purposes", "1996-01-01", "1996-12-31"),
+    f"""SELECT count(*) FILTER (purpose = 'single_download') AS single_count,
+      count(*) FILTER (purpose = 'plan_subscription') AS plan_count FROM {_PAID_96} AND status = 'succeeded'""",
+)
+R.add(
+    "analytics_dashboard_plans",
+    _dashboard("plans", "1996-01-01", "1996-12-31"),
+    f"""SELECT count(*) FILTER (tier_months = 1) AS plans_1_month, count(*) FILTER (tier_months = 2) AS plans_2_month,
+      count(*) FILTER (tier_months = 4) AS plans_4_month FROM (SELECT * FROM {_PAID_96} AND status = 'succeeded') p
+    JOIN subscriptions s ON s.id = p.subscription_id""",
+)
+R.add(
+    "analytics_dashboard_exhausted_quotas",
+    _dashboard("exhausted_quotas", "1996-01-01", "1997-12-31"),
+    """SELECT count(*) FILTER (downloads_used >= quota_limit) AS exhausted_quotas FROM usages
+    WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '1998-01-01'""",
+)
+R.add(
+    "analytics_dashboard_bots",
+    _dashboard("bots", "2024-01-05", "2024-01-20", "2024-01-10 12:00:00"),
+    """SELECT count(*) AS low_priority_count, count(*) > 300 AS bot_heuristic FROM user_events WHERE priority = 'low'
+    AND occurred_at >= TIMESTAMP '2024-01-10 11:00:00' AND occurred_at <= TIMESTAMP '2024-01-10 12:00:00'""",
+)
+R.add(
+    "analytics_dashboard_facets",
+    _dashboard("facets", "2024-01-05", "2024-01-20"),
+    """SELECT DISTINCT facet, value FROM (SELECT 'locale' AS facet, locale AS value FROM user_events
+    UNION ALL SELECT 'payment_method', p_method FROM user_events UNION ALL SELECT 'currency', p_currency FROM user_events)
+    WHERE value IS NOT NULL""",
+)
+R.add(
+    "sales_report_statuses",
+    lambda s, d: reports.sales_report(
+        src.payments(s, d), {"start_date": "1996-01-01", "end_date": "", "status": ["failed"], "search": "name_1"}, NOW
+    )["statuses"],
+    """SELECT count(*) FILTER (status = 'succeeded') AS succeeded_count, count(*) FILTER (status = 'failed') AS failed_count,
+    count(*) FILTER (status = 'pending') AS pending_count FROM payments WHERE superseded_at IS NULL
+    AND created_at >= TIMESTAMP '1996-01-01 06:00:00' AND contains(lower(purchaser_name), 'name_1')""",
+)

@@ -420,3 +420,36 @@ def test_length_inside_a_slanted_hole(spark):
     df = spark.createDataFrame([(rings,)], T.StructType([T.StructField("rings", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))]))
     seg = F.array(F.array(F.lit(-1.0), F.lit(5.0)), F.array(F.lit(11.0), F.lit(5.0)))
     assert abs(df.select(geo.length_inside(seg, F.col("rings")).alias("n")).first().n - 4.0) < 1e-9
+
+
+def _drawing(spark, outlines):
+    rows = [(1, "L", i, [ring]) for i, ring in enumerate(outlines)]
+    schema = "drawing_id int, layer string, id int, rings array<array<array<double>>>"
+    return {r.id: r.parent_id for r in drw.containment_parent(spark.createDataFrame(rows, schema), 0.1).collect()}
+
+
+def test_containment_in_concave_outlines(spark):
+    box = lambda x0, y0, x1, y1: [[x0, y0], [x1, y0], [x1, y1], [x0, y1]]
+    u = [[0.0, 0.0], [100.0, 0.0], [100.0, 100.0], [70.0, 100.0], [70.0, 30.0], [30.0, 30.0], [30.0, 100.0], [0.0, 100.0]]
+    got = _drawing(spark, [u, box(10.0, 60.0, 90.0, 70.0), box(5.0, 60.0, 25.0, 70.0), box(10.0, 5.0, 90.0, 25.0), box(40.0, 60.0, 60.0, 70.0)])
+    assert got == {0: None, 1: None, 2: 0, 3: 0, 4: 1}
+    ell = [[0.0, 0.0], [100.0, 0.0], [100.0, 20.0], [20.0, 20.0], [20.0, 100.0], [0.0, 100.0]]
+    assert _drawing(spark, [ell, [[5.0, 90.0], [90.0, 5.0], [92.0, 7.0], [7.0, 92.0]], box(2.0, 2.0, 90.0, 18.0)]) == {0: None, 1: None, 2: 0}
+
+
+def test_overlapping_pieces_with_stacked_copies(spark):
+    ring = [[[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0]]]
+    rows = [(1, 0, i, ring, 0.0, 0.0) for i in range(3)] + [(1, 0, 3, ring, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "run_id int, sheet_index int, piece_index int, rings array<array<array<double>>>, x_mm double, y_mm double")
+    assert {(r.a_piece, r.b_piece) for r in lay.overlapping_pieces(df).collect()} == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    assert {(r.shape_index, r.piece_index) for r in lay.outline_members(df).collect()} == {(0, 0), (0, 1), (0, 2), (3, 3)}
+
+
+def test_a_huge_box_takes_few_cells(spark):
+    from cutledger.operators import spatial
+
+    box = "named_struct('min_x', 0D, 'min_y', 0D, 'max_x', 1e6D, 'max_y', 1e6D)"
+    df = spark.range(1).selectExpr("1 as k", "id", f"{box} as box").withColumn("level", spatial.size_class(spatial.longest_side(F.col("box"))))
+    assert spatial.into_cells(df).count() <= 4
+    points = spark.createDataFrame([(1, 7, 5e5, 9e5), (1, 8, 2e6, 0.0)], "k int, id int, x double, y double")
+    assert [(r.point_id, r.box_id) for r in spatial.points_in_boxes(points, df, ["k"]).collect()] == [(7, 0)]
