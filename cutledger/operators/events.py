@@ -202,9 +202,20 @@ def validate_events(events: DataFrame) -> DataFrame:
     )
 
 
+def first_logins(logins: DataFrame) -> DataFrame:
+    """First user of each session: by logged_in_at if there is one, then the lower user."""
+    last = F.lit("9999-12-31").cast("timestamp")
+    when = F.coalesce("logged_in_at", last) if "logged_in_at" in logins.columns else last
+    place = F.struct(when.alias("at"), F.col("user_id"))
+    return logins.groupBy("anonymous_session_key").agg(F.min_by("user_id", place).alias("user_id"))
+
+
 def backfill_users(events: DataFrame, logins: DataFrame) -> DataFrame:
-    """Give anonymous events the user who later logged in with their session (first login wins)."""
-    who = logins.groupBy("anonymous_session_key").agg(F.min("user_id").alias("_login_user"))
+    """Give anonymous events the user who later logged in with their session.
+
+    The first login by ``logged_in_at`` wins; logins at the same time, or without that column, go by the lower user.
+    """
+    who = first_logins(logins).withColumnRenamed("user_id", "_login_user")
     return (
         events.join(who, "anonymous_session_key", "left")
         .withColumn("user_id", F.coalesce("user_id", "_login_user"))

@@ -40,10 +40,9 @@ R.add(
 )
 R.add(
     "t2_dedup_stream",
-    lambda s, d: drain(sev.dedup_stream(_events(s, d), "1 day").select("idempotency_key"), "dedup")
-    .groupBy("idempotency_key")
-    .agg(F.count("*").alias("n")),
-    """SELECT idempotency_key, CASE WHEN idempotency_key IS NULL THEN count(*) ELSE 1 END AS n FROM user_events GROUP BY 1""",
+    lambda s, d: drain(sev.dedup_stream(_events(s, d), "1 day").select("id", "idempotency_key"), "dedup"),
+    """SELECT min(id) AS id, idempotency_key FROM user_events WHERE idempotency_key IS NOT NULL GROUP BY 2
+    UNION ALL SELECT id, idempotency_key FROM user_events WHERE idempotency_key IS NULL""",
 )
 _LIMIT = 2
 R.add(

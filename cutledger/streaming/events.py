@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from cutledger.operators.events import principal, validate_events
+from cutledger.operators.events import first_logins, principal, validate_events
 from cutledger.operators.scan import HOUR_US, top_one
 from cutledger.session import shared_path
 from cutledger.sources import dims
@@ -18,34 +18,39 @@ THROTTLED_PATHS = {
 }
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception as error:  # the table does not exist before the first batch
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+def _read_or_none(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame | None:
+    """A table that does not exist before the first batch; it may have no file yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else None
 
 
-def ingest(stream: DataFrame, root: str, delay: str = DEFAULT_DELAY) -> None:
+KEY_BUCKETS = 256
+#: Folder columns of the stored events.
+PLACED = [T.StructField("batch_id", T.IntegerType()), T.StructField("day", T.DateType())]
+
+
+def ingest(stream: DataFrame, root: str, delay: str = DEFAULT_DELAY, received: str | None = None) -> None:
     """Validate, de-duplicate for ever and store events under ``root``; refused rows go to the dead letter.
 
-    Tables: events and dead_letter (one folder per batch, partitioned by day), high_water (latest time per
-    batch). A batch overwrites its own folders, so a replayed batch gives the same tables. Within a batch the
-    lowest id of a key wins; keys of earlier batches are found by an anti-join that reads only the stored
-    key column.
+    Tables: events and dead_letter (one folder per batch, partitioned by day), keys (seen idempotency keys, in folders by a hash of the
+    key), high_water (latest time per batch). A batch overwrites its own folders and never reads a clock, so a replayed batch gives the
+    same tables. An event without a time takes that of the column ``received``, else it is refused. Within a batch the lowest id of a key
+    wins; keys of earlier batches are found in the key folders that the batch hits.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         earlier = f"batch_id < {int(batch_id)}"
-        checked = validate_events(batch.withColumn("occurred_at", F.coalesce("occurred_at", F.current_timestamp())))
-        marks = _read_or_none(spark, f"{root}/high_water")
+        timed = batch.withColumn("occurred_at", F.coalesce("occurred_at", received)) if received else batch
+        checked = validate_events(timed)
+        marks = _read_or_none(spark, f"{root}/high_water", "latest timestamp, batch_id int")
         seen = marks.where(earlier).agg(F.max("latest")).first()[0] if marks is not None else None
         late = F.lit(False)
         if seen is not None:
             late = F.col("occurred_at") < F.lit(seen) - F.expr(f"interval {delay}")
-        reason = F.coalesce("reject_reason", F.when(late, F.lit("late")))
+        untimed = F.when(F.col("occurred_at").isNull(), F.lit("missing: occurred_at"))
+        reason = F.coalesce("reject_reason", untimed, F.when(late, F.lit("late")))
         checked = checked.withColumn("reject_reason", reason).persist()
         try:
             good = checked.where("reject_reason is null").drop("reject_reason")
@@ -53,19 +58,26 @@ def ingest(stream: DataFrame, root: str, delay: str = DEFAULT_DELAY) -> None:
                 F.concat(F.lit("k:"), "idempotency_key"), F.concat(F.lit("id:"), F.col("id").cast("string"))
             )
             good = top_one(good.withColumn("_key", key), ["_key"], [F.col("id")], lowest=True)
-            stored = _read_or_none(spark, f"{root}/events")
+            good = good.withColumn("bucket", F.pmod(F.xxhash64("idempotency_key"), F.lit(KEY_BUCKETS)).cast("int"))
+            stored = _read_or_none(spark, f"{root}/keys", "idempotency_key string, batch_id int, bucket int")
             if stored is not None:
-                known = stored.where(earlier).where("idempotency_key is not null").select("idempotency_key")
+                hit = [r.bucket for r in good.where("idempotency_key is not null").select("bucket").distinct().collect()]
+                known = stored.where(earlier).where(F.col("bucket").isin(hit)).select("idempotency_key")
                 good = good.join(known, "idempotency_key", "left_anti")
+            good = good.persist()
 
             def write(df: DataFrame, name: str) -> None:
                 dated = df.withColumn("day", F.to_date("occurred_at"))
                 dated.write.mode("overwrite").partitionBy("day").parquet(f"{root}/{name}/batch_id={batch_id}")
 
+            keys = good.where("idempotency_key is not null").select("idempotency_key", "bucket")
+            # the keys go last: a batch that fails before is replayed as if it had not been seen
             write(good.select(batch.columns), "events")
             write(checked.where("reject_reason is not null"), "dead_letter")
             latest = checked.agg(F.max("occurred_at").alias("latest"))
             latest.write.mode("overwrite").parquet(f"{root}/high_water/batch_id={batch_id}")
+            keys.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/keys/batch_id={batch_id}")
+            good.unpersist()
         finally:
             checked.unpersist()
 
@@ -81,7 +93,7 @@ def ingested(stream: DataFrame, delay: str = DEFAULT_DELAY) -> tuple[DataFrame,
     refused = T.StructType([*kept.fields, T.StructField("reject_reason", T.StringType())])
 
     def stored(name: str, schema: T.StructType) -> DataFrame:
-        found = _read_or_none(spark, f"{root}/{name}")
+        found = _read_or_none(spark, f"{root}/{name}", T.StructType([*schema.fields, *PLACED]))
         return spark.createDataFrame([], schema) if found is None else found
 
     return stored("events", kept), stored("dead_letter", refused)
@@ -221,12 +233,12 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = DEFAULT_DE
 def backfill_stream(events_path: str, logins: DataFrame, root: str) -> None:
     """Give stored anonymous events the user of each arriving login, rewriting only days that have some.
 
-    ``events_path`` is partitioned by day; logins have anonymous_session_key and user_id.
+    ``events_path`` is partitioned by day; logins have anonymous_session_key, user_id and, to tell the first one, logged_in_at.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        who = batch.groupBy("anonymous_session_key").agg(F.min("user_id").alias("_user"))
+        who = first_logins(batch).withColumnRenamed("user_id", "_user")
         stored = spark.read.parquet(events_path)
         open_rows = stored.where("user_id is null").join(who, "anonymous_session_key", "left_semi")
         days = open_rows.select("day").distinct()

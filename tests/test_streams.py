@@ -107,3 +107,16 @@ def test_lock_closed_in_a_chunk_before_its_opening(spark, tmp_path):
     got = drain(sbill.lock_timeouts(spark.readStream.schema(schema).parquet(str(tmp_path / "locks"))), "l").collect()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     assert [(r.payment_id, r.reason) for r in got] == [(2, "timeout")]
+
+
+def test_events_without_a_time(spark, tmp_path):
+    rows = [_row(1, 0, "a"), (2, "paywall_viewed", "low", "{}", 1, "s", "b", None)]
+    _, dead = sev.ingested(_stream(spark, tmp_path, [rows]))
+    assert {r.id: r.reject_reason for r in dead.collect()} == {2: "missing: occurred_at"}
+
+
+def test_first_login_wins_by_time(spark):
+    from cutledger.operators import events as ev
+
+    logins = spark.createDataFrame([("s", 1, BASE + dt.timedelta(hours=2)), ("s", 9, BASE), ("t", 4, None), ("t", 3, None)], "anonymous_session_key string, user_id bigint, logged_in_at timestamp")
+    assert {tuple(r) for r in ev.first_logins(logins).collect()} == {("s", 9), ("t", 3)}
