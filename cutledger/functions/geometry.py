@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RINGS = "array<array<array<double>>>"
+# Tolerances and limits of the measures.
 EPS_MM = 1e-6
 MIN_COMPACTNESS = 0.08
 MIN_CIRCLE_COMPACTNESS = 0.55

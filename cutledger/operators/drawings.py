@@ -10,6 +10,7 @@ from cutledger.operators import spatial
 from cutledger.operators.scan import top_one
 from cutledger.session import cut_lineage
 
+# Entity types that draw contours, and those that only decorate.
 CONTOUR_TYPES = ["LWPOLYLINE", "POLYLINE", "CIRCLE", "ELLIPSE", "SPLINE", "ARC"]
 DECORATION_TYPES = ["LINE", "TEXT", "MTEXT", "INSERT", "HATCH", "ATTRIB"]
 GROUP = ["drawing_id", "layer"]

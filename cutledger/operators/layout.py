@@ -34,7 +34,7 @@ def fits(pieces: DataFrame, stocks: DataFrame, margin_mm: float, kerf_mm: float
 
     A box fits when its longer and shorter sides are within those of a sheet. Pieces and sheets are put
     on one line by longer side, longest first; the largest shorter side seen so far decides, so no
-    piece meets every sheet.
+    piece meets every sheet. Pieces of one size are cut into blocks by their index.
     """
     w, h = F.col("width_mm") + max(kerf_mm, 0.0), F.col("height_mm") + max(kerf_mm, 0.0)
     sheets = usable(stocks, margin_mm).select(
@@ -50,8 +50,12 @@ def fits(pieces: DataFrame, stocks: DataFrame, margin_mm: float, kerf_mm: float
     seen = running(
         line,
         ["project_id"],
-        [-F.col("long"), F.col("kind")],
-        [F.floor(-F.col("long") / 4.0)],
+        [-F.col("long"), F.col("kind"), F.coalesce("piece_index", F.lit(0))],
+        [
+            F.struct((-F.col("long")).alias("k"), F.col("kind"), id_block(F.coalesce("piece_index", F.lit(0))).alias("i")),
+            F.floor(-F.col("long") / 4.0),
+            F.floor(-F.col("long") / 4096.0),
+        ],
         [Running("widest", "max", F.col("short"))],
     )
     return seen.where("kind = 1").select(
@@ -278,7 +282,10 @@ def display_offsets(sheets: DataFrame, gap_mm: float = DISPLAY_GAP_MM) -> DataFr
         sheets,
         ["run_id"],
         [F.col("offset_x_mm"), F.col("sheet_index")],
-        [F.floor(F.col("offset_x_mm") / 100_000.0)],
+        [
+            F.struct(F.col("offset_x_mm").alias("k"), id_block(F.col("sheet_index"), 4096).alias("i")),
+            F.floor(F.col("offset_x_mm") / 100_000.0),
+        ],
         [Running("display_x_mm", "sum", F.col("width_mm") + gap_mm, False)],
     )
     return out.withColumn("display_x_mm", F.col("display_x_mm").cast("double"))
