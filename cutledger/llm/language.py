@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutledger.llm.common import text_of
+from cutledger.llm.common import ready, text_of
 
 DEPTH = 3
 #: Expected number of documents per language in the training sample, and the size bounds of the model.
 DOCS_PER_LANG = 2_000
 MAX_CONTEXTS = 30_000
+#: Languages that are learned, the most frequent ones; their counts are broadcast.
+MAX_LANGS = 1_000
 MIN_CONTEXT = 4
 #: Code lengths are held in steps of 1/1024 bit.
 UNIT = 1024
@@ -93,7 +95,7 @@ class Model:
         classes = np.zeros(256, np.int64)
         classes[seen] = np.arange(1, len(seen) + 1)
         a = len(seen) + 1
-        rows = np.full((1, a, kinds), 8.0)
+        rows = np.full((1, a, kinds), 8.0, np.float32)
         state = np.zeros((a,) * DEPTH, np.int32)  # state of the longest known context; last axis: the nearest byte
         for depth in range(DEPTH + 1):
             mine = self.depth == depth
@@ -120,7 +122,8 @@ class Model:
             np.add.at(distinct, (slot, lang), 1)
             has = sums > 0
             escape = np.where(has, np.log2(np.where(has, sums + distinct, 1)) - np.log2(np.where(has, distinct, 1)), 0)
-            new = below + escape[:, None, :]
+            new = below
+            new += escape[:, None, :].astype(np.float32)
             new[slot, byte, lang] = np.log2((sums + distinct)[slot, lang]) - np.log2(n)
             if depth == 0:
                 rows = new
@@ -135,10 +138,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     Rows without a language or text teach nothing; without any row the model has no language and every text is undetermined.
     """
+    ready(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("have"))
+    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("have")).orderBy(F.col("have").desc(), "lang").limit(MAX_LANGS)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.join(share, "lang").filter(place * F.col("have") < docs_per_lang).select("lang", text_of().alias("text"))
+    sample = rows.join(F.broadcast(share), "lang").filter(place * F.col("have") < docs_per_lang).select("lang", text_of().alias("text"))
     counts = sample.mapInPandas(count_grams, COUNTS).groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n"))
     got = counts.toPandas()  # bounded by the sample
     langs = sorted(got["lang"].unique().tolist())
@@ -209,6 +213,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     Null texts and texts without a letter are `und` with score 0. Ties go to the first language in code-point order. Repeated rows come out
     repeated; other columns are ignored.
     """
+    ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (~in_training(doc_id)).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(_predictor(sent), SCHEMA)
@@ -229,5 +234,6 @@ def _keeper(model, text: str) -> Callable:
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows in a learned language, with all columns of `docs`: rows that are `und` or cost MAX_BITS_PER_BYTE or more go."""
+    ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keeper(sent, text), docs.schema)
