@@ -15,10 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ready(spark: SparkSession) -> None:
+    """What the operators with Python functions need of a session."""
     ship(spark)
     for key, value in ARROW.items():
         spark.conf.set(key, value)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

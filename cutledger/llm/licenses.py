@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutledger.llm.common import ready
+
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Further notice phrases and their labels.
@@ -194,4 +196,5 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     score is 1 - 0.5 to the number of places found (an expression counts twice). Other columns are ignored.
     """
+    ready(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan_batches, SCHEMA)

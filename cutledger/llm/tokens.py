@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutledger.llm.common import parts_for, stored, text_of, volume
+from cutledger.llm.common import parts_for, ready, stored, text_of, volume
 
 END_ID = 2
 BLOCK = 4096
@@ -341,6 +341,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     Null texts count as empty and give the end id alone. `tokenizer` is the path of a tokenizer file that every worker can open. A shard is a
     range of ids of about `shard_bytes` of text and is written by one task; write the rows as Parquet to keep the files.
     """
+    ready(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     dealt = rows.repartitionByRange(parts_for(volume(rows)[1], shard_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
     dealt = dealt.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
@@ -362,6 +363,7 @@ def _reader(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. One file is decoded at a time."""
+    ready(files.sparkSession)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     begins = files.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("begin"))
     decoded = files.select("shard", "file").mapInPandas(_reader, "shard int, doc_id long, offset long, n_tokens long, ids_crc32 long")
