@@ -34,7 +34,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return fingerprints.fingerprint_documents(docs, blocks=parts_for(volume(docs)[1], 4_000_000))
+    # the first texts of all blocks meet in one task, so there are never more than some thousands
+    return fingerprints.fingerprint_documents(docs, blocks=min(20_000, parts_for(volume(docs)[1], 4_000_000)))
 
 
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
