@@ -91,27 +91,37 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def scatter(keys: np.ndarray, refs: np.ndarray, owners: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Deal (key, owner) records into rows (bucket, owners, refs, keys), one row per bucket met; refs index the row's owners."""
-    bucket = ((keys >> U(32)) * U(buckets)) >> U(32)
+def scatter(
+    keys: np.ndarray, refs: np.ndarray, owners: np.ndarray, buckets: int, by_owner: bool = False, narrow: bool = False
+) -> pd.DataFrame:
+    """Deal (key, owner) records into rows (bucket, owners, refs, keys), one row per bucket met; refs index the row's owners.
+
+    Buckets are ranges of the key, or hashes of the owner. ``narrow`` sends the lower half of the keys only, for keys whose equality is
+    verified later: a bucket's share of the upper half still tells them apart.
+    """
+    place = mix(owners.astype(U))[refs] if by_owner else keys
+    bucket = ((place >> U(32)) * U(buckets)) >> U(32)
     order = np.argsort(bucket, kind="stable")
-    bucket, keys, refs = bucket[order], keys[order], refs[order]
+    bucket, refs = bucket[order], refs[order]
+    sent = keys[order].astype(np.uint32) if narrow else keys[order]
     ends = np.flatnonzero(np.diff(bucket)) + 1
     rows = []
-    for lo, hi in zip(np.concatenate([[0], ends]), np.concatenate([ends, [len(keys)]])):
+    for lo, hi in zip(np.concatenate([[0], ends]), np.concatenate([ends, [len(sent)]])):
         if hi > lo:
             own, ref = np.unique(refs[lo:hi], return_inverse=True)
             kind = np.uint16 if len(own) <= 65536 else np.uint32
-            rows.append((int(bucket[lo]), owners[own].tobytes(), ref.astype(kind).tobytes(), keys[lo:hi].tobytes(), kind().itemsize))
+            rows.append((int(bucket[lo]), owners[own].tobytes(), ref.astype(kind).tobytes(), sent[lo:hi].tobytes(), kind().itemsize))
     return pd.DataFrame(rows, columns=["bucket", "owners", "refs", "keys", "width"])
 
 
 PACKED = "bucket long, owners binary, refs binary, keys binary, width int"
 
 
-def gather(rows: pd.DataFrame, owner_type: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, owners) of all records of a bucket's rows."""
-    keys = np.concatenate([np.frombuffer(k, U) for k in rows["keys"]])
+def gather(rows: pd.DataFrame, owner_type: type = np.int64, narrow: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, owners) of all records of a bucket's rows; narrow keys get the bucket's number as their upper half."""
+    keys = np.concatenate([np.frombuffer(k, np.uint32 if narrow else U) for k in rows["keys"]])
+    if narrow:
+        keys = keys.astype(U) | U(int(rows["bucket"].iloc[0])) << U(32)
     owners = np.concatenate(
         [np.frombuffer(o, owner_type)[np.frombuffer(r, np.uint16 if w == 2 else np.uint32)] for o, r, w in zip(rows["owners"], rows["refs"], rows["width"])]
     )

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutledger.llm.common import parts_for, stored, text_of, volume
+from cutledger.llm.common import parts_for, ready, stored, text_of, volume
 from cutledger.llm.numeric import PACKED, U, gather, prefix_sums, scatter, span_hashes
 
 LENGTH = 200
@@ -163,15 +163,23 @@ REPEATED = "owner long, keys binary"
 FLAG = U(1)
 
 
-def _by_owner(keys: np.ndarray, owners: np.ndarray) -> pd.DataFrame:
+def _answer(keys: np.ndarray, owners: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Keys on their way back to their texts, packed by text."""
+    own, refs = np.unique(owners, return_inverse=True)
+    return scatter(keys, refs, own, buckets, by_owner=True)
+
+
+def _collect(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per text with all its keys."""
+    keys, owners = gather(rows)
     order = np.argsort(owners, kind="stable")
     keys, owners = keys[order], owners[order]
-    first = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(owners) else np.zeros(0, np.int64)
-    ends = np.concatenate([first[1:], [len(owners)]]).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+    ends = np.concatenate([first[1:], [len(owners)]])
     return pd.DataFrame({"owner": owners[first], "keys": [np.unique(keys[a:b]).tobytes() for a, b in zip(first, ends)]})
 
 
-def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
+def _repeats(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Sort one bucket of suffixes; per text, the strings that occur twice or more, flagged where the text is the least of its group."""
     keys, owners = gather(rows)
     order = np.lexsort((owners, keys))
@@ -182,10 +190,10 @@ def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
     twice[:-1] |= same
     first = np.flatnonzero(np.concatenate([[True], ~same])) if len(keys) else np.zeros(0, np.int64)
     leads = owners == np.repeat(owners[first], np.diff(np.concatenate([first, [len(keys)]])))
-    return _by_owner((keys | np.where(leads, FLAG, U(0)))[twice], owners[twice])
+    return _answer((keys | np.where(leads, FLAG, U(0)))[twice], owners[twice], buckets)
 
 
-def _contested(rows: pd.DataFrame) -> pd.DataFrame:
+def _contested(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Per text, its unflagged minimisers that another text has flagged."""
     keys, owners = gather(rows)
     order = np.argsort(keys, kind="stable")
@@ -195,7 +203,7 @@ def _contested(rows: pd.DataFrame) -> pd.DataFrame:
     size = np.diff(np.concatenate([first, [len(keys)]]))
     open_ = np.repeat(np.maximum.reduceat(keys & FLAG, first), size) if len(keys) else keys
     wanted = (open_ == FLAG) & (keys & FLAG == U(0))
-    return _by_owner(keys[wanted], owners[wanted])
+    return _answer(keys[wanted], owners[wanted], buckets)
 
 
 def _known(blobs: Iterable[bytes]) -> np.ndarray:
@@ -298,13 +306,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are judged on the input. Null texts count as empty; shorter texts lose nothing. Repeated rows are copies of each other, so long enough
     ones are removed whole. Other columns are ignored; an empty table gives no rows.
     """
+    ready(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     thin = rows.select("doc_id", F.xxhash64("text").alias("owner"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
     thin = stored(thin, "repeats-docs")
     long_enough = rows.filter(F.octet_length("text") >= length).withColumn("owner", F.xxhash64("text"))
     buckets = parts_for(volume(rows)[1], bucket_bytes)
     groups = thin.filter(F.col("n_bytes") >= length).groupBy("owner").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
-    deal = lambda records, how=_repeats: records.groupBy("bucket").applyInPandas(how, REPEATED)
+
+    def deal(records: DataFrame, how: Callable = _repeats) -> DataFrame:
+        sorted_ = records.groupBy("bucket").applyInPandas(lambda rows: how(rows, buckets), PACKED)
+        return sorted_.groupBy("bucket").applyInPandas(_collect, REPEATED)
+
     anchors = deal(long_enough.select("owner", "text").mapInPandas(_anchors(length, buckets), PACKED))
     lists = anchors.groupBy("owner").agg(F.collect_list("keys").alias("lists")).join(groups, "owner")
     # one row of each text: found by key and id together, so that the copies of a hot text spread
