@@ -178,15 +178,21 @@ R.add(
     """SELECT project_id, piece_index, project_id || ':piece-' || piece_index AS key, true AS valid, false AS bad_valid
     FROM pieces""",
 )
+def _ring_json(*corners: tuple[str, str]) -> str:
+    """A ring as JSON text in SQL, from the SQL of its corners."""
+    points = " || ',' || ".join(f"'[' || CAST({x} AS DOUBLE)::VARCHAR || ',' || CAST({y} AS DOUBLE)::VARCHAR || ']'" for x, y in corners)
+    return f"'[' || {points} || ']'"
+
+
+_BOX_JSON = _ring_json(("0", "0"), ("w", "0"), ("w", "h"), ("0", "h"))
+_HOLE_JSON = _ring_json(("w / 4", "h / 4"), ("w * 3 / 4", "h / 4"), ("w * 3 / 4", "h * 3 / 4"), ("w / 4", "h * 3 / 4"))
+_ELL_JSON = _ring_json(("0", "0"), ("w", "0"), ("w", "h / 2"), ("w / 2", "h / 2"), ("w / 2", "h"), ("0", "h"))
 R.add(
     "p20_fingerprint",
-    lambda s, d: _pieces(s, d).where("kind = 0").groupBy("layer", geo.fingerprint(F.col("layer"), F.col("rings")).alias("fp")).agg(
-        F.count("*").alias("n")
-    ),
-    """SELECT layer, substr(sha256('{"layer_name":"' || layer || '","rings":[[[0.0,0.0],[' || w || ',0.0],[' || w || ',' || h
-      || '],[0.0,' || h || ']]]}'), 1, 16) AS fp, count(*) AS n
-    FROM (SELECT layer, CAST(CAST(width_mm AS INTEGER) AS VARCHAR) || '.0' AS w, CAST(CAST(height_mm AS INTEGER) AS VARCHAR) || '.0' AS h
-      FROM pieces WHERE kind = 0) GROUP BY 1, 2""",
+    lambda s, d: _pieces(s, d).groupBy("layer", geo.fingerprint(F.col("layer"), F.col("rings")).alias("fp")).agg(F.count("*").alias("n")),
+    f"""SELECT layer, substr(sha256('{{"layer_name":"' || layer || '","rings":[' || CASE kind WHEN 0 THEN {_BOX_JSON}
+      WHEN 1 THEN {_BOX_JSON} || ',' || {_HOLE_JSON} ELSE {_ELL_JSON} END || ']}}'), 1, 16) AS fp, count(*) AS n
+    FROM (SELECT layer, kind, CAST(width_mm AS DOUBLE) AS w, CAST(height_mm AS DOUBLE) AS h FROM pieces) GROUP BY 1, 2""",
 )
 R.add(
     "p22_child_label",
