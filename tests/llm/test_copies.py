@@ -113,6 +113,17 @@ def test_odd_documents_join(odd, none):
     assert jaccard.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_of_each_component_with_null_and_repeated_ids(spark):
+    say = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(None, say("a")), (None, say("b")), (None, say("b") + " tail"), (5, say("c")), (5, say("d")), (3, say("d") + " tail"), (7, say("e")), (7, say("e"))]
+    rows += [(None, ""), (None, None), (None, " "), (8, ""), (8, "\t"), (9, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    full = sorted([(r["doc_id"], r["text"].split()[0][0]) for r in kept if (r["text"] or "").strip()], key=str)
+    assert full == sorted([(None, "a"), (None, "b"), (5, "c"), (3, "d"), (7, "e")], key=str)
+    empty = sorted([(r["doc_id"], r["text"] or "") for r in kept if not (r["text"] or "").strip()], key=str)
+    assert empty == sorted([(None, ""), (None, " "), (8, ""), (8, "\t"), (9, "")], key=str)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (51, 100), (7, 7)] + [(200, 200 + k) for k in range(1, 30)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
