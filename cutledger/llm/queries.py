@@ -29,7 +29,7 @@ def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard.similar_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class", "n_links")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

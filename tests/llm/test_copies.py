@@ -124,6 +124,21 @@ def test_keep_one_of_each_component_with_null_and_repeated_ids(spark):
     assert empty == sorted([(None, ""), (None, " "), (8, ""), (8, "\t"), (9, "")], key=str)
 
 
+def test_all_links_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard._link_counts, "__defaults__", (7,))  # several teams per component
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(300)]
+    base, rows = list(rng.choice(vocab, 150)), []
+    for k in range(40):  # a chain of edits: near ones link, far ones do not
+        rows.append((k, " ".join(base)))
+        base[int(rng.integers(0, 150))] = str(rng.choice(vocab))
+    rows += [(100, rows[3][1]), (None, rows[3][1].upper()), (101, "other words stand here alone"), (102, ""), (103, None)]
+    sets = [shingle_set(t, 4) for _, t in rows]
+    want = [sum(len(a) > 0 and len(b) > 0 and jaccard.similar_enough(a, b) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(want) > 3 and sorted([(r["doc_id"], r["n_links"]) for r in got], key=str) == sorted([(i, n) for (i, _), n in zip(rows, want)], key=str)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (51, 100), (7, 7)] + [(200, 200 + k) for k in range(1, 30)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
