@@ -7,7 +7,7 @@ raw lower-cased text of those documents whose words hold a tag, to find where th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -62,7 +62,7 @@ def identifier(word: str) -> tuple[str, int] | None:
     return KNOWN[best] if best else None
 
 
-def to_postfix(tokens: list[str]) -> list[str] | None:
+def to_postfix(tokens: Iterable[str]) -> list[str] | None:
     """Shunting-yard: operators by precedence (with, and, or), parentheses; None if the expression is malformed."""
     out, waiting, want = [], [], True
     for t in tokens:
@@ -100,7 +100,12 @@ def evaluate(expression: str) -> tuple[set[str], int, bool] | None:
 
     `or` leaves the milder choice, `and` binds to the stricter part, `with` names an exception, which eases its licence by one step.
     """
-    post = to_postfix(TOKEN.findall(expression.lower()))
+    return evaluate_tokens(TOKEN.findall(expression.lower()))
+
+
+def evaluate_tokens(tokens: Iterable[str]) -> tuple[set[str], int, bool] | None:
+    """As evaluate, from the tokens, which are taken no further than the first that does not fit."""
+    post = to_postfix(tokens)
     if post is None:
         return None
     stack: list[tuple[set[str], int, bool]] = []
@@ -131,14 +136,53 @@ def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     return words, raw
 
 
+#: What ends an expression, and what is stripped from it.
+ENDS, STRIPPED = ("\n", "*/", "-->"), " \t\r.;,\"'"
+
+
+def _ends(low: str) -> Callable[[int], int]:
+    """Where the expression that begins at a place ends; asked for ascending places, each stretch of the text is searched once."""
+    found, stop, last = dict.fromkeys(ENDS, -1), -1, -1
+
+    def end_of(at: int) -> int:
+        nonlocal stop, last
+        if at > stop:
+            for mark in ENDS:
+                if found[mark] < at:
+                    k = low.find(mark, at)
+                    found[mark] = k if k >= 0 else len(low)
+            stop = last = min(found.values())
+            while last > at and low[last - 1] in STRIPPED:
+                last -= 1
+        return max(last, at)
+
+    return end_of
+
+
+def _known_only(tokens: Iterator[str]) -> Iterator[str]:
+    """The tokens; an unknown identifier before any exception makes them malformed and ends them."""
+    for t in tokens:
+        yield t
+        if t == "with":
+            yield from tokens
+        elif t not in PRECEDENCE and t not in "()" and identifier(t) is None:
+            yield from "()"
+            return
+
+
 def expressions(text: bytes) -> Iterator[tuple[str, tuple[set[str], int, bool]]]:
-    """Valid licence expressions behind the tags of a text, to the end of the line (a comment's end mark is no part of it)."""
+    """Valid licence expressions behind the tags of a text, to the end of the line (a comment's end mark is no part of it), however long.
+
+    An expression is read no further than its first misplaced token, and behind a plain tag than its first unknown identifier before an exception.
+    """
     low = text.translate(LOWER).decode("latin-1")
+    end_of = _ends(low)
     for end, sure in automata()[1].iter(low):
-        line = low[end + 1 : end + 1 + 4096].split("\n", 1)[0].split("*/", 1)[0].split("-->", 1)[0].strip(" \t\r.;,\"'")
-        got = evaluate(line)
+        stop = end_of(end + 1)
+        tokens = (m.group() for m in TOKEN.finditer(low, end + 1, stop))
+        got = evaluate_tokens(tokens if sure else _known_only(tokens))
         if got is not None and (sure or got[2]):
-            yield line, got
+            yield low[end + 1 : stop].strip(STRIPPED), got
 
 
 def scan(text: str | None) -> tuple:

@@ -51,6 +51,33 @@ def test_tags_and_notices():
     assert licenses.scan("license: yours")[8] == 0 and licenses.scan("license: MIT")[8] == 1
 
 
+def test_long_expressions_are_read_to_their_end():
+    names = [n for n, _ in licenses.FIELDS]
+    for tag in ("SPDX-License-Identifier:", "license:"):
+        line = "(" + " OR ".join(["MIT"] * 2_000) + ") AND GPL-3.0-only"
+        row = dict(zip(names, licenses.scan(f"/* {tag} {line}. */ x\nlicense: BSD-3-Clause")))
+        assert row["n_expressions"] == 2 and row["labels"] == "bsd,gpl,mit" and row["expression_class"] == "strong" and row["expression"] == line.lower()
+    many = licenses.scan("license: MIT, " * 50_000)
+    assert many[8] == 1  # only the last one is not followed by another word
+
+
+def test_expressions_match_splitting():
+    def split(text):
+        low = text.translate(licenses.LOWER).decode("latin-1")
+        for end, sure in licenses.automata()[1].iter(low):
+            line = low[end + 1 :].split("\n", 1)[0].split("*/", 1)[0].split("-->", 1)[0].strip(" \t\r.;,\"'")
+            got = licenses.evaluate(line)
+            if got is not None and (sure or got[2]):
+                yield line, got
+
+    rng = np.random.default_rng(4)
+    pieces = ["license:", "SPDX-License-Identifier:", "MIT", "GPL-2.0", "odd", "and", "or", "with", "(", ")", "\n", "*/", "-->", ".", ";", " ", "\r"]
+    assert list(licenses.expressions(b"license: MIT with (odd or other)")) == list(split(b"license: MIT with (odd or other)")) != []
+    for _ in range(4_000):
+        text = " ".join(rng.choice(pieces, int(rng.integers(1, 16)))).replace(" . ", ". ").encode()
+        assert list(licenses.expressions(text)) == list(split(text))
+
+
 def walk(model, lang, data):
     """Code length of bytes in one language, by walking the context tree."""
     at = model.langs.index(lang)
