@@ -19,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutledger.llm.common import ready, text_of
+from cutledger.llm.common import ready, stored, text_of
 
 DEPTH = 3
 #: Expected number of documents per language in the training sample, and the size bounds of the model.
 DOCS_PER_LANG = 2_000
 MAX_CONTEXTS = 30_000
-#: Languages that are learned, the most frequent ones; their counts are broadcast.
-MAX_LANGS = 1_000
 MIN_CONTEXT = 4
 #: Code lengths are held in steps of 1/1024 bit.
 UNIT = 1024
@@ -140,9 +138,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """
     ready(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("have")).orderBy(F.col("have").desc(), "lang").limit(MAX_LANGS)
+    # stored, so that Spark knows its size and broadcasts it if it is small
+    share = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("have")), "language-share")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.join(F.broadcast(share), "lang").filter(place * F.col("have") < docs_per_lang).select("lang", text_of().alias("text"))
+    sample = rows.join(share, "lang").filter(place * F.col("have") < docs_per_lang).select("lang", text_of().alias("text"))
     counts = sample.mapInPandas(count_grams, COUNTS).groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n"))
     got = counts.toPandas()  # bounded by the sample
     langs = sorted(got["lang"].unique().tolist())

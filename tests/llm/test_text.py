@@ -119,6 +119,11 @@ def test_code_lengths_match_a_walk_of_the_tree(spark):
             assert abs(got[i, j] - walk(model, lang, data)) < 0.002 * len(data) + 0.01
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text {i % 1_050}", f"lang{i % 1_050}") for i in range(2_000)]
+    assert len(language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == 1_050
+
+
 def test_language_on_held_out_rows(spark, odd, none):
     from cutledger.llm.common import documents
 
