@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutledger.llm import exact, fingerprints, jaccard, language, licenses, mixing, packing, quality, repeats, tokens
+from cutledger.llm import collocations, exact, fingerprints, jaccard, language, licenses, mixing, packing, quality, repeats, tokens
 from cutledger.llm.common import documents, parts_for, volume
 
 
@@ -55,6 +55,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 OP10_SQL = """
 with t as (select doc_id, sha256(coalesce(text, '')) as h from documents),
 g as (select h, max(doc_id) as keep_id, count(*) as group_size from t group by h)
@@ -74,8 +78,9 @@ def queries() -> dict:
         "op8_fair_mix": op8_fair_mix,
         "op9_length_buckets": op9_length_buckets,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_collocations": op11_collocations,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_fair_mix": mixing.OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op8_fair_mix": mixing.OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_collocations": collocations.OP11_SQL}
