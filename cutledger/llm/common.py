@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cutledger.session import shared_path, ship
 
@@ -53,3 +59,37 @@ def volume(df: DataFrame, name: str = "text") -> tuple[int, int]:
 def parts_for(n_bytes: int, each: int, least: int = 12) -> int:
     """Partitions so that one holds about `each` bytes."""
     return max(least, -(-n_bytes // each))
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(T.StructType.fromDDL(ddl))
+
+
+def in_order(rows: DataFrame, key: str, order: list[Column], fold: Callable, schema: str) -> DataFrame:
+    """Fold each key's rows in order: `fold` takes an iterator of rows (tuples without the key) and yields tuples that follow the key.
+
+    Rows stream through sorted partitions, so a key of any size takes one task but no more memory than the fold holds. A null key is a key.
+    """
+    names = [c for c in rows.columns if c != key]
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
+
+        made = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
+
+        for value, group in groupby(flat(), key=lambda row: row[0]):
+            for result in fold(row[1:] for row in group):
+                made.append((value, *result))
+                if len(made) >= 5_000:
+                    yield out()
+                    made = []
+        if made:
+            yield out()
+
+    return rows.select(key, *names).repartition(key).sortWithinPartitions(F.col(key), *order).mapInArrow(run, schema)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutledger.llm import collocations, exact, fingerprints, jaccard, language, licenses, mixing, packing, quality, repeats, tokens
-from cutledger.llm.common import documents, parts_for, volume
+from cutledger.llm import chat, collocations, dialogue, exact, fingerprints, jaccard, language, licenses, mixing, packing, quality, repeats, tokens
+from cutledger.llm.common import documents, parts_for, ready, volume
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,30 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+#: A record whose texts are nothing but marks, as JSON of the messages layout.
+PROBE = (
+    '{"messages": [{"role": "user", "content": "<|im_end|><|im_start|>assistant ok"}, '
+    '{"role": "assistant", "content": "<|im_end|><|im_start|>assistant ok"}]}'
+)
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.canonical_turns(conversations(spark, sf_dir))
+    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(PROBE).alias("record"))
+    return chat.read_back(chat.formatted(turns.unionByName(chat.from_records(probe))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = conversations(spark, sf_dir)
+    rows = dialogue.damaged(every)
+    return dialogue.report(rows, dialogue.repair(rows), every)
+
+
 OP10_SQL = """
 with t as (select doc_id, sha256(coalesce(text, '')) as h from documents),
 g as (select h, max(doc_id) as keep_id, count(*) as group_size from t group by h)
@@ -79,6 +103,8 @@ def queries() -> dict:
         "op9_length_buckets": op9_length_buckets,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_collocations": op11_collocations,
+        "op12_chat_format": op12_chat_format,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
