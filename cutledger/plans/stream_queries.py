@@ -11,7 +11,7 @@ from cutledger.sources import driver as src
 from cutledger.streaming import billing as sbill
 from cutledger.streaming import events as sev
 from cutledger.streaming import jobs as sjob
-from cutledger.streaming.runtime import drain, table_stream
+from cutledger.streaming.runtime import Closing, drain, table_stream
 
 R = Registry()
 
@@ -20,6 +20,12 @@ def _events(s, d):
     return src.shape_events(table_stream(prepare(s), d, "events"))
 
 
+def _ended(s, build, label):
+    """The output of a keyed or windowed stream over a whole table, run to the end of event time."""
+    closing = Closing(prepare(s))
+    return drain(build(closing), label, closing)
+
+
 def _orders(s, d):
     return table_stream(prepare(s), d, "orders")
 
@@ -47,7 +53,7 @@ R.add(
 _LIMIT = 2
 R.add(
     "t3_rate_limit",
-    lambda s, d: drain(sev.rate_limit(_events(s, d), _LIMIT), "limit").select("id", "principal", "accepted"),
+    lambda s, d: _ended(s, lambda c: sev.rate_limit(_events(s, d), _LIMIT, closing=c), "limit").select("id", "principal", "accepted"),
     f"""WITH RECURSIVE low AS (SELECT id, coalesce('u:' || user_id, 's:' || anonymous_session_key) AS principal, epoch_us(occurred_at) AS t,
         row_number() OVER (PARTITION BY coalesce('u:' || user_id, 's:' || anonymous_session_key) ORDER BY occurred_at, id) AS n
         FROM user_events WHERE priority = 'low'),
@@ -55,28 +61,25 @@ R.add(
       UNION ALL SELECT l.principal, l.n, l.id, CASE WHEN len(k) < {_LIMIT} THEN list_append(k, l.t) ELSE k END, len(k) < {_LIMIT}
       FROM (SELECT f.principal, l.n, l.id, l.t, [x FOR x IN f.kept IF x >= l.t - 3600000000] AS k FROM fold f
         JOIN low l ON l.principal = f.principal AND l.n = f.n + 1) l)
-    SELECT f.id, f.principal, ok AS accepted FROM fold f JOIN low l ON l.id = f.id WHERE l.t // 1000 <=
-      (SELECT max(t) // 1000 FROM low) - 600000
+    SELECT f.id, f.principal, ok AS accepted FROM fold f
     UNION ALL SELECT id, coalesce('u:' || user_id, 's:' || anonymous_session_key), true FROM user_events WHERE priority <> 'low'""",
 )
 R.add(
     "t4_bot_alerts",
-    lambda s, d: drain(sev.bot_alerts(_events(s, d), 8), "bots"),
+    lambda s, d: _ended(s, lambda c: sev.bot_alerts(_events(s, d), 8, closing=c), "bots"),
     f"""SELECT {stamp('w')} AS window_start, low_priority_count FROM (SELECT w, count(*) AS low_priority_count FROM (
       SELECT time_bucket(INTERVAL 5 MINUTE, occurred_at) - to_minutes(5 * k) AS w FROM user_events, unnest(range(12)) AS t(k)
-      WHERE priority = 'low') GROUP BY 1) WHERE low_priority_count > 8 AND w + INTERVAL 1 HOUR <=
-      (SELECT date_trunc('millisecond', max(occurred_at)) - INTERVAL 10 MINUTE FROM user_events WHERE priority = 'low')""",
+      WHERE priority = 'low') GROUP BY 1) WHERE low_priority_count > 8""",
 )
 R.add(
     "t5_progress_stream",
-    lambda s, d: drain(
-        sjob.progress_stream(src.shape_progress(table_stream(prepare(s), d, "events")), keep_days=4000), "progress"
+    lambda s, d: _ended(
+        s, lambda c: sjob.progress_stream(src.shape_progress(table_stream(prepare(s), d, "events")), keep_days=4000, closing=c), "progress"
     ).select("run_id", "id", "percent", "due_us"),
     """SELECT run_id, id, percent, min(epoch_us(t_at) + eta_sec * 1000000) OVER (PARTITION BY run_id ORDER BY t_at, id
       ROWS UNBOUNDED PRECEDING)::BIGINT AS due_us
     FROM (SELECT *, max(percent) OVER (PARTITION BY run_id ORDER BY t_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-      AS top FROM valid_progress) WHERE (top IS NULL OR percent >= top) AND epoch_us(t_at) // 1000 <=
-      (SELECT max(epoch_us(t_at)) // 1000 FROM valid_progress) - 600000""",
+      AS top FROM valid_progress) WHERE top IS NULL OR percent >= top""",
 )
 
 
@@ -93,11 +96,9 @@ def _lock_rows(s, d):
 
 R.add(
     "t6_lock_timeouts",
-    lambda s, d: drain(sbill.lock_timeouts(_lock_rows(s, d)), "locks").select("payment_id", "reason", "released_us"),
+    lambda s, d: _ended(s, lambda c: sbill.lock_timeouts(_lock_rows(s, d), closing=c), "locks").select("payment_id", "reason", "released_us"),
     """SELECT o_orderkey AS payment_id, 'timeout' AS reason, epoch_us(o_orderdate + INTERVAL 15 MINUTE) AS released_us
-    FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2') AND o_orderstatus <> 'F' AND o_orderdate + INTERVAL 15 MINUTE <=
-      (SELECT max(o_orderdate + CASE WHEN o_orderstatus = 'F' THEN INTERVAL 10 MINUTE ELSE INTERVAL 20 MINUTE END)
-        - INTERVAL 10 MINUTE FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2'))""",
+    FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2') AND o_orderstatus <> 'F'""",
 )
 
 
@@ -117,9 +118,9 @@ _LEFT = """CASE WHEN g.type = 'payment-intent.succeeded' THEN CASE WHEN f.status
     WHEN g.type <> 'payment-intent.failed' OR f.abandoned THEN f.abandoned WHEN card AND f.status <> 'succeeded' THEN true ELSE false END"""
 R.add(
     "t7_payment_states",
-    lambda s, d: drain(sbill.payment_states(_gateway(s, d), src.payments(s, d), keep_days=40000), "gateway").select(
-        "payment_intent_id", "event_no", "status", "abandoned"
-    ),
+    lambda s, d: _ended(
+        s, lambda c: sbill.payment_states(_gateway(s, d), src.payments(s, d), keep_days=40000, closing=c), "gateway"
+    ).select("payment_intent_id", "event_no", "status", "abandoned"),
     f"""WITH RECURSIVE g AS (SELECT e.*, p.status AS s0, p.checkout_abandoned_at IS NOT NULL AS a0, p.payment_method LIKE 'card%' AS card,
         row_number() OVER (PARTITION BY e.payment_intent_id ORDER BY t_at, event_no) AS n
         FROM gateway_events e JOIN payments p ON p.onvo_payment_intent_id = e.payment_intent_id),
@@ -127,8 +128,7 @@ R.add(
       SELECT payment_intent_id, 0::BIGINT, -1::BIGINT, s0, a0 FROM g WHERE n = 1
       UNION ALL SELECT g.payment_intent_id, g.n, g.event_no, {_STEP}, {_LEFT} FROM fold f JOIN g
         ON g.payment_intent_id = f.payment_intent_id AND g.n = f.n + 1)
-    SELECT f.payment_intent_id, f.event_no, f.status, f.abandoned FROM fold f JOIN g ON g.payment_intent_id = f.payment_intent_id
-      AND g.n = f.n WHERE epoch_us(g.t_at) // 1000 <= (SELECT max(epoch_us(t_at)) // 1000 FROM gateway_events) - 600000""",
+    SELECT payment_intent_id, event_no, status, abandoned FROM fold WHERE n > 0""",
 )
 R.add(
     "t7_unmatched_webhooks",
@@ -152,13 +152,12 @@ def _run_rows(s, d):
 
 R.add(
     "t8_run_timeouts",
-    lambda s, d: drain(sjob.run_timeouts(_run_rows(s, d)), "runs"),
-    """WITH r AS (SELECT o_orderkey AS run_id, o_orderstatus AS st, o_orderpriority LIKE '1%' AS c, epoch_us(o_orderdate) AS t FROM orders),
-    wm AS (SELECT max(t + CASE WHEN c AND st <> 'F' THEN 60 WHEN st = 'F' THEN 300 WHEN st = 'O' THEN 30 ELSE 0 END * 1000000) - 600000000 AS w FROM r)
+    lambda s, d: _ended(s, lambda c: sjob.run_timeouts(_run_rows(s, d), closing=c), "runs"),
+    """WITH r AS (SELECT o_orderkey AS run_id, o_orderstatus AS st, o_orderpriority LIKE '1%' AS c, epoch_us(o_orderdate) AS t FROM orders)
     SELECT run_id, 'failed' AS status, 'cancelled' AS warning, t + 60000000 AS at_us FROM r WHERE c
-    UNION ALL SELECT run_id, 'failed', 'abandoned', t + 90000000 FROM r, wm WHERE NOT c AND st = 'P' AND t + 90000000 <= w
-    UNION ALL SELECT run_id, 'processing', 'eta_overrun', t + 400000000 FROM r, wm WHERE NOT c AND st = 'O' AND t + 400000000 <= w
-    UNION ALL SELECT run_id, 'partial', 'time_limit_reached', t + 600000000 FROM r, wm WHERE NOT c AND st = 'O' AND t + 600000000 <= w""",
+    UNION ALL SELECT run_id, 'failed', 'abandoned', t + 90000000 FROM r WHERE NOT c AND st = 'P'
+    UNION ALL SELECT run_id, 'processing', 'eta_overrun', t + 400000000 FROM r WHERE NOT c AND st = 'O'
+    UNION ALL SELECT run_id, 'partial', 'time_limit_reached', t + 600000000 FROM r WHERE NOT c AND st = 'O'""",
 )
 
 
@@ -173,52 +172,52 @@ def _requests(s, d):
 
 R.add(
     "t12_request_throttle",
-    lambda s, d: drain(sev.request_throttle(_requests(s, d), 2), "throttle"),
+    lambda s, d: _ended(s, lambda c: sev.request_throttle(_requests(s, d), 2, closing=c), "throttle"),
     f"""SELECT {stamp('w')} AS window_start, rule, ip, n FROM (SELECT w, rule, ip, count(*) AS n FROM (
       SELECT make_timestamp((epoch_us(ts) // 7200000000) * 7200000000) AS w, CASE event_id % 4 WHEN 0 THEN 'auth' ELSE 'payment' END AS rule,
         '10.0.0.' || user_id % 2 AS ip FROM events WHERE event_type <> 'view' AND event_id % 4 <> 3) GROUP BY 1, 2, 3)
-    WHERE n > 2 AND w + INTERVAL 1 MINUTE <= (SELECT max(make_timestamp((epoch_us(ts) // 7200000000) * 7200000000 + event_id % 60 * 1000000))
-      - INTERVAL 10 MINUTE FROM events WHERE event_type <> 'view' AND event_id % 4 <> 3)""",
+    WHERE n > 2""",
 )
 R.add(
     "t13_alert_throttle",
-    lambda s, d: drain(
-        sev.alert_throttle(_events(s, d).selectExpr("event_type as alert_key", "id", "occurred_at as at"), 60), "alerts"
+    lambda s, d: _ended(
+        s,
+        lambda c: sev.alert_throttle(_events(s, d).selectExpr("event_type as alert_key", "id", "occurred_at as at"), 60, closing=c),
+        "alerts",
     ).select("alert_key", "id"),
     """WITH RECURSIVE walk AS (SELECT event_type AS alert_key, arg_min(id, (occurred_at, id)) AS id, min(occurred_at) AS t
         FROM user_events GROUP BY 1
       UNION ALL SELECT w.alert_key, x.id, x.t FROM walk w, LATERAL (SELECT arg_min(e.id, (e.occurred_at, e.id)) AS id, min(e.occurred_at) AS t
         FROM user_events e WHERE e.event_type = w.alert_key AND e.occurred_at >= w.t + INTERVAL 60 MINUTE) x WHERE x.id IS NOT NULL)
-    SELECT alert_key, id FROM walk WHERE epoch_us(t) // 1000 <= (SELECT max(epoch_us(occurred_at)) // 1000 FROM user_events) - 600000""",
+    SELECT alert_key, id FROM walk""",
 )
 R.add(
     "t14_live_funnel",
-    lambda s, d: drain(sev.live_funnel(_events(s, d)), "funnel"),
+    lambda s, d: _ended(s, lambda c: sev.live_funnel(_events(s, d), closing=c), "funnel"),
     f"""SELECT {stamp('w')} AS window_start, event_type, n FROM (SELECT date_trunc('day', occurred_at) AS w, event_type, count(*) AS n
-      FROM user_events WHERE event_type <> 'payment_failed' GROUP BY 1, 2) WHERE w + INTERVAL 1 DAY <= (SELECT
-      date_trunc('millisecond', max(occurred_at)) - INTERVAL 10 MINUTE FROM user_events WHERE event_type <> 'payment_failed')""",
+      FROM user_events WHERE event_type <> 'payment_failed' GROUP BY 1, 2)""",
 )
 R.add(
     "t14_live_status",
-    lambda s, d: drain(
-        sev.live_status(
+    lambda s, d: _ended(
+        s,
+        lambda c: sev.live_status(
             _orders(s, d).selectExpr(
                 "cast(o_orderdate as timestamp) as created_at",
                 "case o_orderstatus when 'F' then 'succeeded' when 'O' then 'pending' else 'failed' end as status",
-            )
+            ),
+            closing=c,
         ),
         "status",
     ),
-    f"""SELECT {stamp('created_at')} AS window_start, status, count(*) AS n FROM payments
-    WHERE created_at + INTERVAL 1 DAY <= (SELECT max(created_at) - INTERVAL 10 MINUTE FROM payments) GROUP BY payments.created_at, status""",
+    f"""SELECT {stamp('created_at')} AS window_start, status, count(*) AS n FROM payments GROUP BY payments.created_at, status""",
 )
 R.add(
     "t15_sessions",
-    lambda s, d: drain(sev.sessions(_events(s, d), "12 hours"), "sessions").select("anonymous_session_key", "started_at", "n"),
+    lambda s, d: _ended(s, lambda c: sev.sessions(_events(s, d), "12 hours", closing=c), "sessions").select("anonymous_session_key", "started_at", "n"),
     f"""SELECT anonymous_session_key, {stamp('min(occurred_at)')} AS started_at, count(*) AS n FROM (SELECT *,
       sum(CASE WHEN prev IS NULL OR occurred_at >= prev + INTERVAL 12 HOUR THEN 1 ELSE 0 END)
         OVER (PARTITION BY anonymous_session_key ORDER BY occurred_at, id ROWS UNBOUNDED PRECEDING) AS no
       FROM (SELECT *, lag(occurred_at) OVER (PARTITION BY anonymous_session_key ORDER BY occurred_at, id) AS prev FROM user_events))
-    GROUP BY anonymous_session_key, no HAVING max(occurred_at) + INTERVAL 12 HOUR <=
-      (SELECT date_trunc('millisecond', max(occurred_at)) - INTERVAL 10 MINUTE FROM user_events)""",
+    GROUP BY anonymous_session_key, no""",
 )

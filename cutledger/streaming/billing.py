@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cutledger.operators.payments import match_webhooks
 from cutledger.sources import dims
 from cutledger.streaming.ordered import DAY_MS, InOrder, in_order
-from cutledger.streaming.runtime import DEFAULT_DELAY
+from cutledger.streaming.runtime import DEFAULT_DELAY, Closing, watermarked
 
 
 class LockClock(InOrder):
@@ -33,13 +33,15 @@ class LockClock(InOrder):
         return (None if closing and at // 1000 < state[0] else state), []
 
 
-def lock_timeouts(stream: DataFrame, minutes: int = dims.LOCK_MINUTES, delay: str = DEFAULT_DELAY) -> DataFrame:
+def lock_timeouts(
+    stream: DataFrame, minutes: int = dims.LOCK_MINUTES, delay: str = DEFAULT_DELAY, closing: Closing | None = None
+) -> DataFrame:
     """Releases of pending transfer checkouts left alone for ``minutes``.
 
     The stream has payment_id, at and waiting: true when a pending transfer checkout opens, false when
     it is released, superseded, abandoned or settled.
     """
-    rows = stream.withWatermark("at", delay).select(
+    rows = watermarked(stream, "at", delay, closing).select(
         "payment_id", "at", F.unix_micros("at").alias("at_us"), (~F.col("waiting")).cast("int").alias("closing")
     )
     return in_order(rows, "payment_id", LockClock(minutes * 60_000), "payment_id bigint, released_us bigint, reason string")
@@ -74,7 +76,9 @@ class GatewayState(InOrder):
         return (status, abandoned), [(key[0], event_no, status, abandoned, what)]
 
 
-def payment_states(gateway: DataFrame, payments: DataFrame, delay: str = DEFAULT_DELAY, keep_days: int = 90) -> DataFrame:
+def payment_states(
+    gateway: DataFrame, payments: DataFrame, delay: str = DEFAULT_DELAY, keep_days: int = 90, closing: Closing | None = None
+) -> DataFrame:
     """State of payments along their gateway events; repeats change nothing.
 
     A failed card attempt counts as abandoned, not failed, and a late success still fulfils. Events of
@@ -87,7 +91,7 @@ def payment_states(gateway: DataFrame, payments: DataFrame, delay: str = DEFAULT
         F.col("checkout_abandoned_at").isNotNull().alias("abandoned"),
         F.col("payment_method").isin("card_crc", "card_usd").alias("card"),
     )
-    rows = gateway.withWatermark("at", delay).select("payment_intent_id", "type", "event_no", "at", F.unix_micros("at").alias("at_us"))
+    rows = watermarked(gateway, "at", delay, closing).select("payment_intent_id", "type", "event_no", "at", F.unix_micros("at").alias("at_us"))
     return in_order(
         rows.join(known, "payment_intent_id"),
         "payment_intent_id",

@@ -10,7 +10,7 @@ from cutledger.operators.scan import HOUR_US, top_one
 from cutledger.session import shared_path
 from cutledger.sources import dims
 from cutledger.streaming.ordered import InOrder, in_order
-from cutledger.streaming.runtime import DEFAULT_DELAY, finish, nullable
+from cutledger.streaming.runtime import DEFAULT_DELAY, Closing, finish, nullable, watermarked
 
 THROTTLED_PATHS = {
     "auth": r"^(/iniciar-sesion|/crear-cuenta|/)$",
@@ -99,12 +99,11 @@ def ingested(stream: DataFrame, delay: str = DEFAULT_DELAY) -> tuple[DataFrame,
     return stored("events", kept), stored("dead_letter", refused)
 
 
-def dedup_stream(stream: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
+def dedup_stream(stream: DataFrame, delay: str = DEFAULT_DELAY, closing: Closing | None = None) -> DataFrame:
     """First event per idempotency key within the delay; events without a key all pass."""
     key = F.coalesce(F.concat(F.lit("k:"), "idempotency_key"), F.concat(F.lit("id:"), F.col("id").cast("string")))
     return (
-        stream.withColumn("_key", key)
-        .withWatermark("occurred_at", delay)
+        watermarked(stream.withColumn("_key", key), "occurred_at", delay, closing)
         .dropDuplicatesWithinWatermark(["_key"])
         .drop("_key")
     )
@@ -127,7 +126,9 @@ class AcceptedInHour(InOrder):
         return ([*kept, at] if ok else kept,), [(event_id, key[0], at, ok)]
 
 
-def rate_limit(stream: DataFrame, limit: int = dims.LOW_PRIORITY_PER_HOUR, delay: str = DEFAULT_DELAY) -> DataFrame:
+def rate_limit(
+    stream: DataFrame, limit: int = dims.LOW_PRIORITY_PER_HOUR, delay: str = DEFAULT_DELAY, closing: Closing | None = None
+) -> DataFrame:
     """Accepted flag per event: a low-priority one is refused once the limit was accepted in the hour before.
 
     Only low-priority events with a principal reach the keyed state, which decides on them once the watermark has passed them; the others
@@ -136,7 +137,7 @@ def rate_limit(stream: DataFrame, limit: int = dims.LOW_PRIORITY_PER_HOUR, delay
     rows = stream.select("id", "priority", "occurred_at", principal().alias("principal"), F.unix_micros("occurred_at").alias("at_us"))
     held = (F.col("priority") == "low") & F.col("principal").isNotNull()
     limited = in_order(
-        rows.where(held).drop("priority").withWatermark("occurred_at", delay),
+        watermarked(rows.where(held).drop("priority"), "occurred_at", delay, closing),
         "principal",
         AcceptedInHour(limit),
         "id bigint, principal string, at_us bigint, accepted boolean",
@@ -145,11 +146,12 @@ def rate_limit(stream: DataFrame, limit: int = dims.LOW_PRIORITY_PER_HOUR, delay
     return limited.unionByName(free)
 
 
-def bot_alerts(stream: DataFrame, limit: int = dims.LOW_PRIORITY_PER_HOUR, delay: str = DEFAULT_DELAY) -> DataFrame:
+def bot_alerts(
+    stream: DataFrame, limit: int = dims.LOW_PRIORITY_PER_HOUR, delay: str = DEFAULT_DELAY, closing: Closing | None = None
+) -> DataFrame:
     """Sliding hours (every 5 minutes) with more low-priority events than the limit."""
     return (
-        stream.where(F.col("priority") == "low")
-        .withWatermark("occurred_at", delay)
+        watermarked(stream.where(F.col("priority") == "low"), "occurred_at", delay, closing)
         .groupBy(F.window("occurred_at", "1 hour", "5 minutes").alias("w"))
         .agg(F.count("*").alias("low_priority_count"))
         .where(F.col("low_priority_count") > limit)
@@ -157,17 +159,15 @@ def bot_alerts(stream: DataFrame, limit: int = dims.LOW_PRIORITY_PER_HOUR, delay
     )
 
 
-def request_throttle(stream: DataFrame, limit: int = 5, delay: str = DEFAULT_DELAY) -> DataFrame:
+def request_throttle(stream: DataFrame, limit: int = 5, delay: str = DEFAULT_DELAY, closing: Closing | None = None) -> DataFrame:
     """Addresses with more than ``limit`` posts to sign-in or payment paths within a minute.
 
     Requests have at, method, path and ip.
     """
     rule = F.coalesce(*[F.when(F.col("path").rlike(p), F.lit(n)) for n, p in THROTTLED_PATHS.items()])
+    posts = stream.where(F.upper("method") == "POST").withColumn("rule", rule).where("rule is not null")
     return (
-        stream.where(F.upper("method") == "POST")
-        .withColumn("rule", rule)
-        .where("rule is not null")
-        .withWatermark("at", delay)
+        watermarked(posts, "at", delay, closing)
         .groupBy(F.window("at", "1 minute").alias("w"), "rule", "ip")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > limit)
@@ -192,38 +192,36 @@ class LastAlert(InOrder):
         return state, []
 
 
-def alert_throttle(stream: DataFrame, minutes: int = 5, delay: str = DEFAULT_DELAY) -> DataFrame:
+def alert_throttle(stream: DataFrame, minutes: int = 5, delay: str = DEFAULT_DELAY, closing: Closing | None = None) -> DataFrame:
     """First alert per key, then none for ``minutes`` after each one let through; alerts have alert_key, id, at."""
-    rows = stream.withWatermark("at", delay).select("alert_key", "id", "at", F.unix_micros("at").alias("at_us"))
+    rows = watermarked(stream, "at", delay, closing).select("alert_key", "id", "at", F.unix_micros("at").alias("at_us"))
     return in_order(rows, "alert_key", LastAlert(minutes * 60_000_000), "alert_key string, id bigint, at_us bigint")
 
 
-def live_funnel(stream: DataFrame, width: str = "1 day", delay: str = DEFAULT_DELAY) -> DataFrame:
+def live_funnel(stream: DataFrame, width: str = "1 day", delay: str = DEFAULT_DELAY, closing: Closing | None = None) -> DataFrame:
     """Event rows per funnel stage and time window."""
     return (
-        stream.where(F.col("event_type").isin(dims.FUNNEL_STAGES))
-        .withWatermark("occurred_at", delay)
+        watermarked(stream.where(F.col("event_type").isin(dims.FUNNEL_STAGES)), "occurred_at", delay, closing)
         .groupBy(F.window("occurred_at", width).alias("w"), "event_type")
         .agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("window_start"), "event_type", "n")
     )
 
 
-def live_status(stream: DataFrame, width: str = "1 day", delay: str = DEFAULT_DELAY) -> DataFrame:
+def live_status(stream: DataFrame, width: str = "1 day", delay: str = DEFAULT_DELAY, closing: Closing | None = None) -> DataFrame:
     """Payments per status and time window."""
     return (
-        stream.withWatermark("created_at", delay)
+        watermarked(stream, "created_at", delay, closing)
         .groupBy(F.window("created_at", width).alias("w"), "status")
         .agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("window_start"), "status", "n")
     )
 
 
-def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = DEFAULT_DELAY) -> DataFrame:
+def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = DEFAULT_DELAY, closing: Closing | None = None) -> DataFrame:
     """Stretches of activity per anonymous session, ended by a pause longer than the gap."""
     return (
-        stream.where("anonymous_session_key is not null")
-        .withWatermark("occurred_at", delay)
+        watermarked(stream.where("anonymous_session_key is not null"), "occurred_at", delay, closing)
         .groupBy(F.session_window("occurred_at", gap).alias("w"), "anonymous_session_key")
         .agg(F.count("*").alias("n"))
         .select("anonymous_session_key", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cutledger.operators.jobs import ABANDON_SECONDS
 from cutledger.sources.documents import read_progress
 from cutledger.streaming.ordered import DAY_MS, InOrder, in_order
-from cutledger.streaming.runtime import DEFAULT_DELAY
+from cutledger.streaming.runtime import DEFAULT_DELAY, Closing, watermarked
 
 
 class RunProgress(InOrder):
@@ -32,12 +32,12 @@ class RunProgress(InOrder):
         return (percent, due), [(key[0], snapshot, phase, percent, due)]
 
 
-def progress_stream(stream: DataFrame, delay: str = DEFAULT_DELAY, keep_days: int = 2) -> DataFrame:
+def progress_stream(stream: DataFrame, delay: str = DEFAULT_DELAY, keep_days: int = 2, closing: Closing | None = None) -> DataFrame:
     """Valid progress documents in order of percent, with an expected end that never moves later.
 
     The stream has run_id, id, at and the document text in ``doc``. A run without a snapshot for ``keep_days`` is forgotten.
     """
-    rows = read_progress(stream).withWatermark("at", delay).select(
+    rows = watermarked(read_progress(stream), "at", delay, closing).select(
         "run_id", "id", "at", F.unix_micros("at").alias("at_us"), "phase_id", "percent", F.col("eta_sec").cast("bigint").alias("eta_sec")
     )
     return in_order(
@@ -84,17 +84,16 @@ class RunClock(InOrder):
         return (started, limit_ms, True, eta_ms, told), []
 
 
-def run_timeouts(stream: DataFrame, secs: int = ABANDON_SECONDS, delay: str = DEFAULT_DELAY) -> DataFrame:
+def run_timeouts(stream: DataFrame, secs: int = ABANDON_SECONDS, delay: str = DEFAULT_DELAY, closing: Closing | None = None) -> DataFrame:
     """Status changes forced by the clock or by a cancel request.
 
     The stream has run_id, kind (started, output, cancel, finished), at, limit_sec and eta_sec. A time-out counts before what happens later,
     and after what happens at the same millisecond.
     """
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in RANKS.items()])
-    rows = stream.withWatermark("at", delay).select(
-        "run_id", "at", F.unix_micros("at").alias("at_us"), rank.alias("rank"),
+    known = stream.withColumn("rank", rank).where("rank is not null")
+    rows = watermarked(known, "at", delay, closing).select(
+        "run_id", "at", F.unix_micros("at").alias("at_us"), "rank",
         F.col("limit_sec").cast("bigint").alias("limit_sec"), F.col("eta_sec").cast("bigint").alias("eta_sec"),
     )
-    return in_order(
-        rows.where("rank is not null"), "run_id", RunClock(secs * 1000), "run_id bigint, status string, warning string, at_us bigint"
-    )
+    return in_order(rows, "run_id", RunClock(secs * 1000), "run_id bigint, status string, warning string, at_us bigint")
