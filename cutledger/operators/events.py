@@ -202,9 +202,13 @@ def validate_events(events: DataFrame) -> DataFrame:
     )
 
 
+#: Where a login without a time stands.
+NO_TIME = "9999-12-31"
+
+
 def first_logins(logins: DataFrame) -> DataFrame:
     """First user of each session: by logged_in_at if there is one, then the lower user."""
-    last = F.lit("9999-12-31").cast("timestamp")
+    last = F.lit(NO_TIME).cast("timestamp")
     when = F.coalesce("logged_in_at", last) if "logged_in_at" in logins.columns else last
     place = F.struct(when.alias("at"), F.col("user_id"))
     return logins.groupBy("anonymous_session_key").agg(F.min_by("user_id", place).alias("user_id"))

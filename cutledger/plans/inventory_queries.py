@@ -12,6 +12,7 @@ from cutledger.session import shared_path
 from cutledger.sources import documents as docs
 from cutledger.sources import driver as src
 from cutledger.sources import tables as tab
+from cutledger.sources.versioned import VersionedTable
 
 R = Registry()
 
@@ -295,23 +296,29 @@ R.add(
 
 
 def _written(s, d):
-    """The same upsert against a stored, partitioned table, rewriting only the touched partitions."""
-    path = shared_path(s, "payments")
+    """The same upsert against a stored, versioned table, rewriting only the touched partitions."""
+    table = VersionedTable(s, shared_path(s, "payments"))
     rows = src.payments(s, d).select("id", "status", "currency")
-    rows.write.partitionBy("currency").parquet(path)
-    fixed = rows.where("currency = 'usd' and status = 'failed'").withColumn("status", F.lit("pending"))
-    tab.write_upsert(path, fixed, ["id"], "currency")
-    return s.read.parquet(path).select("id", "status", "currency")
+    table.create(rows, "currency")
+    tab.write_upsert(table.root, rows.where("currency = 'usd' and status = 'failed'").withColumn("status", F.lit("pending")), ["id"])
+    return table
 
 
 R.add(
     "s11_write_upsert",
-    _written,
+    lambda s, d: _written(s, d).read(),
     """SELECT id, CASE WHEN currency = 'usd' AND status = 'failed' THEN 'pending' ELSE status END AS status, currency
     FROM payments""",
 )
 
 
+R.add(
+    "s11_changed_rows",
+    lambda s, d: (t := _written(s, d)).read().exceptAll(t.read(0)).groupBy("currency", "status").agg(F.count("*").alias("n")),
+    "SELECT currency, 'pending' AS status, count(*) AS n FROM payments WHERE currency = 'usd' AND status = 'failed' GROUP BY currency",
+)
+
+
 def _cascade(s, d):
     doomed = src.projects(s, d).where("kerf_mm < 0").select("id")
     left = tab.cascade_delete(

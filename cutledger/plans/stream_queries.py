@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cutledger.plans.oracle import stamp
 from cutledger.plans.registry import Registry
-from cutledger.session import prepare
+from cutledger.session import prepare, shared_path
 from cutledger.sources import driver as src
 from cutledger.streaming import billing as sbill
 from cutledger.streaming import events as sev
@@ -170,6 +170,24 @@ def _requests(s, d):
     )
 
 
+def _live_backfill(s, d):
+    """Two logins per session, as a stream; the events are read with the earlier one's user."""
+    logins = table_stream(prepare(s), d, "customer").where("c_mktsegment in ('HOUSEHOLD', 'MACHINERY')").selectExpr(
+        "concat('s-', c_custkey) as anonymous_session_key",
+        """explode(array(named_struct('u', c_custkey, 'at', timestamp_seconds(1704067200 + c_custkey % 7)),
+            named_struct('u', c_custkey + 1, 'at', timestamp_seconds(1704067200 + c_custkey % 5)))) as e""",
+    ).selectExpr("anonymous_session_key", "e.u as user_id", "e.at as logged_in_at")
+    root = shared_path(s, "identities")
+    sev.record_logins(logins, root)
+    return sev.identified(src.user_events(s, d), root).select("id", F.coalesce("user_id", F.lit(-1)).alias("user_id"))
+
+
+R.add(
+    "t11_live_backfill",
+    _live_backfill,
+    """SELECT e.id, coalesce(e.user_id, CASE WHEN l.user_id % 5 < l.user_id % 7 THEN l.user_id + 1 ELSE l.user_id END, -1) AS user_id
+    FROM user_events e LEFT JOIN logins l ON e.anonymous_session_key = 's-' || l.user_id""",
+)
 R.add(
     "t12_request_throttle",
     lambda s, d: _ended(s, lambda c: sev.request_throttle(_requests(s, d), 2, closing=c), "throttle"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutledger.sources.schemas import LINKS
+from cutledger.sources.versioned import VersionedTable
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,24 +17,12 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(updates.select(*keys), keys, "left_anti").unionByName(updates.select(target.columns))
 
 
-def write_upsert(path: str, updates: DataFrame, keys: list[str], partition_by: str) -> None:
-    """Upsert into a partitioned table, rewriting only the partitions the updates touch.
+def write_upsert(path: str, updates: DataFrame, keys: list[str]) -> None:
+    """Upsert into the versioned table at ``path``, rewriting only the partitions the updates touch.
 
-    Replacement rows must stay in the partition of the row they replace. The new partitions are
-    first written next to the table, then swapped in, since a table cannot be read while overwritten.
+    Replacement rows must stay in the partition of the row they replace. The new version counts as a whole or not at all.
     """
-    spark = updates.sparkSession
-    target = spark.read.parquet(path)
-    touched = target.join(updates.select(partition_by).distinct(), partition_by, "left_semi")
-    staged = f"{path.rstrip('/')}__staged"
-    upsert(touched, updates, keys).write.mode("overwrite").partitionBy(partition_by).parquet(staged)
-    (
-        spark.read.parquet(staged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_by)
-        .parquet(path)
-    )
+    VersionedTable(updates.sparkSession, path).upsert(updates, keys)
 
 
 def cascade_delete(tables: dict[str, DataFrame], parent: str, parent_ids: DataFrame) -> dict[str, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from cutledger.operators.events import first_logins, principal, validate_events
+from cutledger.operators.events import NO_TIME, backfill_users, first_logins, principal, validate_events
 from cutledger.operators.scan import HOUR_US, top_one
 from cutledger.session import shared_path
 from cutledger.sources import dims
@@ -228,29 +228,35 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = DEFAULT_DE
     )
 
 
-def backfill_stream(events_path: str, logins: DataFrame, root: str) -> None:
-    """Give stored anonymous events the user of each arriving login, rewriting only days that have some.
+LOGIN = T.StructType(
+    [T.StructField("anonymous_session_key", T.StringType()), T.StructField("user_id", T.LongType()), T.StructField("logged_in_at", T.TimestampType())]
+)
 
-    ``events_path`` is partitioned by day; logins have anonymous_session_key, user_id and, to tell the first one, logged_in_at.
+
+def record_logins(logins: DataFrame, root: str) -> None:
+    """Keep who logged in with which anonymous session, for reading events with ``identified``.
+
+    Logins have anonymous_session_key, user_id and, to tell the first one, logged_in_at; those without a session or user are passed over. The
+    stored events are not touched: each batch has a folder of its own under ``root``/logins with its first logins, and a replayed batch
+    overwrites that folder with the same rows.
     """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        who = first_logins(batch).withColumnRenamed("user_id", "_user")
-        stored = spark.read.parquet(events_path)
-        open_rows = stored.where("user_id is null").join(who, "anonymous_session_key", "left_semi")
-        days = open_rows.select("day").distinct()
-        touched = stored.join(days, "day", "left_semi").join(who, "anonymous_session_key", "left")
-        fixed = touched.withColumn("user_id", F.coalesce("user_id", "_user")).select(stored.columns)
-        staged = f"{root}/staged-{batch_id}"
-        fixed.write.mode("overwrite").parquet(staged)
-        (
-            spark.read.schema(stored.schema)
-            .parquet(staged)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day")
-            .parquet(events_path)
-        )
-
-    finish(logins.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/state"))
+    def store(batch: DataFrame, batch_id: int) -> None:
+        timed = batch if "logged_in_at" in batch.columns else batch.withColumn("logged_in_at", F.lit(None))
+        given = timed.where("trim(anonymous_session_key) <> '' and user_id is not null").select(*[F.col(f.name).cast(f.dataType) for f in LOGIN.fields])
+        place = F.struct(F.coalesce("logged_in_at", F.lit(NO_TIME).cast("timestamp")), "user_id")
+        first = given.groupBy("anonymous_session_key").agg(F.min_by(F.struct("user_id", "logged_in_at"), place).alias("login"))
+        first.select("anonymous_session_key", "login.*").write.mode("overwrite").parquet(f"{root}/logins/batch_id={batch_id}")
+
+    finish(logins.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/state"))
+
+
+def identities(spark: SparkSession, root: str) -> DataFrame:
+    """First user of each session over all recorded logins, whatever order they came in."""
+    found = _read_or_none(spark, f"{root}/logins", T.StructType([*LOGIN.fields, PLACED[0]]))
+    return first_logins(spark.createDataFrame([], LOGIN) if found is None else found)
+
+
+def identified(events: DataFrame, root: str) -> DataFrame:
+    """Events as they read once sessions are known: an anonymous event has the user who first logged in with its session."""
+    return backfill_users(events, identities(events.sparkSession, root))

@@ -46,15 +46,24 @@ def test_dedup_stream_keeps_null_keys(spark, tmp_path):
     assert got == [1, 2, 4]
 
 
-def test_backfill_rewrites_stored_events(spark, tmp_path):
+def test_live_backfill_reads_the_first_login(spark, tmp_path):
     path = str(tmp_path / "events")
-    rows = [(1, None, "s1", "2026-01-01"), (2, None, "s2", "2026-01-02"), (3, 9, "s1", "2026-01-01")]
-    df = spark.createDataFrame(rows, "id bigint, user_id bigint, anonymous_session_key string, d string")
-    df.select("id", "user_id", "anonymous_session_key", F.to_date("d").alias("day")).write.partitionBy("day").parquet(path)
-    spark.createDataFrame([("s1", 5)], "anonymous_session_key string, user_id bigint").write.parquet(str(tmp_path / "logins"))
-    logins = spark.readStream.schema("anonymous_session_key string, user_id bigint").parquet(str(tmp_path / "logins"))
-    sev.backfill_stream(path, logins, str(tmp_path / "work"))
-    assert {r.id: r.user_id for r in spark.read.parquet(path).collect()} == {1: 5, 2: None, 3: 9}
+    spark.createDataFrame([(1, None, "s1"), (2, None, "s2"), (3, 9, "s1")], "id bigint, user_id bigint, anonymous_session_key string").write.parquet(path)
+    at = lambda h: BASE + dt.timedelta(hours=h)
+    schema, source = "anonymous_session_key string, user_id bigint, logged_in_at timestamp", tmp_path / "logins"
+    root = str(tmp_path / "work")
+    source.mkdir()
+    logins = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
+    read = lambda: {r.id: r.user_id for r in sev.identified(spark.read.parquet(path), root).collect()}
+    sev.record_logins(logins, root)
+    assert read() == {1: None, 2: None, 3: 9}
+    for n, rows in enumerate([[("s1", 5, at(2)), ("s1", 6, at(3)), (" ", 1, at(0)), ("s2", None, at(0))], [("s1", 7, at(1))], [("s1", 4, None)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/part{n}")
+        sev.record_logins(logins, root)
+        assert read() == {1: (5, 7, 7)[n], 2: None, 3: 9}
+    # a batch that is replayed gives the same folder
+    spark.createDataFrame([("s1", 7, at(1))], schema).write.mode("overwrite").parquet(f"{root}/logins/batch_id=1")
+    assert read() == {1: 7, 2: None, 3: 9}
 
 
 def test_gateway_steps():
