@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,32 +115,13 @@ def _boxed(df: DataFrame, grow: float = 0.0) -> Column:
     )
 
 
-def _side(shapes: DataFrame, keys: list[str], prefix: str, cols: tuple[str, ...] = ("id", "rings", "box", "area", "radius", "center")) -> DataFrame:
-    return shapes.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
-
-
 def containment_parent(polys: DataFrame, tol: float, keys: list[str] = GROUP) -> DataFrame:
     """Smallest larger polygon that contains each polygon (within tolerance); NULL if none.
 
-    Distinct outlines are compared, not copies: the corner of the inner box is looked up among the outer
-    boxes, then the exact test runs on the pairs whose boxes nest.
+    Distinct outlines are compared, not copies. Each outline asks for the few smallest larger ones whose box holds its own; the exact test runs on
+    those, and an outline that fails with all of them asks for twice as many behind them. A nest of rings is settled by its first answers.
     """
-    shapes = cut_lineage(_shapes(polys, keys))
-    measures = ("id", "box", "area", "radius", "center")
-    corners = shapes.select(*keys, "id", F.col("box.min_x").alias("x"), F.col("box.min_y").alias("y"))
-    met = spatial.points_in_boxes(corners, shapes, keys).withColumnsRenamed({"point_id": "i_id", "box_id": "o_id"})
-    pairs = (
-        met.where("i_id <> o_id")
-        .join(_side(shapes, keys, "i", measures), [*keys, "i_id"])
-        .join(_side(shapes, keys, "o", measures), [*keys, "o_id"])
-    )
-    nested = (
-        (F.col("o_area") > F.col("i_area"))
-        & (F.col("o_box.min_x") <= F.col("i_box.min_x"))
-        & (F.col("o_box.min_y") <= F.col("i_box.min_y"))
-        & (F.col("o_box.max_x") >= F.col("i_box.max_x"))
-        & (F.col("o_box.max_y") >= F.col("i_box.max_y"))
-    )
+    shapes = cut_lineage(_shapes(polys, keys).withColumnRenamed("area", "size").withColumn("node", F.monotonically_increasing_id()))
     base = F.lit(join_tolerance(tol))
     round_both = F.col("i_radius").isNotNull() & F.col("o_radius").isNotNull()
     reach = F.when(round_both, F.greatest(base, F.col("o_radius") * 0.02, F.col("i_radius") * 0.02)).otherwise(base)
@@ -148,77 +132,80 @@ def containment_parent(polys: DataFrame, tol: float, keys: list[str] = GROUP) ->
         & (off + F.col("i_radius") <= F.col("o_radius") + reach * 2.0)
     )
     inside = geo.ring_within(geo.outer(F.col("i_rings")), F.col("o_rings"), F.col("reach"))
-    # outlines are fetched for the pairs whose boxes nest
-    parent = (
-        pairs.where(nested)
-        .withColumns({"coaxial": F.coalesce(coaxial, F.lit(False)), "reach": reach})
-        .select(*keys, "i_id", "o_id", "o_area", "coaxial", "reach")
-        .join(_side(shapes, keys, "i", ("id", "rings")), [*keys, "i_id"])
-        .join(_side(shapes, keys, "o", ("id", "rings")), [*keys, "o_id"])
-        .where(F.col("coaxial") | inside)
-        .groupBy(*keys, F.col("i_id").alias("shape_id"))
-        .agg(F.min_by("o_id", F.struct("o_area", "o_id")).alias("parent_id"))
-    )
-    member = polys.select(*keys, "id", "rings").join(
-        shapes.select(*keys, "rings", F.col("id").alias("shape_id")), [*keys, "rings"]
-    )
-    return member.join(parent, [*keys, "shape_id"], "left").select(*keys, "id", "parent_id")
+    side = lambda name: shapes.select(*[F.col(c).alias(f"{name}_{c}") for c in ("node", "rings", "radius", "center")])
+    # strictly larger ones: behind every id of the own size
+    open_ = shapes.select(*keys, "node", "box", F.col("size").alias("after_size"), F.lit((1 << 63) - 1).alias("after_id"))
+    found, most = [], 2
+    while True:
+        asked = cut_lineage(spatial.smallest_holders(open_, shapes, keys, most))
+        if asked.isEmpty():
+            break
+        pairs = asked.select(F.col("node").alias("i_node"), F.explode("holders").alias("h")).select("i_node", "h", F.col("h.holder").alias("o_node"))
+        tested = pairs.join(side("i"), "i_node").join(side("o"), "o_node").withColumns({"coaxial": F.coalesce(coaxial, F.lit(False)), "reach": reach})
+        good = cut_lineage(tested.where(F.col("coaxial") | inside).groupBy("i_node").agg(F.min("h").alias("h")).select(F.col("i_node").alias("node"), F.col("h.id").alias("parent_id")))
+        found.append(good)
+        last = F.element_at("holders", most)
+        behind = asked.where(F.size("holders") == most).join(good, "node", "left_anti").select("node", last["size"].alias("_s"), last["id"].alias("_i"))
+        open_ = cut_lineage(open_.join(behind, "node").select(*keys, "node", "box", F.col("_s").alias("after_size"), F.col("_i").alias("after_id")))
+        if open_.isEmpty():
+            break
+        most *= 2
+    parents = shapes.select("node", F.lit(None).cast("long").alias("parent_id")).limit(0)
+    for good in found:
+        parents = parents.union(good)
+    member = polys.select(*keys, "id", "rings").join(shapes.select(*keys, "rings", "node"), [*keys, "rings"])
+    same = polys.schema["id"].dataType
+    return member.join(parents, "node", "left").select(*keys, "id", F.col("parent_id").cast(same).alias("parent_id"))
+
+
+def _take_largest_first(base: float) -> Callable:
+    """Fold over coaxial circles (r, id, node, cx, cy), largest first: one that lies on the axis of an outer circle is taken by the largest
+    such, any other becomes outer. Outer circles are kept by the size and place of their reach."""
+
+    def fold(circles: Iterator[tuple]) -> Iterator[tuple[int, int]]:
+        outers: dict[tuple, list[tuple]] = {}
+        levels: set[int] = set()
+        for down, own, node, x, y in circles:
+            r, best = -down, None
+            for level in levels:
+                size = 2.0**level
+                cx, cy = math.floor(x / size), math.floor(y / size)
+                for i in (-1, 0, 1):
+                    for j in (-1, 0, 1):
+                        for o_r, o_id, ox, oy, reach in outers.get((level, cx + i, cy + j), ()):
+                            if o_r > r and math.hypot(x - ox, y - oy) <= reach and (best is None or (-o_r, o_id) < best):
+                                best = (-o_r, o_id)
+            if best is not None:
+                yield node, best[1]
+                continue
+            reach = max(base, r * 0.02)
+            level = math.frexp(reach)[1]
+            levels.add(level)
+            outers.setdefault((level, math.floor(x / 2.0**level), math.floor(y / 2.0**level)), []).append((r, own, x, y, reach))
+
+    return fold
 
 
 def washers(circles: DataFrame, tol: float, keys: list[str] = GROUP) -> DataFrame:
     """Outer circle each inner circle becomes a hole of; NULL for circles that stay pieces.
 
-    Largest first, a circle not yet taken takes every smaller coaxial one not yet taken. A circle is
-    settled once all larger coaxial ones are, so each round settles every circle whose larger
-    neighbours are known. Equal circles are one row, and concentric ones meet through a centre grid.
+    Largest first, a circle not yet taken takes every smaller coaxial one not yet taken. Circles whose centres are within reach of each other, directly
+    or through others, form a group; a group streams once through its task, largest first, and only its outer circles are held. So deep
+    nests cost their number of circles, in one pass.
     """
     base = join_tolerance(tol)
     shapes = circles.groupBy(*keys, "cx", "cy", "r").agg(F.min("id").alias("id"))
-    rank = F.struct((-F.col("r")).alias("k"), F.col("id").alias("i"))
+    shapes = cut_lineage(shapes.withColumn("node", F.monotonically_increasing_id()))
     reach = F.greatest(F.lit(base), F.col("r") * 0.02)
-    seats = shapes.withColumns(
-        {
-            "box": F.struct(
-                (F.col("cx") - reach).alias("min_x"),
-                (F.col("cy") - reach).alias("min_y"),
-                (F.col("cx") + reach).alias("max_x"),
-                (F.col("cy") + reach).alias("max_y"),
-            )
-        }
-    )
-    spots = shapes.select(*keys, "id", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    met = spatial.points_in_boxes(spots, seats, keys).withColumnsRenamed({"point_id": "i_id", "box_id": "o_id"})
-    fact = shapes.select(*keys, "id", "cx", "cy", "r", rank.alias("rank"))
-    links = cut_lineage(
-        met.join(fact.select(*keys, F.col("id").alias("i_id"), *[F.col(c).alias(f"i_{c}") for c in ("cx", "cy", "r")]), [*keys, "i_id"])
-        .join(fact.select(*keys, F.col("id").alias("o_id"), *[F.col(c).alias(f"o_{c}") for c in ("cx", "cy", "r")]), [*keys, "o_id"])
-        .where("i_r < o_r")
-        .where(F.hypot(F.expr("i_cx - o_cx"), F.expr("i_cy - o_cy")) <= F.greatest(F.lit(base), F.col("o_r") * 0.02))
-        .select(*keys, "i_id", "o_id", F.col("o_r").alias("o_r"))
-    )
-    # state: 1 outer, 2 taken, 0 open
-    state = cut_lineage(
-        shapes.select(*keys, "id").join(links.select(*keys, F.col("i_id").alias("id")).distinct().withColumn("_c", F.lit(1)), [*keys, "id"], "left")
-        .select(*keys, "id", F.when(F.col("_c").isNull(), 1).otherwise(0).alias("state"))
-    )
-    while state.where("state = 0").limit(1).count():
-        known = links.join(state.select(*keys, F.col("id").alias("o_id"), F.col("state").alias("o_state")), [*keys, "o_id"])
-        seen = known.groupBy(*keys, F.col("i_id").alias("id")).agg(
-            F.bool_or(F.col("o_state") == 1).alias("_taken"), F.bool_or(F.col("o_state") == 0).alias("_open")
-        )
-        nxt = F.when(F.col("state") != 0, F.col("state")).when(F.col("_taken"), 2).when(~F.col("_open"), 1).otherwise(0)
-        state = cut_lineage(state.join(seen, [*keys, "id"], "left").select(*keys, "id", nxt.alias("state")))
-    outers = state.where("state = 1").select(*keys, F.col("id").alias("o_id"))
-    chosen = (
-        links.join(outers, [*keys, "o_id"])
-        .join(state.where("state = 2").select(*keys, F.col("id").alias("i_id")), [*keys, "i_id"])
-        .groupBy(*keys, F.col("i_id").alias("shape_id"))
-        .agg(F.min_by("o_id", F.struct((-F.col("o_r")).alias("k"), F.col("o_id"))).alias("outer_id"))
-    )
-    member = circles.select(*keys, "cx", "cy", "r", "id").join(
-        shapes.withColumnRenamed("id", "shape_id"), [*keys, "cx", "cy", "r"]
-    )
-    return member.join(chosen, [*keys, "shape_id"], "left").select(*keys, "id", "outer_id")
+    seat = F.struct((F.col("cx") - reach).alias("min_x"), (F.col("cy") - reach).alias("min_y"), (F.col("cx") + reach).alias("max_x"), (F.col("cy") + reach).alias("max_y"))
+    seats = shapes.select(*keys, F.col("node").alias("id"), seat.alias("box"))
+    groups = connected(seats, spatial.touch_links(seats, keys)).select(F.col("id").alias("node"), F.col("label").alias("axis"))
+    numbers = ["-cast(r as double) as down", "cast(id as long) as id", "node", "cast(cx as double) as cx", "cast(cy as double) as cy"]
+    rows = shapes.join(groups, "node").selectExpr("axis", *numbers)
+    taken = spatial.streamed(rows, ["axis"], ["down", "id"], _take_largest_first(base), "node long, outer_id long")
+    member = circles.select(*keys, "cx", "cy", "r", "id").join(shapes.drop("id"), [*keys, "cx", "cy", "r"])
+    same = circles.schema["id"].dataType
+    return member.join(taken, "node", "left").select(*keys, "id", F.col("outer_id").cast(same).alias("outer_id"))
 
 
 def drop_hole_fillers(polys: DataFrame, tol: float, keys: list[str] = GROUP) -> DataFrame:
@@ -357,93 +344,18 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-CROWD = 64
-
-
-def _crowded_links(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Links that tie together touching boxes of crowded places without listing all pairs.
-
-    Fine cells, of which a box covers some whole: whatever touches a covered cell touches the box covering
-    it, so a cell's members are tied to one centre. Only in cells nobody covers, and only between
-    components not yet tied, are pairs tested.
-    """
-    side = F.least(F.expr("box.max_x - box.min_x"), F.expr("box.max_y - box.min_y"))
-    own = F.lit(0)
-    for k, size in enumerate(spatial.CELL_MM):
-        own = F.when(side >= 2 * size, F.lit(k)).otherwise(own)
-    sized = boxes.withColumn("own", own)
-    top = sized.groupBy(*keys).agg(F.max("own").alias("_top"))
-    size = spatial.cell_size(F.col("level"))
-    covers = (
-        (F.col("level") == F.col("own"))
-        & (F.col("box.min_x") <= F.col("cx") * size)
-        & (F.col("box.max_x") >= (F.col("cx") + 1) * size)
-        & (F.col("box.min_y") <= F.col("cy") * size)
-        & (F.col("box.max_y") >= (F.col("cy") + 1) * size)
-    )
-    levels = F.explode(F.sequence(F.col("own"), F.col("_top")))
-    seated = cut_lineage(
-        spatial.into_cells(sized.join(top, keys).withColumn("level", levels).drop("_top")).withColumn("covers", covers)
-    )
-    cell = [*keys, "level", "cx", "cy"]
-    centers = seated.where("covers").groupBy(*cell).agg(F.min("id").alias("center"))
-    tied = cut_lineage(seated.join(centers, cell).select(F.col("id").alias("a"), F.col("center").alias("b")).distinct())
-    first = connected(boxes, tied)
-    loose = seated.join(centers, cell, "left_anti").join(first, "id")
-    mixed = loose.groupBy(*cell).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi")
-    loose = loose.join(mixed.select(*cell), cell, "left_semi")
-    small = loose.select(*cell, F.col("id").alias("a"), F.col("label").alias("_la"), F.col("box").alias("a_box"))
-    large = loose.where("level = own").select(*cell, F.col("id").alias("b"), F.col("label").alias("_lb"), F.col("box").alias("b_box"))
-    crossing = (
-        small.join(large, cell)
-        .where("_la <> _lb")
-        .where(spatial.boxes_touch(F.col("a_box"), F.col("b_box")))
-        .select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
-        .distinct()
-    )
-    return tied.unionByName(crossing)
-
-
 def cluster(entities: DataFrame, pad_mm: float = CLUSTER_PAD_MM, keys: list[str] | None = None) -> DataFrame:
     """Cluster label (smallest member id) of entity boxes that touch once each is padded on every side.
 
-    Equal boxes are one node. Boxes meet in grid cells of their own size; a cell with few boxes lists its
-    touching pairs, and boxes of crowded cells are tied through cell centres instead.
+    Equal boxes are one node. Boxes are cut into the square cells of a grid as fine as their drawing allows, each cell is swept for links that
+    keep touching boxes together, and the links of all cells are joined into components: a box lies in several cells under one id.
     """
     keys = keys or ["drawing_id"]
     corner = ["min_x", "min_y", "max_x", "max_y"]
     shapes = cut_lineage(entities.groupBy(*keys, *corner).agg(F.min("id").alias("id")))
-    padded = shapes.select(
-        *keys,
-        "id",
-        F.struct(
-            *[(F.col(c) - pad_mm).alias(c) for c in corner[:2]], *[(F.col(c) + pad_mm).alias(c) for c in corner[2:]]
-        ).alias("box"),
-    )
-    boxes = padded.withColumn("own", spatial.size_class(spatial.longest_side(F.col("box"))))
-    top = boxes.groupBy(*keys).agg(F.max("own").alias("_top"))
-    levels = F.explode(F.sequence(F.col("own"), F.col("_top")))
-    seated = cut_lineage(spatial.into_cells(boxes.join(top, keys).withColumn("level", levels).drop("_top")))
-    cell = [*keys, "level", "cx", "cy"]
-    crowds = cut_lineage(seated.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).drop("_n"))
-    crowded = crowds.limit(1).count() > 0
-    sparse = seated.join(crowds, cell, "left_anti") if crowded else seated
-    size = spatial.cell_size(F.col("level"))
-    here = sparse.where("level = own").select(*cell, F.col("id").alias("b"), F.col("box").alias("b_box"))
-    owner = (F.floor(F.greatest("box.min_x", "b_box.min_x") / size) == F.col("cx")) & (
-        F.floor(F.greatest("box.min_y", "b_box.min_y") / size) == F.col("cy")
-    )
-    links = (
-        sparse.select(*cell, "own", F.col("id").alias("a"), "box")
-        .join(here, cell)
-        .where((F.col("level") > F.col("own")) | (F.col("a") < F.col("b")))
-        .where(spatial.boxes_touch(F.col("box"), F.col("b_box")) & owner)
-        .select("a", "b")
-    )
-    if crowded:
-        dense = seated.join(crowds, cell, "left_semi").select(*keys, "id", "box").dropDuplicates(["id"])
-        links = links.unionByName(_crowded_links(cut_lineage(dense), keys))
-    labels = connected(shapes, links).withColumnsRenamed({"id": "_node", "label": "cluster_id"})
+    grown = [(F.col(c) - pad_mm).alias(c) for c in corner[:2]] + [(F.col(c) + pad_mm).alias(c) for c in corner[2:]]
+    labels = connected(shapes, spatial.touch_links(shapes.select(*keys, "id", F.struct(*grown).alias("box")), keys))
+    labels = labels.withColumnsRenamed({"id": "_node", "label": "cluster_id"})
     node = shapes.select(*keys, *corner, F.col("id").alias("_node"))
     return (
         entities.join(node, [*keys, *corner]).join(labels, "_node").select(*entities.columns, "cluster_id")

@@ -7,6 +7,12 @@ and boxes travel through the join, and each pair comes out once.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,3 +124,164 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str]) -> Dat
         F.col("box.min_y"), F.col("box.max_y")
     )
     return look.join(here, [*keys, "level", "cx", "cy"]).where(inside).select(*keys, "point_id", "box_id")
+
+
+#: Cells that the longest box of a key may take along one side.
+MOST_CELLS = 1_000
+
+
+def own_grid(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Boxes once per square cell they touch, on a grid per key; adds cx and cy.
+
+    The side of a cell is the mean width plus height, or the side of the mean area if that is more, so the cells of all boxes together are at
+    most some three times their number, however long or thin some are.
+    """
+    wide, high = F.expr("box.max_x - box.min_x"), F.expr("box.max_y - box.min_y")
+    side = F.greatest(F.avg(wide + high), F.sqrt(F.avg(wide * high)), F.max(F.greatest(wide, high)) / MOST_CELLS)
+    grid = boxes.groupBy(*keys).agg(F.when(side > 0, side).otherwise(1.0).alias("_side"))
+    placed = boxes.join(grid, keys)
+    placed = placed.withColumn("cx", F.explode(_span(F.col("box.min_x"), F.col("box.max_x"), F.col("_side"))))
+    return placed.withColumn("cy", F.explode(_span(F.col("box.min_y"), F.col("box.max_y"), F.col("_side")))).drop("_side")
+
+
+def sweep(boxes: Iterable[tuple]) -> Iterator[tuple[int, int]]:
+    """Links (id, earlier id) that connect touching boxes (id, min_x, min_y, max_x, max_y), which come in order of min_x.
+
+    The line of the sweep is kept as disjoint stretches of y, each with the x up to which some box covers it and the id of one. A box meets
+    the stretches it crosses that are not over, takes their place, and leaves longer ones as they are. At most one link per box less one
+    comes out for each component, whatever touches.
+    """
+    lows: list[float] = []
+    line: list[tuple[float, float, float, int]] = []
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while (up := parent.get(k, k)) != k:
+            parent[k] = k = parent.get(up, up)
+        return k
+
+    for own, x0, y0, x1, y1 in boxes:
+        first = max(bisect_right(lows, y0) - 1, 0)
+        while first > 0 and line[first - 1][1] >= y0:
+            first -= 1
+        if first < len(line) and line[first][1] < y0:
+            first += 1
+        last, made, at = first, [], y0
+        before = after = None
+        while last < len(line) and line[last][0] <= y1:
+            low, high, until, other = line[last]
+            last += 1
+            if until < x0:
+                continue
+            a, b = root(own), root(other)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                yield own, other
+            if low < y0:
+                before = (low, y0, until, other)
+            if high > y1:
+                after = (y1, high, until, other)
+            if until > x1:
+                low, high = max(low, y0), min(high, y1)
+                if low > at:
+                    made.append((at, low, x1, own))
+                made.append((low, high, until, other))
+                at = high
+        if at < y1 or not made:
+            made.append((at, y1, x1, own))
+        new = ([before] if before else []) + made + ([after] if after else [])
+        line[first:last] = new
+        lows[first:last] = [s[0] for s in new]
+
+
+def streamed(rows: DataFrame, group: list[str], order: list, fold: Callable, schema: str) -> DataFrame:
+    """Fold each group's rows, in order, into rows of ``schema`` (plain numbers): groups are dealt over the tasks and stream through them.
+
+    ``fold`` takes an iterator of tuples without the group's columns. A group of any size needs no more memory than the fold holds.
+    """
+    rows = rows.select(*group, *[c for c in rows.columns if c not in group])
+    n, names = len(group), [part.split()[0] for part in schema.split(",")]
+    kinds = [pa.float64() if part.split()[1] == "double" else pa.int64() for part in schema.split(",")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
+
+        made = []
+        for _, some in groupby(flat(), key=lambda row: row[:n]):
+            for result in fold(row[n:] for row in some):
+                made.append(result)
+                if len(made) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names)
+                    made = []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names)
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+
+
+def touch_links(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Links (a, b) whose components are those of touching boxes (keys, id, box) with equal keys: some links, not all pairs.
+
+    Cells are dealt over the tasks and sorted by x; a cell streams through its sweep, so that crowded cells take time and little memory.
+    """
+    cell = [*keys, "cx", "cy"]
+    corners = [F.col(f"box.{c}").cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")]
+    rows = own_grid(boxes.select(*keys, "id", "box"), keys).select(*cell, F.col("id").cast("long").alias("id"), *corners)
+    return streamed(rows, cell, ["min_x", "id"], sweep, "a long, b long")
+
+
+class _Seats:
+    """The boxes of one cell by size, for finding the smallest ones that hold another box."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.size = np.array([r[1] for r in rows], np.float64)
+        self.id = [r[2] for r in rows]
+        self.node = [r[3] for r in rows]
+        self.box = np.array([r[4:8] for r in rows], np.float64).reshape(-1, 4)
+
+    def holding(self, after: tuple[float, int], box: tuple[float, ...], most: int) -> list[int]:
+        """Places of the first boxes behind ``after`` (size, id) that hold the box; looks at stretches of growing length."""
+        low, high = (int(np.searchsorted(self.size, after[0], side)) for side in ("left", "right"))
+        at = bisect_right(self.id, after[1], low, high)
+        found, step = [], 32
+        while at < len(self.size) and len(found) < most:
+            b = self.box[at : at + step]
+            ok = (b[:, 0] <= box[0]) & (b[:, 1] <= box[1]) & (b[:, 2] >= box[2]) & (b[:, 3] >= box[3])
+            found += (at + np.flatnonzero(ok)).tolist()
+            at, step = at + step, 2 * step
+        return found[:most]
+
+
+def smallest_holders(inner: DataFrame, outer: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(node, holders): for each inner box the ``most`` smallest outer boxes that hold it, as an array of (size, id, node), smallest first.
+
+    Outer boxes have keys, node, id, size and box; inner ones keys, node, box and the (after_size, after_id) behind which to look. Each size
+    class and cell keeps its outer boxes in order of size and answers with its first few, so deep nests do not come out as pairs.
+    """
+    sized = outer.select(*keys, "node", "id", "size", "box").withColumn("own", size_class(longest_side(F.col("box"))))
+    corners = [F.col(f"box.{c}").cast("double").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")]
+    cell = [*keys, "level", "cx", "cy"]
+    here = into_cells(sized.withColumn("level", F.col("own"))).select(
+        *cell, F.lit(0).alias("kind"), F.col("size").cast("double").alias("size"), F.col("id").cast("long").alias("id"), "node", *corners
+    )
+    size = cell_size(F.col("level"))
+    look = at_levels(inner, sized, keys, size_class(longest_side(F.col("box"))))
+    look = look.withColumns({"cx": F.floor(F.col("box.min_x") / size), "cy": F.floor(F.col("box.min_y") / size)}).select(
+        *cell, F.lit(1).alias("kind"), F.col("after_size").cast("double").alias("size"), F.col("after_id").cast("long").alias("id"), "node", *corners
+    )
+
+    def find(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held, seats = [], None
+        for row in rows:
+            if row[0] == 0:
+                held.append(row)
+                continue
+            seats = seats or _Seats(held)
+            for at in seats.holding((row[1], row[2]), row[4:8], most):
+                yield row[3], float(seats.size[at]), seats.id[at], seats.node[at]
+
+    met = streamed(here.unionByName(look), cell, ["kind", "size", "id"], find, "node long, size double, id long, holder long")
+    place = F.struct("size", "id", "holder")
+    return met.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(place)), 1, most).alias("holders"))

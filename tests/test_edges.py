@@ -272,10 +272,9 @@ def _brute_clusters(rows, pad=15.0):
     return label
 
 
-@pytest.mark.parametrize("crowd", [64, 2, 0])
-def test_cluster_against_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(drw, "CROWD", crowd)
-    rng = random.Random(crowd)
+@pytest.mark.parametrize("seed", [64, 2, 0])
+def test_cluster_against_brute_force(spark, seed):
+    rng = random.Random(seed)
     rows = [(1, 0, 0.0, 0.0, 5.0, 5.0), (2, 0, 34.0, 0.0, 40.0, 5.0), (3, 0, 71.0, 0.0, 80.0, 5.0), (4, 0, 111.0, 0.0, 112.0, 1.0), (5, 0, 0.0, 0.0, 5.0, 5.0)]
     for i in range(10, 170):
         x, y = rng.uniform(-900, 900), rng.uniform(-900, 900)
