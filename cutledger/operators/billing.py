@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutledger.functions.clock import plan_end
-from cutledger.functions.money import vat
+from cutledger.functions.money import to_major, vat
 from cutledger.operators.scan import DAY_US, Running, error_list, running, time_block, top_one
 from cutledger.sources import dims
 
@@ -90,6 +90,17 @@ def checkout_breakdown(df: DataFrame) -> DataFrame:
     return out.withColumn("total_amount", (F.col("subtotal") + F.col("tax_amount")).cast("decimal(12,2)"))
 
 
+def cart_breakdown(carts: DataFrame) -> DataFrame:
+    """Tax breakdown of carts from their own list and transfer prices, stored in cents.
+
+    Carts have list_price_cents, sinpe_price_cents, country_code and billing_method. Currency and tax are those of the country's policy; a price
+    that is missing counts as nothing, so a transfer without its own price is discounted in full.
+    """
+    ruled = regional_policy(carts)
+    price = lambda c: to_major(F.coalesce(F.col(c), F.lit(0)), F.col("policy_currency")).cast("decimal(12,2)")
+    return checkout_breakdown(ruled.withColumns({"list_price": price("list_price_cents"), "sinpe_price": price("sinpe_price_cents")}))
+
+
 def regional_policy(df: DataFrame) -> DataFrame:
     """Currency, tax and payment methods of a country; an ill-formed code gets an error."""
     code = F.nullif(F.upper(F.trim("country_code")), F.lit(""))

@@ -245,61 +245,41 @@ def monotonic_eta(progress: DataFrame) -> DataFrame:
     return _along(progress, [Running("estimated_finished_at", "min", due)])
 
 
-def _decayed(df: DataFrame, keys: list[str], order: list[str], value: str, ratio: float, name: str, level: int = 0) -> DataFrame:
-    """Add ``name``: the sum of the values up to each row, each times ``ratio`` per row since (0 < ratio < 1).
+def _decayed(df: DataFrame, keys: list[str], at: str, value: str, ratio: float, name: str, level: int = 0) -> DataFrame:
+    """Add ``name``: the sum of the values up to each row, each times ``ratio`` per row since (0 < ratio < 1); ``at`` numbers a key's rows.
 
-    Stretches short enough for ratio to the power -i to stay a plain number are summed on their own; their totals are such a sequence again.
+    A row acts on what came before it as x -> ratio * x + value, and stretches of rows compose to such a pair again. Stretches short enough
+    for ratio to the power -i to stay a plain number are summed on their own; their totals are a sequence of the same kind with a smaller
+    ratio, until what reaches over a whole stretch is below any double. No window spans more than a stretch.
     """
     size = max(1, min(64, int(200 / -math.log10(ratio))))
-    n, i, part, local = (f"_{x}{level}" for x in ("n", "i", "part", "local"))
-    rows = df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    rows = rows.withColumns({i: F.col(n) % size, part: F.floor(F.col(n) / size)})
+    i, part, local = (f"_{x}{level}" for x in ("i", "part", "local"))
+    rows = df.withColumns({i: F.col(at) % size, part: F.floor(F.col(at) / size)})
     upto = Window.partitionBy(*keys, part).orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
     power = F.pow(F.lit(ratio), F.col(i))
     rows = rows.withColumn(local, F.sum(F.col(value) / power).over(upto) * power)
     totals = rows.groupBy(*keys, part).agg(F.max_by(local, i).alias("_total"))
     if ratio**size > 1e-40:
-        totals = _decayed(totals, keys, [part], "_total", ratio**size, "_total", level + 1)
-    carried = F.lag("_total", 1, 0.0).over(Window.partitionBy(*keys).orderBy(part))
-    carry = totals.select(*keys, part, carried.alias("_carry"))
-    out = rows.join(carry, [*keys, part])
-    return out.withColumn(name, F.col(local) + power * ratio * F.col("_carry")).drop(n, i, part, local, "_carry")
+        totals = _decayed(totals, keys, part, "_total", ratio**size, "_total", level + 1)
+    carry = totals.select(*keys, (F.col(part) + 1).alias(part), F.col("_total").alias("_carry"))
+    out = rows.join(carry, [*keys, part], "left")
+    return out.withColumn(name, F.col(local) + power * ratio * F.coalesce("_carry", F.lit(0.0))).drop(i, part, local, "_carry")
 
 
 def _smoothed(moved: DataFrame, alpha: float) -> DataFrame:
-    """Exponential mean of ``_x`` per run, starting at its first value.
-
-    The mean is a linear recurrence, so the rows of an hour act on the mean before them as (factor, offset); each run's hours are folded
-    as such pairs.
-    """
+    """Exponential mean of ``_x`` per run, starting at its first value: a decayed sum in which the first value weighs 1 and the others alpha."""
     if alpha >= 1:
         return moved.withColumn("smoothed", F.col("_x"))
-    keep = 1.0 - alpha
-    inside = _decayed(moved, ["run_id", "_b"], ["at", "id"], "_x", keep, "_sum")
-    nth = F.row_number().over(Window.partitionBy("run_id", "_b").orderBy("at", "id"))
-    inside = inside.withColumns({"_nth": nth, "_sum": F.col("_sum") * alpha})
-    hours = inside.groupBy("run_id", "_b").agg(
-        F.max("_nth").alias("rows"), F.max_by("_sum", "_nth").alias("offset"), F.min_by("_x", "_nth").alias("first")
-    )
-    listed = hours.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("_b", "rows", "offset", "first"))).alias("h"))
-    start = F.struct(F.get("h", 0)["first"].alias("mean"), F.array().cast("array<struct<_b:bigint,_in:double>>").alias("seen"))
-
-    def fold(acc: Column, hour: Column) -> Column:
-        after = F.pow(F.lit(keep), hour["rows"]) * acc["mean"] + hour["offset"]
-        seen = F.array(F.struct(hour["_b"].cast("bigint").alias("_b"), acc["mean"].alias("_in")))
-        return F.struct(after.alias("mean"), F.concat(acc["seen"], seen).alias("seen"))
-
-    before = listed.select("run_id", F.inline(F.aggregate("h", start, fold)["seen"]))
-    joined = inside.join(before, ["run_id", "_b"])
-    return joined.withColumn("smoothed", F.pow(F.lit(keep), F.col("_nth")) * F.col("_in") + F.col("_sum")).drop("_nth", "_sum", "_in")
+    numbered = _along(moved, [Running("_n", "sum", F.lit(1), False)])
+    weighed = numbered.withColumn("_v", F.when(F.col("_n") == 0, F.col("_x")).otherwise(F.col("_x") * alpha))
+    return _decayed(weighed, ["run_id"], "_n", "_v", 1.0 - alpha, "smoothed").drop("_n", "_v")
 
 
 def ewma_eta(progress: DataFrame, alpha: float = 0.3, time_limit_sec: float | None = None) -> DataFrame:
     """Smoothed percent and remaining seconds; needs a started_at column."""
-    base = progress.withColumn("_b", time_block(F.col("at"), HOUR_US).cast("bigint"))
-    moved = base.where("percent > 0").withColumn("_x", F.least(F.col("percent"), F.lit(100)).cast("double"))
+    moved = progress.where("percent > 0").withColumn("_x", F.least(F.col("percent"), F.lit(100)).cast("double"))
     smoothed = _smoothed(moved, alpha).drop("_x")
-    rows = smoothed.unionByName(base.where("percent <= 0"), allowMissingColumns=True).drop("_b")
+    rows = smoothed.unionByName(progress.where("percent <= 0"), allowMissingColumns=True)
     elapsed = (F.unix_micros("at") - F.unix_micros("started_at")) / 1e6
     if time_limit_sec is not None:
         raw = F.greatest(F.lit(0.0), F.lit(float(time_limit_sec)) - elapsed)

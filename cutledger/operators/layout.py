@@ -353,6 +353,58 @@ def piece_orders(pieces: DataFrame, max_seeds: int | None = None, seed: int = 42
 ASSIGNED = "project_id bigint, piece_index int, stock_id bigint, copy_no bigint, placed boolean"
 
 
+class Sheets:
+    """The opened copies of one stock: a tournament tree over the area each has left, so the first that has enough is found in a logarithm of
+    their number."""
+
+    def __init__(self, no: int, width: float, height: float, copies: float) -> None:
+        self.no, self.width, self.height, self.copies = no, width, height, copies
+        self.opened, self.cap = 0, 1
+        self.most = [-1.0, -1.0]
+
+    def admits(self, w: float, h: float) -> bool:
+        return (w <= self.width and h <= self.height) or (h <= self.width and w <= self.height)
+
+    def _first(self, area: float) -> int | None:
+        if self.most[1] < area:
+            return None
+        at = 1
+        while at < self.cap:
+            at *= 2
+            at += self.most[at] < area
+        return at - self.cap
+
+    def _set(self, k: int, left: float) -> None:
+        at = self.cap + k
+        self.most[at] = left
+        while at > 1:
+            at //= 2
+            self.most[at] = max(self.most[2 * at], self.most[2 * at + 1])
+
+    def _open(self) -> int:
+        if self.opened == self.cap:
+            leaves = self.most[self.cap :] + [-1.0] * self.cap
+            self.cap *= 2
+            self.most = [-1.0] * self.cap + leaves
+            for at in range(self.cap - 1, 0, -1):
+                self.most[at] = max(self.most[2 * at], self.most[2 * at + 1])
+        self.opened += 1
+        return self.opened - 1
+
+    def take(self, area: float) -> int | None:
+        """Number of the copy that takes the area, opening the next one if no open one can; None if there is none."""
+        k = self._first(area)
+        if k is not None:
+            self._set(k, self.most[self.cap + k] - area)
+            return k
+        whole = self.width * self.height
+        if self.opened >= self.copies or whole < area:
+            return None
+        k = self._open()
+        self._set(k, whole - area)
+        return k
+
+
 def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk (project, stocks first, pieces by falling area); memory holds the opened sheets only."""
     project, stocks = None, []
@@ -362,25 +414,14 @@ def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if r.project_id != project:
                 project, stocks = r.project_id, []
             if r.kind == 0:
-                many = np.inf if pd.isna(r.quantity) else int(r.quantity)
-                stocks.append({"id": r.no, "w": r.w, "h": r.h, "left": np.empty(16), "open": 0, "many": many})
+                stocks.append(Sheets(r.no, r.w, r.h, np.inf if pd.isna(r.quantity) else int(r.quantity)))
                 continue
             spot = None
             for s in stocks:
-                if not ((r.w <= s["w"] and r.h <= s["h"]) or (r.h <= s["w"] and r.w <= s["h"])):
-                    continue
-                room = s["left"][: s["open"]] >= r.area
-                k = int(room.argmax()) if room.any() else s["open"]
-                if k == s["open"]:
-                    if k >= s["many"] or s["w"] * s["h"] < r.area:
-                        continue
-                    if k == len(s["left"]):
-                        s["left"] = np.concatenate([s["left"], np.empty(k)])
-                    s["left"][k], s["open"] = s["w"] * s["h"], k + 1
-                s["left"][k] -= r.area
-                spot = (s["id"], k + 1)
-                break
-            last = (stocks[-1]["id"], -1) if stocks else (None, -1)
+                if s.admits(r.w, r.h) and (k := s.take(r.area)) is not None:
+                    spot = (s.no, k + 1)
+                    break
+            last = (stocks[-1].no, -1) if stocks else (None, -1)
             rows.append((r.project_id, r.no, *(spot or last), spot is not None))
         if rows:
             out = pd.DataFrame(rows, columns=["project_id", "piece_index", "stock_id", "copy_no", "placed"])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutledger.functions.clock import plan_end
 from cutledger.functions.money import to_major, to_minor
+from cutledger.operators import addresses as adr
 from cutledger.operators import billing as bill
+from cutledger.operators import events as ev
 from cutledger.plans.oracle import stamp
 from cutledger.plans.registry import Registry
 from cutledger.sources import driver as src
@@ -90,6 +95,28 @@ R.add(
       FROM (SELECT *, CASE WHEN billing_method = 'sinpe' AND promo IS NOT NULL THEN greatest(list_price - promo, 0) ELSE 0 END
         AS disc FROM ({_PRICED}) WHERE price_error IS NULL))""",
 )
+_IPC = """SELECT i.id, r.country_code AS ip_country FROM ip_numbers i LEFT JOIN ip_ranges r ON i.n BETWEEN r.ip_from AND r.ip_to
+    AND i.ip <> '10.0.0.1' AND NOT (i.ip LIKE '127.%') AND NOT (i.ip LIKE '10.%')
+    AND NOT (i.n BETWEEN 2886729728 AND 2887778303) AND NOT (i.ip LIKE '192.168.%')"""
+_CART = "CASE WHEN id % 2 = 0 THEN ' cr' WHEN id % 7 = 0 THEN NULL ELSE 'us' END"
+R.add(
+    "p8_cart_breakdown",
+    lambda s, d: bill.cart_breakdown(
+        src.carts(s, d).withColumns({"country_code": F.expr(_CART), "billing_method": F.expr("if(id % 3 = 0, 'card', 'sinpe')")})
+    ).select("id", "list_price_cents", "policy_currency", "list_price", "discount_amount", "subtotal", "tax_amount", "total_amount"),
+    f"""SELECT id, list_price_cents, CASE WHEN home THEN 'crc' ELSE 'usd' END AS policy_currency, l AS list_price, d AS discount_amount,
+      l - d AS subtotal, CASE WHEN home THEN round((l - d) * 0.13, 2) ELSE 0 END AS tax_amount,
+      l - d + CASE WHEN home THEN round((l - d) * 0.13, 2) ELSE 0 END AS total_amount
+    FROM (SELECT *, CASE WHEN id % 3 <> 0 THEN greatest(l - p, 0) ELSE 0 END AS d FROM (SELECT *, list_price_cents / u AS l, sinpe_price_cents / u AS p
+      FROM (SELECT *, coalesce(upper(trim({_CART})) = 'CR', false) AS home, CASE WHEN coalesce(upper(trim({_CART})) = 'CR', false) THEN 1.0 ELSE 100.0 END AS u
+        FROM carts)))""",
+)
+R.add(
+    "p10_event_country",
+    lambda s, d: ev.resolve_event_country(bill.country_for_ip(src.visits(s, d), src.ip_ranges(s, d))).select("id", "country_code"),
+    f"""SELECT v.id, coalesce(CASE WHEN trim(header_country) <> '' THEN upper(header_country) END, ip_country) AS country_code
+    FROM visits v JOIN ({_IPC}) i ON i.id = v.id""",
+)
 R.add(
     "p9_regional_policy",
     lambda s, d: bill.regional_policy(src.user_events(s, d).select("id", "country_code")).select(
@@ -101,9 +128,6 @@ R.add(
     CASE WHEN country_code = 'CR' THEN 'sinpe' ELSE 'card' END AS default_method, CAST(NULL AS VARCHAR) AS policy_error
     FROM user_events""",
 )
-_IPC = """SELECT i.id, r.country_code AS ip_country FROM ip_numbers i LEFT JOIN ip_ranges r ON i.n BETWEEN r.ip_from AND r.ip_to
-    AND i.ip <> '10.0.0.1' AND NOT (i.ip LIKE '127.%') AND NOT (i.ip LIKE '10.%')
-    AND NOT (i.n BETWEEN 2886729728 AND 2887778303) AND NOT (i.ip LIKE '192.168.%')"""
 R.add(
     "j20_country_for_ip",
     lambda s, d: bill.country_for_ip(src.user_events(s, d).select("id", "ip"), src.ip_ranges(s, d)).select(
@@ -111,6 +135,35 @@ R.add(
     ),
     _IPC,
 )
+
+
+def _nested_networks(s, d):
+    """Networks of both families from customers: wide ones, and narrower ones inside some of them."""
+    c = src.table(s, d, "customer").selectExpr("c_custkey as k", "c_nationkey as n")
+    forms = (
+        ("concat('2001:db8:', lower(hex(k % 60)), '::/48')", "A"), ("concat('2001:DB8:', hex(k % 60), ':', hex(k % 7), '::/64')", "B"),
+        ("concat(k % 200 + 11, '.0.0.0/8')", "C"), ("concat(k % 200 + 11, '.', k % 5, '.0.0/16')", "D"),
+    )
+    return reduce(DataFrame.union, [c.selectExpr(f"{form} as network", f"concat('{mark}', n) as country_code") for form, mark in forms])
+
+
+def _addresses(s, d):
+    e = src.table(s, d, "events").selectExpr("event_id as id", "event_id % 70 as a", "event_id % 9 as b")
+    return e.selectExpr("id", "if(id % 2 = 0, concat('2001:db8:', lower(hex(a)), ':', hex(b), '::', hex(id % 5000)), concat(a + 5, '.', b, '.3.', id % 250)) as ip")
+
+
+R.add(
+    "j20_country_for_address",
+    lambda s, d: adr.country_for_address(_addresses(s, d), _nested_networks(s, d)).select("id", "ip", "ip_country"),
+    """WITH e AS (SELECT event_id AS id, event_id % 70 AS a, event_id % 9 AS b FROM events),
+    n AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
+    wide6 AS (SELECT k % 60 AS a, min('A' || n) AS c FROM n GROUP BY 1), deep6 AS (SELECT k % 60 AS a, k % 7 AS b, min('B' || n) AS c FROM n GROUP BY 1, 2),
+    wide4 AS (SELECT k % 200 + 11 AS a, min('C' || n) AS c FROM n GROUP BY 1), deep4 AS (SELECT k % 200 + 11 AS a, k % 5 AS b, min('D' || n) AS c FROM n GROUP BY 1, 2)
+    SELECT e.id, CASE WHEN e.id % 2 = 0 THEN '2001:db8:' || lower(hex(e.a)) || ':' || hex(e.b) || '::' || hex(e.id % 5000) ELSE (e.a + 5) || '.' || e.b || '.3.' || (e.id % 250) END AS ip,
+      CASE WHEN e.id % 2 = 0 THEN coalesce(d6.c, w6.c) WHEN e.a + 5 <> 10 THEN coalesce(d4.c, w4.c) END AS ip_country
+    FROM e LEFT JOIN wide6 w6 ON w6.a = e.a LEFT JOIN deep6 d6 ON d6.a = e.a AND d6.b = e.b
+      LEFT JOIN wide4 w4 ON w4.a = e.a + 5 LEFT JOIN deep4 d4 ON d4.a = e.a + 5 AND d4.b = e.b""",
+)
 R.add(
     "p10_resolve_country",
     lambda s, d: bill.resolve_country(bill.country_for_ip(src.visits(s, d), src.ip_ranges(s, d))).select(

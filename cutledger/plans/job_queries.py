@@ -52,6 +52,23 @@ for _name, _rows, _view in (
     R.add(f"s1_scan_{_name}", _stored, f"SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, max(id) AS top FROM {_view}")
 
 
+for _name, _rows, _columns, _view in (
+    ("plan_monthly_usages", src.usages, ("subscription_id", "downloads_used"), "usages"),
+    ("projects", src.projects, ("id", "nesting_time_limit_sec"), "(SELECT o_orderkey AS id, 600 AS nesting_time_limit_sec FROM orders)"),
+    ("blobs", src.blobs, ("id", "byte_size"), "(SELECT doc_id AS id, n_chars AS byte_size FROM documents)"),
+    ("attachments", src.attachments, ("id", "blob_id"), "(SELECT doc_id AS id, doc_id AS blob_id FROM labels)"),
+):
+
+    def _scanned(s, d, name=_name, rows=_rows, columns=_columns):
+        root = shared_path(s, "scan")
+        schemas.store(rows(s, d), root, name)
+        found = schemas.load(s, root, name)
+        return found.agg(F.count("*").alias("n"), *[F.sum(c).cast("bigint").alias(f"sum_{c}") for c in columns])
+
+    _sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS sum_{c}" for c in _columns)
+    R.add(f"s1_scan_{_name}", _scanned, f"SELECT count(*) AS n, {_sums} FROM {_view}")
+
+
 def _report_docs(s, d):
     text = F.when(F.col("id") % 37 == 0, F.lit("{broken")).otherwise(F.to_json("report"))
     return docs.parse_reports(src.runs(s, d).select("id", text.alias("report_json")))

@@ -86,6 +86,28 @@ R.add(
       CASE WHEN kind = 2 THEN width_mm * 5 / 12 ELSE width_mm / 2 END::DOUBLE AS cx,
       CASE WHEN kind = 2 THEN height_mm * 5 / 12 ELSE height_mm / 2 END::DOUBLE AS cy FROM pieces)""",
 )
+
+
+def _decorated(s, d):
+    """A diagonal drawn on each piece, moved with it; both ends."""
+    turn = F.expr("cast(piece_index % 4 * 90 as double)")
+    line = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.col("width_mm").cast("double"), F.col("height_mm").cast("double")))
+    moved = geo.place_line(line, F.lit(10.0), F.lit(20.0), turn, geo.centroid(F.col("rings")))
+    ends = _pieces(s, d).select("project_id", "piece_index", moved.alias("l"))
+    return ends.selectExpr("project_id", "piece_index", "l[0][0] as x0", "l[0][1] as y0", "l[1][0] as x1", "l[1][1] as y1")
+
+
+R.add(
+    "m7_place_line",
+    lambda s, d: _round(_decorated(s, d), "x0", "y0", "x1", "y1", digits=4),
+    """SELECT project_id, piece_index, round(10 + CASE t WHEN 0 THEN 0 WHEN 1 THEN cx + cy WHEN 2 THEN 2 * cx ELSE cx - cy END, 4) AS x0,
+      round(20 + CASE t WHEN 0 THEN 0 WHEN 1 THEN cy - cx WHEN 2 THEN 2 * cy ELSE cx + cy END, 4) AS y0,
+      round(10 + CASE t WHEN 0 THEN w WHEN 1 THEN cx + cy - h WHEN 2 THEN 2 * cx - w ELSE cx - cy + h END, 4) AS x1,
+      round(20 + CASE t WHEN 0 THEN h WHEN 1 THEN cy - cx + w WHEN 2 THEN 2 * cy - h ELSE cx + cy - w END, 4) AS y1
+    FROM (SELECT project_id, piece_index, piece_index % 4 AS t, width_mm::DOUBLE AS w, height_mm::DOUBLE AS h,
+      CASE WHEN kind = 2 THEN width_mm * 5 / 12 ELSE width_mm / 2 END::DOUBLE AS cx,
+      CASE WHEN kind = 2 THEN height_mm * 5 / 12 ELSE height_mm / 2 END::DOUBLE AS cy FROM pieces)""",
+)
 R.add(
     "m8_contains",
     lambda s, d: _pieces(s, d).select(
