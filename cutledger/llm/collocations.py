@@ -6,8 +6,10 @@ language's list still needs are grown. A phrase of the list is settled when ever
 counted (a longer one that pushes it out contains such a phrase with at least the same count). The frontier is grown in waves, best bounds
 first, one scan of the texts per wave, until the last place of each list is settled.
 
-Scans count exactly, in numpy, per task; membership of prefixes is tested in a bitmap of bounded size (`LARGEST` bits), whose false hits cost
-counting and nothing else: they are dropped by an exact join.
+Texts are read into words once: chunks of word numbers with their own word lists and hashes, in the shared folder. Words and pairs are first
+summed by a 64-bit hash, which travels light; only those whose hash is frequent are counted by their words, as are all longer phrases, exactly,
+in numpy, per task. Membership is tested in bitmaps of bounded size (`LARGEST` bits), whose false hits cost counting and nothing else: they
+fall to the exact counts and joins.
 """
 
 from __future__ import annotations
@@ -25,9 +27,14 @@ from cutledger.llm.common import ready, stored
 
 #: Longest phrase, least count, places per language, parts of a score.
 LONGEST, LEAST, KEEP, PARTS = 4, 30, 2000, 2_000_000
-#: Characters tokenised at once, words and phrases held by a task before they are handed on, bits of the smallest and largest bitmap.
-SLICE, WORDS_HELD, PHRASES_HELD, SMALLEST, LARGEST = 1_000_000, 1 << 20, 1_500_000, 20, 28
-
+#: Characters read at once, words of a chunk (numbers of 16 bits), words and sums a task holds before it hands them on, bits of a bitmap.
+SLICE, CHUNK, WORDS_HELD, SUMS_HELD, SMALLEST, LARGEST = 200_000, 60_000, 150_000, 1_000_000, 20, 28
+#: Chunks are long rows, so pages are closed by size and not by a number of rows.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.block.size": str(16 << 20)}
+
+CHUNKS = "lang string, words string, hashes binary, ids binary, carried int"
+CHUNKED = pa.schema([("lang", pa.string()), ("words", pa.string()), ("hashes", pa.binary()), ("ids", pa.binary()), ("carried", pa.int32())])
+SUMS = "h long, f long"
 COUNTS = "lang string, phrase string, f long"
 COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 BREAK = b"\xff"
@@ -70,16 +77,58 @@ def _slices(texts: Iterable[str | None]) -> Iterator[bytes]:
     yield b"".join(parts)
 
 
-def _fold(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal keys (one or more columns) as one, with the sum of their counts."""
-    if not len(n):
-        return keys, n
-    order = np.lexsort(keys)
-    keys, n = [k[order] for k in keys], n[order]
-    new = np.ones(len(n), bool)
+def _chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, text) as chunks of one language: word numbers, 0 for an end of a piece, and the words that they number (from 1).
+
+    A chunk begins with the last words of the one before it (`carried` of them), so that every phrase lies whole in one chunk.
+    """
+    held: dict[str, tuple[_Ids, list[np.ndarray], int]] = {}
+
+    def begin(lang: str, words: list[bytes]) -> None:
+        ids = _Ids()
+        ids[BREAK]  # the break has number 0
+        held[lang] = ids, [np.fromiter(map(ids.__getitem__, words), np.uint16, len(words))], len(words)
+
+    def out(lang: str) -> pa.RecordBatch:
+        ids, parts, _ = held.pop(lang)
+        numbers, words = np.concatenate(parts), list(ids)
+        begin(lang, [words[i] for i in numbers[1 - LONGEST :]])
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words[1:]), np.uint64, len(words) - 1)
+        row = lang, b"\n".join(words[1:]).decode(), hashes.tobytes(), numbers.tobytes(), len(parts[0])
+        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, CHUNKED)], schema=CHUNKED)
+
+    for batch in batches:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang in sorted(set(langs)):
+            if lang not in held:
+                begin(lang, [])
+            for part in _slices(t for t, g in zip(texts, langs) if g == lang):
+                words = part.replace(BREAK, b" \xff ").split()
+                for at in range(0, len(words), CHUNK // 2):
+                    some = words[at : at + CHUNK // 2]
+                    if held[lang][2] + len(some) > CHUNK:
+                        yield out(lang)
+                    ids, parts, n = held[lang]
+                    parts.append(np.fromiter(map(ids.__getitem__, some), np.uint16, len(some)))
+                    held[lang] = ids, parts, n + len(some)
+    for lang, (_, parts, n) in list(held.items()):
+        if n > len(parts[0]):
+            yield out(lang)
+
+
+def _fold(keys: list[np.ndarray], n: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal keys (one or more columns) as one, with the sum of their counts (None: of 1 each)."""
+    if not len(keys[0]):
+        return keys, np.zeros(0, np.int64)
+    if n is None and len(keys) == 1:
+        keys = [np.sort(keys[0])]
+    else:
+        order = np.lexsort(keys)
+        keys, n = [k[order] for k in keys], n if n is None else n[order]
+    new = np.ones(len(keys[0]), bool)
     new[1:] = reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])
     at = np.flatnonzero(new)
-    return [k[at] for k in keys], np.add.reduceat(n, at)
+    return [k[at] for k in keys], np.diff(np.append(at, len(new))) if n is None else np.add.reduceat(n, at)
 
 
 class _Tally:
@@ -89,10 +138,10 @@ class _Tally:
         self.parts: list[tuple[list[np.ndarray], np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: list[np.ndarray]) -> None:
-        self.parts.append(_fold(keys, np.ones(len(keys[0]), np.int64)))
+    def add(self, keys: list[np.ndarray], n: np.ndarray | None = None) -> None:
+        self.parts.append(_fold(keys, n))
         self.size += len(self.parts[-1][1])
-        if self.size > PHRASES_HELD:
+        if self.size > SUMS_HELD:
             self.fold()
 
     def fold(self) -> tuple[list[np.ndarray], np.ndarray]:
@@ -148,91 +197,144 @@ class Sieve:
         return (hit[0] & hit[1]).astype(bool)
 
 
-def sieve(phrases: DataFrame) -> Sieve:
-    """Bitmap of the phrases (lang, phrase); about 16 bits a phrase, at most LARGEST in all, so its size does not follow the data."""
-    n = phrases.count()
-    bits = min(max(int(n).bit_length() + 4, SMALLEST), LARGEST)
+def sieve(hashes: DataFrame) -> Sieve:
+    """Bitmap of phrases by their hash (column h); about 16 bits a phrase, at most LARGEST in all, so its size does not follow the data."""
+    bits = min(max(hashes.count().bit_length() + 4, SMALLEST), LARGEST)
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [
-                phrase_hash(lang_hash(lang), [np.uint64(xxhash.xxh64_intdigest(w)) for w in phrase.encode().split(b" ")])
-                for lang, phrase in zip(*(batch.column(k).to_pylist() for k in range(2)))
-            ]
-            spots = np.concatenate(Sieve.probes(np.array(hashes, np.uint64), bits))
+            spots = np.concatenate(Sieve.probes(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits))
             one = np.left_shift(np.uint64(1), spots & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((spots >> np.uint64(6)).astype(np.int64)), pa.array(one.view(np.int64))], ["at", "bits"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(places, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    found = hashes.select("h").mapInArrow(places, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return Sieve(bits, words)
 
 
-def _counter(lengths: tuple[int, ...], wanted: Callable | None) -> Callable:
-    """Task function: counts of the phrases of these lengths, those only that `wanted(lang, hashes of the words, columns)` lets pass.
+def _hash_phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [
+            phrase_hash(lang_hash(lang), [np.uint64(xxhash.xxh64_intdigest(w)) for w in phrase.split(" ")])
+            for lang, phrase in zip(*(batch.column(k).to_pylist() for k in range(2)))
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64))], ["h"])
 
-    Without `wanted`, all are counted, and a row with a null phrase gives the number of words.
-    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, tallies, totals = _Ids(), np.zeros(0, np.uint64), {}, {}
+def hashed(phrases: DataFrame) -> DataFrame:
+    """Hashes (column h) of phrases (lang, phrase)."""
+    return phrases.select("lang", "phrase").mapInArrow(_hash_phrases, "h long")
 
-        def reset() -> None:
-            ids.clear()
-            ids[BREAK]  # the break has id 0
-            tallies.clear()
+
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, str, np.ndarray, np.ndarray, int]]:
+    """Chunks as (lang, words, hashes by number, numbers, carried)."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            lang, words, hashes, ids, carried = (batch.column(c)[row].as_py() for c in range(5))
+            by_number = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(hashes, np.uint64)])
+            yield lang, words, by_number, np.frombuffer(ids, np.uint16), carried
+
+
+def _columns(numbers: np.ndarray, carried: int, length: int) -> list[np.ndarray]:
+    """The phrases of a length that end behind the carried words, one column per word."""
+    begin = max(carried - length + 1, 0)
+    many = max(len(numbers) - begin - length + 1, 0)
+    columns = [numbers[begin + j : begin + j + many] for j in range(length)]
+    whole = reduce(np.logical_and, [c != 0 for c in columns])
+    return [c[whole] for c in columns]
+
+
+def _counter(lengths: tuple[int, ...], wanted: Callable) -> Callable:
+    """Task function over chunks: counts of the phrases of these lengths that `wanted(lang hash, hashes by number, columns)` lets pass."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tallies = _Ids(), {}
 
         def out() -> Iterator[pa.RecordBatch]:
             names = list(ids)
             for (lang, length), tally in tallies.items():
                 keys, n = tally.fold()
-                for at in range(0, len(n), 50_000):
-                    columns = [c[at : at + 50_000].tolist() for c in _unpacked(keys, length)]
-                    phrases = [b" ".join([names[i] for i in row]).decode() for row in zip(*columns)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases), pa.array(n[at : at + 50_000])], schema=COUNTED)
+                for at in range(0, len(n), 20_000):
+                    columns = [c.tolist() for c in _unpacked([k[at : at + 20_000] for k in keys], length)]
+                    phrases = [" ".join([names[i] for i in row]) for row in zip(*columns)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases), pa.array(n[at : at + 20_000])], schema=COUNTED)
+            ids.clear()
+            tallies.clear()
 
-        reset()
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in sorted(set(langs)):
-                start, carry = lang_hash(lang), np.zeros(0, np.int64)
-                for part in _slices(t for t, g in zip(texts, langs) if g == lang):
-                    words = part.replace(BREAK, b" \xff ").split()
-                    if len(ids) > WORDS_HELD or any(t.size > PHRASES_HELD // 2 for t in tallies.values()):
-                        yield from out()
-                        back = list(ids)
-                        carried = [back[i] for i in carry]
-                        reset()
-                        hashes = np.zeros(0, np.uint64)
-                        carry = np.array([ids[w] for w in carried], np.int64)
-                    new = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                    if wanted is None:
-                        totals[lang] = totals.get(lang, 0) + int((new != 0).sum())
-                    elif len(hashes) < len(ids):
-                        fresh = list(ids)[len(hashes) :]
-                        hashes = np.concatenate([hashes, np.fromiter((xxhash.xxh64_intdigest(w) for w in fresh), np.uint64, len(fresh))])
-                    for length in lengths:
-                        seen = np.concatenate([carry[len(carry) - min(len(carry), length - 1) :], new])
-                        many = max(len(seen) - length + 1, 0)
-                        columns = [seen[j : j + many] for j in range(length)]
-                        whole = reduce(np.logical_and, [c != 0 for c in columns])
-                        columns = [c[whole] for c in columns]
-                        if wanted is not None and len(columns[0]):
-                            passed = wanted(start, hashes, columns)
-                            columns = [c[passed] for c in columns]
-                        if len(columns[0]):
-                            tallies.setdefault((lang, length), _Tally()).add(_packed(columns))
-                    carry = np.concatenate([carry, new])[-(LONGEST - 1) :]
+        for lang, words, hashes, numbers, carried in _read(batches):
+            if len(ids) > WORDS_HELD or sum(t.size for t in tallies.values()) > SUMS_HELD:
+                yield from out()
+            start, named = lang_hash(lang), None
+            for length in lengths:
+                columns = _columns(numbers, carried, length)
+                if len(columns[0]):
+                    passed = wanted(start, hashes, columns)
+                    columns = [c[passed] for c in columns]
+                if not len(columns[0]):
+                    continue
+                # words that occur in a passing phrase get a number of the task
+                named = named or words.split("\n")
+                used = np.flatnonzero(np.bincount(np.concatenate(columns)))
+                own = np.zeros(len(hashes), np.int64)
+                own[used] = [ids[named[i - 1]] for i in used.tolist()]
+                tallies.setdefault((lang, length), _Tally()).add(_packed([own[c] for c in columns]))
         yield from out()
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()))], schema=COUNTED)
 
     return run
 
 
-def _counts(docs: DataFrame, lengths: tuple[int, ...], wanted: Callable | None) -> DataFrame:
-    return docs.mapInArrow(_counter(lengths, wanted), COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+def _summed(length: int, wanted: Callable | None) -> Callable:
+    """Task function over chunks: counts by hash of the words, or of the phrases of a length that `wanted` lets pass."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
+
+        def out() -> pa.RecordBatch:
+            keys, n = tally.fold()
+            return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(n)], ["h", "f"])
+
+        for lang, _, hashes, numbers, carried in _read(batches):
+            start, n = lang_hash(lang), None
+            if length == 1:
+                counted = np.bincount(numbers[carried:], minlength=len(hashes))[1:]
+                at = np.flatnonzero(counted)
+                h, n = phrase_hash(start, [hashes[at + 1]]), counted[at]
+            else:
+                columns = _columns(numbers, carried, length)
+                passed = wanted(start, hashes, columns)
+                h = phrase_hash(start, [hashes[c[passed]] for c in columns])
+            if len(h):
+                tally.add([h.view(np.int64)], n)
+            if tally.size > SUMS_HELD // 2:
+                tally.fold()
+                if tally.size > SUMS_HELD // 2:
+                    yield out()
+                    tally = _Tally()
+        if tally.size:
+            yield out()
+
+    return run
+
+
+def _word_totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for lang, _, _, numbers, carried in _read(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int((numbers[carried:] != 0).sum())])], ["lang", "n"])
+
+
+def _likely(chunks: DataFrame, scan: Callable) -> Sieve:
+    """Bitmap of the hashes whose sum is frequent: that of every frequent phrase is among them."""
+    sums = chunks.mapInArrow(scan, SUMS).groupBy("h").agg(F.sum("f").alias("f")).filter(F.col("f") >= LEAST)
+    return sieve(stored(sums, "collocation-likely"))
+
+
+def _counts(chunks: DataFrame, scan: Callable) -> DataFrame:
+    return chunks.mapInArrow(scan, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def _all_in(phrases):
+    """Phrases that a bitmap may hold."""
+    return lambda start, hashes, columns: phrases.value(phrase_hash(start, [hashes[c] for c in columns]))
 
 
 def _both_frequent(words):
@@ -350,11 +452,14 @@ def grow(docs: DataFrame, text: str = "text", lang: str = "lang", keep: int = KE
     spark = docs.sparkSession
     ready(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    words = stored(_counts(rows, (1,), None).filter((F.col("f") >= LEAST) | F.col("phrase").isNull()), "collocation-words")
-    totals, words = words.filter("phrase is null").select("lang", F.col("f").alias("n")), words.filter("phrase is not null")
-    frequent = spark.sparkContext.broadcast(sieve(words))
-    pairs = stored(_counts(rows, (2,), _both_frequent(frequent)).filter(F.col("f") >= LEAST), "collocation-pairs")
-    pair_sieve = spark.sparkContext.broadcast(sieve(pairs))
+    chunks = stored(rows.mapInArrow(_chunk, CHUNKS), "collocation-chunks", PAGES)
+    totals = stored(chunks.mapInArrow(_word_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
+    share = spark.sparkContext.broadcast
+    frequent = lambda scan: _counts(chunks, scan).filter(F.col("f") >= LEAST)
+    words = stored(frequent(_counter((1,), _all_in(share(_likely(chunks, _summed(1, None)))))), "collocation-words")
+    likely = _likely(chunks, _summed(2, _both_frequent(share(sieve(hashed(words))))))
+    pairs = stored(frequent(_counter((2,), _all_in(share(likely)))), "collocation-pairs")
+    pair_sieve = share(sieve(hashed(pairs)))
     lookup = words.select("lang", "phrase", "f").union(pairs.select("lang", "phrase", "f"))
     known = stored(_scored(pairs.select("lang", "phrase", F.lit(2).alias("size"), "f"), lookup), "collocation-scored")
     grown = known.select("lang", "phrase").limit(0)
@@ -365,8 +470,7 @@ def grow(docs: DataFrame, text: str = "text", lang: str = "lang", keep: int = KE
         wave = stored(_wave(standing, goals), "collocation-wave")
         if wave.isEmpty():
             return standing, goals, grown, totals
-        wave_sieve = spark.sparkContext.broadcast(sieve(wave))
-        counted = _counts(rows, (3, 4), _grown_from(wave_sieve, pair_sieve)).filter(F.col("f") >= LEAST)
+        counted = frequent(_counter((3, 4), _grown_from(share(sieve(hashed(wave))), pair_sieve)))
         counted = counted.withColumn("size", F.size(F.split("phrase", " "))).withColumn("prefix", _words(1, F.col("size") - 1))
         counted = counted.join(wave.select("lang", F.col("phrase").alias("prefix")), ["lang", "prefix"], "left_semi")
         counted = stored(counted.select("lang", "phrase", "size", "f"), "collocation-grown")

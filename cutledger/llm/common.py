@@ -33,14 +33,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: a lost executor then costs one re-read."""
+def stored(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back: a lost executor then costs one re-read. `options` are those of the writer."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_of(name: str = "text") -> Column:
     """The whole text, null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
