@@ -139,6 +139,46 @@ def test_all_links_are_counted(spark, monkeypatch):
     assert max(want) > 3 and sorted([(r["doc_id"], r["n_links"]) for r in got], key=str) == sorted([(i, n) for (i, _), n in zip(rows, want)], key=str)
 
 
+def test_likely_classes_come_once_per_group():
+    """A group in which every pair is likely gives its classes, not its pairs."""
+    import pandas as pd
+
+    n = 600
+    sketch = np.zeros(jaccard.SKETCH, np.uint16).tobytes()
+    group = pd.DataFrame({"signature": [7] * n + [8] * 3, "class": [*range(n), n, n + 1, n + 2], "size": 100, "sketch": [sketch] * (n + 3)})
+    group["root"] = group["class"]
+    group.loc[group["signature"] == 8, "root"] = 5  # one component already
+    out = pd.concat(list(jaccard._cross(85)(iter([group.iloc[:250], group.iloc[250:]]))))
+    assert sorted(out["class"]) == list(range(n)) and set(out["signature"]) == {7}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_spanning_links_join_what_all_links_join(seed):
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = []
+    for _ in range(40):
+        kept = base[rng.random(60) < rng.choice([0.97, 0.9, 0.5])]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 62, int(rng.integers(1, 5))).astype(np.uint64)])))
+    root = np.arange(40)
+    root[:6] = 0
+    rows = pd.DataFrame({"class": np.arange(40), "root": root, "items": [s.tobytes() for s in sets], "team": 0, "lo": 0, "hi": 0})
+    found = jaccard._spanning_in(rows, 85)
+    links = [] if found is None else list(zip(found["a"], found["b"]))
+
+    def joined(pairs):
+        label = root.copy()
+        for a, b in pairs:
+            label[label == label[b]] = label[a]
+        return len(set(label.tolist())), [label[i] == label[j] for i, j in combinations(range(40), 2)]
+
+    alike = [(i, j) for i, j in combinations(range(40), 2) if 100 * np.intersect1d(sets[i], sets[j]).size >= 85 * np.union1d(sets[i], sets[j]).size]
+    assert joined(links) == joined(alike) and len(links) == len(set(root.tolist())) - joined(links)[0]
+    assert set(links) <= {p for a, b in alike for p in ((a, b), (b, a))}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (51, 100), (7, 7)] + [(200, 200 + k) for k in range(1, 30)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
