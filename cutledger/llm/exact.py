@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutledger.llm.common import ready, text_of
+from cutledger.llm.common import ready, text_of, unused
 
 SLOTS = 4
 KICKS = 200
@@ -234,8 +234,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Rows meet their group by digest and id together, so the copies of a hot text spread over the tasks.
     """
-    names = docs.columns
-    keep = build_index(docs, doc_id, text).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    rows = with_digest(docs, text, "__own")
-    met = rows.join(keep, (F.col("__own") == F.col("__digest")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__keep")))
-    return met.dropDuplicates(["__own", doc_id]).select(*[F.col(f"`{n}`") for n in names])
+    digest, keep, own = (unused(docs, n) for n in ("digest", "keep", "own"))
+    kept = build_index(docs, doc_id, text).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
+    rows = with_digest(docs, text, own)
+    met = rows.join(kept, (F.col(own) == F.col(digest)) & F.col(doc_id).cast("long").eqNullSafe(F.col(keep)))
+    return met.dropDuplicates([own, doc_id]).select(*[F.col(f"`{n}`") for n in docs.columns])

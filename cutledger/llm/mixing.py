@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutledger.llm.common import stored, text_of, word_count
+from cutledger.llm.common import stored, text_of, unused, word_count
 
 #: Weights of the sources in code-point order, and how often a document may be taken.
 WEIGHTS = (5, 2, 1)
@@ -115,15 +115,17 @@ def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 
     Rows find their turn by id, source and size; rows that repeat all three are told apart by a number in the order of a hash of the text.
     """
-    names = docs.columns
-    keys = ["__id", "__source", "__size", "__nth"]
-    nth = lambda *order: F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(*order))
-    turns = mix(docs, doc_id, text, source).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "turns")
-    turns = turns.withColumn("__nth", nth(F.col("turns").desc())).select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("turns").alias("__turns"))
-    rows = docs.withColumns({"__id": F.col(doc_id), "__source": F.col(source), "__size": word_count(text_of(text))})
-    rows = rows.withColumn("__nth", nth(F.xxhash64(F.col(text))))
-    met = rows.join(turns, [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in keys]).filter(F.col("__turns") > 0)
-    return met.select(*[F.col(f"`{n}`") for n in names], F.explode(F.sequence(F.lit(1), F.col("__turns"))).alias("__turn")).select(*[f"`{n}`" for n in names])
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    keys = [unused(docs, n) for n in ("id", "source", "size", "nth")]
+    others = [unused(docs, f"their_{n}") for n in ("id", "source", "size", "nth")]
+    times, turn = unused(docs, "times"), unused(docs, "turn")
+    nth = lambda of, *order: F.row_number().over(Window.partitionBy(*of).orderBy(*order))
+    turns = mix(docs, doc_id, text, source).select(*[F.col(c).alias(o) for c, o in zip(("doc_id", "source", "size"), others)], F.col("turns").alias(times))
+    turns = turns.withColumn(others[3], nth(others[:3], F.col(times).desc()))
+    rows = docs.withColumns({keys[0]: F.col(doc_id), keys[1]: F.col(source), keys[2]: word_count(text_of(text))})
+    rows = rows.withColumn(keys[3], nth(keys[:3], F.xxhash64(F.col(text))))
+    met = rows.join(turns, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, others)]).filter(F.col(times) > 0)
+    return met.select(*names, F.explode(F.sequence(F.lit(1), F.col(times))).alias(turn)).select(*names)
 
 
 OP8_SQL = """
