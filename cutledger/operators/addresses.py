@@ -6,6 +6,8 @@ of leading bits.
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +88,13 @@ def parse_networks(networks: DataFrame) -> DataFrame:
 def is_local(bits: Column) -> Column:
     """Loopback and private addresses of both families."""
     hit = F.lit(False)
-    for block in PRIVATE:
-        text, length = block.split("/")
-        prefix = F.lit(int(length) + (0 if ":" in text else MAPPED_BITS))
-        hit = hit | (network_of(bits, prefix) == network_of(address_bits(F.lit(text)), prefix))
+    for text in PRIVATE:
+        block = ipaddress.ip_network(text)
+        four = block.version == 4
+        prefix = F.lit(block.prefixlen + (MAPPED_BITS if four else 0))
+        halves = divmod(int(block.network_address) + (MAPPED if four else 0), 1 << 64)
+        hi, lo = (F.lit(h - (1 << 64) if h >> 63 else h) for h in halves)
+        hit = hit | ((_leading(bits["hi"], prefix) == hi) & (_leading(bits["lo"], prefix - 64) == lo))
     return hit
 
 
