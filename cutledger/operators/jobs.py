@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cutledger.operators.events import event_context
 from cutledger.operators.scan import HOUR_US, Running, running, time_block, top_one
+from cutledger.operators.spatial import streamed
 from cutledger.sources import dims
 
 TERMINAL = ["completed", "partial", "failed"]
@@ -245,34 +246,31 @@ def monotonic_eta(progress: DataFrame) -> DataFrame:
     return _along(progress, [Running("estimated_finished_at", "min", due)])
 
 
-def _decayed(df: DataFrame, keys: list[str], at: str, value: str, ratio: float, name: str, level: int = 0) -> DataFrame:
-    """Add ``name``: the sum of the values up to each row, each times ``ratio`` per row since (0 < ratio < 1); ``at`` numbers a key's rows.
+def _fold_mean(alpha: float) -> Callable:
+    """Fold a run's (at, id, run, value, share) rows, in order, into (run, id, mean): each mean is share + (1 - alpha) * the one before, in that order of rounding."""
+    keep = float(1 - Decimal(str(alpha)))
 
-    A row acts on what came before it as x -> ratio * x + value, and stretches of rows compose to such a pair again. Stretches short enough
-    for ratio to the power -i to stay a plain number are summed on their own; their totals are a sequence of the same kind with a smaller
-    ratio, until what reaches over a whole stretch is below any double. No window spans more than a stretch.
-    """
-    size = max(1, min(64, int(200 / -math.log10(ratio))))
-    i, part, local = (f"_{x}{level}" for x in ("i", "part", "local"))
-    rows = df.withColumns({i: F.col(at) % size, part: F.floor(F.col(at) / size)})
-    upto = Window.partitionBy(*keys, part).orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
-    power = F.pow(F.lit(ratio), F.col(i))
-    rows = rows.withColumn(local, F.sum(F.col(value) / power).over(upto) * power)
-    totals = rows.groupBy(*keys, part).agg(F.max_by(local, i).alias("_total"))
-    if ratio**size > 1e-40:
-        totals = _decayed(totals, keys, part, "_total", ratio**size, "_total", level + 1)
-    carry = totals.select(*keys, (F.col(part) + 1).alias(part), F.col("_total").alias("_carry"))
-    out = rows.join(carry, [*keys, part], "left")
-    return out.withColumn(name, F.col(local) + power * ratio * F.coalesce("_carry", F.lit(0.0))).drop(i, part, local, "_carry")
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple[int, float]]:
+        mean = None
+        for _, own, run, value, share in rows:
+            mean = value if mean is None else share + keep * mean
+            yield run, own, mean
+
+    return fold
 
 
 def _smoothed(moved: DataFrame, alpha: float) -> DataFrame:
-    """Exponential mean of ``_x`` per run, starting at its first value: a decayed sum in which the first value weighs 1 and the others alpha."""
+    """Exponential mean of ``_x`` per run, starting at its first value.
+
+    Every mean is rounded from the one before, so a run is walked by one task. Its rows stream through with one number held; sums over stretches
+    would differ in the last bits, and with them at the limits of the estimate.
+    """
     if alpha >= 1:
         return moved.withColumn("smoothed", F.col("_x"))
-    numbered = _along(moved, [Running("_n", "sum", F.lit(1), False)])
-    weighed = numbered.withColumn("_v", F.when(F.col("_n") == 0, F.col("_x")).otherwise(F.col("_x") * alpha))
-    return _decayed(weighed, ["run_id"], "_n", "_v", 1.0 - alpha, "smoothed").drop("_n", "_v")
+    share = (F.col("_x").cast("decimal(10,0)") * F.lit(Decimal(str(alpha)))).cast("double")
+    rows = moved.select("run_id", F.unix_micros("at").alias("at"), "id", F.col("run_id").alias("run"), F.col("_x").alias("value"), share.alias("share"))
+    means = streamed(rows, ["run_id"], ["at", "id"], _fold_mean(alpha), "run_id long, id long, smoothed double")
+    return moved.join(means, ["run_id", "id"])
 
 
 def ewma_eta(progress: DataFrame, alpha: float = 0.3, time_limit_sec: float | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
-"""First fit by a tournament tree, and the exponential mean as a decayed sum."""
+"""First fit by a tournament tree, and the exponential mean as a walk."""
 
 import datetime as dt
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from cutledger.operators import jobs
 from cutledger.operators import layout as lay
 
@@ -58,3 +60,14 @@ def test_mean_of_a_long_run(spark):
                 assert got[r.id] is None
     assert "collect_list" not in jobs.ewma_eta(rows)._jdf.queryExecution().toString()
     assert rows.where(F.col("run_id") == 1).count() == 100_000
+
+
+def test_means_are_rounded_one_after_the_other(spark):
+    rows = [(run, n, dt.datetime(2026, 1, 1, 0, 0, n % 60, n), (run * 37 + n * 61) % 100 + 1) for run in range(40) for n in range(90)]
+    df = spark.createDataFrame(rows, "run_id bigint, id bigint, at timestamp, percent int").withColumn("started_at", F.lit(dt.datetime(2026, 1, 1)))
+    got = {(r.run_id, r.id): r.smoothed for r in jobs.ewma_eta(df).collect()}
+    for run in range(40):
+        mean = None
+        for _, n, _, percent in sorted((r for r in rows if r[0] == run), key=lambda r: (r[2], r[1])):
+            mean = float(percent) if mean is None else percent * 3 / 10 + 0.7 * mean
+            assert got[run, n] == mean
