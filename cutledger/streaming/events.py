@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
 from cutledger.operators.events import NO_TIME, backfill_users, first_logins, principal, validate_events
 from cutledger.operators.scan import HOUR_US, top_one
 from cutledger.session import shared_path
 from cutledger.sources import dims
-from cutledger.streaming.ordered import InOrder, in_order
+from cutledger.streaming.ordered import InOrder, bucketed, in_order
 from cutledger.streaming.runtime import DEFAULT_DELAY, Closing, finish, nullable, watermarked
 
 THROTTLED_PATHS = {
@@ -99,14 +105,63 @@ def ingested(stream: DataFrame, delay: str = DEFAULT_DELAY) -> tuple[DataFrame,
     return stored("events", kept), stored("dead_letter", refused)
 
 
+class FirstOfKey(StatefulProcessor):
+    """Lowest id of each key among the rows of a batch, unless an earlier batch had the key; a key is known until ``expires_ms`` of its row."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "block binary")
+
+    def _keep(self, known: dict[str, int]) -> None:
+        if known:
+            self.known.update((pickle.dumps(known),))
+            self.handle.registerTimer(min(known.values()))
+        else:
+            self.known.clear()
+
+    def _load(self) -> dict[str, int]:
+        return pickle.loads(self.known.get()[0]) if self.known.exists() else {}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, best = self._load(), None
+        for batch in rows:
+            fresh = batch[~batch["idempotency_key"].isin(known)]
+            best = fresh if best is None else pd.concat([best, fresh])
+            best = best.sort_values("id", kind="stable").drop_duplicates("idempotency_key")
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        mark = timerValues.getCurrentWatermarkInMs()
+        known.update(zip(best["idempotency_key"].tolist(), (max(int(t), mark + 1) for t in best["expires_ms"].tolist())))
+        self._keep(known)
+        yield best[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        self._keep({k: t for k, t in self._load().items() if t > mark})
+        yield pd.DataFrame([], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
 def dedup_stream(stream: DataFrame, delay: str = DEFAULT_DELAY, closing: Closing | None = None) -> DataFrame:
-    """First event per idempotency key within the delay; events without a key all pass."""
-    key = F.coalesce(F.concat(F.lit("k:"), "idempotency_key"), F.concat(F.lit("id:"), F.col("id").cast("string")))
-    return (
-        watermarked(stream.withColumn("_key", key), "occurred_at", delay, closing)
-        .dropDuplicatesWithinWatermark(["_key"])
-        .drop("_key")
-    )
+    """First event per idempotency key within the delay; events without a key all pass.
+
+    Of the events of a key that come in one batch the lowest id passes, wherever they lie in it. Keys are held in hash groups.
+    """
+    rows = watermarked(stream.where("idempotency_key is not null"), "occurred_at", delay, closing)
+    # whole numbers with nulls would become floats on their way through pandas
+    text = [f.name for f in stream.schema.fields if isinstance(f.dataType, T.LongType) and f.name != "id"]
+    packed = [F.col(c).cast("string").alias(c) if c in text else F.col(c) for c in stream.columns]
+    ends = F.coalesce(F.unix_millis(F.col("occurred_at") + F.expr(f"interval {delay}")), F.lit(0))
+    keyed = rows.select(*packed, ends.alias("expires_ms"))
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in text else f.dataType) for f in stream.schema.fields])
+    first = bucketed(keyed, "idempotency_key").transformWithStateInPandas(FirstOfKey(stream.columns), schema, "Append", "EventTime")
+    plain = [F.col(c).cast("long").alias(c) if c in text else F.col(c) for c in stream.columns]
+    return first.select(*plain).unionByName(stream.where("idempotency_key is null"))
 
 
 class AcceptedInHour(InOrder):

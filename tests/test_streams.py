@@ -46,6 +46,14 @@ def test_dedup_stream_keeps_null_keys(spark, tmp_path):
     assert got == [1, 2, 4]
 
 
+def test_dedup_stream_takes_the_lowest_id_of_a_batch(spark, tmp_path):
+    rows = [_row(i, 400 - i, f"k{i % 200}", user=None if i % 2 else 1 << 60) for i in range(400)][::-1]
+    source = _stream(spark, tmp_path, [rows, [_row(1_000, 3, "k5"), _row(1_001, 4, "k999")]])
+    got = drain(sev.dedup_stream(source, "1 hour"), "d").collect()
+    assert sorted(r.id for r in got) == [*range(200), 1_001]
+    assert {r.id: r.user_id for r in got if r.id < 2} == {0: 1 << 60, 1: None}
+
+
 def test_live_backfill_reads_the_first_login(spark, tmp_path):
     path = str(tmp_path / "events")
     spark.createDataFrame([(1, None, "s1"), (2, None, "s2"), (3, 9, "s1")], "id bigint, user_id bigint, anonymous_session_key string").write.parquet(path)
