@@ -280,10 +280,13 @@ def match_gaps(gaps: DataFrame, polylines: DataFrame, tol: float = GAP_TOLERANCE
     """Open polylines whose ends lie within ``tol`` of a gap's ends, either way round.
 
     Gaps have id, start, end; polylines id and points. Ends meet in cells of the tolerance's size and
-    their neighbours.
+    their neighbours. A pair that fits both ways counts on its first way only, so pairs come out once without being shuffled. Both sides are
+    sorted: a small file may hold many outlines, too many for the driver to broadcast.
     """
     first, last = F.get("points", 0), F.element_at("points", -1)
-    ways = F.array(F.struct(first.alias("a"), last.alias("b")), F.struct(last.alias("a"), first.alias("b")))
+    ways = F.array(
+        F.struct(first.alias("a"), last.alias("b"), F.lit(False).alias("back")), F.struct(last.alias("a"), first.alias("b"), F.lit(True).alias("back"))
+    )
     ends = polylines.where(F.size("points") >= 2).select(*keys, F.col("id").alias("polyline_id"), F.inline(ways))
     ends = ends.withColumns(
         {"cx": F.floor(F.get("a", 0) / tol), "cy": F.floor(F.get("a", 1) / tol)}
@@ -298,11 +301,11 @@ def match_gaps(gaps: DataFrame, polylines: DataFrame, tol: float = GAP_TOLERANCE
     def near(p: str, q: str) -> Column:
         return (F.abs(F.get(p, 0) - F.get(q, 0)) <= tol) & (F.abs(F.get(p, 1) - F.get(q, 1)) <= tol)
 
+    fits, other = near("a", "start") & near("b", "end"), near("b", "start") & near("a", "end")
     return (
-        wanted.join(ends, [*keys, "cx", "cy"])
-        .where(near("a", "start") & near("b", "end"))
+        wanted.hint("merge").join(ends.hint("merge"), [*keys, "cx", "cy"])
+        .where(fits & ~(F.col("back") & F.coalesce(other, F.lit(False))))
         .select(*keys, "gap_id", "polyline_id")
-        .distinct()
     )
 
 

@@ -1,4 +1,4 @@
-"""Keyed streams cost store calls per hash group of keys, not per key."""
+"""Work that must not pile up: store calls of keyed streams, broadcasts of tables from small files."""
 
 import pandas as pd
 
@@ -79,3 +79,13 @@ def test_a_thousand_keys_share_their_calls():
     assert list(out.payment_id) == list(range(1, 1_000, 2))
     assert list(out.released_us) == [k * 1_000_000 + 900_000_000 for k in range(1, 1_000, 2)]
     assert store.calls < 40
+
+
+def test_gaps_match_once_and_without_a_broadcast(spark):
+    from cutledger.operators import drawings as drw
+
+    gaps = spark.createDataFrame([(1, 1, "a", [0.0, 0.0], [0.5, 0.0])], "drawing_id int, id int, layer string, start array<double>, end array<double>")
+    lines = [(1, 7, "a", [[0.1, 0.0], [5.0, 5.0], [0.1, 0.0]]), (1, 8, "a", [[0.4, 0.0], [0.2, 0.0]]), (1, 9, "a", [[0.1, 0.0], [9.0, 9.0]])]
+    out = drw.match_gaps(gaps, spark.createDataFrame(lines, "drawing_id int, id int, layer string, points array<array<double>>"))
+    assert sorted((r.gap_id, r.polyline_id) for r in out.collect()) == [(1, 7), (1, 8)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
