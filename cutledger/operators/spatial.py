@@ -145,11 +145,11 @@ def own_grid(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sweep(boxes: Iterable[tuple]) -> Iterator[tuple[int, int]]:
-    """Links (id, earlier id) that connect touching boxes (id, min_x, min_y, max_x, max_y), which come in order of min_x.
+    """Links (id, smallest id of its component) that connect touching boxes (id, min_x, min_y, max_x, max_y), which come in order of min_x.
 
     The line of the sweep is kept as disjoint stretches of y, each with the x up to which some box covers it and the id of one. A box meets
-    the stretches it crosses that are not over, takes their place, and leaves longer ones as they are. At most one link per box less one
-    comes out for each component, whatever touches.
+    the stretches it crosses that are not over, takes their place, and leaves longer ones as they are. One link per box less one
+    comes out for each component, whatever touches, and all of them lead to one box: chains would take more rounds to join.
     """
     lows: list[float] = []
     line: list[tuple[float, float, float, int]] = []
@@ -176,7 +176,6 @@ def sweep(boxes: Iterable[tuple]) -> Iterator[tuple[int, int]]:
             a, b = root(own), root(other)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                yield own, other
             if low < y0:
                 before = (low, y0, until, other)
             if high > y1:
@@ -192,6 +191,8 @@ def sweep(boxes: Iterable[tuple]) -> Iterator[tuple[int, int]]:
         new = ([before] if before else []) + made + ([after] if after else [])
         line[first:last] = new
         lows[first:last] = [s[0] for s in new]
+    for own in list(parent):
+        yield own, root(own)
 
 
 def streamed(rows: DataFrame, group: list[str], order: list, fold: Callable, schema: str) -> DataFrame:

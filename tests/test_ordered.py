@@ -89,3 +89,10 @@ def test_gaps_match_once_and_without_a_broadcast(spark):
     out = drw.match_gaps(gaps, spark.createDataFrame(lines, "drawing_id int, id int, layer string, points array<array<double>>"))
     assert sorted((r.gap_id, r.polyline_id) for r in out.collect()) == [(1, 7), (1, 8)]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_a_cell_lead_to_one_box():
+    from cutledger.operators import spatial
+
+    chain = [(n, 10.0 * n, 0.0, 10.0 * n + 10, 5.0) for n in range(50)]
+    assert sorted(spatial.sweep(chain)) == [(n, 0) for n in range(1, 50)]
