@@ -296,14 +296,12 @@ def ffd_order(pieces: DataFrame) -> DataFrame:
     return pieces.orderBy("project_id", F.desc("area_mm2"), "piece_index")
 
 
-def piece_orders(pieces: DataFrame, max_seeds: int | None = None, seed: int = 42, shuffles: int = 4) -> DataFrame:
-    """Ranked piece orders per project, equal orders dropped, times the orientation profiles; the first ``max_seeds`` if given.
+#: Pieces of a project whose orders are worked out as arrays, within its row.
+WHOLE_PIECES = 4096
 
-    All orders are ranked in one pass over (order, sort key) rows. Two orders are equal when every piece
-    has the same rank in both, seen from order-independent sums of hashed (rank, piece) pairs.
-    """
-    n = F.col("_n")
-    sized = pieces.join(pieces.groupBy("project_id").agg(F.count("*").alias("_n")), "project_id")
+
+def _order_keys(seed: int, shuffles: int) -> list[tuple[str, Column]]:
+    """Names and sort keys of the orders; descending ones keep the lower index first on equal keys, as ascending ones do."""
     keys = [
         ("area_desc", -F.col("area_mm2")),
         ("area_asc", F.col("area_mm2")),
@@ -315,16 +313,44 @@ def piece_orders(pieces: DataFrame, max_seeds: int | None = None, seed: int = 42
     for i in range(shuffles):
         digest = F.md5(F.concat(F.lit(f"{seed + i}:"), F.col("piece_index").cast("string")))
         keys.append((f"shuffle_{seed + i}", F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")))
-    # descending orders keep the lower index first on equal keys, as ascending ones do
+    return [(name, key.cast("double")) for name, key in keys]
+
+
+def _profiles() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("_p"), F.lit(p).alias("profile")) for i, p in enumerate(geo.PROFILES)])
+
+
+def _orders_at_once(pieces: DataFrame, keys: list[tuple[str, Column]]) -> DataFrame:
+    """Different orders of each project by sorting its pieces as arrays: one shuffle of the pieces, whatever the number of orders."""
+    listed = pieces.select("project_id", F.struct("piece_index", *[key.alias(f"k{i}") for i, (_, key) in enumerate(keys)]).alias("_x"))
+    listed = listed.groupBy("project_id").agg(F.collect_list("_x").alias("_all"))
+
+    def along(i: int) -> Column:
+        by_key = F.transform("_all", lambda x: F.struct(x[f"k{i}"].alias("k"), x["piece_index"].alias("piece_index")))
+        return F.array_sort(by_key)["piece_index"]
+
+    sorted_ = listed.select("project_id", F.array(*[along(i) for i in range(len(keys))]).alias("_lists"))
+    names = F.array(*[F.lit(name) for name, _ in keys])
+    # the first of equal lists stays
+    entry = F.transform("_lists", lambda at, i: F.struct(i.alias("order_no"), F.get(names, i).alias("order_name"), at.alias("_at")))
+    unique = F.filter(entry, lambda e: F.array_position("_lists", e["_at"]) == e["order_no"] + 1)
+    return (
+        sorted_.select("project_id", F.posexplode(unique).alias("_pos", "_e"))
+        .select("project_id", "_e.order_no", "_e.order_name", "_pos", F.posexplode("_e._at").alias("rank", "piece_index"))
+        .select("project_id", "order_no", "order_name", F.col("_pos").cast("long").alias("_pos"), "piece_index", F.col("rank").cast("long").alias("rank"))
+    )
+
+
+def _orders_in_blocks(pieces: DataFrame, keys: list[tuple[str, Column]]) -> DataFrame:
+    """The same for projects of any size: ranks by blocks, equal orders seen from order-independent sums of hashed (rank, piece) pairs."""
     entries = F.array(
         *[
-            F.struct(F.lit(i).alias("order_no"), F.lit(name).alias("order_name"), key.cast("double").alias("key"))
+            F.struct(F.lit(i).alias("order_no"), F.lit(name).alias("order_name"), key.alias("key"))
             for i, (name, key) in enumerate(keys)
         ]
     )
-    long = sized.select("project_id", "piece_index", n.alias("n_pieces"), F.inline(entries))
     ranked = running(
-        long,
+        pieces.select("project_id", "piece_index", F.inline(entries)),
         ["project_id", "order_no"],
         [F.col("key"), F.col("piece_index")],
         [
@@ -340,14 +366,29 @@ def piece_orders(pieces: DataFrame, max_seeds: int | None = None, seed: int = 42
     )
     unique = top_one(marks, ["project_id", "_m1", "_m2"], [F.col("order_no")], lowest=True)
     listed = running(unique, ["project_id"], [F.col("order_no")], [], [Running("_pos", "sum", F.lit(1), False)])
-    profiles = F.array(*[F.struct(F.lit(i).alias("_p"), F.lit(p).alias("profile")) for i, p in enumerate(geo.PROFILES)])
-    seeds = (
-        listed.select("project_id", "order_no", "order_name", "_pos", F.inline(profiles))
+    return listed.select("project_id", "order_no", "order_name", "_pos").join(
+        ranked.select("project_id", "order_no", "piece_index", "rank"), ["project_id", "order_no"]
+    ).select("project_id", "order_no", "order_name", "_pos", "piece_index", "rank")
+
+
+def piece_orders(pieces: DataFrame, max_seeds: int | None = None, seed: int = 42, shuffles: int = 4) -> DataFrame:
+    """Ranked piece orders per project, equal orders dropped, times the orientation profiles; the first ``max_seeds`` if given.
+
+    Two orders are equal when every piece has the same rank in both. Projects of up to ``WHOLE_PIECES`` pieces sort their pieces in place, so that
+    no row per order is shuffled; the pieces of larger ones are ranked by blocks over many tasks.
+    """
+    keys = _order_keys(seed, shuffles)
+    pieces = pieces.select("project_id", "piece_index", "area_mm2", "width_mm", "height_mm").where("project_id is not null")
+    large = pieces.groupBy("project_id").agg(F.count("*").alias("_n")).where(F.col("_n") > WHOLE_PIECES).select("project_id")
+    orders = _orders_at_once(pieces.join(large, "project_id", "left_anti"), keys).unionByName(
+        _orders_in_blocks(pieces.join(large, "project_id", "left_semi"), keys)
+    )
+    return (
+        orders.select("project_id", "order_no", "order_name", "_pos", "piece_index", "rank", F.inline(_profiles()))
         .withColumn("seed_no", F.col("_pos") * len(geo.PROFILES) + F.col("_p"))
         .where(F.lit(True) if max_seeds is None else F.col("seed_no") < max_seeds)
-        .select("project_id", "order_no", "order_name", "profile", "seed_no")
+        .select("project_id", "order_no", "order_name", "profile", "seed_no", "piece_index", "rank")
     )
-    return seeds.join(ranked.select("project_id", "order_no", "piece_index", "rank"), ["project_id", "order_no"])
 
 
 ASSIGNED = "project_id bigint, piece_index int, stock_id bigint, copy_no bigint, placed boolean"
