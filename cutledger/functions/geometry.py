@@ -1,4 +1,4 @@
-"""Polygon columns built from native array functions; no Python on the data path.
+"""Polygon columns built from native array functions; areas, centroids, turning, placing and clipped lengths work over whole Arrow batches.
 
 A polygon is a list of rings (ring 0 outer, the others holes), a ring a list of [x, y] with the closing
 point left out.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cutledger.functions.vectorised import axis_shares, boxes, inside_length, measures, turned_about, turned_about_centroid
+
 RINGS = "array<array<array<double>>>"
 # Tolerances and limits of the measures.
 EPS_MM = 1e-6
@@ -74,7 +76,7 @@ def solid_area(rings: Column) -> Column:
 
 def polygon_area(rings: Column) -> Column:
     """Area with the holes taken out."""
-    return solid_area(rings) - _total(F.transform(holes(rings), lambda h: F.abs(ring_area(h))))
+    return measures(rings)["area"]
 
 
 def perimeter(rings: Column) -> Column:
@@ -84,9 +86,8 @@ def perimeter(rings: Column) -> Column:
 
 def compactness(rings: Column) -> Column:
     """4 pi A / P squared, 0 for a polygon without length."""
-    return let(
-        perimeter(rings), lambda p: F.when(p > 0, 4 * F.pi() * polygon_area(rings) / (p * p)).otherwise(zero())
-    )
+    p = measures(rings)["length"]
+    return F.when(p > 0, 4 * F.pi() * polygon_area(rings) / (p * p)).otherwise(zero())
 
 
 def circle_radius(rings: Column) -> Column:
@@ -96,14 +97,7 @@ def circle_radius(rings: Column) -> Column:
 
 def bbox(rings: Column) -> Column:
     """Bounding box struct min_x, min_y, max_x, max_y of the outer ring."""
-    xs = F.transform(outer(rings), lambda p: F.get(p, 0))
-    ys = F.transform(outer(rings), lambda p: F.get(p, 1))
-    return F.struct(
-        F.array_min(xs).alias("min_x"),
-        F.array_min(ys).alias("min_y"),
-        F.array_max(xs).alias("max_x"),
-        F.array_max(ys).alias("max_y"),
-    )
+    return boxes(rings)
 
 
 def aspect_of(width: Column, height: Column) -> Column:
@@ -120,28 +114,7 @@ def aspect(rings: Column) -> Column:
 
 def centroid(rings: Column) -> Column:
     """Area centroid struct x, y; holes count negative."""
-
-    def moments(ring: Column, sign: float) -> Column:
-        area = ring_area(ring)
-        turn = F.when(area < 0, F.lit(-sign)).otherwise(F.lit(sign))
-
-        def part(pick) -> Column:
-            return turn * _total(
-                F.transform(ring_edges(ring), lambda e: pick(e) * (e["x0"] * e["y1"] - e["x1"] * e["y0"]))
-            ) / 6
-
-        return F.struct(
-            (turn * area).alias("a"), part(lambda e: e["x0"] + e["x1"]).alias("mx"), part(lambda e: e["y0"] + e["y1"]).alias("my")
-        )
-
-    def middle(parts: Column) -> Column:
-        def sum_of(name: str) -> Column:
-            return _total(F.transform(parts, lambda m: m[name]))
-
-        return F.struct((sum_of("mx") / sum_of("a")).alias("x"), (sum_of("my") / sum_of("a")).alias("y"))
-
-    solid = F.array(moments(outer(rings), 1.0))
-    return let(F.concat(solid, F.transform(holes(rings), lambda h: moments(h, -1.0))), middle)
+    return F.struct(measures(rings)["x"].alias("x"), measures(rings)["y"].alias("y"))
 
 
 def map_points(rings: Column, move) -> Column:
@@ -157,30 +130,14 @@ def turn(rings: Column, center: Column, deg: Column) -> Column:
 
 
 def shift_turn(rings: Column, center: Column, deg: Column, x: Column, y: Column) -> Column:
-    frame = F.struct(
-        center["x"].alias("cx"),
-        center["y"].alias("cy"),
-        F.cos(F.radians(deg)).alias("c"),
-        F.sin(F.radians(deg)).alias("s"),
-    )
-
-    def moved(f: Column) -> Column:
-        return map_points(
-            rings,
-            lambda px, py: (
-                f["cx"] + (px - f["cx"]) * f["c"] - (py - f["cy"]) * f["s"] + x,
-                f["cy"] + (px - f["cx"]) * f["s"] + (py - f["cy"]) * f["c"] + y,
-            ),
-        )
-
-    return let(frame, moved)
+    return turned_about(rings, center["x"], center["y"], deg, x, y)
 
 
 def place(rings: Column, x: Column, y: Column, deg: Column, center: Column | None = None) -> Column:
     """Rotate about the area centroid (or the given centre, for decorations), then translate."""
     if center is not None:
         return shift_turn(rings, center, deg, x, y)
-    return let(centroid(rings), lambda c: shift_turn(rings, c, deg, x, y))
+    return turned_about_centroid(rings, deg, x, y)
 
 
 def place_line(line: Column, x: Column, y: Column, deg: Column, center: Column) -> Column:
@@ -262,8 +219,8 @@ def ring_within(inner: Column, outer_rings: Column, tol: Column) -> Column:
         return let(s, parts)
 
     def wide(h: Column) -> Column:
-        b = bbox(F.array(h))
-        return F.least(b["max_x"] - b["min_x"], b["max_y"] - b["min_y"]) > 2 * tol
+        sides = [F.array_max(F.transform(h, lambda p: F.get(p, k))) - F.array_min(F.transform(h, lambda p: F.get(p, k))) for k in (0, 1)]
+        return F.least(*sides) > 2 * tol
 
     corners = F.forall(inner, lambda p: held(F.get(p, 0), F.get(p, 1)))
     covered_hole = F.exists(
@@ -275,32 +232,9 @@ def ring_within(inner: Column, outer_rings: Column, tol: Column) -> Column:
 def length_inside(segment: Column, rings: Column) -> Column:
     """Length of a segment ([[x, y], [x, y]]) inside a polygon.
 
-    The segment is cut wherever it meets an edge, and the middle of each part is tested.
+    The segment is cut wherever it meets an edge, and the middle of each part is tested, over whole Arrow batches.
     """
-    ends = F.struct(
-        F.get(F.get(segment, 0), 0).alias("x"),
-        F.get(F.get(segment, 0), 1).alias("y"),
-        (F.get(F.get(segment, 1), 0) - F.get(F.get(segment, 0), 0)).alias("dx"),
-        (F.get(F.get(segment, 1), 1) - F.get(F.get(segment, 0), 1)).alias("dy"),
-    )
-
-    def measured(s: Column) -> Column:
-        def parts(at: Column) -> Column:
-            spans = F.zip_with(
-                F.slice(at, 1, F.size(at) - 1),
-                F.slice(at, 2, F.size(at) - 1),
-                lambda t0, t1: F.struct((t1 - t0).alias("share"), ((t0 + t1) / 2).alias("mid")),
-            )
-            inner = F.filter(
-                spans,
-                lambda p: (p["share"] > 0)
-                & contains(rings, s["x"] + p["mid"] * s["dx"], s["y"] + p["mid"] * s["dy"]),
-            )
-            return _total(F.transform(inner, lambda p: p["share"])) * F.hypot(s["dx"], s["dy"])
-
-        return let(_stops(s, rings), parts)
-
-    return let(ends, measured)
+    return inside_length(segment, rings)
 
 
 def fits_bin(box: Column, width: Column, height: Column, margin: Column) -> Column:
@@ -315,18 +249,7 @@ def fits_bin(box: Column, width: Column, height: Column, margin: Column) -> Colu
 
 def axis_share(ring: Column, tol_deg: float = 1.0) -> Column:
     """Share of a ring's length within ``tol_deg`` of the axes."""
-    sides = F.transform(
-        ring_edges(ring),
-        lambda e: F.struct(F.abs(e["x1"] - e["x0"]).alias("dx"), F.abs(e["y1"] - e["y0"]).alias("dy")),
-    )
-    total = _total(F.transform(sides, lambda v: F.hypot(v["dx"], v["dy"])))
-
-    def straight(v: Column) -> Column:
-        angle = F.degrees(F.atan2(v["dy"], v["dx"]))
-        near = (angle < tol_deg) | (F.abs(angle - 90.0) < tol_deg)
-        return F.when(near & (F.hypot(v["dx"], v["dy"]) > 1e-5), F.hypot(v["dx"], v["dy"])).otherwise(zero())
-
-    return F.when(total > 1e-5, _total(F.transform(sides, straight)) / total).otherwise(zero())
+    return axis_shares(ring, F.lit(float(tol_deg)))
 
 
 def is_axis_aligned(ring: Column) -> Column:
@@ -379,7 +302,7 @@ def orient(rings: Column, profile: Column, sheet_w: Column, sheet_h: Column, ort
     b = bbox(rings)
     w, h = b["max_x"] - b["min_x"], b["max_y"] - b["min_y"]
     bar = (w > 0) & (h > 0) & (aspect_of(w, h) >= BAR_ASPECT) & ((sheet_w >= sheet_h) != (w >= h))
-    turned = let(centroid(rings), lambda c: turn(rings, c, F.lit(90.0)))
+    turned = place(rings, zero(), zero(), F.lit(90.0))
     return F.when((profile == "cardinal_90") & orthogonal, turned).when(
         (profile == "bar_parallel_long_edge") & bar, turned
     ).otherwise(rings)
