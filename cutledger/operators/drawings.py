@@ -220,14 +220,9 @@ def drop_hole_fillers(polys: DataFrame, tol: float, keys: list[str] = GROUP) ->
         {"box": geo.bbox(F.col("rings")), "h_area": geo.solid_area(F.col("rings")), "h_center": geo.centroid(F.col("rings"))}
     )
     slots = slots.withColumn("id", F.concat_ws(":", "owner", "no"))
-    padded = slots.withColumn("box", _boxed(slots, near))
-    spots = shapes.select(*keys, "id", F.col("center.x").alias("x"), F.col("center.y").alias("y"))
-    met = spatial.points_in_boxes(spots, padded, keys)
-    full = (
-        met.join(slots.select(*keys, F.col("id").alias("box_id"), "owner", "ring", "h_area", "h_center"), [*keys, "box_id"])
-        .join(shapes.select(*keys, F.col("id").alias("point_id"), "area", "radius", "center"), [*keys, "point_id"])
-        .where("point_id <> owner")
-    )
+    padded = slots.withColumn("box", _boxed(slots, near)).select(*keys, F.col("id").alias("box_id"), "owner", "ring", "h_area", "h_center", "box")
+    spots = shapes.select(*keys, F.col("id").alias("point_id"), F.col("center.x").alias("x"), F.col("center.y").alias("y"), "area", "radius", "center")
+    full = spatial.points_paired(spots, padded, keys).where("point_id <> owner")
     x, y = F.col("center.x"), F.col("center.y")
     held = geo.in_ring(F.col("ring"), x, y) | (geo.edge_distance(F.col("ring"), x, y) <= near)
     off = F.hypot(F.expr("center.x - h_center.x"), F.expr("center.y - h_center.y"))
@@ -242,9 +237,10 @@ def attach_points(points: DataFrame, pieces: DataFrame, keys: list[str]) -> Data
 
     Pieces have id, piece_index, rings and box.
     """
-    met = spatial.points_in_boxes(points, pieces, keys)
-    full = met.join(points.select(*keys, F.col("id").alias("point_id"), "x", "y"), [*keys, "point_id"]).join(
-        pieces.select(*keys, F.col("id").alias("box_id"), "piece_index", "rings"), [*keys, "box_id"]
+    full = spatial.points_paired(
+        points.select(*keys, F.col("id").alias("point_id"), "x", "y"),
+        pieces.select(*keys, F.col("id").alias("box_id"), "piece_index", "rings", "box"),
+        keys,
     )
     x, y, rings = F.col("x"), F.col("y"), F.col("rings")
     inside = geo.contains(rings, x, y) | geo.in_hole(rings, x, y)
@@ -260,10 +256,14 @@ def attach_lines(lines: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFr
 
     Lines have id, segment ([[x, y], [x, y]]) and box.
     """
-    met = spatial.touching_pairs(lines, pieces, keys).withColumnsRenamed({"left_id": "line_id", "right_id": "piece_id"})
-    full = met.join(lines.select(*keys, F.col("id").alias("line_id"), "segment"), [*keys, "line_id"]).join(
-        pieces.select(*keys, F.col("id").alias("piece_id"), "rings"), [*keys, "piece_id"]
-    )
+    left = lines.select(*keys, F.col("id").alias("line_id"), "segment", F.col("box").alias("line_box"))
+    right = pieces.select(*keys, F.col("id").alias("piece_id"), "rings", F.col("box").alias("piece_box"))
+
+    def search(a: DataFrame, b: DataFrame) -> DataFrame:
+        boxed = [df.select(*keys, F.col(f"{n}_id").alias("id"), F.col(f"{n}_box").alias("box")) for df, n in ((a, "line"), (b, "piece"))]
+        return spatial.touching_pairs(*boxed, keys).withColumnsRenamed({"left_id": "line_id", "right_id": "piece_id"})
+
+    full = spatial.paired(left, right, keys, ("line_id", "piece_id"), spatial.boxes_touch(F.col("line_box"), F.col("piece_box")), search)
 
     def end(i: int, j: int) -> Column:
         return F.get(F.get("segment", i), j)

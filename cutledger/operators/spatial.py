@@ -126,6 +126,36 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str]) -> Dat
     return look.join(here, [*keys, "level", "cx", "cy"]).where(inside).select(*keys, "point_id", "box_id")
 
 
+#: Rows of a key, on either side, up to which its pairs come from one join on the key.
+FEW = 64
+
+
+def paired(
+    left: DataFrame, right: DataFrame, keys: list[str], ids: tuple[str, str], near: Column, search: Callable[[DataFrame, DataFrame], DataFrame]
+) -> DataFrame:
+    """Pairs of rows that pass ``near``, with the columns of both sides, which have only the keys in common.
+
+    Keys with few rows meet in one join on the key: each side is shuffled once and no row looks into cells. For keys with more rows ``search``
+    gives the ids of the pairs (a grid join), and their rows are joined back on.
+    """
+    counts = [df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(*keys) for df in (left, right)]
+    crowded = counts[0].unionByName(counts[1]).distinct()
+    few = left.join(crowded, keys, "left_anti").hint("merge").join(right.hint("merge"), keys).where(near)
+    a, b = left.join(crowded, keys, "left_semi"), right.join(crowded, keys, "left_semi")
+    many = search(a, b).join(a, [*keys, ids[0]]).join(b, [*keys, ids[1]])
+    return few.unionByName(many)
+
+
+def points_paired(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Points (keys, point_id, x, y) within boxes (keys, box_id, box), with all columns of both."""
+    within = F.col("x").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("y").between(F.col("box.min_y"), F.col("box.max_y"))
+
+    def search(a: DataFrame, b: DataFrame) -> DataFrame:
+        return points_in_boxes(a.select(*keys, F.col("point_id").alias("id"), "x", "y"), b.select(*keys, F.col("box_id").alias("id"), "box"), keys)
+
+    return paired(points, boxes, keys, ("point_id", "box_id"), within, search)
+
+
 #: Cells that the longest box of a key may take along one side.
 MOST_CELLS = 1_000
 

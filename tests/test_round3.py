@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from cutledger.functions import geometry as geo
 from cutledger.functions.vectorised import principal_angle, principal_angles
+from cutledger.operators import drawings as drw
 from cutledger.operators import layout as lay
+from cutledger.operators import spatial
 
 
 def shuffled(spark, df) -> int:
@@ -65,3 +67,21 @@ def test_directions_of_rings_together():
         for ring, angle in zip(rings, got):
             want = principal_angle(ring.tolist())
             assert np.isnan(angle) if want is None else abs(angle - want) < 1e-9
+
+
+def test_small_keys_meet_in_one_join(spark, monkeypatch):
+    ring = "array(array(array(x, y), array(x + w, y), array(x + w, y + w), array(x, y + w)))"
+    pieces = spark.range(60).selectExpr("id div 12 as k", "id", "cast(id % 12 as int) as piece_index", "double(id * 37 % 90) as x", "double(id * 53 % 80) as y", "double(20 + id % 3 * 40) as w")
+    pieces = pieces.selectExpr("k", "id", "piece_index", f"{ring} as rings").withColumn("box", geo.bbox(F.col("rings"))).localCheckpoint()
+    points = spark.range(60).selectExpr("id div 12 as k", "id", "id * 29 % 100 + 0.5D as x", "id * 31 % 100 + 0.5D as y")
+    seg = points.selectExpr("k", "id", "array(array(x, y), array(x + 30, y + 9)) as segment", "named_struct('min_x', x, 'min_y', y, 'max_x', x + 30, 'max_y', y + 9) as box")
+
+    def found():
+        a, b = drw.attach_points(points, pieces, ["k"]), drw.attach_lines(seg, pieces, ["k"])
+        return sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
+
+    few = found()
+    assert few[0] and few[1] and shuffled(spark, drw.attach_lines(seg, pieces, ["k"])) < 60 * 400
+    for most in (0, 11):
+        monkeypatch.setattr(spatial, "FEW", most)
+        assert found() == few
