@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cutledger.functions import geometry as geo
 from cutledger.operators import spatial
 from cutledger.operators.scan import top_one
-from cutledger.session import cut_lineage
+from cutledger.session import cut_lineage, kept
 
 # Entity types that draw contours, and those that only decorate.
 CONTOUR_TYPES = ["LWPOLYLINE", "POLYLINE", "CIRCLE", "ELLIPSE", "SPLINE", "ARC"]
@@ -118,10 +118,24 @@ def _boxed(df: DataFrame, grow: float = 0.0) -> Column:
 def containment_parent(polys: DataFrame, tol: float, keys: list[str] = GROUP) -> DataFrame:
     """Smallest larger polygon that contains each polygon (within tolerance); NULL if none.
 
-    Distinct outlines are compared, not copies. Each outline asks for the few smallest larger ones whose box holds its own; the exact test runs on
-    those, and an outline that fails with all of them asks for twice as many behind them. A nest of rings is settled by its first answers.
+    Keys with few polygons compare each with all larger ones of its key in one join. In larger keys distinct outlines are compared, not copies; each
+    asks for the few smallest larger ones whose box holds its own, and an outline that fails with all of them asks for twice as many behind them.
     """
-    shapes = cut_lineage(_shapes(polys, keys).withColumnRenamed("area", "size").withColumn("node", F.monotonically_increasing_id()))
+    same = polys.schema["id"].dataType
+    rows = kept(polys.select(*keys, "id", "rings"), "contours")
+    few, many = spatial.by_crowding(rows, keys)
+    out = _parents_at_once(few, tol, keys)
+    if many is not None:
+        out = out.unionByName(_parents_by_asking(many, tol, keys))
+    return out.select(*keys, "id", F.col("parent_id").cast(same).alias("parent_id"))
+
+
+def _facts(rings: Column) -> dict[str, Column]:
+    return {"box": geo.bbox(rings), "size": geo.polygon_area(rings), "radius": geo.circle_radius(rings), "center": geo.centroid(rings)}
+
+
+def _lies_in(tol: float) -> tuple[Column, Column]:
+    """Is the polygon i coaxial with the circle o around it, and does its outline lie in o? From columns i_ and o_ of their facts."""
     base = F.lit(join_tolerance(tol))
     round_both = F.col("i_radius").isNotNull() & F.col("o_radius").isNotNull()
     reach = F.when(round_both, F.greatest(base, F.col("o_radius") * 0.02, F.col("i_radius") * 0.02)).otherwise(base)
@@ -131,7 +145,33 @@ def containment_parent(polys: DataFrame, tol: float, keys: list[str] = GROUP) ->
         & (F.col("i_radius") < F.col("o_radius"))
         & (off + F.col("i_radius") <= F.col("o_radius") + reach * 2.0)
     )
-    inside = geo.ring_within(geo.outer(F.col("i_rings")), F.col("o_rings"), F.col("reach"))
+    return F.coalesce(coaxial, F.lit(False)), geo.ring_within(geo.outer(F.col("i_rings")), F.col("o_rings"), reach)
+
+
+def _parents_at_once(polys: DataFrame, tol: float, keys: list[str]) -> DataFrame:
+    """Parents by one join on the key."""
+    facts = polys.withColumns(_facts(F.col("rings"))).withColumn("node", F.monotonically_increasing_id())
+    facts = kept(facts, "contour-facts")
+    carried = ["rings", "box", "size", "radius", "center", "id"]
+    inner = facts.select(*keys, "node", *[F.col(c).alias(f"i_{c}") for c in carried])
+    outer = facts.select(*[F.col(k).alias(f"o_{k}") for k in keys], *[F.col(c).alias(f"o_{c}") for c in carried])
+    holds = F.expr(
+        "o_size > i_size and o_box.min_x <= i_box.min_x and o_box.min_y <= i_box.min_y and o_box.max_x >= i_box.max_x and o_box.max_y >= i_box.max_y"
+    )
+    on = [F.col(k) == F.col(f"o_{k}") for k in keys] + [holds]
+    met = inner.hint("merge").join(outer.hint("merge"), on, "left")
+    coaxial, inside = _lies_in(tol)
+    parent = F.when(F.col("o_id").isNotNull() & (coaxial | inside), F.struct(F.col("o_size"), F.col("o_id")))
+    return met.select(*keys, "node", "i_id", parent.alias("h")).groupBy(*keys, "node", "i_id").agg(F.min("h").alias("h")).select(
+        *keys, F.col("i_id").alias("id"), F.col("h.o_id").alias("parent_id")
+    )
+
+
+def _parents_by_asking(polys: DataFrame, tol: float, keys: list[str]) -> DataFrame:
+    """Parents in keys of any size; a nest of rings is settled by its first answers."""
+    shapes = polys.groupBy(*keys, "rings").agg(F.min("id").alias("id")).withColumns(_facts(F.col("rings")))
+    shapes = cut_lineage(shapes.withColumn("node", F.monotonically_increasing_id()))
+    coaxial, inside = _lies_in(tol)
     side = lambda name: shapes.select(*[F.col(c).alias(f"{name}_{c}") for c in ("node", "rings", "radius", "center")])
     # strictly larger ones: behind every id of the own size
     open_ = shapes.select(*keys, "node", "box", F.col("size").alias("after_size"), F.lit((1 << 63) - 1).alias("after_id"))
@@ -141,8 +181,8 @@ def containment_parent(polys: DataFrame, tol: float, keys: list[str] = GROUP) ->
         if asked.isEmpty():
             break
         pairs = asked.select(F.col("node").alias("i_node"), F.explode("holders").alias("h")).select("i_node", "h", F.col("h.holder").alias("o_node"))
-        tested = pairs.join(side("i"), "i_node").join(side("o"), "o_node").withColumns({"coaxial": F.coalesce(coaxial, F.lit(False)), "reach": reach})
-        good = cut_lineage(tested.where(F.col("coaxial") | inside).groupBy("i_node").agg(F.min("h").alias("h")).select(F.col("i_node").alias("node"), F.col("h.id").alias("parent_id")))
+        tested = pairs.join(side("i"), "i_node").join(side("o"), "o_node")
+        good = cut_lineage(tested.where(coaxial | inside).groupBy("i_node").agg(F.min("h").alias("h")).select(F.col("i_node").alias("node"), F.col("h.id").alias("parent_id")))
         found.append(good)
         last = F.element_at("holders", most)
         behind = asked.where(F.size("holders") == most).join(good, "node", "left_anti").select("node", last["size"].alias("_s"), last["id"].alias("_i"))
@@ -153,16 +193,16 @@ def containment_parent(polys: DataFrame, tol: float, keys: list[str] = GROUP) ->
     parents = shapes.select("node", F.lit(None).cast("long").alias("parent_id")).limit(0)
     for good in found:
         parents = parents.union(good)
-    member = polys.select(*keys, "id", "rings").join(shapes.select(*keys, "rings", "node"), [*keys, "rings"])
-    same = polys.schema["id"].dataType
-    return member.join(parents, "node", "left").select(*keys, "id", F.col("parent_id").cast(same).alias("parent_id"))
+    member = polys.join(shapes.select(*keys, "rings", "node"), [*keys, "rings"])
+    return member.join(parents, "node", "left").select(*keys, "id", "parent_id")
 
 
-def _take_largest_first(base: float) -> Callable:
-    """Fold over coaxial circles (r, id, node, cx, cy), largest first: one that lies on the axis of an outer circle is taken by the largest
-    such, any other becomes outer. Outer circles are kept by the size and place of their reach."""
+def _take_largest_first(base: float, every: bool = False) -> Callable:
+    """Fold over circles (r, id, node, cx, cy), largest first: one that lies on the axis of an outer circle is taken by the largest
+    such, any other becomes outer and comes out without a taker if ``every`` one is asked for. Outer circles are kept by the size and place of
+    their reach."""
 
-    def fold(circles: Iterator[tuple]) -> Iterator[tuple[int, int]]:
+    def fold(circles: Iterator[tuple]) -> Iterator[tuple[int, int | None]]:
         outers: dict[tuple, list[tuple]] = {}
         levels: set[int] = set()
         for down, own, node, x, y in circles:
@@ -178,6 +218,8 @@ def _take_largest_first(base: float) -> Callable:
             if best is not None:
                 yield node, best[1]
                 continue
+            if every:
+                yield node, None
             reach = max(base, r * 0.02)
             level = math.frexp(reach)[1]
             levels.add(level)
@@ -186,26 +228,42 @@ def _take_largest_first(base: float) -> Callable:
     return fold
 
 
+#: Circles of a key that stream through one task as they are.
+WHOLE_CIRCLES = 4096
+_NUMBERS = ["-cast(r as double) as down", "cast(id as long) as id", "node", "cast(cx as double) as cx", "cast(cy as double) as cy"]
+
+
 def washers(circles: DataFrame, tol: float, keys: list[str] = GROUP) -> DataFrame:
     """Outer circle each inner circle becomes a hole of; NULL for circles that stay pieces.
 
-    Largest first, a circle not yet taken takes every smaller coaxial one not yet taken. Circles whose centres are within reach of each other, directly
-    or through others, form a group; a group streams once through its task, largest first, and only its outer circles are held. So deep
-    nests cost their number of circles, in one pass.
+    Largest first, a circle not yet taken takes every smaller coaxial one not yet taken. The circles of a key stream once through a task, which holds
+    the outer ones. Keys of more than ``WHOLE_CIRCLES`` are first cut into groups of circles whose centres are within reach of each other, directly
+    or through others, which stream through their tasks in the same way. Circles with a null number or key stay pieces.
     """
-    base = join_tolerance(tol)
+    same = circles.schema["id"].dataType
+    rows = kept(circles.select(*keys, "cx", "cy", "r", "id"), "circles")
+    full = " and ".join(f"`{c}` is not null" for c in rows.columns)
+    few, many = spatial.by_crowding(rows.where(full), keys, WHOLE_CIRCLES)
+    whole = few.selectExpr(*keys, *[n.replace("node", "cast(id as long) as node") for n in _NUMBERS])
+    out = spatial.streamed(whole, keys, ["down", "id"], _take_largest_first(join_tolerance(tol), True), "id long, outer_id long", keep=True)
+    out = out.unionByName(rows.where(f"not ({full})").select(*keys, "id", F.lit(None).cast("long").alias("outer_id")))
+    if many is not None:
+        out = out.unionByName(_washers_by_axis(many, join_tolerance(tol), keys))
+    return out.select(*keys, F.col("id").cast(same).alias("id"), F.col("outer_id").cast(same).alias("outer_id"))
+
+
+def _washers_by_axis(circles: DataFrame, base: float, keys: list[str]) -> DataFrame:
+    """The same for keys of any size: copies are walked once, circles around one axis are a group."""
     shapes = circles.groupBy(*keys, "cx", "cy", "r").agg(F.min("id").alias("id"))
     shapes = cut_lineage(shapes.withColumn("node", F.monotonically_increasing_id()))
     reach = F.greatest(F.lit(base), F.col("r") * 0.02)
     seat = F.struct((F.col("cx") - reach).alias("min_x"), (F.col("cy") - reach).alias("min_y"), (F.col("cx") + reach).alias("max_x"), (F.col("cy") + reach).alias("max_y"))
     seats = shapes.select(*keys, F.col("node").alias("id"), seat.alias("box"))
     groups = connected(seats, spatial.touch_links(seats, keys)).select(F.col("id").alias("node"), F.col("label").alias("axis"))
-    numbers = ["-cast(r as double) as down", "cast(id as long) as id", "node", "cast(cx as double) as cx", "cast(cy as double) as cy"]
-    rows = shapes.join(groups, "node").selectExpr("axis", *numbers)
+    rows = shapes.join(groups, "node").selectExpr("axis", *_NUMBERS)
     taken = spatial.streamed(rows, ["axis"], ["down", "id"], _take_largest_first(base), "node long, outer_id long")
-    member = circles.select(*keys, "cx", "cy", "r", "id").join(shapes.drop("id"), [*keys, "cx", "cy", "r"])
-    same = circles.schema["id"].dataType
-    return member.join(taken, "node", "left").select(*keys, "id", F.col("outer_id").cast(same).alias("outer_id"))
+    member = circles.join(shapes.drop("id"), [*keys, "cx", "cy", "r"])
+    return member.join(taken, "node", "left").select(*keys, "id", "outer_id")
 
 
 def drop_hole_fillers(polys: DataFrame, tol: float, keys: list[str] = GROUP) -> DataFrame:

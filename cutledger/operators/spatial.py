@@ -15,6 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from cutledger.session import cut_lineage
 
 #: Cell sizes by a factor of four, up to 67 km.
 CELL_MM = [16.0 * 4**k for k in range(12)]
@@ -156,6 +160,14 @@ def points_paired(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataF
     return paired(points, boxes, keys, ("point_id", "box_id"), within, search)
 
 
+def by_crowding(df: DataFrame, keys: list[str], most: int = FEW) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with up to ``most`` rows, and those of the other keys, None without any. The table is read again: it should be a stored one."""
+    crowded = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys))
+    if crowded.isEmpty():
+        return df, None
+    return df.join(crowded, keys, "left_anti"), df.join(crowded, keys, "left_semi")
+
+
 #: Cells that the longest box of a key may take along one side.
 MOST_CELLS = 1_000
 
@@ -225,14 +237,20 @@ def sweep(boxes: Iterable[tuple]) -> Iterator[tuple[int, int]]:
         yield own, root(own)
 
 
-def streamed(rows: DataFrame, group: list[str], order: list, fold: Callable, schema: str) -> DataFrame:
+def streamed(rows: DataFrame, group: list[str], order: list, fold: Callable, schema: str, keep: bool = False) -> DataFrame:
     """Fold each group's rows, in order, into rows of ``schema`` (plain numbers): groups are dealt over the tasks and stream through them.
 
-    ``fold`` takes an iterator of tuples without the group's columns. A group of any size needs no more memory than the fold holds.
+    ``fold`` takes an iterator of tuples without the group's columns. A group of any size needs no more memory than the fold holds. With ``keep``
+    the group's columns come first in the result.
     """
     rows = rows.select(*group, *[c for c in rows.columns if c not in group])
     n, names = len(group), [part.split()[0] for part in schema.split(",")]
     kinds = [pa.float64() if part.split()[1] == "double" else pa.int64() for part in schema.split(",")]
+    out = T.StructType.fromDDL(schema)
+    if keep:
+        carried = rows.select(*group).schema
+        names, kinds = group + names, [f.type for f in to_arrow_schema(carried)] + kinds
+        out = T.StructType(carried.fields + out.fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat() -> Iterator[tuple]:
@@ -240,16 +258,16 @@ def streamed(rows: DataFrame, group: list[str], order: list, fold: Callable, sch
                 yield from zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
 
         made = []
-        for _, some in groupby(flat(), key=lambda row: row[:n]):
+        for value, some in groupby(flat(), key=lambda row: row[:n]):
             for result in fold(row[n:] for row in some):
-                made.append(result)
+                made.append(value + result if keep else result)
                 if len(made) == 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names)
                     made = []
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names)
 
-    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, out)
 
 
 def touch_links(boxes: DataFrame, keys: list[str]) -> DataFrame:

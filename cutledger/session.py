@@ -80,3 +80,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Write a table into the shared folder and read it back, so that what follows reads the columns it needs instead of working them out again."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

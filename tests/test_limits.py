@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from cutledger.operators import drawings as drw
+from cutledger.operators import spatial
+
 
 def test_tasks_read_small_parts_of_a_shuffle(spark):
     kept = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
@@ -14,3 +17,37 @@ def test_tasks_read_small_parts_of_a_shuffle(spark):
     finally:
         for key, value in kept.items():
             spark.conf.set(key, value)
+
+
+def _not_called(*args):
+    raise AssertionError("small keys need no search")
+
+
+def test_washers_of_small_keys_take_one_pass(spark, monkeypatch):
+    circles = spark.range(600).selectExpr(
+        "id", "id div 12 as drawing_id", "'CUT' as layer", "double(hash(id) % 3) * 0.6 as cx", "double(hash(id, 1) % 2) as cy", "double(abs(hash(id, 2)) % 9 * 10 + 5) as r"
+    ).localCheckpoint()
+    got = lambda df: sorted(map(tuple, drw.washers(df, 0.1).collect()))
+    monkeypatch.setattr(drw, "WHOLE_CIRCLES", 5, raising=False)
+    by_axis = got(circles)
+    monkeypatch.undo()
+    monkeypatch.setattr(drw, "connected", _not_called)
+    assert got(circles) == by_axis
+    # without a layer a circle has no partner, but stays a piece
+    assert {r.outer_id for r in drw.washers(circles.withColumn("layer", F.lit(None).cast("string")), 0.1).collect()} == {None}
+
+
+def test_parents_in_small_keys_come_from_one_join(spark, monkeypatch):
+    box = "array(array(array(x, y), array(x + w, y), array(x + w, y + h), array(x, y + h)))"
+    polys = spark.range(600).selectExpr(
+        "id", "id div 12 as drawing_id", "'CUT' as layer", "double(abs(hash(id)) % 5 * 10) as x", "double(abs(hash(id, 1)) % 5 * 10) as y",
+        "double(abs(hash(id, 2)) % 5 * 30 + 10) as w", "double(abs(hash(id, 3)) % 5 * 30 + 10) as h",
+    ).selectExpr("id", "drawing_id", "layer", f"{box} as rings").localCheckpoint()
+    got = lambda df: sorted(map(tuple, drw.containment_parent(df, 0.1).collect()), key=str)
+    monkeypatch.setattr(spatial.by_crowding, "__defaults__", (5,))
+    by_asking = got(polys)
+    monkeypatch.undo()
+    monkeypatch.setattr(spatial, "smallest_holders", _not_called)
+    assert got(polys) == by_asking
+    assert sum(p is not None for *_, p in by_asking) > 50
+    assert got(polys.withColumn("layer", F.lit(None).cast("string"))) == sorted(((r.drawing_id, None, r.id, None) for r in polys.collect()), key=str)
