@@ -13,7 +13,8 @@ from cutledger.functions import geometry as geo
 from cutledger.functions.vectorised import clip_area
 from cutledger.operators.inventory import consumption_rank
 from cutledger.operators.scan import Running, id_block, running, top_one
-from cutledger.operators.spatial import self_pairs
+from cutledger.operators.spatial import by_crowding, self_pairs
+from cutledger.session import kept
 
 DISPLAY_GAP_MM = 60.0
 SPLIT_EPS = 1e-6
@@ -29,23 +30,37 @@ def usable(stocks: DataFrame, margin_mm: float) -> DataFrame:
     )
 
 
+#: Sheets of a project that each of its pieces is compared with.
+FEW_SHEETS = 64
+
+
 def fits(pieces: DataFrame, stocks: DataFrame, margin_mm: float, kerf_mm: float = 0.0) -> DataFrame:
     """Flag pieces whose box fits some stock of their project, upright or turned by 90 degrees.
 
-    A box fits when its longer and shorter sides are within those of a sheet. Pieces and sheets are put
-    on one line by longer side, longest first; the largest shorter side seen so far decides, so no
-    piece meets every sheet. Pieces of one size are cut into blocks by their index.
+    A box fits when its longer and shorter sides are within those of a sheet. The sizes of up to ``FEW_SHEETS`` sheets of a project join its pieces
+    as one row; the pieces of projects with more sizes meet them on a line.
     """
     w, h = F.col("width_mm") + max(kerf_mm, 0.0), F.col("height_mm") + max(kerf_mm, 0.0)
     sheets = usable(stocks, margin_mm).select(
-        "project_id",
-        F.lit(0).alias("kind"),
-        F.greatest("usable_w", "usable_h").alias("long"),
-        F.least("usable_w", "usable_h").alias("short"),
-    )
-    items = pieces.select(
-        "project_id", F.lit(1).alias("kind"), F.greatest(w, h).alias("long"), F.least(w, h).alias("side"), "piece_index"
-    )
+        "project_id", F.greatest("usable_w", "usable_h").alias("long"), F.least("usable_w", "usable_h").alias("short")
+    ).distinct()
+    items = pieces.select("project_id", F.greatest(w, h).alias("long"), F.least(w, h).alias("side"), "piece_index")
+    few, many = by_crowding(sheets, ["project_id"], FEW_SHEETS)
+    sizes = few.groupBy("project_id").agg(F.collect_list(F.struct("long", "short")).alias("sizes"))
+    held = F.exists("sizes", lambda s: (s["long"] >= F.col("long")) & (s["short"] >= F.col("side")))
+    flag = F.coalesce(held, F.lit(False)).alias("fits")
+    if many is None:
+        return items.join(sizes, "project_id", "left").select("project_id", "piece_index", flag)
+    crowded = many.select("project_id").distinct()
+    out = items.join(crowded, "project_id", "left_anti").join(sizes, "project_id", "left").select("project_id", "piece_index", flag)
+    return out.unionByName(_fits_on_a_line(items.join(crowded, "project_id", "left_semi"), many))
+
+
+def _fits_on_a_line(items: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Pieces and sheets on one line by longer side, longest first: the largest shorter side seen so far decides, so no piece meets every sheet.
+    Pieces of one size are cut into blocks by their index."""
+    sheets = sheets.select("project_id", F.lit(0).alias("kind"), "long", "short")
+    items = items.withColumn("kind", F.lit(1))
     line = sheets.unionByName(items, allowMissingColumns=True)
     seen = running(
         line,
@@ -94,34 +109,47 @@ def outline_members(placed: DataFrame) -> DataFrame:
     return placed.join(shapes, [*SHEET, "ring"]).select(*SHEET, "shape_index", "piece_index")
 
 
+def _outlines(placed: DataFrame) -> DataFrame:
+    """Distinct outlines of each sheet, stored: id (the lowest piece), copies, box and solid area. Sizes are worked out once per outline."""
+    x, y = F.col("x_mm"), F.col("y_mm")
+    if "rotation_deg" in placed.columns:
+        rows = world(placed).select(*SHEET, "ring", "piece_index")
+    else:
+        ring = F.get(geo.map_points(F.slice("rings", 1, 1), lambda px, py: (px + x, py + y)), 0)
+        rows = placed.select(*SHEET, ring.alias("ring"), "piece_index")
+    shapes = rows.groupBy(*SHEET, "ring").agg(F.min("piece_index").alias("id"), F.count("*").alias("copies"))
+    return kept(shapes.withColumns({"box": geo.bbox(F.array("ring")), "solid": geo.solid_area(F.array("ring"))}), "outlines")
+
+
 def overlapping_pairs(placed: DataFrame, min_area: float = 1.0) -> DataFrame:
     """Outlines on one sheet sharing more than ``min_area`` mm2.
 
     Pieces with the very same outline are one row here: a_copies and b_copies tell how many there are, a row with
     a_index = b_index says that copies lie on each other, and ``outline_members`` lists the pieces behind an index.
-    Rectangles are compared natively; only other shapes' outlines reach the clipping function, once per pair.
+    Sheets with few outlines compare them in one join, others on a grid. Rectangles are compared natively; only other shapes' outlines reach the
+    clipping function, once per pair.
     """
-    shapes = (
-        world(placed)
-        .groupBy(*SHEET, "ring")
-        .agg(F.min("piece_index").alias("id"), F.count("*").alias("copies"), F.first("box").alias("box"), F.first("solid_mm2").alias("solid"))
-    )
+    shapes = _outlines(placed)
     area = (F.col("box.max_x") - F.col("box.min_x")) * (F.col("box.max_y") - F.col("box.min_y"))
-    shapes = shapes.withColumn("is_box", F.abs(area - F.col("solid")) < 1e-6)
-    sides = [shapes.select(*SHEET, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "ring", "copies", "box", "is_box")]) for x in "ab"]
-    met = (
-        self_pairs(shapes, SHEET)
-        .withColumnsRenamed({"left_id": "a_id", "right_id": "b_id"})
-        .join(sides[0], [*SHEET, "a_id"])
-        .join(sides[1], [*SHEET, "b_id"])
-    )
+    boxed = shapes.withColumn("is_box", F.abs(area - F.col("solid")) < 1e-6)
 
     def common(low: str, high: str) -> Column:
         edge = F.least(f"a_box.{high}", f"b_box.{high}") - F.greatest(f"a_box.{low}", f"b_box.{low}")
         return F.greatest(edge, F.lit(0.0))
 
+    def sides(df: DataFrame) -> list[DataFrame]:
+        return [df.select(*SHEET, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "ring", "copies", "box", "is_box")]) for x in "ab"]
+
+    shared = common("min_x", "max_x") * common("min_y", "max_y")
+    few, many = by_crowding(boxed, SHEET)
+    a, b = sides(few)
+    near = a.hint("merge").join(b.hint("merge"), SHEET).where((F.col("a_id") < F.col("b_id")) & (shared > min_area))
+    if many is not None:
+        a, b = sides(many)
+        met = self_pairs(many, SHEET).withColumnsRenamed({"left_id": "a_id", "right_id": "b_id"})
+        near = near.unionByName(met.join(a, [*SHEET, "a_id"]).join(b, [*SHEET, "b_id"]).where(shared > min_area))
     both = F.col("a_is_box") & F.col("b_is_box")
-    near = met.withColumn("boxed", common("min_x", "max_x") * common("min_y", "max_y")).where(F.col("boxed") > min_area)
+    near = near.withColumn("boxed", shared)
     # explode, so that the area is worked out once, below the filter on it
     clipped = F.explode(F.array(clip_area(F.when(~both, F.col("a_ring")), F.when(~both, F.col("b_ring")))))
     pairs = near.select("*", clipped.alias("clipped")).withColumn("shared_mm2", F.when(both, F.col("boxed")).otherwise(F.col("clipped")))
@@ -138,12 +166,21 @@ def overlapping_pairs(placed: DataFrame, min_area: float = 1.0) -> DataFrame:
 
 
 def overlapping_pieces(placed: DataFrame, min_area: float = 1.0) -> DataFrame:
-    """Every pair of overlapping pieces (a_piece < b_piece), copies included; as many rows as there are such pairs."""
-    members = outline_members(placed)
-    a, b = (members.select(*SHEET, F.col("shape_index").alias(f"{x}_index"), F.col("piece_index").alias(f"{x}_piece")) for x in "ab")
-    met = overlapping_pairs(placed, min_area).join(a, [*SHEET, "a_index"]).join(b, [*SHEET, "b_index"])
-    met = met.where((F.col("a_index") != F.col("b_index")) | (F.col("a_piece") < F.col("b_piece")))
-    return met.select(*SHEET, F.least("a_piece", "b_piece").alias("a_piece"), F.greatest("a_piece", "b_piece").alias("b_piece"), "shared_mm2")
+    """Every pair of overlapping pieces (a_piece < b_piece), copies included; as many rows as there are such pairs.
+
+    An outline without copies is its piece; only sheets with copies among their overlaps look for the pieces behind their outlines.
+    """
+    pairs = kept(overlapping_pairs(placed, min_area), "overlaps")
+    alone = (F.col("a_copies") == 1) & (F.col("b_copies") == 1)
+    one = pairs.where(alone).select(*SHEET, F.col("a_index").alias("a_piece"), F.col("b_index").alias("b_piece"), "shared_mm2")
+    stacked = pairs.where(~alone)
+    if not stacked.isEmpty():
+        members = outline_members(placed.join(stacked.select(*SHEET).distinct(), SHEET, "left_semi"))
+        a, b = (members.select(*SHEET, F.col("shape_index").alias(f"{x}_index"), F.col("piece_index").alias(f"{x}_piece")) for x in "ab")
+        met = stacked.join(a, [*SHEET, "a_index"]).join(b, [*SHEET, "b_index"])
+        met = met.where((F.col("a_index") != F.col("b_index")) | (F.col("a_piece") < F.col("b_piece")))
+        one = one.unionByName(met.select(*one.columns))
+    return one.select(*SHEET, F.least("a_piece", "b_piece").alias("a_piece"), F.greatest("a_piece", "b_piece").alias("b_piece"), "shared_mm2")
 
 
 def sheets_with_overlaps(placed: DataFrame, min_area: float = 1.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cutledger.operators import drawings as drw
+from cutledger.operators import layout as lay
 from cutledger.operators import spatial
 
 
@@ -51,3 +52,36 @@ def test_parents_in_small_keys_come_from_one_join(spark, monkeypatch):
     assert got(polys) == by_asking
     assert sum(p is not None for *_, p in by_asking) > 50
     assert got(polys.withColumn("layer", F.lit(None).cast("string"))) == sorted(((r.drawing_id, None, r.id, None) for r in polys.collect()), key=str)
+
+
+def test_overlaps_of_small_sheets_come_from_one_join(spark, monkeypatch):
+    rings = "array(array(array(0D, 0D), array(w, 0D), array(w, h), array(0D, h)))"
+    placed = spark.range(400).selectExpr(
+        "id div 10 as run_id", "0 as sheet_index", "cast(id % 10 as int) as piece_index", "double(abs(hash(id)) % 3 * 20) as x_mm", "double(abs(hash(id, 1)) % 3 * 20) as y_mm",
+        "double(abs(hash(id, 2)) % 2 * 30 + 10) as w", "double(abs(hash(id, 3)) % 2 * 30 + 10) as h",
+    ).selectExpr("*", f"{rings} as rings").localCheckpoint()
+    pieces, outlines = (lambda f=f: sorted(map(tuple, f(placed).collect())) for f in (lay.overlapping_pieces, lay.overlapping_pairs))
+    monkeypatch.setattr(spatial.by_crowding, "__defaults__", (3,))
+    on_grid = pieces(), outlines()
+    monkeypatch.undo()
+    monkeypatch.setattr(lay, "self_pairs", _not_called)
+    assert (pieces(), outlines()) == on_grid
+    p = {(r.run_id, r.piece_index): r for r in placed.collect()}
+    wanted = set()
+    for (run, i), a in p.items():
+        for (other, j), b in p.items():
+            shared = [max(min(a[x] + a[s], b[x] + b[s]) - max(a[x], b[x]), 0.0) for x, s in (("x_mm", "w"), ("y_mm", "h"))]
+            if run == other and i < j and shared[0] * shared[1] > 1:
+                wanted.add((run, i, j))
+    assert {(r[0], *r[2:4]) for r in on_grid[0]} == wanted
+
+
+def test_pieces_of_projects_with_few_sheets_need_no_line(spark, monkeypatch):
+    pieces = spark.range(500).selectExpr("id % 20 as project_id", "cast(id as int) as piece_index", "double(abs(hash(id)) % 9 * 10) as width_mm", "double(abs(hash(id, 1)) % 9 * 10) as height_mm").localCheckpoint()
+    stocks = spark.range(60).selectExpr("id % 19 as project_id", "double(abs(hash(id)) % 7 * 10) as width_mm", "double(abs(hash(id, 1)) % 7 * 10) as height_mm").localCheckpoint()
+    got = lambda: sorted(map(tuple, lay.fits(pieces, stocks, 1.0).collect()))
+    monkeypatch.setattr(lay, "FEW_SHEETS", 2, raising=False)
+    on_line = got()
+    monkeypatch.undo()
+    monkeypatch.setattr(lay, "running", _not_called)
+    assert got() == on_line and len({f for *_, f in on_line}) == 2
