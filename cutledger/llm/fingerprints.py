@@ -28,22 +28,22 @@ def terms_of(words: Column) -> Column:
     return F.when(F.size(words) == 1, alone).otherwise(F.transform(pairs, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
 
 
-def simhash(texts: DataFrame) -> DataFrame:
-    """(key, fingerprint) from rows (key, text), equal keys meaning equal texts: one row per key. A text without a word has fingerprint 0.
+def simhash(texts: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(keys, fingerprint) from rows (keys, text), equal keys meaning equal texts: one row per key. A text without a word has fingerprint 0.
 
     Rows of equal texts only scale all votes alike, so copies need not be removed first.
     """
-    words = texts.select("key", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
-    terms = words.select("key", F.explode_outer(terms_of(F.col("words"))).alias("term"))
-    hashed = terms.select("key", F.when(F.col("term.b").isNotNull(), F.xxhash64("term.a", "term.b")).alias("h"))
+    words = texts.select(*keys, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    terms = words.select(*keys, F.explode_outer(terms_of(F.col("words"))).alias("term"))
+    hashed = terms.select(*keys, F.when(F.col("term.b").isNotNull(), F.xxhash64("term.a", "term.b")).alias("h"))
     votes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(PAIR))).alias(f"v{j}") for j in range(32)]
-    counted = hashed.groupBy("key").agg(F.count("h").alias("n"), *votes)
+    counted = hashed.groupBy(*keys).agg(F.count("h").alias("n"), *votes)
     value = F.lit(0).cast("long")
     for j in range(64):
         ayes = F.col(f"v{j}").bitwiseAND(F.lit(0xFFFFFFFF)) if j < 32 else F.shiftrightunsigned(f"v{j - 32}", 32)
         bit = (1 << j) - (1 << 64) * (j == 63)
         value = value.bitwiseOR(F.when(ayes * 2 > F.col("n"), F.lit(bit)).otherwise(F.lit(0)).cast("long"))
-    return counted.select("key", value.alias("fingerprint"))
+    return counted.select(*keys, value.alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,19 +74,29 @@ def _in_blocks(docs: DataFrame, doc_id: str, blocks: int) -> DataFrame:
     return docs.withColumn("__block", F.coalesce(F.floor((F.col(doc_id) - F.lit(lo)) / F.lit(width)), F.lit(-1)))
 
 
+def _following(rows: DataFrame, value: str, order: list[Column], head: Column) -> DataFrame:
+    """Rows with the value of the row behind in their block as __next; after the block's last one that of the next lower block (its `head`), the
+    highest after the lowest. The blocks meet in a table of one row per block."""
+    heads = rows.groupBy("__block").agg(head.alias("head"))
+    ring = Window.orderBy(F.col("__block").desc())
+    after = heads.select("__block", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring)).alias("__after"))
+    inside = Window.partitionBy("__block").orderBy(*order)
+    rows = rows.withColumns({"__next": F.lead(value).over(inside), "__place": F.row_number().over(inside).cast("long")})
+    return rows.join(after, "__block").withColumn("__next", F.coalesce("__next", "__after")).drop("__after")
+
+
+def _placed(docs: DataFrame, blocks: int, doc_id: str, text: str) -> DataFrame:
+    rows = _in_blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")), "doc_id", blocks)
+    return _following(rows, "text", [F.col("doc_id").desc_nulls_last(), F.col("text").desc()], F.max(F.struct("doc_id", "text"))["text"])
+
+
 def with_next(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, next_text): the text of the row with the next smaller id; after the last, that of the first (nulls come last).
 
     Rows meet in blocks of the id; the row after a block's last one is handed over by a table of one row per block. Equal ids are ordered by
     their texts.
     """
-    rows = _in_blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")), "doc_id", blocks)
-    inside = Window.partitionBy("__block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    heads = rows.groupBy("__block").agg(F.max(F.struct("doc_id", "text"))["text"].alias("head"))
-    ring = Window.orderBy(F.col("__block").desc())
-    after = heads.select("__block", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring)).alias("__after"))
-    rows = rows.withColumn("__next", F.lead("text").over(inside)).join(after, "__block")
-    return rows.select("doc_id", "text", F.coalesce("__next", "__after").alias("next_text"))
+    return _placed(docs, blocks, doc_id, text).select("doc_id", "text", F.col("__next").alias("next_text"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -106,16 +116,16 @@ def fingerprint_documents(docs: DataFrame, blocks: int, doc_id: str = "doc_id",
 
     Null texts count as empty. Repeated rows come out repeated. Other columns are ignored.
     """
-    base = with_next(docs, blocks, doc_id, text).withColumn("edit", edited(F.col("text"), F.col("next_text")))
-    base = base.select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", "edit", F.sha2("text", 256).alias("key"),
-        F.sha2("edit", 256).alias("edited_sha256"), F.sha2("next_text", 256).alias("next_key"),
-    )
-    both = F.explode(F.array(F.struct(F.col("key"), F.col("text")), F.struct(F.col("edited_sha256").alias("key"), F.col("edit").alias("text"))))
-    prints = stored(simhash(base.select(both.alias("x")).select("x.key", "x.text")), "simhash")
-    named = lambda key, value: prints.select(F.col("key").alias(key), F.col("fingerprint").alias(value))
-    rows = base.select("doc_id", "n_chars", "key", "edited_sha256", "next_key")
-    rows = rows.join(named("key", "own"), "key").join(named("edited_sha256", "changed"), "edited_sha256").join(named("next_key", "following"), "next_key")
+    base = _placed(docs, blocks, doc_id, text).withColumn("edit", edited(F.col("text"), F.col("__next")))
+    numbers = ["__block", "__place", "doc_id", "n_chars"]
+    both = F.explode(F.array(F.struct(F.lit("").alias("sha"), F.col("text")), F.struct(F.sha2("edit", 256).alias("sha"), F.col("edit").alias("text"))))
+    base = base.select("__block", "__place", "doc_id", F.char_length("text").cast("long").alias("n_chars"), both.alias("x"))
+    # the texts are shuffled once: all that follows goes by the place of a row
+    prints = stored(simhash(base.select(*numbers, "x.sha", "x.text"), (*numbers, "sha")), "simhash")
+    changed = prints.where("sha <> ''").select("__block", "__place", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("changed"))
+    own = prints.where("sha = ''").select("__block", F.col("__place").alias("__at"), "doc_id", "n_chars", F.col("fingerprint").alias("own"))
+    rows = _following(own, "own", [F.col("__at")], F.min(F.struct("__at", "own"))["own"])
+    rows = rows.join(changed, ["__block", "__place"]).withColumn("following", F.col("__next"))
     rows = stored(rows.select("doc_id", "n_chars", "edited_sha256", "own", "changed", "following"), "simhash-rows")
     held = rows.groupBy(F.col("own").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
     asked = rows.filter(F.col("doc_id") % every == 0).select(F.col("own").alias("fingerprint")).distinct()

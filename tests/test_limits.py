@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cutledger.llm import fingerprints
 from cutledger.operators import drawings as drw
 from cutledger.operators import layout as lay
 from cutledger.operators import spatial
@@ -85,3 +86,13 @@ def test_pieces_of_projects_with_few_sheets_need_no_line(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(lay, "running", _not_called)
     assert got() == on_line and len({f for *_, f in on_line}) == 2
+
+
+def test_fingerprints_shuffle_texts_once(spark):
+    from test_round3 import shuffled
+
+    words = F.concat_ws("", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 512) for i in range(40)])
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), words.alias("text")).localCheckpoint()
+    once = shuffled(spark, docs.repartition(7, "doc_id"))
+    assert once > 2_000_000
+    assert shuffled(spark, fingerprints.fingerprint_documents(docs, blocks=5)) < 1.6 * once
