@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cutledger.functions.geometry import let
 from cutledger.operators.billing import ip_to_long
+from cutledger.session import kept
 
 #: Where IPv4 addresses stand, and the leading bits before them.
 MAPPED, MAPPED_BITS = 0xFFFF00000000, 96
@@ -106,9 +107,10 @@ def country_for_address(df: DataFrame, networks: DataFrame) -> DataFrame:
     """
     known = parse_networks(networks)
     lengths = sorted(r[0] for r in known.select("prefix").distinct().collect())
-    placed = df.withColumn("_bits", address_bits(F.col("ip")))
     if not lengths:
-        return placed.drop("_bits").withColumn("ip_country", F.lit(None).cast("string"))
+        return df.withColumn("ip_country", F.lit(None).cast("string"))
+    # read twice below: reading an address from its text costs more than all that follows
+    placed = kept(df.withColumn("_bits", address_bits(F.col("ip"))), "addresses")
     wanted = placed.select(F.col("_bits").alias("bits")).where("bits is not null").distinct().where(~is_local(F.col("bits")))
     probes = wanted.select("bits", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("prefix"))
     probes = probes.withColumn("network", network_of(F.col("bits"), F.col("prefix")))

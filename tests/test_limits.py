@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cutledger.llm import fingerprints
+from cutledger.operators import addresses
 from cutledger.operators import drawings as drw
 from cutledger.operators import layout as lay
 from cutledger.operators import spatial
@@ -96,3 +97,10 @@ def test_fingerprints_shuffle_texts_once(spark):
     once = shuffled(spark, docs.repartition(7, "doc_id"))
     assert once > 2_000_000
     assert shuffled(spark, fingerprints.fingerprint_documents(docs, blocks=5)) < 1.6 * once
+
+
+def test_addresses_are_read_from_their_text_once(spark):
+    df = spark.createDataFrame([(1, "203.0.113.9"), (2, "bad")], "id long, ip string")
+    out = addresses.country_for_address(df, spark.createDataFrame([("203.0.113.0/24", "CR")], "network string, country_code string"))
+    assert "trim(ip#" not in out._jdf.queryExecution().analyzed().toString()
+    assert {r.id: r.ip_country for r in out.collect()} == {1: "CR", 2: None}
