@@ -152,6 +152,33 @@ def test_likely_classes_come_once_per_group():
     assert sorted(out["class"]) == list(range(n)) and set(out["signature"]) == {7}
 
 
+@pytest.mark.parametrize("sizes", [(3, 4), (60, 64), (500, 530), (2_300, 2_400), (2_000, 2_100)])
+def test_parities_bound_differences(sizes):
+    rng = np.random.default_rng(sum(sizes))
+    pool = rng.integers(0, 2**63, 3 * max(sizes)).astype(np.uint64)
+    for shared in (0.0, 0.5, 0.9, 1.0):
+        n = int(shared * min(sizes))
+        a, b = np.unique(pool[: sizes[0]]), np.unique(pool[sizes[0] - n : sizes[0] - n + sizes[1]])
+        odd = [jaccard.parities(x).tobytes() for x in (a, b)]
+        (apart,) = jaccard.parities_apart(odd, np.array([0]), np.array([1]))
+        differ = len(np.setxor1d(a, b))
+        assert apart <= differ and apart % 2 == differ % 2 and (shared < 1 or apart >= differ // 2)
+
+
+def test_large_sets_with_like_sketches_are_told_apart():
+    """Sets of 3000 shingles of which half are common: the sketch of 128 cells leaves them a chance, the parities do not."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 2**63, 1_500).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 1_500).astype(np.uint64)])) for _ in range(4)]
+    sets.append(np.unique(np.concatenate([sets[0][:-100], rng.integers(0, 2**63, 100).astype(np.uint64)])))  # similar to the first
+    group = pd.DataFrame({"signature": 1, "class": range(5), "root": range(5), "size": [len(s) for s in sets]})
+    for name, measure, want in (("sketch", jaccard.sketch, {0, 1, 2, 3, 4}), ("odd", jaccard.parities, {0, 4})):
+        rows = group.assign(**{name: [measure(s).tobytes() for s in sets]})
+        assert set(pd.concat(list(jaccard._cross(80)(iter([rows]))))["class"]) == want
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_spanning_links_join_what_all_links_join(seed):
     import pandas as pd
