@@ -173,6 +173,26 @@ def test_file_round_trip(kind):
             tokens.read_file(bytes(broken))
 
 
+def test_new_pieces_are_encoded_in_a_row():
+    """One call for the new pieces of a text, and none for pieces that are known; the ids are those of the whole text."""
+    own, sizes = tokens.PieceEncoder(PATH), []
+    whole = own.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            sizes.append(len(texts))
+            return whole.encode_batch_fast(texts, **how)
+
+    own.tokenizer = Counted()
+    plain = "Some words, and more\nwords \u0120 of_this.kind \u00e9t\u00e9 \u4e2d\u6587 don't 12345 and words, " + "x" * 50
+    odd = [" a b", "a  b\n c \n", "\n\ta b c\n", "a \u00a0b \u2003 c", "a\n b", "a b\n\n", " ", "\n", "a", "b \u0120\u0120 \u0120x", "A   b    c d"]
+    for text in [plain, plain, *odd, *odd, " ".join(odd)]:
+        assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        if text == plain:
+            assert sizes in ([1, 1], [1])  # the first piece, and all new ones in a row
+        sizes.clear()
+
+
 def test_token_table(docs, odd, none):
     from tokenizers import Tokenizer
 
