@@ -129,7 +129,10 @@ def overlapping_pairs(placed: DataFrame, min_area: float = 1.0) -> DataFrame:
     Sheets with few outlines compare them in one join, others on a grid. Rectangles are compared natively; only other shapes' outlines reach the
     clipping function, once per pair.
     """
-    shapes = _outlines(placed)
+    return _overlaps(_outlines(placed), min_area)
+
+
+def _overlaps(shapes: DataFrame, min_area: float) -> DataFrame:
     area = (F.col("box.max_x") - F.col("box.min_x")) * (F.col("box.max_y") - F.col("box.min_y"))
     boxed = shapes.withColumn("is_box", F.abs(area - F.col("solid")) < 1e-6)
 
@@ -170,11 +173,15 @@ def overlapping_pieces(placed: DataFrame, min_area: float = 1.0) -> DataFrame:
 
     An outline without copies is its piece; only sheets with copies among their overlaps look for the pieces behind their outlines.
     """
-    pairs = kept(overlapping_pairs(placed, min_area), "overlaps")
+    shapes = _outlines(placed)
+    pairs = _overlaps(shapes, min_area)
     alone = (F.col("a_copies") == 1) & (F.col("b_copies") == 1)
+    copied = not shapes.where("copies > 1").isEmpty()
+    if copied:
+        pairs = kept(pairs, "overlaps")
     one = pairs.where(alone).select(*SHEET, F.col("a_index").alias("a_piece"), F.col("b_index").alias("b_piece"), "shared_mm2")
-    stacked = pairs.where(~alone)
-    if not stacked.isEmpty():
+    if copied:
+        stacked = pairs.where(~alone)
         members = outline_members(placed.join(stacked.select(*SHEET).distinct(), SHEET, "left_semi"))
         a, b = (members.select(*SHEET, F.col("shape_index").alias(f"{x}_index"), F.col("piece_index").alias(f"{x}_piece")) for x in "ab")
         met = stacked.join(a, [*SHEET, "a_index"]).join(b, [*SHEET, "b_index"])

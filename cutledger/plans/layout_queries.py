@@ -281,8 +281,8 @@ R.add(
 )
 R.add(
     "u2_clip_area_pairs",
-    lambda s, d: lay.overlapping_pairs(src.placed(s, d)).select(
-        "run_id", "sheet_index", "a_index", "b_index", F.round("shared_mm2", 3).alias("shared_mm2")
+    lambda s, d: lay.overlapping_pieces(src.placed(s, d)).select(
+        "run_id", "sheet_index", F.col("a_piece").alias("a_index"), F.col("b_piece").alias("b_index"), F.round("shared_mm2", 3).alias("shared_mm2")
     ),
     f"SELECT run_id, sheet_index, a_index, b_index, round(shared, 3) AS shared_mm2 FROM ({_ALLPAIRS})",
 )
