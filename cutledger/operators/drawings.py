@@ -371,10 +371,11 @@ def _to_roots(parents: DataFrame) -> DataFrame:
     """Follow (id, parent) to the top, doubling the reach with every step."""
     while True:
         up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("_next"))
-        jumped = cut_lineage(
+        jumped = kept(
             parents.join(up, "parent", "left").select(
                 "id", F.coalesce("_next", "parent").alias("parent"), (F.col("_next") < F.col("parent")).alias("_moved")
-            )
+            ),
+            "hooks",
         )
         parents = jumped.select("id", "parent")
         if not jumped.where("_moved").limit(1).count():
@@ -389,18 +390,18 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     written to the shared folder: the plan stays short and a lost executor costs one re-read.
     """
     labels = nodes.select("id", F.col("id").alias("label")).distinct()
-    left = cut_lineage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    left = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_least"))
         roots = _to_roots(hooks.select("id", F.least("id", "_least").alias("parent")))
         far = roots.select(F.col("id").alias("label"), F.col("parent").alias("_root"))
-        labels = cut_lineage(labels.join(far, "label", "left").select("id", F.coalesce("_root", "label").alias("label")))
+        labels = kept(labels.join(far, "label", "left").select("id", F.coalesce("_root", "label").alias("label")), "labels")
         moved = left.join(roots.select(F.col("id").alias("a"), F.col("parent").alias("_a")), "a").join(
             roots.select(F.col("id").alias("b"), F.col("parent").alias("_b")), "b"
         )
-        left = cut_lineage(
-            moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a < b").distinct()
+        left = kept(
+            moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a < b").distinct(), "links"
         )
     return labels
 
@@ -408,19 +409,19 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def cluster(entities: DataFrame, pad_mm: float = CLUSTER_PAD_MM, keys: list[str] | None = None) -> DataFrame:
     """Cluster label (smallest member id) of entity boxes that touch once each is padded on every side.
 
-    Equal boxes are one node. Boxes are cut into the square cells of a grid as fine as their drawing allows, each cell is swept for links that
-    keep touching boxes together, and the links of all cells are joined into components: a box lies in several cells under one id.
+    Boxes are cut into the square cells of a grid as fine as their drawing allows, and each cell is swept for the groups of boxes that hang together
+    in it. What joins the groups of neighbouring cells are the boxes across their border, one for each group of those: these links are joined into
+    components, and a box takes the label of its group.
     """
     keys = keys or ["drawing_id"]
-    corner = ["min_x", "min_y", "max_x", "max_y"]
-    shapes = cut_lineage(entities.groupBy(*keys, *corner).agg(F.min("id").alias("id")))
-    grown = [(F.col(c) - pad_mm).alias(c) for c in corner[:2]] + [(F.col(c) + pad_mm).alias(c) for c in corner[2:]]
-    labels = connected(shapes, spatial.touch_links(shapes.select(*keys, "id", F.struct(*grown).alias("box")), keys))
-    labels = labels.withColumnsRenamed({"id": "_node", "label": "cluster_id"})
-    node = shapes.select(*keys, *corner, F.col("id").alias("_node"))
-    return (
-        entities.join(node, [*keys, *corner]).join(labels, "_node").select(*entities.columns, "cluster_id")
-    )
+    rows = kept(entities, "entities")
+    grown = [F.col(c) + (-pad_mm if c.startswith("min") else pad_mm) for c in ("min_x", "min_y", "max_x", "max_y")]
+    box = F.struct(*[g.alias(c) for g, c in zip(grown, ("min_x", "min_y", "max_x", "max_y"))])
+    groups = kept(spatial.touching_groups(rows.select(*keys, "id", box.alias("box")), keys), "groups")
+    home = groups.where("home = 1")
+    links = groups.where("home = 0").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    labels = connected(home.select(F.col("root").alias("id")), links).withColumnsRenamed({"id": "root", "label": "cluster_id"})
+    return rows.join(home.join(labels, "root").select("id", "cluster_id"), "id").select(*entities.columns, "cluster_id")
 
 
 def cluster_boxes(clustered: DataFrame, keys: list[str] | None = None) -> DataFrame:

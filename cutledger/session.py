@@ -7,6 +7,8 @@ import os
 import re
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,8 +84,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within remove the files of their shuffles when they end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """Write a table into the shared folder and read it back, so that what follows reads the columns it needs instead of working them out again."""
+    """Write a table into the shared folder and read it back, so that what follows reads the columns it needs instead of working them out again.
+
+    What was shuffled for it is removed at once.
+    """
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

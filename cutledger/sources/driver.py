@@ -253,22 +253,16 @@ def shape_progress(raw: DataFrame) -> DataFrame:
 def pieces(spark: SparkSession, d: str) -> DataFrame:
     """Rectangles (kind 0), rectangles with a centred hole (1) and L shapes (2) per order."""
     part = table(spark, d, "part").select("p_partkey", "p_size")
-    lines = table(spark, d, "lineitem").selectExpr(
+    # numbered behind the join, as the last step that deals rows: what follows by project finds them dealt
+    sized = table(spark, d, "lineitem").join(part, F.expr("l_partkey = p_partkey")).selectExpr(
         "l_orderkey as project_id",
-        "l_partkey",
-        "l_quantity * 20 as width_mm",
-        "l_returnflag as layer",
         """cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity,
            l_extendedprice, l_shipdate) - 1 as int) as piece_index""",
-    )
-    sized = lines.join(part, lines.l_partkey == part.p_partkey).selectExpr(
-        "project_id",
-        "piece_index",
-        "width_mm",
+        "l_quantity * 20 as width_mm",
         "(p_size + 1) * 15D as height_mm",
         "cast(p_size % 3 as int) as kind",
         "l_partkey",
-        "layer",
+        "l_returnflag as layer",
     )
     return sized.withColumn(
         "rings",

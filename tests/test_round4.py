@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
+from cutledger.operators import drawings as drw
+from cutledger.operators import spatial
 from cutledger.plans import layout_queries
+from cutledger.session import CLEANUP, kept
 
 BOX = [[[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0]]]
 PLACED = "run_id long, sheet_index int, piece_index int, rings array<array<array<double>>>, x_mm double, y_mm double"
@@ -15,3 +22,57 @@ def test_clip_area_pairs_list_stacked_pieces(spark, monkeypatch):
     at = {i: x for _, _, i, _, x, _ in rows[:5]}
     side = {(a, b): 10.0 - abs(at[a] - at[b]) for a in range(5) for b in range(a + 1, 5)}
     assert got == {(1, 0, a, b, s * s) for (a, b), s in side.items() if s * s > 1}
+
+
+def components(boxes):
+    label = {b[0]: b[0] for b in boxes}
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for i, a in enumerate(boxes):
+        for b in boxes[i + 1 :]:
+            if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]:
+                x, y = root(a[0]), root(b[0])
+                label[max(x, y)] = min(x, y)
+    return {k: root(k) for k in label}
+
+
+@pytest.mark.parametrize("coarse", [0.3, 1.0, 4.0])
+def test_groups_of_cells_are_the_components(spark, monkeypatch, coarse):
+    monkeypatch.setattr(spatial, "COARSE", coarse)
+    rnd = random.Random(9)
+    rows = []
+    for d, span in ((1, 300), (2, 2_000), (3, 100_000)):
+        for _ in range(350):
+            x, y = rnd.randint(-span, span), rnd.randint(-span, span)
+            rows.append((d, len(rows), float(x), float(y), float(x + rnd.choice([0, 1, 20, 40, 300])), float(y + rnd.choice([0, 1, 20, 40, 300]))))
+    want = {}
+    for d in (1, 2, 3):
+        want |= components([(r[1], r[2] - 15, r[3] - 15, r[4] + 15, r[5] + 15) for r in rows if r[0] == d])
+    df = spark.createDataFrame(rows, "drawing_id long, id long, min_x double, min_y double, max_x double, max_y double")
+    got = drw.cluster(df, 15.0).collect()
+    assert len(got) == len(rows) and {r.id: r.cluster_id for r in got} == want
+
+
+def test_few_links_leave_a_crowded_drawing(spark):
+    boxes = spark.range(20_000).selectExpr("1 as d", "id", "double(id * 37 % 6007) as x", "double(id * 91 % 6011) as y")
+    boxes = boxes.selectExpr("d", "id", "named_struct('min_x', x, 'min_y', y, 'max_x', x + 90, 'max_y', y + 90) as box")
+    groups = spatial.touching_groups(boxes, ["d"]).groupBy("home").count().collect()
+    assert {r["home"]: r["count"] for r in groups}.pop(1) == 20_000
+    assert sum(r["count"] for r in groups if r["home"] == 0) < 2_000
+
+
+def shuffle_files(spark) -> int:
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_stored_tables_leave_no_shuffle_behind(spark):
+    spark.sparkContext._jvm.System.gc()
+    before = shuffle_files(spark)
+    rows = kept(spark.range(1_000).repartition(7, "id"), "rows")
+    assert shuffle_files(spark) <= before and rows.count() == 1_000
+    assert spark.conf.get(CLEANUP, None) is None
