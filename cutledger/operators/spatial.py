@@ -141,10 +141,14 @@ def paired(
     """Pairs of rows that pass ``near``, with the columns of both sides, which have only the keys in common.
 
     Keys with few rows meet in one join on the key: each side is shuffled once and no row looks into cells. For keys with more rows ``search``
-    gives the ids of the pairs (a grid join), and their rows are joined back on.
+    gives the ids of the pairs (a grid join), and their rows are joined back on. Rows are counted by their keys first, so that both sides are worked
+    out a second time only if there are such keys.
     """
-    counts = [df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(*keys) for df in (left, right)]
-    crowded = counts[0].unionByName(counts[1]).distinct()
+    sides = [df.select(*keys, F.lit(i).alias("_side")) for i, df in enumerate((left, right))]
+    counts = sides[0].unionByName(sides[1]).groupBy(*keys).agg(*[F.count_if(F.col("_side") == i).alias(f"_n{i}") for i in (0, 1)])
+    crowded = kept(counts.where((F.col("_n0") > FEW) | (F.col("_n1") > FEW)).select(*keys), "crowded")
+    if crowded.isEmpty():
+        return left.hint("merge").join(right.hint("merge"), keys).where(near)
     few = left.join(crowded, keys, "left_anti").hint("merge").join(right.hint("merge"), keys).where(near)
     a, b = left.join(crowded, keys, "left_semi"), right.join(crowded, keys, "left_semi")
     many = search(a, b).join(a, [*keys, ids[0]]).join(b, [*keys, ids[1]])

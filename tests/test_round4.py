@@ -76,3 +76,14 @@ def test_stored_tables_leave_no_shuffle_behind(spark):
     rows = kept(spark.range(1_000).repartition(7, "id"), "rows")
     assert shuffle_files(spark) <= before and rows.count() == 1_000
     assert spark.conf.get(CLEANUP, None) is None
+
+
+def test_small_keys_read_each_side_once(spark, tmp_path):
+    ring = "array(array(array(0D, 0D), array(w, 0D), array(w, w), array(0D, w)))"
+    pieces = spark.range(60).selectExpr("id div 12 as k", "id", "cast(id % 12 as int) as piece_index", "double(20 + id % 3 * 40) as w")
+    pieces = pieces.selectExpr("k", "id", "piece_index", f"{ring} as rings", "named_struct('min_x', 0D, 'min_y', 0D, 'max_x', w, 'max_y', w) as box")
+    pieces.write.parquet(str(tmp_path / "pieces"))
+    points = spark.range(60).selectExpr("id div 12 as k", "id", "id * 29 % 100 + 0.5D as x", "id * 31 % 100 + 0.5D as y")
+    points.write.parquet(str(tmp_path / "points"))
+    plan = drw.attach_points(spark.read.parquet(str(tmp_path / "points")), spark.read.parquet(str(tmp_path / "pieces")), ["k"])
+    assert plan.count() and plan._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
