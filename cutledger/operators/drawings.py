@@ -269,24 +269,57 @@ def _washers_by_axis(circles: DataFrame, base: float, keys: list[str]) -> DataFr
 def drop_hole_fillers(polys: DataFrame, tol: float, keys: list[str] = GROUP) -> DataFrame:
     """Drop polygons that merely refill a hole of another: centred in it and no larger than it.
 
-    A round one must match the hole in centre and radius.
+    A round one must match the hole in centre and radius. Keys with few polygons compare them with the holes of their key in one join, which carries
+    the rings of holed polygons only; in larger keys distinct outlines meet on a grid.
     """
     near = join_tolerance(tol)
-    shapes = cut_lineage(_shapes(polys, keys))
-    slots = shapes.select(*keys, F.col("id").alias("owner"), F.posexplode(geo.holes(F.col("rings"))).alias("no", "ring"))
+    crowded = kept(polys.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > spatial.FEW).select(*keys), "crowded")
+    if crowded.isEmpty():
+        return _unfilled_at_once(polys, near, keys)
+    few, many = polys.join(crowded, keys, "left_anti"), polys.join(crowded, keys, "left_semi")
+    return _unfilled_at_once(few, near, keys).unionByName(_unfilled_by_outline(many, near, keys))
+
+
+def _slots(shapes: DataFrame, near: float, carried: list) -> DataFrame:
+    """The holes of polygons, one row each: their ring, area, centre and padded box."""
+    slots = shapes.select(*carried, F.posexplode(geo.holes(F.col("rings"))).alias("no", "ring"))
     slots = slots.withColumn("rings", F.array("ring")).withColumns(
         {"box": geo.bbox(F.col("rings")), "h_area": geo.solid_area(F.col("rings")), "h_center": geo.centroid(F.col("rings"))}
     )
-    slots = slots.withColumn("id", F.concat_ws(":", "owner", "no"))
-    padded = slots.withColumn("box", _boxed(slots, near)).select(*keys, F.col("id").alias("box_id"), "owner", "ring", "h_area", "h_center", "box")
-    spots = shapes.select(*keys, F.col("id").alias("point_id"), F.col("center.x").alias("x"), F.col("center.y").alias("y"), "area", "radius", "center")
-    full = spatial.points_paired(spots, padded, keys).where("point_id <> owner")
+    return slots.withColumn("box", _boxed(slots, near)).drop("rings")
+
+
+def _fills(near: float) -> Column:
+    """Does a polygon (center, area, radius) refill a hole (ring, h_area, h_center)?"""
     x, y = F.col("center.x"), F.col("center.y")
     held = geo.in_ring(F.col("ring"), x, y) | (geo.edge_distance(F.col("ring"), x, y) <= near)
     off = F.hypot(F.expr("center.x - h_center.x"), F.expr("center.y - h_center.y"))
     match = (off <= near * 2) & (F.abs(F.col("radius") - F.sqrt(F.col("h_area") / F.pi())) <= near * 2)
-    fills = full.where(held & (F.col("area") <= F.col("h_area") * 1.05) & (F.col("radius").isNull() | match))
-    gone = shapes.join(fills.select(*keys, F.col("point_id").alias("id")).distinct(), [*keys, "id"], "left_semi")
+    return (F.col("area") <= F.col("h_area") * 1.05) & (F.col("radius").isNull() | match) & held
+
+
+def _unfilled_at_once(polys: DataFrame, near: float, keys: list[str]) -> DataFrame:
+    """The polygons that fill no hole of another outline, by one join on the key. An outline with holes is told from its copies by its rings."""
+    rings = F.col("rings")
+    spots = polys.withColumns(
+        {"area": geo.polygon_area(rings), "radius": geo.circle_radius(rings), "center": geo.centroid(rings), "own": F.when(F.size(rings) > 1, rings)}
+    )
+    slots = _slots(polys, near, [*[F.col(k).alias(f"h_{k}") for k in keys], rings.alias("h_rings")])
+    within = F.expr("center.x between box.min_x and box.max_x and center.y between box.min_y and box.max_y")
+    on = [F.col(k) == F.col(f"h_{k}") for k in keys]
+    met = [*on, within, _fills(near), ~F.col("own").eqNullSafe(F.col("h_rings"))]
+    return spots.hint("merge").join(slots.hint("merge"), met, "left_anti").select(polys.columns)
+
+
+def _unfilled_by_outline(polys: DataFrame, near: float, keys: list[str]) -> DataFrame:
+    """The same for keys of any size."""
+    shapes = kept(_shapes(polys, keys), "outlines")
+    slots = _slots(shapes, near, [*keys, F.col("id").alias("owner")]).withColumn("box_id", F.concat_ws(":", "owner", "no"))
+    padded = slots.select(*keys, "box_id", "owner", "ring", "h_area", "h_center", "box")
+    spots = shapes.select(*keys, F.col("id").alias("point_id"), F.col("center.x").alias("x"), F.col("center.y").alias("y"), "area", "radius", "center")
+    full = spatial.points_paired(spots, padded, keys).where("point_id <> owner")
+    gone = full.where(_fills(near)).select(*keys, F.col("point_id").alias("id")).distinct()
+    gone = shapes.join(gone, [*keys, "id"], "left_semi")
     return polys.join(gone.select(*keys, "rings"), [*keys, "rings"], "left_anti").select(polys.columns)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from test_round3 import shuffled
 
 from cutledger.operators import drawings as drw
 from cutledger.operators import spatial
@@ -87,3 +88,28 @@ def test_small_keys_read_each_side_once(spark, tmp_path):
     points.write.parquet(str(tmp_path / "points"))
     plan = drw.attach_points(spark.read.parquet(str(tmp_path / "points")), spark.read.parquet(str(tmp_path / "pieces")), ["k"])
     assert plan.count() and plan._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
+def test_hole_fillers_of_small_and_crowded_keys(spark, monkeypatch):
+    """Plugs, copies of thin frames whose hole is larger than themselves, nested frames."""
+    square = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s]]
+    rows = []
+    for k in range(4):
+        for i in range(9):
+            x, y, s = 200.0 * i, 50.0 * k, [10.0, 30.0, 60.0][i % 3]
+            frame = [square(x, y, 100.0), square(x + 50 - s, y + 50 - s, 2 * s)[:4]] if s < 50 else [square(x, y, 100.0), square(x + 4, y + 4, 92.0)]
+            rows += [(k, "L", 100 * k + 10 * i, frame), (k, "L", 100 * k + 10 * i + 1, frame)]
+            rows += [(k, "L", 100 * k + 10 * i + 2 + n, [square(x + 50 - f * s, y + 50 - f * s, 2 * f * s)]) for n, f in enumerate((1.0, 0.5)[: 1 + i % 2])]
+        rows.append((k, None, 900 + k, [square(0.0, 0.0, 10.0)]))
+    df = spark.createDataFrame(rows, "drawing_id int, layer string, id int, rings array<array<array<double>>>").localCheckpoint()
+
+    def left():
+        return sorted((r.drawing_id, r.id) for r in drw.drop_hole_fillers(df, 0.1).collect())
+
+    few = left()
+    assert len(few) < len(rows) and {(k, 900 + k) for k in range(4)} <= set(few) and {(k, 100 * k + 20) for k in range(4)} <= set(few)
+    assert not [(k, n) for k, n in few if n < 900 and n % 100 in (2, 12)]
+    monkeypatch.setattr(spatial, "FEW", 0)
+    assert left() == few
+    rings = shuffled(spark, drw.drop_hole_fillers(df.where("size(rings) < 2"), 0.1).select("drawing_id", "id"))
+    assert rings < 60 * len(rows)
