@@ -294,3 +294,28 @@ def test_index_takes_deletions(spark):
     gone = spark.createDataFrame([("a",), ("b",), ("never",)], "text string")
     left = exact.delete_from_index(exact.build_index(df), gone).collect()
     assert sorted((r["n_bytes"], r["group_size"]) for r in left) == [(0, 1), (1, 1)]
+
+
+def test_sets_and_signatures_of_many_texts_at_once():
+    """As one by one, empty and short texts among them, in a part of the calls."""
+    import random
+    import time
+
+    from cutledger.llm import jaccard
+    from cutledger.llm.numeric import shingle_sets
+
+    rnd = random.Random(5)
+    word = lambda: rnd.choice(["Ab", "ab", "c", "éß", "xyz", "\ud800"]) + str(rnd.randint(0, 99))
+    texts = [rnd.choice([" ", "\n", "\t "]).join(word() for _ in range(rnd.choice([0, 1, 2, 4, 5, 6, 60, 300]))) for _ in range(3_000)]
+    texts += [None, "", " ", " a b c d e f ", "a " * 40_000, " ".join(map(str, range(60_000)))]
+    rnd.shuffle(texts)
+    began = time.process_time()
+    single = [shingle_set(t, 4) for t in texts]
+    apart = time.process_time() - began
+    began = time.process_time()
+    together = shingle_sets(texts, 4)
+    assert time.process_time() - began < 0.7 * apart
+    assert len(together) == len(single) and all(np.array_equal(a, b) for a, b in zip(together, single))
+    sets = [s for s in together if len(s)]
+    signed = list(jaccard.signatures_of(sets, 80))
+    assert len(signed) == len(sets) and all(np.array_equal(a, jaccard.signatures(s, 80)) for a, s in zip(signed, sets))
