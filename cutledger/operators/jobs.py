@@ -285,7 +285,7 @@ def ewma_eta(progress: DataFrame, alpha: float = 0.3, time_limit_sec: float | No
         raw = F.when(
             (elapsed >= 3.0) & (F.col("smoothed") >= 5.0), elapsed * (100.0 - F.col("smoothed")) / F.col("smoothed")
         )
-    guess = F.when(F.col("smoothed") >= 99.9, F.lit(0)).when(raw.isNotNull(), F.greatest(F.rint(raw), F.lit(0.0)).cast("int"))
+    guess = F.when(F.col("smoothed") >= 99.9, F.lit(0)).when(raw.isNotNull(), F.greatest(F.rint(raw), F.lit(0.0)).cast("bigint"))
     return _along(rows, [Running("eta_sec_smoothed", "min", guess)])
 
 

@@ -8,7 +8,7 @@ import pytest
 from test_round3 import shuffled
 
 from cutledger.operators import drawings as drw
-from cutledger.operators import spatial
+from cutledger.operators import jobs, spatial
 from cutledger.plans import layout_queries
 from cutledger.session import CLEANUP, kept
 
@@ -113,3 +113,13 @@ def test_hole_fillers_of_small_and_crowded_keys(spark, monkeypatch):
     assert left() == few
     rings = shuffled(spark, drw.drop_hole_fillers(df.where("size(rings) < 2"), 0.1).select("drawing_id", "id"))
     assert rings < 60 * len(rows)
+
+
+def test_estimates_of_long_runs_are_whole_numbers_of_64_bits(spark):
+    """A run of years, as in the SQL: its first estimate is beyond 32 bits."""
+    rows = spark.sql(
+        """select 1L as run_id, id, timestamp_seconds(1577836800 + id * 200000000) as at, cast(if(id = 0, 0, 6) as int) as percent,
+           timestamp_seconds(1577836800) as started_at from range(3)"""
+    )
+    got = {r.id: r.eta_sec_smoothed for r in jobs.ewma_eta(rows).collect()}
+    assert got == {0: None, 1: round(200_000_000 * 94 / 6), 2: round(200_000_000 * 94 / 6)}
